@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import host_rules
+from . import chat_format, host_rules, packing
 
 QUERIES = {
     "op5_host_rules": host_rules.op5_host_rules,
+    "op6_chat_format": chat_format.op6_chat_format,
+    "op7_nnls_packing": packing.op7_nnls_packing,
 }
 
 ORACLE_SQL = {
     "op5_host_rules": host_rules.OP5_SQL,
+    "op6_chat_format": chat_format.OP6_SQL,
 }
