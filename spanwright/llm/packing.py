@@ -39,24 +39,43 @@ CACHED_WORDS, BATCH_CHARS = 300_000, 4_000_000
 _IRREGULAR = re.compile(r"\s (?:\s|$)")
 
 
+#: How a byte-level BPE tokenizer splits text before its merges (fixed value).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The visible characters that stand for bytes in the vocabulary of a byte-level tokenizer."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordIds:
     """Ids of whole texts by a byte-level BPE tokenizer, remembered word by word.
 
     The tokenizer splits a text before every space that has no white space on both sides, so
     the ids of a text are those of its space-separated words, each with its space. New words
     of a batch are joined and encoded at once; the tokens' byte lengths tell which are whose.
-    Texts with longer runs of white space are encoded whole.
+    As most new words are seen once, their merges run in tiktoken's engine, which is given the
+    tokenizer file's own vocabulary and pattern and finds the same ids (tests hold the two
+    together). Texts with longer runs of white space and words that could hold a special token
+    are encoded by the tokenizer itself.
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.words, self.heads = Tokenizer.from_file(path), limit, {}, {}
-        vocab = self.tokenizer.get_vocab()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        byte_of = {c: b for b, c in byte_alphabet().items()}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
+        for token, i in ranks.items():
             self.n_bytes[i] = len(token)
+        self.engine = tiktoken.Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,7 +90,7 @@ class WordIds:
         self.words.update(zip(alone, self.encode([" " + w for w in alone]), strict=True))
         for k in range(0, len(joined), 20_000):
             part = joined[k : k + 20_000]
-            ids = np.frombuffer(self.encode([" " + " ".join(part)])[0], "<u4")
+            ids = self.engine.encode_to_numpy(" " + " ".join(part), disallowed_special=()).astype("<u4")
             ends = np.cumsum([len(w.encode()) + 1 for w in part])
             cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
             raw, at = ids.tobytes(), 0
