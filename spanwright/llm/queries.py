@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, host_rules, html_main, jaccard_join, packing
+from . import chat_format, host_rules, html_main, jaccard_join, licence_scan, packing
 
 QUERIES = {
     "op5_host_rules": host_rules.op5_host_rules,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_nnls_packing": packing.op7_nnls_packing,
     "op8_site_template": html_main.op8_site_template,
+    "op9_licence_scan": licence_scan.op9_licence_scan,
     "op10_prefix_join": jaccard_join.op10_prefix_join,
 }
 
