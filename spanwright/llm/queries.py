@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, host_rules, html_main, jaccard_join, licence_scan, packing
+from . import chat_format, host_rules, html_main, jaccard_join, licence_scan, packing, pfair_mix
 
 QUERIES = {
+    "op1_pfair_mix": pfair_mix.op1_pfair_mix,
     "op5_host_rules": host_rules.op5_host_rules,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_nnls_packing": packing.op7_nnls_packing,
