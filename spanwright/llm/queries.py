@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, host_rules, html_main, jaccard_join, licence_scan, packing, pfair_mix
+from . import chat_format, host_rules, html_main, ivf_pq, jaccard_join, licence_scan, packing, pfair_mix, site_quality, warc
 
 QUERIES = {
     "op1_pfair_mix": pfair_mix.op1_pfair_mix,
+    "op2_warc_derivatives": warc.op2_warc_derivatives,
+    "op3_site_quality": site_quality.op3_site_quality,
+    "op4_ivf_pq": ivf_pq.op4_ivf_pq,
     "op5_host_rules": host_rules.op5_host_rules,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_nnls_packing": packing.op7_nnls_packing,
