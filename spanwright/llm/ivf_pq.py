@@ -29,8 +29,9 @@ from .common import materialize
 
 #: Vectors of the training sample, rounds of k-means, values of a subspace, codewords of each.
 TRAINED, ROUNDS, SUBSPACE, CODEWORDS = 20_000, 8, 4, 256
-#: Lists that a query visits, codes of each list that are reranked exactly.
-PROBES, RERANKED = 40, 64
+#: Share of the lists that a query visits, codes of each list that are reranked exactly. The share
+#: is that of vectors without clusters, whose neighbours lie in many lists; clustered ones need less.
+PROBED, RERANKED = 0.6, 32
 MIN_LISTS, MAX_LISTS = 16, 4_096
 #: Vectors of a shard and queries of a block at most.
 SHARD, BLOCK = 4_096, 1_024
@@ -111,7 +112,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding", probes: int = PROBES, reranked: int = RERANKED) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding", probed: float = PROBED, reranked: int = RERANKED) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found for each row whose id `every` divides."""
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
@@ -122,7 +123,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(TRAINED).select("v").collect()  # bounded by TRAINED
     lists = min(MAX_LISTS, max(MIN_LISTS, math.isqrt(n)))
     quantizer = Quantizer(np.array([r["v"] for r in sample], np.float32), lists)
-    lists, probes = len(quantizer.centers), min(probes, len(quantizer.centers))
+    lists = len(quantizer.centers)
+    probes = max(1, math.ceil(probed * lists))
     shared = spark.sparkContext.broadcast(quantizer)
 
     def index(batches):
