@@ -2,5 +2,370 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import align, audit, discourse, distance, rt, spans, stats, surprisal, windows
+from . import projection as P
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+KEYS = ["doc", "i"]
+
+
+def _sql(name: str, sql: str | None, *parts: str):
+    """Register the decorated query, and its SQL after the named common tables."""
+    if sql:
+        tables = [TABLES[p] for p in _needed(parts)]
+        ORACLE_SQL[name] = ("WITH " + ", ".join(tables) + " " if tables else "") + sql
+
+    def keep(f):
+        QUERIES[name] = f
+        return f
+
+    return keep
+
+
+def _needed(parts: tuple[str, ...]) -> list[str]:
+    out: list[str] = []
+    for p in parts:
+        for q in (*_needed(DEPENDS.get(p, ())), p):
+            if q not in out:
+                out.append(q)
+    return out
+
+
+DEPENDS = {
+    "off": ("tok",), "sn": ("tok",), "stats": ("rt",), "spans": ("off",), "men": ("sent",), "sides": ("sent",), "targ": ("men",),
+    "ctx": ("men", "sent"), "prev": ("men",), "feat": ("targ",), "pairs": ("feat", "sides"), "zones": ("sn",), "grid": ("men",),
+}
+TABLES = {
+    "tok": r"tok AS (SELECT doc_id AS item, unnest(ws) AS word, unnest(range(1, len(ws)::BIGINT + 1))::INT AS zone FROM (SELECT doc_id, string_split_regex(text, '[ \t\n\r]+') AS ws FROM documents))",
+    "off": "off AS (SELECT *, char_start + length(word) AS char_end FROM (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY item ORDER BY zone ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_start FROM tok))",
+    "rt": "rt AS (SELECT event_id, user_id AS worker, event_id % 50 AS item, (1 + (event_id // 50) % 200)::INT AS zone, value AS rt FROM events)",
+    "stats": "stats AS (SELECT item, zone, avg(rt) AS mean_rt, exp(avg(CASE WHEN rt > 0 THEN ln(rt) END)) AS gmean_rt, count(*) AS n_subj FROM rt GROUP BY item, zone)",
+    "sn": "sn AS (SELECT *, (1 + coalesce(sum(CASE WHEN ends_with(word, '.') THEN 1 ELSE 0 END) OVER (PARTITION BY item ORDER BY zone ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS sentence_id FROM tok)",
+    "zones": "zones AS (SELECT item, zone, word, sentence_id - 1 AS sentence_index FROM sn)",
+    "sent": "sent AS (SELECT o_custkey AS doc, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::INT AS sentence_index FROM orders)",
+    "men": """men AS (SELECT doc, sentence_index, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus, l_shipdate) - 1)::INT AS pos,
+      l_partkey % 20 AS cluster, CASE l_returnflag WHEN 'A' THEN 'nsubj' WHEN 'N' THEN 'dobj' ELSE 'nmod' END AS dep, CASE l_returnflag WHEN 'A' THEN 'subject' WHEN 'N' THEN 'object' ELSE 'oblique' END AS role,
+      CASE WHEN l_linestatus = 'O' THEN 'pronoun' ELSE 'definite_np' END AS form, CASE WHEN l_partkey % 3 = 0 THEN 'person' ELSE 'other' END AS etype,
+      'the ' || l_returnflag || ' p' || (l_partkey % 7) AS text FROM sent JOIN lineitem ON l_orderkey = o_orderkey)""",
+    "sides": "sides AS (SELECT doc, sentence_index - k AS i, k FROM sent, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE sentence_index >= k)",
+    "targ": """targ AS (SELECT doc, sentence_index - k AS i, k, cluster, role, form, etype, text, CASE WHEN first < sentence_index - k THEN 'given' ELSE 'new' END AS givenness
+      FROM (SELECT *, min(sentence_index) OVER (PARTITION BY doc, cluster) AS first FROM men), (SELECT unnest([0, 1, 2, 3]) AS k) WHERE sentence_index >= k)""",
+    "prev": "prev AS (SELECT doc, sentence_index + 1 AS i, cluster, role FROM men)",
+    "ctx": "ctx AS (SELECT s.doc, s.sentence_index AS i, m.sentence_index AS past, cluster, role FROM sent s JOIN men m ON s.doc = m.doc AND m.sentence_index < s.sentence_index)",
+    "feat": "feat AS (SELECT doc, i, k, CASE WHEN givenness = 'new' THEN 'NEW-' || etype ELSE cluster::VARCHAR END || '|' || givenness || '|' || form || '|' || role AS feature, CASE role WHEN 'subject' THEN 3.0 WHEN 'object' THEN 2.0 WHEN 'oblique' THEN 1.0 ELSE 0.5 END AS w FROM targ)",
+    "pairs": """v AS (SELECT doc, i, k, feature, count(*)::DOUBLE AS n, sum(w)::DOUBLE AS sw FROM feat GROUP BY ALL),
+      t AS (SELECT doc, i, k, sum(n) AS n, sum(sw) AS sw FROM v GROUP BY ALL),
+      p AS (SELECT doc, i, k, feature, v.n / t.n AS share, v.sw / t.sw AS wshare FROM v JOIN t USING (doc, i, k)),
+      ga AS (SELECT doc, i, k, feature, sum(g) AS g, sum(a) AS a, sum(wg) AS wg, sum(wa) AS wa FROM (
+        SELECT s.doc, s.i, s.k, feature, share AS g, 0 AS a, wshare AS wg, 0 AS wa FROM sides s JOIN p ON p.doc = s.doc AND p.i = s.i AND p.k = 0 WHERE s.k > 0
+        UNION ALL SELECT doc, i, k, feature, 0, share, 0, wshare FROM p WHERE k > 0) GROUP BY ALL)""",
+    "spans": """spans AS (SELECT item AS doc, zone::BIGINT AS span, zone % 2 AS w, zone % 8 AS cluster, char_start AS cs, coalesce(CASE zone % 3 WHEN 0 THEN char_end WHEN 1 THEN n1 ELSE n2 END, char_end) AS ce
+      FROM (SELECT *, lead(char_end, 1) OVER (PARTITION BY item ORDER BY zone) AS n1, lead(char_end, 2) OVER (PARTITION BY item ORDER BY zone) AS n2 FROM off WHERE zone <= 40))""",
+    "grid": "grid AS (SELECT doc, sentence_index, cluster, string_agg(dep, ',' ORDER BY pos) AS roles FROM men GROUP BY ALL)",
+}
+
+
+# ---- reading times
+
+def _zones(spark, sf):
+    return surprisal.sentence_numbers(P.tokens(spark, sf)).withColumn("sentence_index", F.col("sentence_id") - 1)
+
+
+@_sql("rt_left_join", "SELECT item, zone, word, round(mean_rt, 6) AS mean_rt, round(gmean_rt, 6) AS gmean_rt, coalesce(n_subj, 0) AS n_subj FROM tok LEFT JOIN stats USING (item, zone)", "tok", "stats")
+def rt_left_join(spark, sf):
+    out = rt.join_reading_times(P.tokens(spark, sf), P.rt_stats(spark, sf))
+    return out.select("item", "zone", "word", F.round("mean_rt", 6).alias("mean_rt"), F.round("gmean_rt", 6).alias("gmean_rt"), F.coalesce("n_subj", F.lit(0)).alias("n_subj"))
+
+
+@_sql(
+    "rt_sentence_rollup",
+    """SELECT item, sentence_index, count(*) AS n_spr_tokens, round(sum(mean_rt), 6) AS reading_time_sum_mean, round(sum(gmean_rt), 6) AS reading_time_sum_gmean,
+       round(avg(mean_rt), 6) AS reading_time_mean_per_token, min(zone) AS first_zone, max(zone) AS last_zone FROM zones LEFT JOIN stats USING (item, zone) GROUP BY item, sentence_index""",
+    "zones", "stats",
+)
+def rt_sentence_rollup(spark, sf):
+    out = rt.sentence_rollup(rt.join_reading_times(_zones(spark, sf), P.rt_stats(spark, sf)))
+    rounded = [F.round(c, 6).alias(c) for c in ("reading_time_sum_mean", "reading_time_sum_gmean", "reading_time_mean_per_token")]
+    return out.select("item", "sentence_index", "n_spr_tokens", *rounded, F.array_min("spr_zones").alias("first_zone"), F.array_max("spr_zones").alias("last_zone"))
+
+
+@_sql("rt_subject_rollup", "SELECT item, sentence_index, worker, round(sum(rt), 3) AS rt_sum, count(*) AS n_tokens FROM zones JOIN rt USING (item, zone) GROUP BY ALL", "zones", "rt")
+def rt_subject_rollup(spark, sf):
+    return rt.subject_rollup(_zones(spark, sf), P.events_rt(spark, sf))
+
+
+@_sql("rt_subject_map", "SELECT item, sentence_index, count(*) AS n_workers, round(sum(rt_sum), 3) AS total FROM (SELECT item, sentence_index, worker, round(sum(rt), 3) AS rt_sum FROM zones JOIN rt USING (item, zone) GROUP BY ALL) GROUP BY ALL", "zones", "rt")
+def rt_subject_map(spark, sf):
+    m = F.map_values("reading_times_by_subject")
+    out = rt.subject_map(rt_subject_rollup(spark, sf))
+    return out.select("item", "sentence_index", F.size(m).cast("long").alias("n_workers"), F.round(F.aggregate(m, F.lit(0.0), lambda a, x: a + x["rt_sum"]), 3).alias("total"))
+
+
+@_sql("rt_dedup_last", "SELECT item, worker, arg_max(rt, event_id) AS rt, arg_max(zone, event_id) AS zone FROM rt GROUP BY item, worker", "rt")
+def rt_dedup_last(spark, sf):
+    return rt.last_of(P.events_rt(spark, sf), ["item", "worker"], "event_id").select("item", "worker", "rt", "zone")
+
+
+@_sql("rt_shared_zone", "SELECT zone, max(sentence_index) AS sentence_index, item FROM (SELECT item, zone % 100 AS zone, sentence_index FROM zones) GROUP BY item, zone", "zones")
+def rt_shared_zone(spark, sf):
+    sents = _zones(spark, sf).groupBy("item", "sentence_index").agg(F.collect_set(F.pmod("zone", F.lit(100))).alias("zones"))
+    return rt.sentence_of_zone(sents).select("item", "zone", "sentence_index")
+
+
+# ---- tokens, offsets, parses
+
+@_sql("token_offsets", "SELECT item, zone, word, char_start, char_end::INT AS char_end FROM off", "off")
+def token_offsets(spark, sf):
+    return P.offsets(spark, sf)
+
+
+@_sql("story_text", "SELECT item, count(*)::INT AS n_tokens, md5(string_agg(word, ' ' ORDER BY zone)) AS text_md5 FROM tok GROUP BY item", "tok")
+def story_text(spark, sf):
+    return align.story_text(P.tokens(spark, sf)).select("item", "n_tokens", F.md5("text").alias("text_md5"))
+
+
+@_sql("sentence_number_by_period", "SELECT item, zone, sentence_id, row_number() OVER (PARTITION BY item, sentence_id ORDER BY zone)::INT AS sentence_position FROM sn", "sn")
+def sentence_number_by_period(spark, sf):
+    return surprisal.sentence_numbers(P.tokens(spark, sf)).drop("word")
+
+
+@_sql("sentence_spans", "SELECT item, sentence_id - 1 AS sentence_index, min(char_start) AS char_start, max(char_end)::INT AS char_end, count(*)::INT AS n_zones FROM sn JOIN off USING (item, zone) GROUP BY item, sentence_id", "sn", "off")
+def sentence_spans(spark, sf):
+    own = align.token_offsets(_zones(spark, sf)).withColumn("g", F.col("zone") - 1)
+    out = align.sentence_spans(own)
+    return out.select("item", "sentence_index", "char_start", "char_end", F.size("zones").alias("n_zones"))
+
+
+@_sql(
+    "ptb_candidates",
+    r"""SELECT form, CASE WHEN form IN ('``', '''''', '`') THEN '''|"|`' WHEN form = '''' THEN '''|' || chr(8217) || '|`' WHEN form = '"' THEN '"|' || chr(8220) || '|' || chr(8221) WHEN form = '-LRB-' THEN '('
+       WHEN form = '-RRB-' THEN ')' WHEN form = '--' THEN '--|' || chr(8212) || '|' || chr(8211) ELSE form END AS candidates
+       FROM (SELECT DISTINCT CASE zone % 9 WHEN 0 THEN '``' WHEN 1 THEN '''''' WHEN 2 THEN '`' WHEN 3 THEN '''' WHEN 4 THEN '"' WHEN 5 THEN '-LRB-' WHEN 6 THEN '-RRB-' WHEN 7 THEN '--' ELSE word END AS form FROM tok)""",
+    "tok",
+)
+def ptb_candidates(spark, sf):
+    shapes = ["``", "''", "`", "'", '"', "-LRB-", "-RRB-", "--"]
+    form = F.coalesce(F.get(F.array(*map(F.lit, shapes)), F.pmod("zone", F.lit(9))), F.col("word"))
+    return P.tokens(spark, sf).select(form.alias("form")).distinct().select("form", F.array_join(T.candidates(F.col("form")), "|").alias("candidates"))
+
+
+@_sql("tokenid_extract", "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN event_id % 50 ELSE -1 END::INT AS item, CASE WHEN event_id % 7 <> 0 THEN event_id % 200 ELSE -1 END::INT AS zone FROM events")
+def tokenid_extract(spark, sf):
+    e = P.table(spark, sf, "events")
+    plain, with_id = F.lit("SpaceAfter=No"), F.concat(F.lit("SpaceAfter=No|TokenId="), (F.col("event_id") % 50).cast("string"), F.lit("."), (F.col("event_id") % 200).cast("string"), F.lit(".1"))
+    item, zone = T.token_id(F.when(F.col("event_id") % 7 == 0, plain).otherwise(with_id))
+    return e.select("event_id", F.coalesce(item, F.lit(-1)).alias("item"), F.coalesce(zone, F.lit(-1)).alias("zone"))
+
+
+@_sql(
+    "align_forms",
+    "SELECT item, zone, char_start, char_start + length(word) - 1 AS stem_end, char_end::INT AS char_end FROM off WHERE length(word) > 1",
+    "off",
+)
+def align_forms(spark, sf):
+    """Every word of two characters or more as two forms, its stem and its last character, found in the text."""
+    off = P.offsets(spark, sf).where(F.length("word") > 1)
+    n = F.length("word")
+    forms = F.array(F.substring(F.col("word"), F.lit(1), n - 1), F.substring(F.col("word"), n, F.lit(1)))
+    out = off.withColumn("s", align.place_forms(F.col("word"), F.lit(0), n, forms))
+    at = lambda i, c: (F.col("char_start") + F.get("s", F.lit(i))[c]).alias
+    return out.select("item", "zone", at(0, "char_start")("char_start"), at(0, "char_end")("stem_end"), at(1, "char_end")("char_end"))
+
+
+@_sql(
+    "global_gid_head",
+    """SELECT doc, sentence_index, pos, g, CASE WHEN (pos + 1) // 2 > 0 THEN min(g) OVER (PARTITION BY doc, sentence_index) + (pos + 1) // 2 - 1 ELSE -1 END::INT AS head_g
+       FROM (SELECT *, (row_number() OVER (PARTITION BY doc ORDER BY sentence_index, pos) - 1)::INT AS g FROM men)""",
+    "men",
+)
+def global_gid_head(spark, sf):
+    own = P.tree(spark, sf).withColumn("g", (F.row_number().over(Window.partitionBy("doc").orderBy("sentence_index", "pos")) - 1).cast("int"))
+    head = F.when(F.col("head") > 0, F.min("g").over(Window.partitionBy("doc", "sentence_index")) + F.col("head") - 1).otherwise(-1).cast("int")
+    return own.select("doc", "sentence_index", "pos", "g", head.alias("head_g"))
+
+
+# ---- spans
+
+def _span_pairs(spark, sf):
+    toks = P.offsets(spark, sf).select(F.col("item").alias("doc"), "zone", F.col("char_start").alias("ts"), F.col("char_end").alias("te"))
+    return spans.overlap_join(P.spans(spark, sf), toks, ["doc"], ("char_start", "char_end"), ("ts", "te"))
+
+
+@_sql("overlap_join", "SELECT doc, span, zone FROM spans JOIN off ON item = doc AND char_start < ce AND char_end > cs", "spans")
+def overlap_join(spark, sf):
+    return _span_pairs(spark, sf).select("doc", "span", "zone")
+
+
+@_sql("overlap_anti_nominals", "SELECT item AS doc, zone FROM off o WHERE zone <= 60 AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc = o.item AND s.span % 5 = 0 AND char_start < ce AND char_end > cs)", "spans")
+def overlap_anti_nominals(spark, sf):
+    toks = P.offsets(spark, sf).where("zone <= 60").select(F.col("item").alias("doc"), "zone", "char_start", "char_end")
+    some = P.spans(spark, sf).where("span % 5 = 0")
+    return spans.without_overlap(toks, some, ["doc"], ("char_start", "char_end"), ("char_start", "char_end")).select("doc", "zone")
+
+
+@_sql("first_entity_label", "SELECT doc, span, arg_min(word, zone) AS label FROM spans JOIN off ON item = doc AND char_start < ce AND char_end > cs WHERE zone % 2 = 0 GROUP BY doc, span", "spans")
+def first_entity_label(spark, sf):
+    labels = P.offsets(spark, sf).where("zone % 2 = 0").select(F.col("item").alias("doc"), "zone", F.col("word").alias("label"), F.col("char_start").alias("ts"), F.col("char_end").alias("te"))
+    pairs = spans.overlap_join(P.spans(spark, sf), labels, ["doc"], ("char_start", "char_end"), ("ts", "te"))
+    return spans.first_label(pairs, ["doc", "span"], "label", ["zone"])
+
+
+@_sql(
+    "head_role",
+    """, a AS (SELECT m.doc, m.sentence_index, w.win, pos, dep, (pos + 1) // 2 - 1 AS head FROM men m, (SELECT unnest(range(0, 4)) AS win) w WHERE pos BETWEEN 3 * win AND 3 * win + 3)
+       SELECT doc, sentence_index, win::INT AS win, arg_min(dep, (CASE WHEN EXISTS (SELECT 1 FROM a b WHERE b.doc = a.doc AND b.sentence_index = a.sentence_index AND b.win = a.win AND b.pos = a.head) THEN 1000 ELSE 0 END) + pos) AS role
+       FROM a GROUP BY doc, sentence_index, win""",
+    "men",
+)
+def head_role(spark, sf):
+    own = P.tree(spark, sf).withColumn("win", F.explode(F.array(*map(F.lit, range(4))))).where((F.col("pos") >= 3 * F.col("win")) & (F.col("pos") <= 3 * F.col("win") + 3))
+    own = own.withColumns({"g": F.col("pos"), "head_g": F.col("head") - 1})
+    return spans.head_role(own, ["doc", "sentence_index", "win"]).select("doc", "sentence_index", "win", F.col("grammatical_role").alias("role"))
+
+
+ORACLE_SQL["head_role"] = ORACLE_SQL["head_role"].replace(" , a AS", ", a AS")
+
+
+@_sql(
+    "locate_segment",
+    """SELECT doc, span, CASE WHEN ce <= 60 THEN 'context' WHEN cs >= 60 AND ce <= 140 THEN 'target' WHEN cs >= 140 AND ce <= 200 THEN 'post'
+       WHEN (cs + ce) // 2 <= 60 THEN 'context' WHEN (cs + ce) // 2 <= 140 THEN 'target' WHEN (cs + ce) // 2 <= 200 THEN 'post' END AS segment FROM spans""",
+    "spans",
+)
+def locate_segment(spark, sf):
+    parts = [("context", 0, 60), ("target", 60, 140), ("post", 140, 200)]
+    segments = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("char_start"), F.lit(b).alias("char_end")) for n, a, b in parts])
+    own = P.spans(spark, sf)
+    return own.select("doc", "span", spans.locate(F.col("char_start"), F.col("char_end"), segments)["name"].alias("segment"))
+
+
+IOU = "greatest(least(a.ce, b.ce) - greatest(a.cs, b.cs), 0)"
+
+
+@_sql(
+    "iou_pairs",
+    f"""SELECT * FROM (SELECT a.doc, a.span AS span_a, b.span AS span_b, round({IOU} / ((a.ce - a.cs) + (b.ce - b.cs) - {IOU}), 6) AS iou
+        FROM spans a JOIN spans b ON a.doc = b.doc AND a.span < b.span AND a.w <> b.w AND a.cs < b.ce AND a.ce > b.cs) WHERE iou >= 0.5""",
+    "spans",
+)
+def iou_pairs(spark, sf):
+    return spans.iou_pairs(P.spans(spark, sf)).select("doc", "span_a", "span_b", F.round("iou", 6).alias("iou"))
+
+
+@_sql(
+    "stitch_components",
+    f""", RECURSIVE_EDGES
+        SELECT doc, a AS span, min(b) AS stitched FROM reach GROUP BY doc, a""",
+    "spans",
+)
+def stitch_components(spark, sf):
+    return windows.stitch(P.spans(spark, sf)).select("doc", "span", "stitched")
+
+
+ORACLE_SQL["stitch_components"] = ORACLE_SQL["stitch_components"].replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    " , RECURSIVE_EDGES",
+    f""", half AS (SELECT doc, min(span) OVER (PARTITION BY doc, w, cluster) AS a, span AS b FROM spans
+        UNION ALL SELECT a.doc, a.span, b.span FROM spans a JOIN spans b ON a.doc = b.doc AND a.span < b.span AND a.w <> b.w AND a.cs < b.ce AND a.ce > b.cs
+          WHERE {IOU} / ((a.ce - a.cs) + (b.ce - b.cs) - {IOU}) >= 0.5),
+        edge AS (SELECT DISTINCT doc, a, b FROM (SELECT doc, a, b FROM half UNION ALL SELECT doc, b, a FROM half)),
+        reach AS (SELECT doc, span AS a, span AS b FROM spans UNION SELECT r.doc, r.a, e.b FROM reach r JOIN edge e ON e.doc = r.doc AND e.a = r.b)""",
+)
+
+
+# ---- discourse
+
+@_sql("entity_grid", "SELECT * FROM grid", "grid")
+def entity_grid(spark, sf):
+    own = discourse.entity_grid(P.mentions(spark, sf).withColumn("role", F.col("dep")))
+    return own.select("doc", "sentence_index", "cluster", F.array_join("roles", ",").alias("roles"))
+
+
+@_sql(
+    "given_new",
+    """SELECT doc, sentence_index, coalesce(string_agg(DISTINCT CASE WHEN first < sentence_index THEN lpad(cluster::VARCHAR, 2, '0') END, ',' ORDER BY CASE WHEN first < sentence_index THEN lpad(cluster::VARCHAR, 2, '0') END), '') AS given_entities,
+       coalesce(string_agg(DISTINCT CASE WHEN first >= sentence_index THEN lpad(cluster::VARCHAR, 2, '0') END, ',' ORDER BY CASE WHEN first >= sentence_index THEN lpad(cluster::VARCHAR, 2, '0') END), '') AS new_entities
+       FROM (SELECT *, min(sentence_index) OVER (PARTITION BY doc, cluster) AS first FROM men) GROUP BY doc, sentence_index""",
+    "men",
+)
+def given_new(spark, sf):
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(x.cast("string"), 2, "0")), ",").alias(c)
+    return discourse.given_new(P.mentions(spark, sf)).select("doc", "sentence_index", flat("given_entities"), flat("new_entities"))
+
+
+@_sql("cluster_first_sentence", "SELECT doc, cluster, min(sentence_index) AS first_sentence, count(*) AS n_mentions FROM men GROUP BY ALL", "men")
+def cluster_first_sentence(spark, sf):
+    return discourse.first_sentences(P.mentions(spark, sf))
+
+
+def _turns(spark, sf):
+    return P.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+
+
+@_sql("context_full", "SELECT conv_id, turn, md5(coalesce(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS context_md5 FROM conversations")
+def context_full(spark, sf):
+    return discourse.rows_context(_turns(spark, sf), "conv_id", "turn", "text").select("conv_id", "turn", F.md5("context").alias("context_md5"))
+
+
+@_sql("context_last_k", "SELECT conv_id, turn, md5(coalesce(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '')) AS context_md5 FROM conversations")
+def context_last_k(spark, sf):
+    return discourse.rows_context(_turns(spark, sf), "conv_id", "turn", "text", 2).select("conv_id", "turn", F.md5("context").alias("context_md5"))
+
+
+@_sql(
+    "context_slice",
+    """, s AS (SELECT item AS doc, sentence_id - 1 AS sentence_index, min(char_start) AS cs, max(char_end) AS ce FROM sn JOIN off USING (item, zone) GROUP BY ALL),
+       t AS (SELECT item AS doc, string_agg(word, ' ' ORDER BY zone) AS text FROM tok GROUP BY item),
+       b AS (SELECT *, CASE WHEN sentence_index = 0 THEN 0 ELSE coalesce(lag(cs, 2) OVER w, first_value(cs) OVER w) END AS f FROM s WINDOW w AS (PARTITION BY doc ORDER BY sentence_index))
+       SELECT doc, sentence_index, md5(trim(substr(text, f + 1, greatest(cs - f, 0)::BIGINT))) AS context_md5 FROM b JOIN t USING (doc)""",
+    "sn", "off",
+)
+def context_slice(spark, sf):
+    toks = align.token_offsets(_zones(spark, sf))
+    sents = toks.groupBy(F.col("item").alias("doc"), "sentence_index").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    texts = align.story_text(P.tokens(spark, sf)).select(F.col("item").alias("doc"), "text")
+    return discourse.with_context(sents.join(texts, "doc"), 2).select("doc", "sentence_index", F.md5("context").alias("context_md5"))
+
+
+ORACLE_SQL["context_slice"] = ORACLE_SQL["context_slice"].replace(" , s AS", ", s AS")
+
+
+@_sql(
+    "turn_sep_concat",
+    """SELECT conv_id, turn, length(c) AS target_start, length(c) + length(t) AS target_end, length(c) + length(t) + (t <> '')::INT + length(p) AS total,
+       md5(rtrim(c || t || CASE WHEN t <> '' THEN ' ' ELSE '' END || p)) AS text_md5 FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS t, coalesce(nullif(lag(replace(text, chr(10), ' ')) OVER w, '') || ' ', '') AS c,
+       coalesce(lead(replace(text, chr(10), ' ')) OVER w, '') AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""",
+)
+def turn_sep_concat(spark, sf):
+    plain = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    turns = _turns(spark, sf).withColumn("target", plain)
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    own = turns.withColumns({"context": F.lag("target").over(w), "post": F.lead("target").over(w)})
+    text, places = discourse.join_segments([("context", F.col("context")), ("target", F.col("target")), ("post_context", F.col("post"))])
+    own = own.withColumn("p", places)
+    at = lambda i, c: F.get("p", F.lit(i))[c].cast("long")
+    return own.select("conv_id", "turn", at(1, "char_start").alias("target_start"), at(1, "char_end").alias("target_end"), at(2, "char_end").alias("total"), F.md5(text).alias("text_md5"))
+
+
+@_sql(
+    "target_mentions",
+    """, s AS (SELECT item AS doc, sentence_id - 1 AS sentence_index, min(char_start) AS a, max(char_end) AS b FROM sn JOIN off USING (item, zone) GROUP BY ALL),
+       t AS (SELECT item AS doc, string_agg(word, ' ' ORDER BY zone) AS text FROM tok GROUP BY item),
+       m AS (SELECT x.*, sentence_id - 1 AS sentence_index FROM spans x JOIN sn ON item = doc AND zone = span)
+       SELECT doc, sentence_index, span, (cs - a)::INT AS char_start, least(ce, b)::INT - a AS char_end, substr(text, cs + 1, least(ce, b)::BIGINT - cs) AS mention_text FROM m JOIN s USING (doc, sentence_index) JOIN t USING (doc)""",
+    "spans", "sn",
+)
+def target_mentions(spark, sf):
+    toks = align.token_offsets(_zones(spark, sf))
+    sents = toks.groupBy(F.col("item").alias("doc"), "sentence_index").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    texts = align.story_text(P.tokens(spark, sf)).select(F.col("item").alias("doc"), "text")
+    place = toks.select(F.col("item").alias("doc"), F.col("zone").cast("long").alias("span"), "sentence_index")
+    found = P.spans(spark, sf).join(place, ["doc", "span"])
+    return discourse.target_mentions(found, sents.join(texts, "doc")).select("doc", "sentence_index", "span", "char_start", "char_end", "mention_text")
+
+
+ORACLE_SQL["target_mentions"] = ORACLE_SQL["target_mentions"].replace(" , s AS", ", s AS")
