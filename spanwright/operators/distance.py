@@ -237,20 +237,21 @@ def transport(costs: np.ndarray, gap: float = 1.0) -> float:
 
 
 def transport_distance(targets: DataFrame, sides: DataFrame, keys: list[str], weights: dict[str, float] | None = None, gap: float = 1.0) -> DataFrame:
-    """Transport distance of mentions; one comparison of two sentences is one small group."""
+    """Transport distance of mentions. Both sides of a comparison are collected into one row, which is solved in Arrow batches."""
     weights = weights or dict.fromkeys(("cluster", "givenness", "form", "role", "text"), 0.2)
-    ks = sides.where("k > 0").select(*keys, "k")
-    names = list(weights)
-    gold = ks.join(targets.where("k = 0").select(*keys, *names), keys).withColumn("gold", F.lit(True))
-    rows = gold.unionByName(targets.where("k > 0").select(*keys, "k", *names).withColumn("gold", F.lit(False)))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*keys, "k"))
-
-    def of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame["gold"]], frame[~frame["gold"]]
-        costs = np.zeros((len(a), len(b)))
-        for name, w in weights.items():
-            costs += w * (a[name].to_numpy()[:, None] != b[name].to_numpy()[None, :])
-        return pd.DataFrame([[*key, transport(costs, gap)]], columns=[*keys, "k", "distance"])
-
-    found = rows.groupBy(*keys, "k").applyInPandas(of, f"{kinds}, distance double")
-    return _complete(found, sides, keys, "distance")
+    mention = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in weights])
+    lists = targets.groupBy(*keys, "k").agg(F.collect_list(mention).alias("m"))
+    gold = lists.where("k = 0").select(*keys, F.col("m").alias("a"))
+    rows = sides.where("k > 0").select(*keys, "k").join(gold, keys, "left").join(lists.withColumnRenamed("m", "b"), [*keys, "k"], "left")
+    w = np.array(list(weights.values()))
+
+    @F.pandas_udf("double")
+    def solved(ours: pd.Series, theirs: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(ours, theirs, strict=True):
+            a, b = ([] if x is None else [tuple(m) for m in x] for x in (a, b))
+            costs = np.array([[w @ [p != q for p, q in zip(m, n, strict=True)] for n in b] for m in a]).reshape(len(a), len(b))
+            out.append(transport(costs, gap))
+        return pd.Series(out)
+
+    return rows.select(*keys, "k", solved("a", "b").alias("distance"))

@@ -369,3 +369,396 @@ def target_mentions(spark, sf):
 
 
 ORACLE_SQL["target_mentions"] = ORACLE_SQL["target_mentions"].replace(" , s AS", ", s AS")
+
+
+# ---- windows and surprisal
+
+def _sentence_words(spark, sf):
+    own = _zones(spark, sf).groupBy(F.col("item").alias("doc"), "sentence_index").agg(F.count("*").alias("n_words"))
+    return own.where("sentence_index < 30")
+
+
+@_sql(
+    "window_packing",
+    """, z AS (SELECT item AS doc, sentence_index AS i, count(*) AS n FROM zones GROUP BY ALL HAVING sentence_index < 30), m AS (SELECT doc, max(i) AS last FROM z GROUP BY doc),
+       r AS (SELECT a.doc, a.i AS first, greatest(a.i, coalesce(max(CASE WHEN b.total <= 40 THEN b.i END), a.i)) AS reach FROM z a JOIN (SELECT x.doc, x.i AS f, y.i, sum(y.n) OVER (PARTITION BY x.doc, x.i ORDER BY y.i) AS total
+         FROM z x JOIN z y ON x.doc = y.doc AND y.i >= x.i) b ON b.doc = a.doc AND b.f = a.i GROUP BY a.doc, a.i),
+       w AS (SELECT r.doc, 0 AS win, first, reach FROM r WHERE first = 0 UNION ALL SELECT w.doc, w.win + 1, r.first, r.reach FROM w JOIN m ON m.doc = w.doc AND w.reach < m.last JOIN r ON r.doc = w.doc AND r.first = greatest(w.first + 1, w.reach + 1 - 2))
+       SELECT w.doc, win::INT AS win, first::INT AS first_sentence, reach::INT AS last_sentence, sum(n)::BIGINT AS n_words FROM w JOIN z ON z.doc = w.doc AND z.i BETWEEN first AND reach GROUP BY ALL""",
+    "zones",
+)
+def window_packing(spark, sf):
+    return windows.pack_windows(_sentence_words(spark, sf), 40, 2).withColumnRenamed("window", "win")
+
+
+ORACLE_SQL["window_packing"] = ORACLE_SQL["window_packing"].replace("WITH ", "WITH RECURSIVE ", 1).replace(" , z AS", ", z AS")
+
+
+def _pieces(spark, sf):
+    return P.tokens(spark, sf).select("item", (F.col("zone") - 1).alias("i"), (1 + F.floor(F.length("word") / 6)).cast("int").alias("pieces"))
+
+
+@_sql(
+    "lm_context_window",
+    """, x AS (SELECT item, zone - 1 AS i, 1 + length(word) // 6 AS n FROM tok), c AS (SELECT item, i, sum(n) OVER (PARTITION BY item ORDER BY i) AS upto, n FROM x),
+       j AS (SELECT a.item, a.i, b.i AS c, sum(b.n) OVER (PARTITION BY a.item, a.i ORDER BY b.i DESC) AS held, b.n FROM x a JOIN x b ON a.item = b.item AND b.i < a.i AND b.i > a.i - 12)
+       SELECT x.item, x.i, coalesce(min(j.c), x.i)::BIGINT AS context_first, coalesce(sum(j.n), 0)::BIGINT AS context_pieces FROM x LEFT JOIN j ON j.item = x.item AND j.i = x.i AND j.held - j.n < 12 GROUP BY x.item, x.i""",
+    "tok",
+)
+def lm_context_window(spark, sf):
+    return surprisal.context_windows(_pieces(spark, sf), 12).select("item", "i", "context_first", "context_pieces")
+
+
+ORACLE_SQL["lm_context_window"] = ORACLE_SQL["lm_context_window"].replace(" , x AS", ", x AS")
+
+
+def _subwords(spark, sf):
+    off = P.tokens(spark, sf)
+    rows = off.select("item", "zone", F.posexplode(F.split(F.regexp_replace("word", r"(.{4})", "$1\u0001"), "\u0001")).alias("part", "piece")).where("piece <> '' OR part = 0")
+    i = F.row_number().over(Window.partitionBy("item").orderBy("zone", "part"))
+    token = F.concat(F.when(F.col("part") == 0, "Ġ").otherwise(""), F.col("piece"))
+    return rows.select("item", i.alias("i"), token.alias("token"), (-F.length("piece") / F.lit(8.0)).alias("score"))
+
+
+@_sql(
+    "subword_to_word",
+    "SELECT item, zone AS word_index, round(length(word) / 8.0, 6) AS surprisal, greatest(1, CEIL(length(word) / 4.0))::BIGINT AS n_pieces FROM tok",
+    "tok",
+)
+def subword_to_word(spark, sf):
+    out = surprisal.word_scores(_subwords(spark, sf), ["item"])
+    return out.select("item", "word_index", F.round("surprisal", 6).alias("surprisal"), "n_pieces")
+
+
+# ---- distances
+
+def _sides(spark, sf):
+    return P.sides(spark, sf), P.targets(spark, sf)
+
+
+def _rounded(df):
+    return df.select("doc", "i", "k", F.round("distance", 6).alias("distance"))
+
+
+@_sql(
+    "iv_entity_set",
+    """, o AS (SELECT DISTINCT doc, i, k, cluster FROM targ WHERE givenness = 'given'), n AS (SELECT doc, i, k, count(*) AS n FROM o GROUP BY ALL),
+       c AS (SELECT a.doc, a.i, a.k, count(*) AS common FROM o a JOIN o g ON g.doc = a.doc AND g.i = a.i AND g.k = 0 AND g.cluster = a.cluster WHERE a.k > 0 GROUP BY ALL)
+       SELECT s.doc, s.i, s.k, round(CASE WHEN coalesce(x.n, 0) + coalesce(y.n, 0) = 0 THEN 0 ELSE 1 - coalesce(common, 0)::DOUBLE / (coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(common, 0)) END, 6) AS distance
+       FROM sides s LEFT JOIN n x ON x.doc = s.doc AND x.i = s.i AND x.k = 0 LEFT JOIN n y ON y.doc = s.doc AND y.i = s.i AND y.k = s.k LEFT JOIN c ON c.doc = s.doc AND c.i = s.i AND c.k = s.k WHERE s.k > 0""",
+    "sides", "targ",
+)
+def iv_entity_set(spark, sf):
+    s, t = _sides(spark, sf)
+    return _rounded(distance.entity_set(t, s, KEYS))
+
+
+ORACLE_SQL["iv_entity_set"] = ORACLE_SQL["iv_entity_set"].replace(" , o AS", ", o AS")
+_FEATURE_SQL = "SELECT s.doc, s.i, s.k, round(coalesce(d, 0), 6) AS distance FROM sides s LEFT JOIN (SELECT doc, i, k, CASE WHEN sum({g}) = 0 OR sum({a}) = 0 THEN 1 ELSE {d} END AS d FROM ga GROUP BY doc, i, k) USING (doc, i, k) WHERE s.k > 0"
+
+
+@_sql("iv_feature_l1", _FEATURE_SQL.format(g="g", a="a", d="sum(abs(g - a)) / 2"), "pairs")
+def iv_feature_l1(spark, sf):
+    s, t = _sides(spark, sf)
+    return _rounded(distance.feature_l1(distance.feature_vectors(t, KEYS), s, KEYS))
+
+
+@_sql("iv_feature_js", _FEATURE_SQL.format(g="g", a="a", d="sqrt(greatest(sum(CASE WHEN g > 0 THEN g * log2(g / ((g + a) / 2)) ELSE 0 END + CASE WHEN a > 0 THEN a * log2(a / ((g + a) / 2)) ELSE 0 END) / 2, 0))"), "pairs")
+def iv_feature_js(spark, sf):
+    s, t = _sides(spark, sf)
+    return _rounded(distance.feature_js(distance.feature_vectors(t, KEYS), s, KEYS))
+
+
+@_sql("iv_weighted_l1", _FEATURE_SQL.format(g="wg", a="wa", d="sum(abs(wg - wa)) / 2"), "pairs")
+def iv_weighted_l1(spark, sf):
+    s, t = _sides(spark, sf)
+    return _rounded(distance.feature_l1(distance.feature_vectors(t, KEYS, weighted=True), s, KEYS))
+
+
+def _variant(feature: str, where: str = "true") -> str:
+    return TABLES["feat"].replace("cluster::VARCHAR END || '|' || givenness || '|' || form || '|' || role AS feature", feature).replace("FROM targ)", f"FROM targ WHERE {where})")
+
+
+for _name, _feature, _where in (
+    ("recurrence", "cluster::VARCHAR END AS feature", "true"),
+    ("role_form", "cluster::VARCHAR END AS e, role || '|' || form || '|' || e AS feature", "true"),
+    ("role_form_no_other", "cluster::VARCHAR END AS e, role || '|' || form || '|' || e AS feature", "role <> 'other'"),
+    ("role_only", "cluster::VARCHAR END AS e, role || '|' || e AS feature", "true"),
+):
+
+    def _feature_variant(spark, sf, name=_name):
+        s, t = _sides(spark, sf)
+        return _rounded(distance.feature_l1(distance.feature_vectors(t, KEYS, name), s, KEYS))
+
+    QUERIES[f"iv_{_name}"] = _feature_variant
+    ORACLE_SQL[f"iv_{_name}"] = ORACLE_SQL["iv_feature_l1"].replace(TABLES["feat"], _variant(_feature, _where))
+
+
+@_sql(
+    "iv_new_entity",
+    """, n AS (SELECT doc, i, k, count(DISTINCT cluster) AS n FROM targ WHERE givenness = 'new' GROUP BY ALL)
+       SELECT s.doc, s.i, s.k, abs(coalesce(x.n, 0) - coalesce(y.n, 0))::DOUBLE AS distance FROM sides s LEFT JOIN n x ON x.doc = s.doc AND x.i = s.i AND x.k = 0 LEFT JOIN n y ON y.doc = s.doc AND y.i = s.i AND y.k = s.k WHERE s.k > 0""",
+    "sides", "targ",
+)
+def iv_new_entity(spark, sf):
+    s, t = _sides(spark, sf)
+    return _rounded(distance.new_entities(t, s, KEYS))
+
+
+ORACLE_SQL["iv_new_entity"] = ORACLE_SQL["iv_new_entity"].replace(" , n AS", ", n AS")
+_TRANSITION = """, q AS (SELECT doc, i, cluster, max((role = 'subject')::INT) AS ws, max((role = 'object')::INT) AS wo FROM prev GROUP BY ALL), h AS (SELECT DISTINCT doc, i FROM prev WHERE role = 'subject'),
+  f AS (SELECT t.doc, t.i, t.k, bool_or(role = 'subject' AND coalesce(wo, 0) = 1 AND coalesce(ws, 0) = 0) AS f1, bool_or(role = 'subject' AND coalesce(ws, 0) = 1) AS f2, bool_or(role = 'subject' AND givenness = 'given' AND form = 'pronoun') AS f3,
+    bool_or(role = 'subject' AND givenness = 'given' AND form = 'definite_np') AS f4, bool_or(role <> 'subject' AND givenness = 'given' AND form = 'definite_np') AS f5, bool_or(givenness <> 'given' AND etype = 'person') AS f6,
+    bool_or(givenness <> 'given') AS anynew, bool_or(givenness = 'given') AS anygiven FROM targ t LEFT JOIN q USING (doc, i, cluster) GROUP BY ALL),
+  z AS (SELECT s.doc, s.i, s.k, CASE WHEN f1 THEN 'old_object_becomes_subject' WHEN f2 THEN 'old_subject_continues' WHEN f3 THEN 'given_pronoun_subject' WHEN f4 THEN 'given_definite_subject' WHEN f5 THEN 'accessible_definite_np'
+    WHEN f6 THEN 'new_person_introduced' WHEN anynew AND NOT anygiven THEN 'only_new_entities' WHEN h.doc IS NOT NULL THEN 'previous_subject_dropped' ELSE 'other' END AS transition
+    FROM sides s LEFT JOIN f USING (doc, i, k) LEFT JOIN h ON h.doc = s.doc AND h.i = s.i) """
+
+
+def _transitions(spark, sf):
+    s, t = _sides(spark, sf)
+    return distance.transition_class(t, s, P.before(spark, sf), KEYS)
+
+
+@_sql("iv_transition_class", _TRANSITION + "SELECT * FROM z", "sides", "targ", "prev")
+def iv_transition_class(spark, sf):
+    return _transitions(spark, sf)
+
+
+@_sql(
+    "iv_transition_surprisal",
+    _TRANSITION + "SELECT a.doc, a.i, count(*) AS n, sum((a.transition = g.transition)::INT)::BIGINT AS same, round(-ln((sum((a.transition = g.transition)::INT) + 1.0) / (count(*) + 9.0)), 6) AS surprisal FROM z a JOIN z g ON g.doc = a.doc AND g.i = a.i AND g.k = 0 WHERE a.k > 0 GROUP BY a.doc, a.i",
+    "sides", "targ", "prev",
+)
+def iv_transition_surprisal(spark, sf):
+    out = distance.transition_surprisal(_transitions(spark, sf), KEYS)
+    return out.select("doc", "i", "n", "same", F.round("surprisal", 6).alias("surprisal"))
+
+
+for _name in ("iv_transition_class", "iv_transition_surprisal"):
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(" , q AS", ", q AS")
+
+
+@_sql(
+    "iv_graph",
+    """, e AS (SELECT doc, i, past, cluster, max(CASE role WHEN 'subject' THEN 3.0 WHEN 'object' THEN 2.0 ELSE 1.0 END) AS c FROM ctx GROUP BY ALL),
+       b AS (SELECT doc, i, k, cluster, max(CASE role WHEN 'subject' THEN 3.0 WHEN 'object' THEN 2.0 ELSE 1.0 END) AS w FROM targ GROUP BY ALL),
+       v AS (SELECT doc, i, k, past, sum(w * c) AS x FROM b JOIN e USING (doc, i, cluster) GROUP BY ALL),
+       ga AS (SELECT doc, i, k, past, sum(g) AS g, sum(a) AS a FROM (SELECT s.doc, s.i, s.k, past, x AS g, 0 AS a FROM sides s JOIN v ON v.doc = s.doc AND v.i = s.i AND v.k = 0 WHERE s.k > 0 UNION ALL SELECT doc, i, k, past, 0, x FROM v WHERE k > 0) GROUP BY ALL)
+       SELECT s.doc, s.i, s.k, round(coalesce(d, 0), 6) AS distance FROM sides s LEFT JOIN (SELECT doc, i, k, (sum(abs(g - a)) / (sum(g) + sum(a) + 1e-9))::DOUBLE AS d FROM ga GROUP BY ALL) USING (doc, i, k) WHERE s.k > 0""",
+    "sides", "targ", "ctx",
+)
+def iv_graph(spark, sf):
+    s, t = _sides(spark, sf)
+    return _rounded(distance.graph_distance(t, s, P.context(spark, sf), KEYS))
+
+
+ORACLE_SQL["iv_graph"] = ORACLE_SQL["iv_graph"].replace(" , e AS", ", e AS")
+
+
+@_sql("iv_mean_p80", "SELECT doc, i, count(*) AS n, round(avg(distance), 6) AS mean, round(quantile_cont(distance, 0.8), 6) AS p80 FROM (" + ORACLE_SQL["iv_feature_l1"] + ") GROUP BY doc, i")
+def iv_mean_p80(spark, sf):
+    out = distance.aggregate_alternatives(iv_feature_l1(spark, sf), KEYS)
+    return out.select("doc", "i", "n", F.round("mean", 6).alias("mean"), F.round("p80", 6).alias("p80"))
+
+
+@_sql("iv_combined", "SELECT f.doc, f.i, f.k, f.distance AS feature, g.distance AS graph, round(0.5 * f.distance + 0.5 * g.distance, 9) AS distance FROM (" + ORACLE_SQL["iv_feature_l1"] + ") f JOIN (" + ORACLE_SQL["iv_graph"] + ") g USING (doc, i, k)")
+def iv_combined(spark, sf):
+    out = distance.combined({"feature": (iv_feature_l1(spark, sf), 0.5), "graph": (iv_graph(spark, sf), 0.5)}, KEYS)
+    return out.withColumn("distance", F.round("distance", 9))
+
+
+@_sql(
+    "ot_pair_cost",
+    """SELECT a.doc, a.i, b.k, a.cluster AS ca, b.cluster AS cb, count(*) AS n, round(sum(0.2 * ((a.cluster <> b.cluster)::INT + (a.givenness <> b.givenness)::INT + (a.form <> b.form)::INT + (a.role <> b.role)::INT + (a.text <> b.text)::INT)), 6)::DOUBLE AS cost
+       FROM targ a JOIN targ b ON a.doc = b.doc AND a.i = b.i AND a.k = 0 AND b.k > 0 GROUP BY ALL""",
+    "targ",
+)
+def ot_pair_cost(spark, sf):
+    t = P.targets(spark, sf)
+    names = ("cluster", "givenness", "form", "role", "text")
+    a = t.where("k = 0").select(*KEYS, *[F.col(c).alias(f"a_{c}") for c in names])
+    b = t.where("k > 0").select(*KEYS, "k", *[F.col(c).alias(f"b_{c}") for c in names])
+    pairs = a.join(b, KEYS).withColumn("cost", distance.pair_cost())
+    return pairs.groupBy(*KEYS, "k", F.col("a_cluster").alias("ca"), F.col("b_cluster").alias("cb")).agg(F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+@_sql("ot_distance", None)
+def ot_distance(spark, sf):
+    """The solver is beyond SQL; tests hold it against all matchings."""
+    s, t = _sides(spark, sf)
+    return _rounded(distance.transport_distance(t, s, KEYS))
+
+
+# ---- statistics
+
+@_sql("zscore", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER (), 6) AS price_z, round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 6) AS quantity_z FROM lineitem")
+def zscore(spark, sf):
+    own = stats.z_scores(P.table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"], "_z")
+    return own.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice_z", 6).alias("price_z"), F.round("l_quantity_z", 6).alias("quantity_z"))
+
+
+@_sql(
+    "analysis_merge",
+    """, f AS (SELECT item, zone, length(word) AS freq FROM tok WHERE zone % 3 = 0), s AS (SELECT item, zone, sentence_id, length(word) / 2.0 AS surprisal FROM sn), iv AS (SELECT item, sentence_id, count(*)::DOUBLE AS iv FROM sn WHERE sentence_id % 2 = 0 GROUP BY ALL)
+       SELECT event_id, item, zone, rt, coalesce(surprisal, -1)::DOUBLE AS surprisal, round(coalesce(ln(freq + 1), -1), 6) AS log_freq, coalesce(iv, -1) AS iv FROM rt LEFT JOIN s USING (item, zone) LEFT JOIN f USING (item, zone) LEFT JOIN iv USING (item, sentence_id)""",
+    "rt", "sn",
+)
+def analysis_merge(spark, sf):
+    toks = surprisal.sentence_numbers(P.tokens(spark, sf))
+    s = toks.select("item", "zone", "sentence_id", (F.length("word") / 2.0).alias("surprisal"))
+    f = toks.where("zone % 3 = 0").select("item", "zone", F.length("word").alias("freq"))
+    iv = toks.where("sentence_id % 2 = 0").groupBy("item", "sentence_id").agg(F.count("*").cast("double").alias("iv"))
+    out = stats.log_frequency(stats.analysis_table(P.events_rt(spark, sf), s, f, iv))
+    gap = lambda c: F.coalesce(c, F.lit(-1.0))
+    return out.select("event_id", "item", "zone", "rt", gap("surprisal").alias("surprisal"), F.round(gap("log_freq"), 6).alias("log_freq"), gap("iv").alias("iv"))
+
+
+ORACLE_SQL["analysis_merge"] = ORACLE_SQL["analysis_merge"].replace(" , f AS", ", f AS")
+
+
+@_sql("cell_means", "SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 6) AS l_extendedprice, round(avg(l_discount), 6) AS l_discount, round(avg(l_tax), 6) AS l_tax FROM lineitem GROUP BY ALL")
+def cell_means(spark, sf):
+    out = stats.cell_means(P.table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_tax")
+    return out.select("l_returnflag", "l_linestatus", *[F.round(c, 6).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+
+
+@_sql(
+    "log_histogram",
+    """SELECT bin, count(*) AS n FROM (SELECT least(floor((ln(value) - lo) / ((hi - lo) / 30)), 29)::INT + 1 AS bin FROM events, (SELECT min(ln(value)) AS lo, max(ln(value)) AS hi FROM events WHERE value > 0) WHERE value > 0) GROUP BY bin""",
+)
+def log_histogram(spark, sf):
+    return stats.log_histogram(P.table(spark, sf, "events"), "value").select("bin", "n")
+
+
+@_sql("ols_gram", "SELECT l_returnflag, count(*)::DOUBLE AS n, round(sum(l_quantity), 2) AS sx, round(sum(l_quantity * l_quantity), 2) AS sxx, round(sum(ln(l_extendedprice)), 4) AS sy, round(sum(l_quantity * ln(l_extendedprice)), 4) AS sxy FROM lineitem GROUP BY l_returnflag")
+def ols_gram(spark, sf):
+    own = P.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(*stats._moments(F.log("l_extendedprice"), [F.col("l_quantity")]))
+    return own.select("l_returnflag", F.col("m0_0").alias("n"), F.round("m0_1", 2).alias("sx"), F.round("m1_1", 2).alias("sxx"), F.round("m0_2", 4).alias("sy"), F.round("m1_2", 4).alias("sxy"))
+
+
+@_sql("ols_fit", "SELECT round(regr_intercept(ln(l_extendedprice), l_quantity), 5) AS intercept, round(regr_slope(ln(l_extendedprice), l_quantity), 6) AS slope, count(*)::DOUBLE AS n FROM lineitem")
+def ols_fit(spark, sf):
+    fit = stats.linear_fit(P.table(spark, sf, "lineitem"), F.log("l_extendedprice"), {"quantity": F.col("l_quantity")})
+    return spark.createDataFrame([(round(float(fit.coefficients[0]), 5), round(float(fit.coefficients[1]), 6), float(fit.n))], "intercept double, slope double, n double")
+
+
+@_sql(
+    "loo_folds",
+    """, a AS (SELECT l_returnflag AS fold, ln(l_extendedprice) AS y, l_quantity AS x FROM lineitem), k AS (SELECT DISTINCT fold FROM a),
+       b AS (SELECT k.fold, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM k JOIN a ON a.fold <> k.fold GROUP BY k.fold)
+       SELECT fold, count(*)::DOUBLE AS n, round(avg((y - i - s * x) * (y - i - s * x)), 5) AS mse FROM a JOIN b USING (fold) GROUP BY fold""",
+)
+def loo_folds(spark, sf):
+    out = stats.leave_one_out(P.table(spark, sf, "lineitem"), "l_returnflag", F.log("l_extendedprice"), {"quantity": F.col("l_quantity")})
+    return spark.createDataFrame([(r["fold"], float(r["n"]), round(float(r["mse"]), 5)) for r in out], "fold string, n double, mse double")
+
+
+ORACLE_SQL["loo_folds"] = "WITH " + ORACLE_SQL["loo_folds"].removeprefix(", ")
+
+
+@_sql("mixed_model", None)
+def mixed_model(spark, sf):
+    """Likelihood-ratio test of a mixed model; iterative, so beyond SQL; tests hold it against a dense likelihood."""
+    own = P.table(spark, sf, "lineitem").join(P.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    y, x = F.log("l_extendedprice"), {"quantity": F.col("l_quantity")}
+    small, large = stats.mixed_fit(own, y, {}, "s_nationkey"), stats.mixed_fit(own, y, x, "s_nationkey")
+    test = stats.likelihood_ratio(small, large)
+    row = (float(large.coefficients[0]), float(large.coefficients[1]), large.sigma, large.group_sigma, float(test["chi_square"]), int(test["df"]), float(test["p"]))
+    return spark.createDataFrame([row], "intercept double, slope double, sigma double, group_sigma double, chi_square double, df int, p double")
+
+
+# ---- audit
+
+@_sql(
+    "chain_ledger",
+    "SELECT doc, cluster, count(*) AS n_mentions, min(sentence_index) AS first_sentence, max(sentence_index) AS last_sentence FROM men GROUP BY doc, cluster HAVING count(*) > 1",
+    "men",
+)
+def chain_ledger(spark, sf):
+    return audit.chain_inventory(P.mentions(spark, sf)).where("NOT singleton").select("doc", "cluster", "n_mentions", "first_sentence", "last_sentence")
+
+
+@_sql(
+    "chain_color_rank",
+    """SELECT doc, cluster, r AS chain_rank, round((r * 137.508) % 360, 1)::DOUBLE AS hue FROM (SELECT doc, cluster, (row_number() OVER (PARTITION BY doc ORDER BY n DESC, f) - 1)::INT AS r
+       FROM (SELECT doc, cluster, count(*) AS n, min(sentence_index * 1000 + pos) AS f FROM men GROUP BY ALL HAVING count(*) > 1))""",
+    "men",
+)
+def chain_color_rank(spark, sf):
+    return audit.chain_inventory(P.mentions(spark, sf)).where("NOT singleton").select("doc", "cluster", "chain_rank", "hue")
+
+
+@_sql("singletons", "SELECT doc, cluster, min(sentence_index) AS sentence_index FROM men GROUP BY doc, cluster HAVING count(*) = 1", "men")
+def singletons(spark, sf):
+    return audit.chain_inventory(P.mentions(spark, sf)).where("singleton").select("doc", "cluster", F.col("first_sentence").alias("sentence_index"))
+
+
+@_sql(
+    "rep_head",
+    r"""SELECT doc, cluster, arg_max(h, n * 1000000 - f) AS head FROM (SELECT doc, cluster, h, count(*) AS n, min(sentence_index * 1000 + pos) AS f
+        FROM (SELECT *, string_split(lower(text), ' ')[-1] AS h FROM men) GROUP BY ALL) GROUP BY doc, cluster""",
+    "men",
+)
+def rep_head(spark, sf):
+    own = P.mentions(spark, sf).withColumn("at", F.col("sentence_index") * 1000 + F.col("pos"))
+    return audit.representative_heads(own, ["doc", "cluster"], order="at")
+
+
+@_sql("corpus_totals", "SELECT count(DISTINCT doc) AS n_docs, count(*) AS n_clusters, sum(n)::BIGINT AS n_mentions, sum((n = 1)::INT)::BIGINT AS n_singletons FROM (SELECT doc, cluster, count(*) AS n FROM men GROUP BY ALL)", "men")
+def corpus_totals(spark, sf):
+    return audit.corpus_totals(P.mentions(spark, sf))
+
+
+@_sql("nested_html", None)
+def nested_html(spark, sf):
+    """Sentences as nested spans; a stack is beyond SQL; tests hold it against worked examples."""
+    own = P.spans(spark, sf)
+    m = own.select("doc", F.struct(*_mention_fields()).alias("m")).groupBy("doc").agg(F.sort_array(F.collect_list("m")).alias("mentions"))
+    texts = align.story_text(P.tokens(spark, sf)).select(F.col("item").alias("doc"), "text")
+    none = F.array().cast("array<struct<char_start: int, char_end: int>>")
+    return audit.render_sentences(texts.join(m, "doc").withColumns({"sentence_index": F.lit(0), "uncovered": none}))
+
+
+def _mention_fields():
+    cluster, none = F.col("cluster"), F.lit(None).cast("string")
+    return [
+        F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), cluster.alias("cluster"), F.lit(2).alias("n_mentions"), F.lit(False).alias("singleton"),
+        F.round(F.pmod(cluster * F.lit(audit.HUE_STEP), F.lit(360.0)), 1).alias("hue"), F.lit("nsubj").alias("role"), none.alias("ner_label"), F.lit("given").alias("status"), none.alias("source"),
+    ]
+
+
+# ---- annotation tables
+
+@_sql(
+    "annotation_islands",
+    """, r AS (SELECT item, zone, CASE WHEN length(word) % 4 < 2 THEN length(word) % 4 END AS cluster, sentence_id FROM sn),
+       g AS (SELECT *, zone - row_number() OVER (PARTITION BY item, sentence_id, cluster ORDER BY zone) AS island FROM r WHERE cluster IS NOT NULL)
+       SELECT item, sentence_id, cluster::INT AS cluster, min(zone) AS first_zone, max(zone) AS last_zone, count(*) AS n FROM g GROUP BY item, sentence_id, cluster, island""",
+    "sn",
+)
+def annotation_islands(spark, sf):
+    from ..sources.annotation import mention_runs
+
+    own = surprisal.sentence_numbers(P.tokens(spark, sf)).withColumn("cluster", F.when(F.length("word") % 4 < 2, F.length("word") % 4))
+    out = mention_runs(own, ["item", "sentence_id"], "zone", "cluster")
+    return out.select("item", "sentence_id", "cluster", F.col("first").alias("first_zone"), F.col("last").alias("last_zone"), "n")
+
+
+ORACLE_SQL["annotation_islands"] = ORACLE_SQL["annotation_islands"].replace(" , r AS", ", r AS")
+
+
+@_sql(
+    "split_antecedent_explode",
+    "SELECT event_id, unnest(CASE event_id % 3 WHEN 0 THEN [(event_id % 20)::INT] ELSE [(event_id % 20)::INT, (event_id % 7)::INT + 20] END) AS cluster FROM events",
+)
+def split_antecedent_explode(spark, sf):
+    from ..sources.annotation import antecedents
+
+    a, b = (F.col("event_id") % 20).cast("string"), (F.col("event_id") % 7 + 20).cast("string")
+    text = F.when(F.col("event_id") % 3 == 0, a).when(F.col("event_id") % 3 == 1, F.concat(a, F.lit("+"), b)).otherwise(F.concat(a, F.lit("-"), b))
+    return P.table(spark, sf, "events").select("event_id", F.explode(antecedents(text)).alias("cluster"))
+
+
+for _name in ORACLE_SQL:
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("  , ", ", ")
