@@ -13,7 +13,7 @@ TEMPLATE = ("story_id", "sent_id", "token_id", "deprel", "form", "GRP", "etype",
 def read_annotation(spark: SparkSession, path: str) -> DataFrame:
     """A `;`-separated annotation with pos, the place of a row; token ids stay strings (1.10 is not 1.1)."""
     schema = ", ".join(f"{c} string" for c in ANNOTATED)
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     parsed = F.from_csv("line", F.lit(schema), {"sep": ";", "escape": '"', "mode": "PERMISSIVE"})
     rows = raw.where((F.col("pos") > 0) & (F.length("line") > 0)).select("pos", parsed.alias("r")).select("pos", "r.*")
     return rows.withColumns({"story_id": F.col("story_id").try_cast("int"), "sent_id": F.col("sent_id").try_cast("int")})
