@@ -114,7 +114,7 @@ _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 def plain_text(page: str) -> str:
     """All visible text, one line per block."""
-    page = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page).replace("\r", " ").replace("\n", " ")))
+    page = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub("", page).replace("\r", " ").replace("\n", " ")))
     lines = (_SPACE.sub(" ", x).strip() for x in html.unescape(page).split("\n"))
     return "\n".join(x for x in lines if x)
 
