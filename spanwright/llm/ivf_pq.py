@@ -134,20 +134,25 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
                 raw = [c.tobytes() for c in codes]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(at.astype(np.int32)), pa.array(raw, pa.binary())], names=["id", "v", "list", "code"])
 
+    distinct = rows.distinct()
+    first = distinct.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "v")
+    indexed = materialize(first.mapInArrow(index, "id long, v array<float>, list int, code binary"), "index")
+    # How many vectors each list holds, and how finely it is cut; at most MAX_LISTS rows reach the driver.
+    size = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    in_list = np.array([size.get(i, 0) for i in range(lists)], np.int64)
+
     def visits(batches):
         for batch in batches:
             if batch.num_rows:
-                near = _nearest(_matrix(batch.column("v")), shared.value.centers, probes)
-                row = np.repeat(np.arange(batch.num_rows), probes)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(near.ravel().astype(np.int32))], names=["id", "v", "list"])
+                near = _nearest(_matrix(batch.column("v")), shared.value.centers, lists)
+                # A query goes on until the lists it visits hold enough, be the share reached or not.
+                enough = (np.cumsum(in_list[near], axis=1) <= k).sum(1) + 1
+                taken = np.minimum(np.maximum(enough, probes), lists)
+                row = np.repeat(np.arange(batch.num_rows), taken)
+                which = np.concatenate([x[:m] for x, m in zip(near, taken, strict=True)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(which)], names=["id", "v", "list"])
 
-    distinct = rows.distinct()
-    first = distinct.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "v")
-    indexed = materialize(first.mapInArrow(index, "id long, v array<float>, list int, code binary"), "index")
     asked = materialize(rows.where(F.col("id") % every == 0).distinct().mapInArrow(visits, "id long, v array<float>, list int"), "visits")
-
-    # How finely each list is cut; at most MAX_LISTS rows reach the driver.
-    size = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     visited = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
     cuts = [(i, -(-size[i] // SHARD), -(-visited[i] // BLOCK)) for i in size if i in visited]
     cuts = F.broadcast(spark.createDataFrame(cuts, "list int, shards int, blocks int"))
