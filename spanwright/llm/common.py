@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +36,33 @@ def stage_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+_open_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(tables: list[str]) -> Iterator[None]:
+    """Note in `tables` where `materialize` writes meanwhile, so that `delete` can take it away when nothing reads it any more."""
+    _open_scratch.append(tables)
+    try:
+        yield
+    finally:
+        _open_scratch.pop()
+
+
+def delete(spark: SparkSession, tables: list[str]) -> None:
+    """Delete the tables at these paths and forget them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    for tables in _open_scratch:
+        tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,6 +76,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def trim_memory() -> None:
+    """Give memory that Python and Arrow hold but don't use back to the system (workers live on between tasks)."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` over `value` computed once: a lambda variable is bound, whereas a column may be inlined at every use."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
