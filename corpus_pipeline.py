@@ -8,9 +8,11 @@ of `documents`.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.llm.common import materialize
+from spanwright.llm.common import delete, materialize, scratch
 from spanwright.llm.host_rules import drop_failed
 from spanwright.llm.jaccard_join import unique_documents
 from spanwright.llm.packing import pack, tokenizer_path
@@ -18,26 +20,47 @@ from spanwright.llm.pfair_mix import mixed_documents
 from spanwright.llm.site_quality import drop_rejected
 
 
+_own_tables: dict[str, list[str]] = {}
+
+
+def _stage(f):
+    """A stage whose own tables are deleted when the next one begins: its result was written by then."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tables = _own_tables.setdefault(sf_dir, [])
+        delete(spark, tables)
+        with scratch(tables):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the site-aware quality classifier keeps."""
     return drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host does."""
     return drop_failed(docs)
 
 
+@_stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group linked by 5-word shingles at similarity 0.8."""
     return unique_documents(docs, k=5, percent=80)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the Pfair mix of their sources."""
     return mixed_documents(docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 2048 ids."""
     return pack(docs, tokenizer_path(), with_ids=False)
