@@ -31,19 +31,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, discard, materialize
+from .common import BROADCAST_ROWS, attach, delete, discard, materialize, scratch, trim_memory
 
 WORDS, PERCENT = 4, 85
 #: From this number of sets on a shingle is ordered last; at most so many shingles are, the
 #: most frequent ones (they go to every task; the others keep their place by hash).
-FREQUENT, MOST_FREQUENT = 48, 1 << 18
+FREQUENT, MOST_FREQUENT = 8, 1 << 19
 #: Share of the hash range in which shingles are counted: prefixes come from its low end.
 COUNTED = 0.5
-#: Elements that a task buffers before it hands on blocks, and elements per block of tasks.
-BUFFERED, PER_TASK = 4_000_000, 4_000_000
+#: Bytes that a task buffers before it hands on blocks, pairs that it looks at together, and
+#: elements that are dealt to a task.
+BUFFERED, PAIRS, PER_TASK = 8 << 20, 100_000, 1_000_000
+#: 64-bit words of a set's parity signature, groups of a list that all others are paired with at first.
+SIGNED, HUBS = 8, 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -73,14 +76,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefix_of(elements: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first elements in the common order: rare ones by hash, then frequent ones by hash."""
+def prefix_of(elements: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first elements in the common order (rare ones by hash, then frequent ones by hash), and how many are rare."""
     size = prefix_length(len(elements), percent)
     if not len(frequent):
-        return elements[:size]
+        return elements[:size], len(elements)
     found = np.searchsorted(frequent, elements)
     last = frequent[np.minimum(found, len(frequent) - 1)] == elements
-    return np.concatenate([elements[~last], elements[last]])[:size]
+    return np.concatenate([elements[~last], elements[last]])[:size], int(len(last) - last.sum())
 
 
 class _Blocks:
@@ -91,7 +94,7 @@ class _Blocks:
 
     def add(self, rows: np.ndarray) -> bool:
         self.held.append(rows)
-        self.size += len(rows)
+        self.size += rows.nbytes
         return self.size >= BUFFERED
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -133,6 +136,7 @@ def frequent_shingles(docs: DataFrame, text: str, k: int, buckets: int) -> np.nd
                     if out.add(s[: np.searchsorted(s, limit)]):
                         yield from out.flush()
         yield from out.flush()
+        trim_memory()
 
     def count(batches):
         elements, n = np.unique(_gather(batches, np.dtype(np.uint64)), return_counts=True)
@@ -141,33 +145,53 @@ def frequent_shingles(docs: DataFrame, text: str, k: int, buckets: int) -> np.nd
 
     blocks = docs.select(text).mapInArrow(emit, "bucket int, block binary")
     counted = blocks.repartition(buckets, "bucket").mapInArrow(count, "element long, n long")
-    top = counted.orderBy(F.desc("n"), "element").limit(MOST_FREQUENT).select("element")  # a bound on size, not on pairs
-    return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
+    counted = materialize(counted, "frequent")
+    level = F.floor(4 * F.log2("n")).cast("int")  # at most 256 levels
+    levels = counted.groupBy(level.alias("level")).count().collect()
+    least, total = 0, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > MOST_FREQUENT:
+            least = r["level"] + 1
+            break
+    top = counted.where(level >= least).select("element").toArrow()  # a bound on what tasks are sent, not on pairs
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def signature(elements: np.ndarray) -> np.ndarray:
+    """Parities of how many elements fall on each of 64 * SIGNED places. Where the signatures of two
+    sets differ in h bits, the sets differ in at least h elements."""
+    odd = np.bincount((elements % _U(64 * SIGNED)).astype(np.int64), minlength=64 * SIGNED) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
 def prefixes(docs: DataFrame, key: str, text: str, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """key, n (set size), k1, k2 (of the set), g1, g2 (of the prefix), prefix."""
+    """doc, n (set size), k1, k2 (of the set), g1, g2 (of the prefix), s0... (signature), rare (elements), prefix."""
+    signs = [f"s{i}" for i in range(SIGNED)]
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
         often = shared.value
         for batch in batches:
-            n, sets, groups, found = [], [], [], []
+            n, rare, sets, groups, found, parity = [], [], [], [], [], [np.empty((0, SIGNED), np.int64)]
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), k)
-                p = prefix_of(s, often, percent) if len(s) else s
-                n.append(len(s)), found.append(p.tobytes())
+                p, r = prefix_of(s, often, percent) if len(s) else (s, 0)
+                n.append(len(s)), rare.append(r), found.append(p.tobytes()), parity.append(signature(s)[None])
                 sets.append(xxhash.xxh3_128_digest(s)), groups.append(xxhash.xxh3_128_digest(np.sort(p)))
             halves = [np.frombuffer(b"".join(x), ">i8").astype(np.int64) for x in (sets, groups)]
+            parity = np.concatenate(parity)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), *(pa.array(h[i::2]) for h in halves for i in (0, 1)), pa.array(found, pa.binary())],
-                names=["doc", "n", "k1", "k2", "g1", "g2", "prefix"],
+                [batch.column(0), pa.array(n, pa.int32()), *(pa.array(h[i::2]) for h in halves for i in (0, 1)), *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(SIGNED)), pa.array(rare, pa.int32()), pa.array(found, pa.binary())],
+                names=["doc", "n", "k1", "k2", "g1", "g2", *signs, "rare", "prefix"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("doc"), text).mapInArrow(emit, "doc long, n int, k1 long, k2 long, g1 long, g2 long, prefix binary")
+    schema = f"doc long, n int, k1 long, k2 long, g1 long, g2 long, {', '.join(f'{x} long' for x in signs)}, rare int, prefix binary"
+    return docs.select(F.col(key).cast("long").alias("doc"), text).mapInArrow(emit, schema)
 
 
-_POSTING = np.dtype([("element", "<u8"), ("group", "<i8"), ("label", "<i8"), ("n", "<i4")])
+_POSTING = np.dtype([("element", "<u8"), ("group", "<i8"), ("n", "<i4"), ("rare", "<i4")])
+_LABELLED = np.dtype([("element", "<u8"), ("group", "<i8"), ("label", "<i8"), ("n", "<i4"), ("alone", "<i4"), *((f"s{i}", "<u8") for i in range(SIGNED))])
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.RecordBatch:
@@ -182,16 +206,35 @@ def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.R
 
 
 def neighbours(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups that stand next to each other, by size, in the list of an element."""
+    """A linear number of pairs of groups in the list of an element: those next to each other by size,
+    and each with the HUBS groups that have the fewest rare elements (in a family of near copies,
+    those are the ones that were changed least). Behind them, without sizes, the rows (group,
+    element) of lists with more than one group: no others are of use to the second round."""
+
+    def fitting(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        low, high = np.minimum(x["n"], y["n"]).astype(np.int64), np.maximum(x["n"], y["n"]).astype(np.int64)
+        fits = (x["element"] == y["element"]) & (100 * low >= percent * high)
+        x, y = x[fits], y[fits]
+        return x["group"], y["group"], x["n"], y["n"]
+
     rows = rows[np.lexsort((rows["group"], rows["n"], rows["element"]))]
-    x, y = rows[:-1], rows[1:]
-    near = (x["element"] == y["element"]) & (100 * x["n"].astype(np.int64) >= percent * y["n"].astype(np.int64))
-    x, y = x[near], y[near]
-    yield _pairs(x["group"], y["group"], x["n"], y["n"])
+    found = [fitting(rows[:-1], rows[1:])]
+    rows = rows[np.lexsort((rows["group"], rows["rare"], rows["element"]))]
+    begin = np.flatnonzero(np.r_[True, rows["element"][1:] != rows["element"][:-1]]) if len(rows) else np.empty(0, np.int64)
+    first = np.repeat(begin, np.diff(np.r_[begin, len(rows)]))
+    for hub in range(HUBS):
+        behind = np.flatnonzero(np.arange(len(rows)) > first + hub)
+        found.append(fitting(rows[first[behind] + hub], rows[behind]))
+    yield _pairs(*(np.concatenate(c) for c in zip(*found, strict=True)))
+    size = np.repeat(np.diff(np.r_[begin, len(rows)]), np.diff(np.r_[begin, len(rows)]))
+    shared = rows[size > 1]
+    none = pa.nulls(len(shared), pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array(shared["group"]), pa.array(shared["element"].view(np.int64)), none, none, pa.nulls(len(shared), pa.int64())], names=["a", "b", "na", "nb", "c"])
 
 
 def crossing(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of groups in the list of an element whose labels differ, in bounded batches."""
+    """All pairs of groups in the list of an element whose labels differ and whose signatures allow it
+    (those of groups with one member), in bounded batches."""
     rows = rows[np.lexsort((rows["group"], rows["label"], rows["element"]))]
     if not len(rows):
         return
@@ -202,45 +245,88 @@ def crossing(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     label_end = np.repeat(np.r_[new_label[1:], len(rows)], np.diff(np.r_[new_label, len(rows)]))
     todo = np.flatnonzero(label_end < list_end)  # rows with another label behind them
     partners = list_end[todo] - label_end[todo]
+    upto = np.cumsum(partners)
     begin = 0
     while begin < len(todo):
-        end = max(begin + 1, int(np.searchsorted(np.cumsum(partners[begin:]), BUFFERED, "right")) + begin)
+        end = max(begin + 1, int(np.searchsorted(upto, upto[begin] - partners[begin] + PAIRS, "right")))
         i, m = todo[begin:end], partners[begin:end]
         first = np.repeat(i, m)
         second = np.repeat(label_end[i] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(int(m.sum()))
         x, y = rows[first], rows[second]
         low, high = np.minimum(x["n"], y["n"]).astype(np.int64), np.maximum(x["n"], y["n"]).astype(np.int64)
-        fits = 100 * low >= percent * high
+        differ = sum((np.bitwise_count(x[f"s{i}"] ^ y[f"s{i}"]).astype(np.int64) for i in range(SIGNED)), np.zeros(len(x), np.int64))
+        most = low + high - 2 * -(-percent * (low + high) // (100 + percent))  # elements that they may differ in
+        fits = (100 * low >= percent * high) & ((differ <= most) | (x["alone"] == 0) | (y["alone"] == 0))
         x, y = x[fits], y[fits]
         yield _pairs(x["group"], y["group"], x["n"], y["n"])
         begin = end
 
 
-def group_pairs(groups: DataFrame, find, percent: int, buckets: int) -> DataFrame:
-    """a, b, na, nb, c of the groups (doc, n, label, prefix) that `find` pairs and whose prefixes share enough."""
+def overlap_needed(na: Column, nb: Column, percent: int) -> Column:
+    return F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
+
+
+def signatures_allow(percent: int) -> Column:
+    """Whether the members a and b (sizes na and nb, signatures a0..., b0...) can be similar enough."""
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SIGNED)), F.lit(0))
+    return differ <= F.col("na") + F.col("nb") - 2 * overlap_needed(F.col("na"), F.col("nb"), percent)
+
+
+PAIR = "a long, b long, na int, nb int, c long"
+
+
+def first_pairs(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """What `neighbours` finds among the groups (doc, n, rare, prefix)."""
 
     def deal(batches):
         out = _Blocks(_POSTING, buckets)
         for batch in batches:
-            doc, n, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "n", "label"))
+            doc, n, rare = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "n", "rare"))
             for i, p in enumerate(batch.column("prefix").to_pylist()):
                 elements = np.frombuffer(p, np.uint64)
                 rows = np.empty(len(elements), _POSTING)
-                rows["element"], rows["group"], rows["label"], rows["n"] = elements, doc[i], label[i], n[i]
+                rows["element"], rows["group"], rows["n"], rows["rare"] = elements, doc[i], n[i], rare[i]
                 if out.add(rows):
                     yield from out.flush()
         yield from out.flush()
 
     def meet(batches):
-        yield from find(_gather(batches, _POSTING), percent)
+        yield from neighbours(_gather(batches, _POSTING), percent)
+        trim_memory()
+
+    blocks = groups.select("doc", "n", "rare", "prefix").mapInArrow(deal, "bucket int, block binary")
+    return blocks.repartition(buckets, "bucket").mapInArrow(meet, PAIR)
+
+
+def second_pairs(postings: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """What `crossing` finds among postings (the columns of _LABELLED)."""
+
+    def deal(batches):
+        out = _Blocks(_LABELLED, buckets)
+        for batch in batches:
+            rows = np.empty(batch.num_rows, _LABELLED)
+            for name in _LABELLED.names:
+                x = batch.column(name).to_numpy(zero_copy_only=False)
+                rows[name] = x.view(np.uint64) if _LABELLED[name] == np.uint64 else x
+            if out.add(rows):
+                yield from out.flush()
+        yield from out.flush()
+
+    def meet(batches):
+        yield from crossing(_gather(batches, _LABELLED), percent)
+        trim_memory()
+
+    blocks = postings.select(*_LABELLED.names).mapInArrow(deal, "bucket int, block binary")
+    return blocks.repartition(buckets, "bucket").mapInArrow(meet, PAIR)
+
 
-    blocks = groups.select("doc", "n", "label", "prefix").mapInArrow(deal, "bucket int, block binary")
-    pairs = blocks.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long, na int, nb int, c long")
-    pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
+def possible_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of groups that share enough prefix elements for the similarity to be possible."""
+    pairs = found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
     # Overlap needed, less what can lie behind the prefixes.
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
+    need = overlap_needed(F.col("na"), F.col("nb"), percent)
     rest = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100 - 1e-9) - 1  # noqa: E731  elements behind the prefix
-    return pairs.where(F.col("c") >= need - F.greatest(rest("na"), rest("nb")))
+    return pairs.where(F.col("c") >= need - F.greatest(rest("na"), rest("nb"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
@@ -255,8 +341,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, per
     def similar(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -325,35 +411,41 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     buckets = _buckets(spark, COUNTED * elements)
     frequent = frequent_shingles(docs, text, k, buckets)
     rows = materialize(prefixes(docs, key, text, k, percent, frequent), "prefixes")
+    signs = [f"s{i}" for i in range(SIGNED)]
     usable = rows.where((F.col("n") > 0) & F.col("doc").isNotNull())
-    nodes = materialize(usable.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.count("*").alias("copies")), "nodes")
+    nodes = materialize(usable.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), *(F.first(x).alias(x) for x in signs), F.count("*").alias("copies")), "nodes")
     by_prefix = ["n", "g1", "g2"]
-    groups = usable.groupBy(*by_prefix).agg(F.min("doc").alias("doc"), F.first("prefix").alias("prefix"))
+    groups = usable.groupBy(*by_prefix).agg(F.min("doc").alias("doc"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
     groups = materialize(groups, "groups")
     members = nodes.join(groups.select(*by_prefix, F.col("doc").alias("group")), by_prefix)
-    members = materialize(members.select("group", "doc"), "members")
+    members = materialize(members.select("group", "doc", "n", *signs), "members")
     buckets = _buckets(spark, elements * (100 - percent) / 100)
 
     # First round: neighbours, among the groups of an element and among the members of a group.
-    near = group_pairs(groups.withColumn("label", F.lit(0).cast("long")), neighbours, percent, buckets).select("a", "b")
+    met = materialize(first_pairs(groups, percent, buckets), "met")
+    near = possible_pairs(met.where("c IS NOT NULL"), percent)
     inside = members.where(F.col("group") != F.col("doc")).select(F.col("group").alias("a"), F.col("doc").alias("b"))
     links = verified(materialize(near.unionByName(inside).distinct(), "near"), docs, key, text, k, percent)
     first = components(links)
 
     # Second round: what the first has left in different components.
-    members = members.join(first, "doc", "left").withColumn("label", F.coalesce("component", "doc")).select("group", "doc", "label")
+    members = members.join(first, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
     members = materialize(members, "labelled")
     spread = members.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
     label = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("group"))
-    spread = spread.select(F.col("group").alias("doc"), label.alias("label"), "size")
-    groups = groups.join(spread, "doc")
-    far = materialize(group_pairs(groups, crossing, percent, buckets).select("a", "b"), "far")
-    left, right = (members.select(F.col("group").alias(g), F.col("doc").alias(d), F.col("label").alias(x)) for g, d, x in (("a", "da", "la"), ("b", "db", "lb")))
-    across = far.join(left, "a").join(right, "b").where(F.col("la") != F.col("lb")).select("da", "db")
-    mixed = members.join(spread.where(F.col("label") < 0).select(F.col("doc").alias("group")), "group", "left_semi")
-    one, other = (mixed.select("group", F.col("doc").alias(d), F.col("label").alias(x)) for d, x in (("da", "la"), ("db", "lb")))
-    within = one.join(other, "group").where((F.col("da") < F.col("db")) & (F.col("la") != F.col("lb"))).select("da", "db")
-    pairs = materialize(across.unionByName(within).select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct(), "pairs")
+    spread = spread.select("group", label.alias("label"), (F.col("size") == 1).cast("int").alias("alone"))
+    about = members.where(F.col("doc") == F.col("group")).select("group", "n", *signs).join(spread, "group")
+    shared = met.where("c IS NULL").select(F.col("b").alias("element"), F.col("a").alias("group"))
+    far = materialize(possible_pairs(second_pairs(shared.join(about, "group"), percent, buckets), percent), "far")
+    # Members of paired groups, and of groups that are in several components; the signatures rule
+    # out most of those that are not similar before their sets are looked at.
+    side = lambda df, x: df.select(F.col("group").alias(x), *(F.col(c).alias(c.replace("s", x) if c in signs else f"{c}{x}") for c in ("doc", "n", "label", *signs)))
+    possible = (F.col("labela") != F.col("labelb")) & signatures_allow(percent)
+    mixed = members.join(spread.where(F.col("label") < 0).select("group"), "group", "left_semi")
+    one = far.join(side(members, "a"), "a").select(F.col("b").alias("meets"), *[c for c in side(members, "a").columns if c != "a"])
+    across = one.join(side(members, "b"), (F.col("meets") == F.col("b")) & possible).select("doca", "docb")
+    within = side(mixed, "a").join(side(mixed, "b"), (F.col("a") == F.col("b")) & (F.col("doca") < F.col("docb")) & possible).select("doca", "docb")
+    pairs = materialize(across.unionByName(within).select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b")).distinct(), "pairs")
     more = verified(pairs, docs, key, text, k, percent)
     if more.limit(1).count():
         stars = first.select(F.col("doc").alias("a"), F.col("component").alias("b"))
@@ -367,7 +459,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def unique_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that a document of smaller key stands for; columns as they were."""
-    found = materialize(jaccard_components(docs, key, text, k, percent), "components")
+    tables: list[str] = []
+    with scratch(tables):
+        found = jaccard_components(docs, key, text, k, percent)
+    found = materialize(found, "components")
+    delete(docs.sparkSession, tables)
     gone = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     kept = docs.join(F.broadcast(gone) if few else gone, key, "left_anti")
