@@ -92,8 +92,8 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, span, window, cluster, char_start, char_end: runs of one to three tokens in the first 40 words."""
-    own = offsets(spark, sf_dir).where("zone <= 40")
+    """doc, span, window, cluster, char_start, char_end: runs of one to three tokens, one from each word."""
+    own = offsets(spark, sf_dir)
     length = 1 + F.pmod(F.col("zone"), F.lit(3))
     end = Window.partitionBy("item").orderBy("zone")
     last = F.when(length == 1, F.col("char_end")).when(length == 2, F.lead("char_end", 1).over(end)).otherwise(F.lead("char_end", 2).over(end))

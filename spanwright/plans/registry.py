@@ -203,7 +203,7 @@ def overlap_join(spark, sf):
 
 @_sql("overlap_anti_nominals", "SELECT item AS doc, zone FROM off o WHERE zone <= 60 AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc = o.item AND s.span % 5 = 0 AND char_start < ce AND char_end > cs)", "spans")
 def overlap_anti_nominals(spark, sf):
-    toks = P.offsets(spark, sf).where("zone <= 60").select(F.col("item").alias("doc"), "zone", "char_start", "char_end")
+    toks = P.offsets(spark, sf).select(F.col("item").alias("doc"), "zone", "char_start", "char_end")
     some = P.spans(spark, sf).where("span % 5 = 0")
     return spans.without_overlap(toks, some, ["doc"], ("char_start", "char_end"), ("char_start", "char_end")).select("doc", "zone")
 
