@@ -374,8 +374,7 @@ ORACLE_SQL["target_mentions"] = ORACLE_SQL["target_mentions"].replace(" , s AS",
 # ---- windows and surprisal
 
 def _sentence_words(spark, sf):
-    own = _zones(spark, sf).groupBy(F.col("item").alias("doc"), "sentence_index").agg(F.count("*").alias("n_words"))
-    return own.where("sentence_index < 30")
+    return _zones(spark, sf).groupBy(F.col("item").alias("doc"), "sentence_index").agg(F.count("*").alias("n_words"))
 
 
 @_sql(

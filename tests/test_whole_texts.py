@@ -32,3 +32,11 @@ def test_nested_html_marks_whole_texts(spark, texts):
     rows = {r["doc"]: r for r in registry.QUERIES["nested_html"](spark, texts).collect()}
     marked = {k: str(r).count("<span") for k, r in rows.items()}
     assert rows.keys() == {1, 2, 3} and marked[3] >= 1 and min(marked[1], marked[2]) > 60
+
+
+def test_windows_reach_the_last_sentence(spark, texts):
+    whole = registry.ORACLE_SQL["window_packing"].replace(" HAVING sentence_index < 30", "")
+    assert "< 30" not in whole
+    out = registry.QUERIES["window_packing"](spark, texts)
+    assert {r["doc"]: r["last"] for r in out.groupBy("doc").agg({"last_sentence": "max"}).toDF("doc", "last").collect()} == {1: 49, 2: 49, 3: 0}
+    compare(out, whole, texts)
