@@ -3,9 +3,10 @@
 Every page is parsed once. Elements that are never part of an article (menus, forms, scripts,
 advertisements, comments and the like, by tag, role or class name) are left out. The subtrees
 of the other elements are hashed (tag, class, text, children), the hashes are counted per host
-over all its pages, and subtrees that recur on many pages of their host are deleted. What a
-page itself marks as its article (`article`, `main`) is not touched by that count: articles may
-hold the same paragraph, or be copies of one another, and stay whole.
+over all its pages, and subtrees that recur on many pages of their host are deleted. Inside what
+a page itself marks as its article (`article`, `main`) the count is one of its own: an article
+that consists mostly of recurring subtrees is a copy of another and is no evidence, and a subtree
+goes if it recurs on many of the host's other articles. So copies of an article stay whole.
 
 Text is decoded, white space inside a block becomes one space, and blocks are joined by one
 line feed.
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import attach, materialize
 
-#: A subtree is a template if it is on so many pages of its host, and on this share of them.
-MIN_PAGES, MIN_SHARE = 3, 0.3
+#: A subtree is a template if it is on so many pages of its host, and on this share of them or on
+#: MANY_PAGES. An article is a copy if more than this share of its characters recurs.
+MIN_PAGES, MIN_SHARE, MANY_PAGES, COPY_SHARE = 3, 0.3, 1_000, 0.5
 
 #: Elements that open a block of text, those without an end, those whose content is no markup,
 #: those that hold no article text (fixed values).
@@ -128,8 +130,10 @@ def parse(page: str) -> list[tuple[str, int, bool, list[int]]]:
         value = done.hash.intdigest()
         stack[-1].hash.update(value.to_bytes(8, "little"))
         signed = value - (1 << 64) if value >> 63 else value
+        in_article = done.main == 2 and stack[-1].main == 2
         for b in done.blocks:
-            around[b].append(signed)
+            if in_article or blocks[b][1] < 2:  # an article and what holds it are no parts of it
+                around[b].append(signed)
 
     at = 0
     while (m := _TOKEN.search(page, at)) is not None:
@@ -186,8 +190,8 @@ def parse(page: str) -> list[tuple[str, int, bool, list[int]]]:
     while len(stack) > 1:
         close()
     best = max((m for _, m, _ in blocks), default=0)
-    if best == 2:  # the page marks its article; only that is kept, and it is no template
-        return [(t, m, False, []) for t, m, _ in blocks if m == 2] + [("", 0, True, h) for (_, m, _), h in zip(blocks, around, strict=True) if m < 2]
+    if best == 2:  # the page marks its article; only that is kept
+        return [(t if m == 2 else "", m if m == 2 else 0, m < 2, h) for (t, m, _), h in zip(blocks, around, strict=True)]
     return [(t, m, link, h) for (t, m, link), h in zip(blocks, around, strict=True)]
 
 
@@ -210,26 +214,52 @@ def parsed(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
     return pages.select(key, url, text).mapInArrow(run, f"{fields}, {_SCHEMA}")
 
 
-def site_templates(blocks: DataFrame, host: str, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, templates: the hashes that recur on many pages of the host.
+def _hashes(inside: bool):
+    own = F.filter("blocks", lambda b: (b["main"] == 2) if inside else (b["main"] < 2))
+    return F.array_distinct(F.flatten(F.transform(own, lambda b: b["around"])))
 
-    A page has each hash once here, and a template is on at least `min_share` of the pages, so
-    a host has at most (subtrees of a mean page / min_share) templates, whatever its size.
-    """
-    hashes = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))
-    counted = blocks.select(host, F.explode(hashes).alias("hash")).groupBy(host, "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    sizes = blocks.groupBy(host).agg(F.count("*").alias("n_pages"))
-    often = counted.join(sizes, host).where(F.col("n") >= min_share * F.col("n_pages"))
+
+def _recurring(pages: DataFrame, host: str, min_pages: int, min_share: float, many: int) -> DataFrame:
+    counted = pages.select(host, F.explode("hashes").alias("hash")).groupBy(host, "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    sizes = pages.groupBy(host).agg(F.count("*").alias("n_pages"))
+    often = counted.join(sizes, host).where(F.col("n") >= F.least(min_share * F.col("n_pages"), F.lit(float(many))))
     return often.groupBy(host).agg(F.collect_list("hash").alias("templates"))
 
 
+def site_templates(blocks: DataFrame, host: str, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES) -> DataFrame:
+    """host, templates: the hashes outside marked articles that recur on many pages of the host.
+
+    A page has each hash once here, and a template is on at least `min_share` of the pages or on
+    `many`, so there are at most (subtrees of a mean page / min_share) templates of a host, or
+    (all its subtrees / many).
+    """
+    return _recurring(blocks.select(host, _hashes(False).alias("hashes")), host, min_pages, min_share, many)
+
+
+def _hit(b, templates: str):
+    return F.coalesce(F.arrays_overlap(b["around"], F.col(templates)), F.lit(False))
+
+
+def article_templates(blocks: DataFrame, host: str, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES) -> DataFrame:
+    """host, article_templates: the hashes inside marked articles that recur on many of the host's articles which are no copies."""
+    articles = blocks.where(F.exists("blocks", lambda b: b["main"] == 2))
+    found = materialize(_recurring(articles.select(host, _hashes(True).alias("hashes")), host, min_pages, min_share, many), "recurring")
+    own = attach(articles, found, [host], "inner")
+    size = lambda bs: F.aggregate(bs, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    inside = F.filter("blocks", lambda b: b["main"] == 2)
+    repeated = F.filter(inside, lambda b: _hit(b, "templates"))
+    own = own.where(size(repeated) <= COPY_SHARE * size(inside)).select(host, F.array_intersect(_hashes(True), "templates").alias("hashes"))
+    return _recurring(own, host, min_pages, min_share, many).withColumnRenamed("templates", "article_templates")
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
     """key, url, text, n_chars, n_removed (blocks that fell to site templates) of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     blocks = materialize(parsed(pages, key, url, text).withColumn("__host", host), "blocks")
     templates = materialize(site_templates(blocks, "__host"), "templates")
-    out = attach(blocks, templates, ["__host"])
-    hit = lambda b: F.coalesce(F.arrays_overlap(b["around"], F.col("templates")), F.lit(False))
+    inside = materialize(article_templates(blocks, "__host"), "article_templates")
+    out = attach(attach(blocks, templates, ["__host"]), inside, ["__host"])
+    hit = lambda b: F.when(b["main"] == 2, _hit(b, "article_templates")).otherwise(_hit(b, "templates"))
     fresh = F.filter("blocks", lambda b: ~b["link"] & ~hit(b) & (b["text"] != ""))
     out = out.withColumn("__kept", fresh)
     named = F.filter("__kept", lambda b: b["main"] > 0)
