@@ -15,24 +15,31 @@ a document belongs to the block in which it begins. Places in a source come from
 (source, hash bucket), so a source with a third of all rows is spread over many tasks.
 
 Defined cases: a null source is the source ""; a null or empty text has no characters; repeated
-rows are all mixed in; sources without a given weight get `default` units. With more than
-MAX_SOURCES sources they are pooled by hash into as many (a pool is mixed as one source). An
-empty table gives an empty result. Columns with the names of a result are replaced.
+rows are all mixed in; sources without a given weight get `default` units. An empty table gives
+an empty result. Columns with the names of a result are replaced.
+
+More than MAX_SOURCES sources are dealt to pools of about POOL_SOURCES by hash. A pool has the
+units of its sources, and its blocks are dealt to them by a Pfair schedule of its own, so every
+source keeps its weight and deviates by less than one block more for each level of pools. Slots
+of a source that runs out go to the others of its pool first. The driver holds a row per source.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import attach, materialize
 
-#: Characters of a block, units of all weights together, sources that are told apart.
-BLOCK_CHARS, UNITS, MAX_SOURCES = 65_536, 1_000, 512
+#: Characters of a block, units of all weights together, sources of one schedule, sources of a pool.
+BLOCK_CHARS, UNITS, MAX_SOURCES, POOL_SOURCES = 65_536, 1_000, 512, 128
+#: Units of a source on average where there are pools, rows of a schedule that are broadcast.
+POOLED_UNITS, PLAN_ROWS = 4, 200_000
 #: Rows that a (source, bucket) group holds, and buckets of a source at most (beyond, groups grow).
 GROUP_ROWS, MAX_BUCKETS = 80, 16_384
 RESULT = {"mix_source", "mix_block", "mix_slot", "mix_place"}
@@ -81,6 +88,29 @@ def phases(units: dict[str, int], blocks: dict[str, int]) -> list[dict]:
     return out
 
 
+def levels(units: dict[str, int], blocks: dict[str, int]) -> list[list[tuple]]:
+    """The schedules from that of single sources inside their pools to that of all pools.
+
+    Rows are (source or pool, its pool, first block, the one behind the last, first slot, cycle,
+    blocks in a cycle, their slots in it). The slots of a pool's own schedule are its blocks.
+    """
+    out = []
+    while units:
+        pools = -(-len(units) // POOL_SOURCES) if len(units) > MAX_SOURCES else 1
+        members: dict[str, list[str]] = {}
+        for s in sorted(units):
+            members.setdefault(f"pool {zlib.crc32(s.encode('utf-8', 'surrogatepass')) % pools}", []).append(s)
+        rows = []
+        for pool, own in members.items():
+            for p in phases({s: units[s] for s in own}, {s: blocks[s] for s in own}):
+                rows += [(s, pool, first, first + n, p["start"], p["cycle"], len(at), at) for s, (first, n, at) in p["sources"].items() if n]
+        out.append(rows)
+        if pools == 1:
+            break
+        units, blocks = ({pool: sum(of[s] for s in own) for pool, own in members.items()} for of in (units, blocks))
+    return out
+
+
 def root_weights(sizes: dict[str, int], alpha: float = 0.5, units: int = UNITS) -> dict[str, int]:
     """Units proportional to size ** alpha, at least one each: large sources are damped, none is lost."""
     shares = {s: float(max(n, 1)) ** alpha for s, n in sizes.items()}
@@ -113,15 +143,11 @@ def mix(
         raise ValueError("weights are whole units of at least 1")
     taken = F.col(size) if size else F.length(F.col(text))
     named = docs.select(*kept, F.coalesce(F.col(source), F.lit("")).alias(key), F.coalesce(taken, F.lit(0)).cast("long").alias(chars), F.xxhash64(*(order_by or kept)).alias(order))
-    shares = lambda df: df.groupBy(key).agg(F.count("*").alias("n"), F.sum(chars).alias("chars")).limit(MAX_SOURCES + 1).collect()
-    found = shares(named)
-    if len(found) > MAX_SOURCES:
-        named = named.withColumn(key, F.concat(F.lit("pool "), F.pmod(F.xxhash64(key), F.lit(MAX_SOURCES)).cast("string")))
-        found, weights = shares(named), None
+    found = named.groupBy(key).agg(F.count("*").alias("n"), F.sum(chars).alias("chars")).collect()
     rows = {r[key]: r["n"] for r in found}
     sizes = {r[key]: r["chars"] for r in found}
     counts = [(s, min(MAX_BUCKETS, n // GROUP_ROWS + 1)) for s, n in rows.items()]
-    named = named.join(F.broadcast(spark.createDataFrame(counts, f"{key} string, __buckets long")), key)
+    named = attach(named, spark.createDataFrame(counts, f"{key} string, __buckets long"), [key], "inner")
     named = named.withColumn(bucket, F.pmod(F.xxhash64(order), F.col("__buckets"))).drop("__buckets")
 
     # Where each group begins in its source, then where each document does in its group.
@@ -135,14 +161,17 @@ def mix(
     placed = placed.withColumn("mix_block", F.floor((F.col("__before_chars") + F.col("__own_chars")) / block_chars).cast("long"))
 
     blocks = {s: n // block_chars + 1 for s, n in sizes.items()}  # the last one holds what begins at the very end
-    units = {s: weights.get(s, default) for s in blocks} if weights else root_weights(sizes, alpha)
-    plan = [(s, first, first + n, p["start"], p["cycle"], len(at), at) for p in phases(units, blocks) for s, (first, n, at) in p["sources"].items() if n]
-    plan = spark.createDataFrame(plan, "__source string, __lo long, __hi long, __start long, __cycle long, __per long, __at array<long>")
-    hit = (F.col(key) == F.col("__source")) & (F.col("mix_block") >= F.col("__lo")) & (F.col("mix_block") < F.col("__hi"))
-    out = placed.join(F.broadcast(plan), hit)  # its size depends on sources and units only
-    i = F.col("mix_block") - F.col("__lo")
-    slot = F.col("__start") + F.floor(i / F.col("__per")) * F.col("__cycle") + F.get("__at", F.pmod(i, F.col("__per")).cast("int"))
-    return out.select(*kept, key, "mix_block", slot.cast("long").alias("mix_slot"), "mix_place")
+    pooled = POOLED_UNITS * len(sizes) if len(sizes) > MAX_SOURCES else 0
+    units = {s: weights.get(s, default) for s in blocks} if weights else root_weights(sizes, alpha, max(UNITS, pooled))
+    out = placed.withColumns({"__who": F.col(key), "__i": F.col("mix_block")})
+    for rows in levels(units, blocks) or [[]]:
+        plan = spark.createDataFrame(rows, "__who string, __pool string, __lo long, __hi long, __start long, __cycle long, __per long, __at array<long>")
+        plan = F.broadcast(plan) if len(rows) <= PLAN_ROWS else plan
+        out = out.join(plan, "__who").where((F.col("__i") >= F.col("__lo")) & (F.col("__i") < F.col("__hi")))
+        i = F.col("__i") - F.col("__lo")
+        slot = F.col("__start") + F.floor(i / F.col("__per")) * F.col("__cycle") + F.get("__at", F.pmod(i, F.col("__per")).cast("int"))
+        out = out.withColumns({"__who": F.col("__pool"), "__i": slot.cast("long")}).drop("__pool", "__lo", "__hi", "__start", "__cycle", "__per", "__at")
+    return out.select(*kept, key, "mix_block", F.col("__i").alias("mix_slot"), "mix_place")
 
 
 def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:

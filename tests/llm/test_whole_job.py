@@ -1,6 +1,8 @@
 """What the corpus operators once left out: each test fails on a version that does less than the whole job."""
 
-from spanwright.llm import html_main
+from fractions import Fraction
+
+from spanwright.llm import html_main, pfair_mix
 
 PAGES = "page_id long, url string, html string"
 
@@ -27,3 +29,31 @@ def test_a_subtree_on_many_pages_is_a_template_below_the_share(spark):
     rows = [(i, "http://h/x", ("<div><p>section note</p></div>" if i < 6 else "") + f"<div><p>text {i}</p></div>") for i in range(40)]
     blocks = html_main.parsed(spark.createDataFrame(rows, PAGES), "page_id", "url", "html").withColumnRenamed("url", "host")
     assert html_main.site_templates(blocks, "host").count() == 0 and html_main.site_templates(blocks, "host", many=5).count() == 1
+
+
+# ---- mixing
+
+def test_each_of_many_sources_keeps_its_weight(spark):
+    units = {f"s{i}": 1 + i % 3 for i in range(600)}
+    rows = [(f"{s}-{k}", s, 100) for s, u in units.items() for k in range(3 * u)]
+    out = pfair_mix.mix(spark.createDataFrame(rows, "doc_id string, source string, n long"), units, size="n", block_chars=100).collect()
+    assert len(out) == len(rows) and all(r["mix_source"] == r["source"] for r in out)
+    order = [r["source"] for r in sorted(out, key=lambda r: (r["mix_slot"], r["mix_place"]))]
+    assert sorted(r["mix_slot"] for r in out) == list(range(len(rows)))
+    total, done = sum(units.values()), dict.fromkeys(units, 0)
+    for t, s in enumerate(order, 1):  # all run out together
+        done[s] += 1
+        if t % 50 == 0:
+            assert all(abs(Fraction(u * t, total) - done[x]) < 2 for x, u in units.items())
+
+
+def test_pools_of_pools_use_every_slot_once(monkeypatch):
+    monkeypatch.setattr(pfair_mix, "MAX_SOURCES", 4)
+    monkeypatch.setattr(pfair_mix, "POOL_SOURCES", 3)
+    units, blocks = {f"s{i}": 1 + i % 5 for i in range(60)}, {f"s{i}": i % 7 for i in range(60)}
+    schedules = pfair_mix.levels(units, blocks)
+    assert len(schedules) >= 3
+    at = [(s, i) for s, n in blocks.items() for i in range(n)]
+    for rows in schedules:
+        at = [next((p, start + (i - lo) // per * cycle + slots[(i - lo) % per]) for x, p, lo, hi, start, cycle, per, slots in rows if x == s and lo <= i < hi) for s, i in at]
+    assert sorted(i for _, i in at) == list(range(sum(blocks.values())))
