@@ -16,7 +16,7 @@ from spanwright.llm.common import delete, materialize, scratch
 from spanwright.llm.host_rules import drop_failed
 from spanwright.llm.jaccard_join import unique_documents
 from spanwright.llm.packing import pack, tokenizer_path
-from spanwright.llm.pfair_mix import mixed_documents
+from spanwright.llm.pfair_mix import mix, mixed_documents
 from spanwright.llm.site_quality import drop_rejected
 
 
@@ -62,8 +62,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 2048 ids."""
-    return pack(docs, tokenizer_path(), with_ids=False)
+    """The pieces of the documents and their places in sequences of 2048 ids, which follow the mix of the sources.
+
+    Rows that were read back have no order, so the places in the mix are taken anew from the same rows.
+    """
+    mixed = mix(docs, order_by=[c for c in docs.columns if c != "text"])
+    return pack(mixed, tokenizer_path(), with_ids=False, order=["mix_slot", "mix_place"])
 
 
 STAGES = [

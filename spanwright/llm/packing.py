@@ -12,6 +12,11 @@ number among the pieces of its length without a shuffle: a running number inside
 the counts of the tasks before, and that number gives sequence and place by arithmetic. So a
 hot length meets no single task.
 
+Documents may have an order (that of a mix). They are sorted by it, so tasks hold consecutive
+parts of it; at most RUNS runs of tasks are packed each for itself, with the pieces of a length
+taken in order and the residual laid in order, and sequences are numbered by the earliest place
+of what they hold.
+
 Defined cases: a null or empty text is the end id alone; repeated rows are separate documents;
 an empty table gives an empty result. Columns other than the key and the text are ignored.
 """
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import attach, materialize
 
-WINDOW, END_ID = 2048, 1
+WINDOW, END_ID, RUNS = 2048, 1, 8
 GRAIN, DEPTH = 8, 3
 #: Words whose ids a worker remembers, and characters that it tokenises at a time.
 CACHED_WORDS, BATCH_CHARS = 300_000, 4_000_000
@@ -135,13 +140,13 @@ def batches_of(texts: list[str], most: int = BATCH_CHARS):
 def pieces_of(docs: DataFrame, key: str, text: str, tokenizer: str, window: int, end_id: int, all_ids: bool) -> DataFrame:
     """Full windows and the remainder of every document, numbered by length inside each task."""
     kind = docs.select(key).schema[0].dataType.simpleString()
-    schema = f"`{key}` {kind}, start long, length int, ids_crc32 long, doc_tokens long, ids binary, part long, ordinal long"
+    schema = f"`{key}` {kind}, start long, length int, ids_crc32 long, doc_tokens long, ids binary, part long, ordinal long, at long"
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
         from pyspark import TaskContext
 
-        part, seen, encode = TaskContext.get().partitionId(), defaultdict(int), encoder(tokenizer)
+        part, seen, encode, number = TaskContext.get().partitionId(), defaultdict(int), encoder(tokenizer), 0
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             texts = texts.fill_null("").to_pylist()
@@ -156,12 +161,14 @@ def pieces_of(docs: DataFrame, key: str, text: str, tokenizer: str, window: int,
                         row.append(i), start.append(s), length.append(m), crc.append(zlib.crc32(x)), total.append(n)
                         kept.append(x if all_ids or m < window else None), ordinal.append(seen[m])
                         seen[m] += 1
+                first, number = number, number + len(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()),
                         pa.array(total, pa.int64()), pa.array(kept, pa.binary()), pa.array([part] * len(row), pa.int64()), pa.array(ordinal, pa.int64()),
+                        pa.array(range((part << 40) + first, (part << 40) + number), pa.int64()),
                     ],
-                    names=[key, "start", "length", "ids_crc32", "doc_tokens", "ids", "part", "ordinal"],
+                    names=[key, "start", "length", "ids_crc32", "doc_tokens", "ids", "part", "ordinal", "at"],
                 )
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(cut, schema)
@@ -252,24 +259,69 @@ def solve(histogram: dict[int, int], window: int, grain: int = GRAIN, depth: int
     return slots, lengths, sequences
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
+def _in_order(pieces: DataFrame) -> DataFrame:
+    """`pieces` with sequences numbered by the smallest `at` that they hold."""
+    spark = pieces.sparkSession
+    pieces = materialize(pieces, "placed")
+    first = pieces.groupBy("sequence_id").agg(F.min("at").alias("at")).orderBy("at", "sequence_id")
+    ranked = materialize(first.select("sequence_id", F.monotonically_increasing_id().alias("r")), "sequence_order")
+    ranked = ranked.select("sequence_id", F.shiftright("r", 33).alias("task"), F.col("r").bitwiseAND((1 << 33) - 1).alias("r"))
+    begins, n = [], 0
+    for row in sorted(ranked.groupBy("task").count().collect()):
+        begins.append((row["task"], n))
+        n += row["count"]
+    begins = spark.createDataFrame(begins, "task long, begin long")
+    ranked = ranked.join(F.broadcast(begins), "task").select("sequence_id", (F.col("begin") + F.col("r")).alias("rank"))
+    return pieces.join(ranked, "sequence_id").withColumn("sequence_id", F.col("rank")).select(*pieces.columns)
+
+
+def _laid_in_order(rest: DataFrame) -> DataFrame:
+    """`rest` with places in one long line of ids of each run that follow `at`, not the lengths."""
+    begins, ends = [], defaultdict(int)
+    for r in sorted(rest.groupBy("part", "run").agg(F.sum("length").alias("n")).collect()):  # a row for each task
+        begins.append((r["part"], ends[r["run"]]))
+        ends[r["run"]] += r["n"]
+    begins = rest.sparkSession.createDataFrame(begins, "part long, __begin long")
+    inside = F.sum("length").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    laid = rest.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(begins), "part")
+    return laid.withColumn("place", F.col("__begin") + F.col("__inside")).drop("__begin", "__inside")
+
+
+def pack(
+    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True, order: list[str] | None = None
+) -> DataFrame:
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
+
+    `order` are the columns that order the documents, if sequences are to follow them.
+    """
     spark = docs.sparkSession
+    docs = docs.orderBy(*order) if order else docs
     cut = materialize(pieces_of(docs, key, text, tokenizer, window, end_id, with_ids), "pieces")
-    by_task = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    by_task = materialize(by_task.select("part", "length", F.coalesce(before, F.lit(0)).alias("earlier"), "n"), "lengths")
-    histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
-    slots, lengths, sequences = solve(histogram, window)
-    slots = spark.createDataFrame(slots, "bin int, lo long, hi long, first long, slot int")
-    lengths = spark.createDataFrame(lengths, "length int, bin int, bin_before long, used long, place long")
-    known = attach(cut, by_task.drop("n"), ["part", "length"], "inner").join(F.broadcast(lengths), "length")
+    by_task = materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "task_lengths")
+    tasks = (by_task.agg(F.max("part")).first()[0] or 0) + 1 if order else 1
+    run = F.floor(F.col("part") * min(RUNS, tasks) / tasks).cast("int") if order else F.lit(0)
+    by_task = by_task.withColumn("run", run)
+    before = F.sum("n").over(Window.partitionBy("run", "length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    by_task = materialize(by_task.select("part", "length", "run", F.coalesce(before, F.lit(0)).alias("earlier"), "n"), "lengths")
+    histograms = defaultdict(dict)
+    for r in by_task.groupBy("run", "length").agg(F.sum("n").alias("n")).collect():  # at most `window` rows for each run
+        histograms[r["run"]][r["length"]] = r["n"]
+    slots, lengths, sequences = [], [], 0
+    for r, histogram in sorted(histograms.items()):
+        own_slots, own_lengths, n = solve(histogram, window)
+        slots += [(r, b, lo, hi, sequences + first, slot) for b, lo, hi, first, slot in own_slots]
+        sequences += n
+        lengths += [(r, *x, sequences) for x in own_lengths]
+        sequences += -(-sum((histogram[x[0]] - x[3]) * x[0] for x in own_lengths) // window)
+    slots = spark.createDataFrame(slots, "run int, bin int, lo long, hi long, first long, slot int")
+    lengths = spark.createDataFrame(lengths, "run int, length int, bin int, bin_before long, used long, place long, residual long")
+    known = attach(cut, by_task.drop("n"), ["part", "length"], "inner").join(F.broadcast(lengths), ["run", "length"])
     known = known.withColumn("k", F.col("earlier") + F.col("ordinal"))
-    columns = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot", "offset"] + ["ids"] * with_ids
+    columns = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot", "offset"] + ["ids"] * with_ids + ["at"]
 
     # Taken by a combination: the number in the bin gives sequence and slot.
     number = F.col("bin_before") + F.col("k")
-    taken = known.where(F.col("k") < F.col("used")).withColumn("number", number).join(F.broadcast(slots), "bin")
+    taken = known.where(F.col("k") < F.col("used")).withColumn("number", number).join(F.broadcast(slots), ["run", "bin"])
     taken = taken.where((F.col("number") >= F.col("lo")) & (F.col("number") < F.col("hi")))
     taken = taken.withColumn("sequence_id", F.col("first") + F.col("number") - F.col("lo"))
     in_sequence = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -280,6 +332,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     # Residual: its place in one long line of ids, cut at window borders.
     place = F.col("place") + (F.col("k") - F.col("used")) * F.col("length")
     rest = known.where(F.col("k") >= F.col("used")).withColumn("place", place)
+    rest = _laid_in_order(rest) if order else rest
     room = F.lit(window) - F.pmod("place", F.lit(window))
     part = lambda skip, n: F.struct(skip.cast("long").alias("skip"), n.cast("int").alias("n"))
     parts = F.when(F.col("length") <= room, F.array(part(F.lit(0), F.col("length")))).otherwise(F.array(part(F.lit(0), room), part(room, F.col("length") - room)))
@@ -291,13 +344,15 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         F.col("cut.n").alias("length"),
         F.when(F.col("cut.n") == F.col("length"), F.col("ids_crc32")).otherwise(F.crc32(ids)).alias("ids_crc32"),
         "doc_tokens",
-        (sequences + F.floor((F.col("place") + F.col("cut.skip")) / window)).cast("long").alias("sequence_id"),
+        (F.col("residual") + F.floor((F.col("place") + F.col("cut.skip")) / window)).cast("long").alias("sequence_id"),
         F.lit(0).alias("slot"),
         F.pmod(F.col("place") + F.col("cut.skip"), F.lit(window)).cast("long").alias("offset"),
         *[ids.alias("ids")] * with_ids,
+        "at",
     )
     out = full.select(*columns).unionByName(shared.select(*columns)).unionByName(rest.select(*columns))
-    return out.drop("slot").withColumn("length", F.col("length").cast("long"))
+    out = _in_order(out) if order else out
+    return out.drop("slot", "at").withColumn("length", F.col("length").cast("long"))
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:

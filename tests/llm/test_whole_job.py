@@ -1,7 +1,11 @@
 """What the corpus operators once left out: each test fails on a version that does less than the whole job."""
 
+import random
 from fractions import Fraction
 
+import corpus_pipeline
+from pyspark.sql import functions as F
+
 from spanwright.llm import html_main, pfair_mix
 
 PAGES = "page_id long, url string, html string"
@@ -57,3 +61,23 @@ def test_pools_of_pools_use_every_slot_once(monkeypatch):
     for rows in schedules:
         at = [next((p, start + (i - lo) // per * cycle + slots[(i - lo) % per]) for x, p, lo, hi, start, cycle, per, slots in rows if x == s and lo <= i < hi) for s, i in at]
     assert sorted(i for _, i in at) == list(range(sum(blocks.values())))
+
+
+def test_packed_sequences_follow_the_mix(spark, monkeypatch):
+    rng = random.Random(5)
+    words = lambda chars: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(chars // 6))
+    rows = [(f"{s}{i}", words(size), s) for s, n, size in (("a", 60, 20_000), ("b", 1500, 800)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(5)
+    out = corpus_pipeline.pack_sequences(spark, docs, "test").withColumn("source", F.substring("doc_id", 1, 1))
+    pieces = sorted((r["sequence_id"], r["offset"], r["length"], r["source"]) for r in out.collect())
+    total, own, shares = sum(p[2] for p in pieces), [0, 0], []
+    for _, _, length, source in pieces:
+        own[source == "a"] += length
+        if sum(own) >= total * (len(shares) + 1) / 8 and len(shares) < 8:
+            shares.append(own[1] / sum(own))
+    assert len(shares) == 8 and all(abs(x - shares[-1]) < 0.15 for x in shares)
+    used = {}
+    for q, offset, length, _ in pieces:  # no gaps, and no sequence beyond its window
+        assert offset == used.get(q, 0)
+        used[q] = offset + length
+    assert sorted(used) == list(range(len(used))) and max(used.values()) <= 2048 and sum(x < 2048 - 3 * 7 for x in used.values()) <= 8
