@@ -4,8 +4,9 @@ The automaton holds every substring of the licence templates, as words. A file i
 through it; at each word it gives the longest substring of any template that ends there (its
 matching statistic) and where that substring stands in each template. Long maximal matches
 are then chained, template by template, in the order of both file and template, with bounded
-gaps; a chain covers a span of the file and a share of its template. A template of which
-enough is covered adds its label. Phrases that name a licence are counted beside it.
+gaps; a chain covers a span of the file and a share of its template. All disjoint chains that
+cover enough are spans; a template of which all its chains together cover enough adds its label
+(and, if none does alone, all of them as spans). Phrases that name a licence are counted beside it.
 
 Words of the templates are numbered; other words end every match, so runs of numbered words
 are all that needs streaming.
@@ -17,6 +18,7 @@ come back; an empty table gives an empty result. Other columns of the input are
 from __future__ import annotations
 
 import re
+from bisect import bisect, insort
 from itertools import repeat
 
 import numpy as np
@@ -173,28 +175,52 @@ class Scanner:
                     yield at + i - length, which, end - length + 1, length
             before = now
 
-    def chains(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Best chain of each template: (template, first word, last word, share of the template covered)."""
+    def chains(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float, float]]:
+        """Disjoint chains of each template, best first: (template, first word, last word, share of the
+        template covered, share covered by all its chains in the file together)."""
         by_template: dict[int, list] = {}
         for start, which, place, length in found:
             by_template.setdefault(which, []).append((start, place, length))
         out = []
         for which, parts in by_template.items():
             parts.sort()
-            best: list[tuple[int, int]] = []  # words covered by the best chain that ends here, its first match
+            best: list[tuple[int, int]] = []  # words covered by the best chain that ends here, the match before
             for i, (start, place, length) in enumerate(parts):
-                covered, first = length, i
+                covered, previous = length, -1
                 for j in range(i - 1, -1, -1):
                     s, p, n = parts[j]
                     if start - s - n > MAX_GAP:  # so it is for all before: maximal matches end in the order of their starts
                         break
                     overlap = max(0, s + n - start, p + n - place)
                     if s < start and p < place and place - p - n <= MAX_GAP and best[j][0] + length - overlap > covered:
-                        covered, first = best[j][0] + length - overlap, best[j][1]
-                best.append((covered, first))
-            k = max(range(len(parts)), key=lambda i: (best[i][0], -i))
-            share = min(1.0, best[k][0] / self.sizes[which])
-            out.append((which, parts[best[k][1]][0], parts[k][0] + parts[k][2] - 1, share))
+                        covered, previous = best[j][0] + length - overlap, j
+                best.append((covered, previous))
+            taken: list[tuple[int, int]] = []  # file words of the chains so far, in order
+            own, places = [], []
+
+            def free(first: int, last: int) -> bool:
+                k = bisect(taken, (last + 1,))
+                return k == 0 or taken[k - 1][1] < first
+
+            for k in sorted(range(len(parts)), key=lambda i: (-best[i][0], i)):
+                start, place, length = parts[k]
+                last = start + length - 1
+                if not free(start, last):
+                    continue
+                covered, j = length, best[k][1]
+                places.append((place, place + length))
+                while j >= 0 and free(parts[j][0], last):  # back to where another chain has the words
+                    s, p, n = parts[j]
+                    covered += n - max(0, s + n - start, p + n - place)
+                    start, place, j = s, p, best[j][1]
+                    places.append((p, p + n))
+                insort(taken, (start, last))
+                own.append((start, last, min(1.0, covered / self.sizes[which])))
+            union = end = 0
+            for a, b in sorted(places):
+                union += max(0, b - max(a, end))
+                end = max(end, b)
+            out += [(which, *c, union / self.sizes[which]) for c in own]
         return out
 
     def scan(self, texts: list[str | None]) -> list[tuple]:
@@ -225,10 +251,15 @@ class Scanner:
             places = base.get(d, [])
             own = [c for c in self.chains(found[d])] if d in found else []
             labels = {label for _, label in places}
-            spans = [{"label": TEMPLATES[w][0], "first": a, "last": b, "covered": share} for w, a, b, share in sorted(own, key=lambda c: (-c[3], c)) if share >= MIN_COVERED]
+            reached = {c[0] for c in own if c[3] >= MIN_COVERED}  # of a template in pieces, all are reported
+            spans = [
+                {"label": TEMPLATES[w][0], "first": a, "last": b, "covered": share}
+                for w, a, b, share, whole in sorted(own, key=lambda c: (-c[3], c))
+                if share >= MIN_COVERED or (whole >= MIN_COVERED and w not in reached)
+            ]
             every = labels | {s["label"] for s in spans}
             at = [p for p, _ in places]
-            score = max((c[3] for c in own), default=0.0)
+            score = max((c[4] for c in own), default=0.0)
             out.append((n, len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), score, spans))
         return out
 

@@ -6,7 +6,7 @@ from fractions import Fraction
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from spanwright.llm import html_main, pfair_mix
+from spanwright.llm import html_main, licence_scan, pfair_mix
 
 PAGES = "page_id long, url string, html string"
 
@@ -81,3 +81,25 @@ def test_packed_sequences_follow_the_mix(spark, monkeypatch):
         assert offset == used.get(q, 0)
         used[q] = offset + length
     assert sorted(used) == list(range(len(used))) and max(used.values()) <= 2048 and sum(x < 2048 - 3 * 7 for x in used.values()) <= 8
+
+
+# ---- licences
+
+def test_each_copy_of_a_licence_is_a_span():
+    mit, other = ([w.decode() for w in licence_scan.words_of(licence_scan.TEMPLATES[i][1])] for i in (0, 1))
+    gap = ["zzz"] * 20
+    *_, labels, score, spans = licence_scan.Scanner().scan([" ".join([*mit, *gap, *mit, *mit, *gap, *other, *gap, *mit])])[0]
+    n = len(mit)
+    begins = [0, n + 20, 2 * n + 20, 3 * n + 60 + len(other)]
+    own = licence_scan.TEMPLATES[0][0]
+    assert sorted((x["first"], x["last"]) for x in spans if x["label"] == own and x["covered"] == 1.0) == [(b, b + n - 1) for b in begins]
+    assert score == 1.0 and own in labels.split(",")
+
+
+def test_a_licence_in_pieces_keeps_its_label():
+    name, text = licence_scan.TEMPLATES[0]
+    words = [w.decode() for w in licence_scan.words_of(text)]
+    k, gap = len(words) // 3, ["zzz"] * 20
+    *_, labels, score, spans = licence_scan.Scanner().scan([" ".join([*words[:k], *gap, *words[k : 2 * k], *gap, *words[2 * k :]])])[0]
+    assert name in labels.split(",") and score > 0.95
+    assert sorted(x["first"] for x in spans if x["label"] == name) == [0, k + 20, 2 * k + 40]
