@@ -223,7 +223,10 @@ def first_entity_label(spark, sf):
     "men",
 )
 def head_role(spark, sf):
-    own = P.tree(spark, sf).withColumn("win", F.explode(F.array(*map(F.lit, range(4))))).where((F.col("pos") >= 3 * F.col("win")) & (F.col("pos") <= 3 * F.col("win") + 3))
+    longest = F.max("pos").over(Window.partitionBy("doc", "sentence_index"))
+    own = P.tree(spark, sf).withColumn("last", longest)
+    own = own.withColumn("win", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 3).cast("int"))))
+    own = own.where((F.col("pos") >= 3 * F.col("win")) & (F.col("pos") <= 3 * F.col("win") + 3))
     own = own.withColumns({"g": F.col("pos"), "head_g": F.col("head") - 1})
     return spans.head_role(own, ["doc", "sentence_index", "win"]).select("doc", "sentence_index", "win", F.col("grammatical_role").alias("role"))
 

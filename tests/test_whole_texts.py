@@ -1,7 +1,9 @@
 """Queries over texts give rows for the whole of them, held against SQL without the prefixes of the registered one."""
 
+import datetime
 import random
 
+import pandas as pd
 import pytest
 from conftest import compare
 
@@ -40,3 +42,17 @@ def test_windows_reach_the_last_sentence(spark, texts):
     out = registry.QUERIES["window_packing"](spark, texts)
     assert {r["doc"]: r["last"] for r in out.groupBy("doc").agg({"last_sentence": "max"}).toDF("doc", "last").collect()} == {1: 49, 2: 49, 3: 0}
     compare(out, whole, texts)
+
+
+@pytest.mark.parametrize("n_lines", [1, 4, 13, 17])
+def test_head_role_has_all_windows_of_a_sentence(spark, tmp_path, n_lines):
+    day = datetime.date(1995, 1, 1)
+    orders = pd.DataFrame([(1, 7, day)], columns=["o_orderkey", "o_custkey", "o_orderdate"])
+    lines = [(1, k, k, 1, 1.0, "ANR"[k % 3], "O", day) for k in range(1, n_lines + 1)]
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
+    orders.to_parquet(tmp_path / "orders.parquet")
+    pd.DataFrame(lines, columns=names).to_parquet(tmp_path / "lineitem.parquet")
+    out = registry.QUERIES["head_role"](spark, str(tmp_path))
+    assert sorted(r["win"] for r in out.collect()) == list(range((n_lines - 1) // 3 + 1))
+    reached = registry.ORACLE_SQL["head_role"].replace("range(0, 4)", "range(0, 99)")
+    compare(out, reached, str(tmp_path))
