@@ -53,16 +53,26 @@ def record_bytes(fields: dict[str, str], block: bytes) -> bytes:
     return VERSION + b"\r\n" + "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_fields(head: bytes) -> dict[str, str]:
-    """Header fields by lower-case name; folded lines are joined, the first of a name counts."""
-    out: dict[str, str] = {}
+def all_fields(head: bytes) -> dict[str, list[str]]:
+    """All values of the header fields by lower-case name, in order; folded lines are joined."""
+    out: dict[str, list[str]] = {}
     for line in re.sub(rb"\r?\n[ \t]+", b" ", head).splitlines():
         name, colon, value = line.partition(b":")
         if colon:
-            out.setdefault(name.strip().decode("latin-1").lower(), value.strip().decode("utf-8", "replace"))
+            out.setdefault(name.strip().decode("latin-1").lower(), []).append(value.strip().decode("utf-8", "replace"))
     return out
 
 
+def parse_fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; the first of a name counts."""
+    return {k: v[0] for k, v in all_fields(head).items()}
+
+
+def kept_fields(head: bytes) -> dict[str, str | list[str]]:
+    """Header fields by lower-case name, sorted: the value, or the list of them where a field is repeated."""
+    return {k: v if len(v) > 1 else v[0] for k, v in sorted(all_fields(head).items())}
+
+
 _END = re.compile(rb"\r?\n\r?\n")
 
 
@@ -157,9 +167,9 @@ def derivatives(record: bytes) -> list[tuple[dict[str, str], bytes]]:
         "conversion": conversion_id,
         "source-block-digest": source.get("warc-block-digest") or digest(block),
         "source-payload-digest": payload_digest,
-        "source-headers": {k: v for k, v in sorted(source.items())},
+        "source-headers": kept_fields(head),
         "http-status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None,
-        "http-headers": {k: v for k, v in sorted(http.items())},
+        "http-headers": kept_fields(http_head),
         "payload-length": len(payload),
         "text-length": len(text),
         "title": " ".join(html.unescape(title[1]).split()) if title else None,

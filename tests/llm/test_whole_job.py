@@ -1,12 +1,13 @@
 """What the corpus operators once left out: each test fails on a version that does less than the whole job."""
 
+import json
 import random
 from fractions import Fraction
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from spanwright.llm import html_main, licence_scan, pfair_mix
+from spanwright.llm import html_main, licence_scan, pfair_mix, warc
 
 PAGES = "page_id long, url string, html string"
 
@@ -103,3 +104,13 @@ def test_a_licence_in_pieces_keeps_its_label():
     *_, labels, score, spans = licence_scan.Scanner().scan([" ".join([*words[:k], *gap, *words[k : 2 * k], *gap, *words[2 * k :]])])[0]
     assert name in labels.split(",") and score > 0.95
     assert sorted(x["first"] for x in spans if x["label"] == name) == [0, k + 20, 2 * k + 40]
+
+
+# ---- WARC
+
+def test_metadata_keeps_repeated_headers():
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nSet-Cookie: a=1\r\nset-cookie: b=2\r\n\r\n<p>x</p>"
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:1>\r\nWARC-Concurrent-To: <urn:2>\r\nWARC-Concurrent-To: <urn:3>\r\nContent-Length: %d\r\n\r\n" % len(block)
+    about = json.loads(warc.derivatives(head + block)[1][1])
+    assert about["http-headers"]["set-cookie"] == ["a=1", "b=2"] and about["http-headers"]["content-type"] == "text/html"
+    assert about["source-headers"]["warc-concurrent-to"] == ["<urn:2>", "<urn:3>"] and about["source-headers"]["warc-type"] == "response"
