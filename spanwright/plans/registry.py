@@ -65,7 +65,7 @@ TABLES = {
         SELECT s.doc, s.i, s.k, feature, share AS g, 0 AS a, wshare AS wg, 0 AS wa FROM sides s JOIN p ON p.doc = s.doc AND p.i = s.i AND p.k = 0 WHERE s.k > 0
         UNION ALL SELECT doc, i, k, feature, 0, share, 0, wshare FROM p WHERE k > 0) GROUP BY ALL)""",
     "spans": """spans AS (SELECT item AS doc, zone::BIGINT AS span, zone % 2 AS w, zone % 8 AS cluster, char_start AS cs, coalesce(CASE zone % 3 WHEN 0 THEN char_end WHEN 1 THEN n1 ELSE n2 END, char_end) AS ce
-      FROM (SELECT *, lead(char_end, 1) OVER (PARTITION BY item ORDER BY zone) AS n1, lead(char_end, 2) OVER (PARTITION BY item ORDER BY zone) AS n2 FROM off WHERE zone <= 40))""",
+      FROM (SELECT *, lead(char_end, 1) OVER (PARTITION BY item ORDER BY zone) AS n1, lead(char_end, 2) OVER (PARTITION BY item ORDER BY zone) AS n2 FROM off))""",
     "grid": "grid AS (SELECT doc, sentence_index, cluster, string_agg(dep, ',' ORDER BY pos) AS roles FROM men GROUP BY ALL)",
 }
 
@@ -201,7 +201,7 @@ def overlap_join(spark, sf):
     return _span_pairs(spark, sf).select("doc", "span", "zone")
 
 
-@_sql("overlap_anti_nominals", "SELECT item AS doc, zone FROM off o WHERE zone <= 60 AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc = o.item AND s.span % 5 = 0 AND char_start < ce AND char_end > cs)", "spans")
+@_sql("overlap_anti_nominals", "SELECT item AS doc, zone FROM off o WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc = o.item AND s.span % 5 = 0 AND char_start < ce AND char_end > cs)", "spans")
 def overlap_anti_nominals(spark, sf):
     toks = P.offsets(spark, sf).select(F.col("item").alias("doc"), "zone", "char_start", "char_end")
     some = P.spans(spark, sf).where("span % 5 = 0")
@@ -217,7 +217,7 @@ def first_entity_label(spark, sf):
 
 @_sql(
     "head_role",
-    """, a AS (SELECT m.doc, m.sentence_index, w.win, pos, dep, (pos + 1) // 2 - 1 AS head FROM men m, (SELECT unnest(range(0, 4)) AS win) w WHERE pos BETWEEN 3 * win AND 3 * win + 3)
+    """, a AS (SELECT m.doc, m.sentence_index, w.win, pos, dep, (pos + 1) // 2 - 1 AS head FROM men m, (SELECT unnest(range(0, 1 + (SELECT max(pos) // 3 FROM men))) AS win) w WHERE pos BETWEEN 3 * win AND 3 * win + 3)
        SELECT doc, sentence_index, win::INT AS win, arg_min(dep, (CASE WHEN EXISTS (SELECT 1 FROM a b WHERE b.doc = a.doc AND b.sentence_index = a.sentence_index AND b.win = a.win AND b.pos = a.head) THEN 1000 ELSE 0 END) + pos) AS role
        FROM a GROUP BY doc, sentence_index, win""",
     "men",
@@ -263,7 +263,7 @@ def iou_pairs(spark, sf):
 @_sql(
     "stitch_components",
     f""", RECURSIVE_EDGES
-        SELECT doc, a AS span, min(b) AS stitched FROM reach GROUP BY doc, a""",
+        SELECT s.doc, s.span, l.stitched FROM spans s JOIN (SELECT r.doc, r.w, r.cluster, min(least) AS stitched FROM reach r JOIN part p ON p.doc = r.doc AND p.w = r.rw AND p.cluster = r.rc GROUP BY ALL) l USING (doc, w, cluster)""",
     "spans",
 )
 def stitch_components(spark, sf):
@@ -272,11 +272,11 @@ def stitch_components(spark, sf):
 
 ORACLE_SQL["stitch_components"] = ORACLE_SQL["stitch_components"].replace("WITH ", "WITH RECURSIVE ", 1).replace(
     " , RECURSIVE_EDGES",
-    f""", half AS (SELECT doc, min(span) OVER (PARTITION BY doc, w, cluster) AS a, span AS b FROM spans
-        UNION ALL SELECT a.doc, a.span, b.span FROM spans a JOIN spans b ON a.doc = b.doc AND a.span < b.span AND a.w <> b.w AND a.cs < b.ce AND a.ce > b.cs
+    f""", part AS (SELECT doc, w, cluster, min(span) AS least FROM spans GROUP BY ALL),
+        half AS (SELECT DISTINCT a.doc, a.w AS wa, a.cluster AS ca, b.w AS wb, b.cluster AS cb FROM spans a JOIN spans b ON a.doc = b.doc AND a.span < b.span AND a.w <> b.w AND a.cs < b.ce AND a.ce > b.cs
           WHERE {IOU} / ((a.ce - a.cs) + (b.ce - b.cs) - {IOU}) >= 0.5),
-        edge AS (SELECT DISTINCT doc, a, b FROM (SELECT doc, a, b FROM half UNION ALL SELECT doc, b, a FROM half)),
-        reach AS (SELECT doc, span AS a, span AS b FROM spans UNION SELECT r.doc, r.a, e.b FROM reach r JOIN edge e ON e.doc = r.doc AND e.a = r.b)""",
+        edge AS (SELECT * FROM half UNION SELECT doc, wb, cb, wa, ca FROM half),
+        reach AS (SELECT doc, w, cluster, w AS rw, cluster AS rc FROM part UNION SELECT r.doc, r.w, r.cluster, e.wb, e.cb FROM reach r JOIN edge e ON e.doc = r.doc AND e.wa = r.rw AND e.ca = r.rc)""",
 )
 
 
@@ -382,7 +382,7 @@ def _sentence_words(spark, sf):
 
 @_sql(
     "window_packing",
-    """, z AS (SELECT item AS doc, sentence_index AS i, count(*) AS n FROM zones GROUP BY ALL HAVING sentence_index < 30), m AS (SELECT doc, max(i) AS last FROM z GROUP BY doc),
+    """, z AS (SELECT item AS doc, sentence_index AS i, count(*) AS n FROM zones GROUP BY ALL), m AS (SELECT doc, max(i) AS last FROM z GROUP BY doc),
        r AS (SELECT a.doc, a.i AS first, greatest(a.i, coalesce(max(CASE WHEN b.total <= 40 THEN b.i END), a.i)) AS reach FROM z a JOIN (SELECT x.doc, x.i AS f, y.i, sum(y.n) OVER (PARTITION BY x.doc, x.i ORDER BY y.i) AS total
          FROM z x JOIN z y ON x.doc = y.doc AND y.i >= x.i) b ON b.doc = a.doc AND b.f = a.i GROUP BY a.doc, a.i),
        w AS (SELECT r.doc, 0 AS win, first, reach FROM r WHERE first = 0 UNION ALL SELECT w.doc, w.win + 1, r.first, r.reach FROM w JOIN m ON m.doc = w.doc AND w.reach < m.last JOIN r ON r.doc = w.doc AND r.first = greatest(w.first + 1, w.reach + 1 - 2))

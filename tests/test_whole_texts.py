@@ -1,4 +1,4 @@
-"""Queries over texts give rows for the whole of them, held against SQL without the prefixes of the registered one."""
+"""Queries over texts give rows for the whole of them, as their registered SQL does."""
 
 import datetime
 import random
@@ -25,7 +25,7 @@ def texts(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", SPAN_QUERIES)
 def test_spans_cover_whole_texts(spark, texts, name):
-    whole = registry.ORACLE_SQL[name].replace(" FROM off WHERE zone <= 40)", " FROM off)").replace("WHERE zone <= 60 AND", "WHERE")
+    whole = registry.ORACLE_SQL[name]
     assert "zone <=" not in whole
     compare(registry.QUERIES[name](spark, texts), whole, texts)
 
@@ -37,7 +37,7 @@ def test_nested_html_marks_whole_texts(spark, texts):
 
 
 def test_windows_reach_the_last_sentence(spark, texts):
-    whole = registry.ORACLE_SQL["window_packing"].replace(" HAVING sentence_index < 30", "")
+    whole = registry.ORACLE_SQL["window_packing"]
     assert "< 30" not in whole
     out = registry.QUERIES["window_packing"](spark, texts)
     assert {r["doc"]: r["last"] for r in out.groupBy("doc").agg({"last_sentence": "max"}).toDF("doc", "last").collect()} == {1: 49, 2: 49, 3: 0}
@@ -54,5 +54,4 @@ def test_head_role_has_all_windows_of_a_sentence(spark, tmp_path, n_lines):
     pd.DataFrame(lines, columns=names).to_parquet(tmp_path / "lineitem.parquet")
     out = registry.QUERIES["head_role"](spark, str(tmp_path))
     assert sorted(r["win"] for r in out.collect()) == list(range((n_lines - 1) // 3 + 1))
-    reached = registry.ORACLE_SQL["head_role"].replace("range(0, 4)", "range(0, 99)")
-    compare(out, reached, str(tmp_path))
+    compare(out, registry.ORACLE_SQL["head_role"], str(tmp_path))
