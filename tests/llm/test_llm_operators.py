@@ -254,9 +254,8 @@ def test_neighbours_are_found(spark, monkeypatch):
 # ---- pages
 
 def text_of(page):
-    blocks = html_main.parse(page)
-    best = [t for t, m, link, _ in blocks if t and m and not link] or [t for t, _, link, _ in blocks if t and not link]
-    return "\n".join(best)
+    p = html_main.Page(page)
+    return html_main.article_of(p.texts, p.roots, p.links, [True] * len(p.texts))
 
 
 def test_articles_are_cut_out():

@@ -30,10 +30,12 @@ def test_templates_inside_articles_go_and_copies_stay(spark):
     assert all(got[50 + i]["n_removed"] == 0 and len(got[50 + i]["text"].split("\n")) == 5 for i in range(4))
 
 
-def test_a_subtree_on_many_pages_is_a_template_below_the_share(spark):
+def test_a_subtree_on_many_pages_is_a_template_below_the_share(spark, monkeypatch):
     rows = [(i, "http://h/x", ("<div><p>section note</p></div>" if i < 6 else "") + f"<div><p>text {i}</p></div>") for i in range(40)]
-    blocks = html_main.parsed(spark.createDataFrame(rows, PAGES), "page_id", "url", "html").withColumnRenamed("url", "host")
-    assert html_main.site_templates(blocks, "host").count() == 0 and html_main.site_templates(blocks, "host", many=5).count() == 1
+    pages = spark.createDataFrame(rows, PAGES)
+    assert html_main.main_text(pages).where("n_removed > 0").count() == 0
+    monkeypatch.setattr(html_main.site_templates, "__defaults__", (3, 0.3, 5))
+    assert html_main.main_text(pages).where("n_removed > 0").count() == 6
 
 
 # ---- mixing
