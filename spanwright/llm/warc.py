@@ -10,10 +10,15 @@ shuffled and no task holds more than one record beside its batch.
 `read_records` reads WARC files (plain or gzip), `record_bytes` writes one record, and
 `responses_from_pages` wraps a table of pages.
 
+Chunked bodies and content codings (gzip, deflate, zstd and, where its library is installed, br) are
+undone before the text is taken. Headers of the source come as lines as they stand, and by name.
+Reading a file and deriving from a page both take time linear in it, however broken it is.
+
 Defined cases: null html is an empty payload, a null url an empty target URI; a record that is
-no response, or is broken, gives one row of type `error` and no derivative; repeated rows give
-repeated records. An empty table gives an empty result. Other columns are kept by `derive` only
-if they are named in `keep`.
+no response, is cut off, lies in a broken gzip member or has a body in an unknown coding gives one
+row of type `error` and no derivative; a body that ends early gives the text up to there; repeated
+rows give repeated records. An empty table gives an empty result. Other columns are kept by `derive`
+only if they are named in `keep`.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import html
+import itertools
 import json
 import re
 import uuid
@@ -35,6 +41,8 @@ VERSION = b"WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 #: Header fields of the source that a derivative repeats (fixed values).
 KEPT_FIELDS = ("WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type")
+#: Bytes of a file that are read at a time, and of records that a task holds before it hands them on.
+PIECE, HELD = 1 << 16, 16 << 20
 
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:spanwright:warc")
 
@@ -73,6 +81,12 @@ def kept_fields(head: bytes) -> dict[str, str | list[str]]:
     return {k: v if len(v) > 1 else v[0] for k, v in sorted(all_fields(head).items())}
 
 
+def header_lines(head: bytes) -> list[list[str]]:
+    """[name, value] of the header fields as they stand: order, case and repeats are kept, folded lines are joined."""
+    lines = (line.partition(b":") for line in re.sub(rb"\r?\n[ \t]+", b" ", head).splitlines())
+    return [[name.strip().decode("latin-1"), value.strip().decode("utf-8", "replace")] for name, colon, value in lines if colon]
+
+
 _END = re.compile(rb"\r?\n\r?\n")
 
 
@@ -82,58 +96,189 @@ def split_head(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return (data[at : end.start()], end.end()) if end else (data[at:], len(data))
 
 
+def inflated(data: bytes) -> Iterator[bytes | None]:
+    """The contents of a gzip file in pieces, member by member. None stands where a member is broken;
+    reading goes on at the next thing that looks like a member."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        inflate = zlib.decompressobj(31)
+        try:
+            while at < len(data) and not inflate.eof:
+                piece = view[at : at + PIECE]
+                out = inflate.decompress(piece)
+                at += len(piece) - len(inflate.unused_data)
+                if out:
+                    yield out
+            if not inflate.eof:
+                yield None
+        except zlib.error:
+            yield None
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+            if at < 0:
+                return
+
+
 def records(data: bytes) -> Iterator[bytes]:
-    """The records of a file, each with its header; a gzip file may hold a member for each record."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            inflate = zlib.decompressobj(31)
-            parts.append(inflate.decompress(data) + inflate.flush())
-            data = inflate.unused_data
-        data = b"".join(parts)
-    at = data.find(b"WARC/")
-    while at >= 0:
-        head, block = split_head(data, at)
-        size = parse_fields(head).get("content-length", "")
-        end = block + int(size) if size.isdigit() else len(data)
-        yield data[at:end]
-        at = data.find(b"WARC/", end)
+    """The records of a file, each with its header; a gzip file may hold a member for each record.
+
+    One pass, which holds the record at hand beside the file. A record that is cut off, has no length
+    or lies in a broken member comes as far as it can be read; `derivatives` tells it from whole ones.
+    """
+    held, need = bytearray(), 0
+    for piece in inflated(data) if data[:2] == b"\x1f\x8b" else (data[i : i + PIECE] for i in range(0, len(data), PIECE)):
+        held += piece or b""
+        if piece is None or len(held) >= need:
+            need = yield from _whole_records(held)
+        if piece is None:  # what is held can't be completed
+            yield bytes(held)
+            held.clear()
+            need = 0
+    yield from _whole_records(held)
+    if held.strip():
+        yield bytes(held)
+
+
+def _whole_records(held: bytearray) -> Iterator[bytes]:
+    """Take the whole records off the front of `held`; returns how long it must be for another try."""
+    while True:
+        begin = held.find(b"WARC/")
+        if begin < 0:
+            if not held.strip():
+                held.clear()
+            return 2 * len(held)
+        if held[:begin].strip():  # no record: handed on as it is
+            yield bytes(held[:begin])
+        del held[:begin]
+        end = _END.search(held)
+        if end is None:
+            return 2 * len(held)
+        size = parse_fields(bytes(held[: end.start()])).get("content-length", "")
+        upto = end.end() + (int(size) if size.isdigit() else 0)
+        if len(held) < upto:
+            return upto
+        yield bytes(held[:upto])
+        del held[:upto]
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, position, record (bytes) of WARC files; a file is the unit of work, as gzip can't be split."""
+    """file, position, record (bytes) of WARC files; a file (of less than 2 GB) is the unit of work, as gzip can't be split."""
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, r in enumerate(records(content)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([r], pa.binary())], names=["file", "position", "record"])
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                made, first, size = [], 0, 0
+                for r in itertools.chain(records(content.as_py()), [None]):
+                    if r is not None:
+                        made.append(r)
+                        size += len(r)
+                    if made and (r is None or size > HELD or len(made) >= 200):
+                        at = pa.array(range(first, first + len(made)), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(made)), at, pa.array(made, pa.binary())], names=["file", "position", "record"])
+                        first, made, size = first + len(made), [], 0
 
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
     return files.mapInArrow(run, "file string, position long, record binary")
 
 
+def unchunked(body: bytes) -> bytes:
+    """A chunked body in one piece; one that isn't chunked (archives may have undone it) as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\n", at, at + 4096)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            return b"".join(out) if out else body
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 1 : end + 1 + n])
+        at = end + 1 + n
+        at += 2 if body[at : at + 2] == b"\r\n" else 1
+
+
+def _inflate(body: bytes, bits: int) -> bytes:
+    d = zlib.decompressobj(bits)
+    return d.decompress(body) + d.flush()
+
+
+def decoded_body(body: bytes, codings: list[str]) -> bytes:
+    """A body without its content codings; one that is cut off comes as far as it goes. ValueError if a coding is unknown or does not fit."""
+    for coding in reversed([c.strip().lower() for value in codings for c in value.split(",") if c.strip()]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                body = b"".join(x for x in inflated(body) if x) if body[:2] == b"\x1f\x8b" else body
+            elif coding == "deflate":
+                try:
+                    body = _inflate(body, 15)
+                except zlib.error:
+                    body = _inflate(body, -15)
+            elif coding == "br":
+                import brotli
+
+                body = brotli.decompress(body)
+            elif coding == "zstd":
+                import zstandard
+
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            elif coding != "identity":
+                raise ValueError(f"content coding {coding} is unknown")
+        except ValueError:
+            raise
+        except Exception as e:  # each library has errors of its own, and one may be missing
+            raise ValueError(f"content coding {coding}: {e}") from e
+    return body
+
+
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body)|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|nav|header|footer|aside|main|form|blockquote|pre|hr|body)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>|<![^>]*>")
 _SPACE = re.compile(r"[^\S\n]+")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<(a|area|link|img|script|iframe)\b[^>]*?\s(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I | re.S)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_LINKING = re.compile(r"<(a|area|link|img|script|iframe)(?=[\s/])", re.I)
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_TARGET = re.compile(r"(?:^|\s)(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
+def closed(page: str) -> str:
+    """`page` with no open tag behind the last bracket, so that every tag that is looked for ends."""
+    last = page.rfind(">") + 1
+    return page[:last] + page[last:].partition("<!--")[0].replace("<", "&lt;")
+
+
 def plain_text(page: str) -> str:
-    """All visible text, one line per block."""
+    """All visible text of a closed page, one line per block."""
     page = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub("", page).replace("\r", " ").replace("\n", " ")))
     lines = (_SPACE.sub(" ", x).strip() for x in html.unescape(page).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def title_of(page: str) -> str | None:
+    begin = _TITLE.search(page)
+    end = _TITLE_END.search(page, begin.end()) if begin else None
+    return " ".join(html.unescape(page[begin.end() : end.start()]).split()) if end else None
+
+
+def links_of(page: str) -> list[dict[str, str]]:
+    """tag and url of the links of a closed page, in order; each tag is read once."""
+    out, at, quoted = [], 0, True
+    while m := _LINKING.search(page, at):
+        rest = _REST.match(page, m.end()) if quoted else None
+        if rest is None:  # a quote that never ends: from here on tags end at the next bracket
+            quoted, end = False, page.find(">", m.end())
+        else:
+            end = rest.end(1)
+        at = end + 1
+        if target := _TARGET.search(page[m.end() : end]):
+            out.append({"tag": m[1].lower(), "url": html.unescape(target[1].strip("\"'"))})
+    return out
+
+
 def _decoded(payload: bytes, content_type: str) -> str:
     found = _CHARSET.search(content_type) or _CHARSET.search(payload[:2048].decode("latin-1"))
     try:
         return payload.decode(found[1] if found else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, ValueError):
         return payload.decode("utf-8", "replace")
 
 
@@ -144,12 +289,16 @@ def derivatives(record: bytes) -> list[tuple[dict[str, str], bytes]]:
     if not record.startswith(b"WARC/") or source.get("warc-type") != "response" or not source.get("warc-record-id"):
         raise ValueError("no response record")
     size = source.get("content-length", "")
-    block = record[begin : begin + int(size)] if size.isdigit() else record[begin:]
+    if not size.isdigit() or len(record) - begin < int(size):
+        raise ValueError("the record is cut off or has no length")
+    block = record[begin : begin + int(size)]
     http_head, payload_at = split_head(block)
-    http = parse_fields(http_head)
+    http = all_fields(http_head)
     payload = block[payload_at:]
+    if any("chunked" in x.lower() for x in http.get("transfer-encoding", ())):
+        payload = unchunked(payload)
     payload_digest = source.get("warc-payload-digest") or digest(payload)
-    page = _decoded(payload, http.get("content-type", ""))
+    page = closed(_decoded(decoded_body(payload, http.get("content-encoding", [])), (http.get("content-type") or [""])[0]))
     of = source["warc-record-id"]
     linked = {
         "WARC-Target-URI": source.get("warc-target-uri", ""),
@@ -159,7 +308,6 @@ def derivatives(record: bytes) -> list[tuple[dict[str, str], bytes]]:
         "WARC-Refers-To-Date": source.get("warc-date") or DATE,
     } | {k: source[k.lower()] for k in KEPT_FIELDS if k.lower() in source}
     text = plain_text(page).encode("utf-8", "surrogatepass")
-    title = _TITLE.search(page)
     status = http_head.split(b"\r\n", 1)[0].decode("latin-1").split(" ", 2)
     conversion_id, metadata_id = record_id("conversion", of), record_id("metadata", of)
     about = {
@@ -169,11 +317,13 @@ def derivatives(record: bytes) -> list[tuple[dict[str, str], bytes]]:
         "source-payload-digest": payload_digest,
         "source-headers": kept_fields(head),
         "http-status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None,
+        "source-header-lines": header_lines(head),
         "http-headers": kept_fields(http_head),
+        "http-header-lines": header_lines(http_head),
         "payload-length": len(payload),
         "text-length": len(text),
-        "title": " ".join(html.unescape(title[1]).split()) if title else None,
-        "links": [{"tag": t.lower(), "url": html.unescape(u.strip("\"'"))} for t, u in _LINK.findall(page)],
+        "title": title_of(page),
+        "links": links_of(page),
     }
     meta = json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass")
     out = []
@@ -193,28 +343,28 @@ def derive(responses: DataFrame, record: str = "record", keep: list[str] | None
     own = ["record_type", "record_id", "refers_to", "target_uri", "block_digest", "source_digest"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{c} string" for c in own] + ["content_length long, error string, record binary"])
 
+    types = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.binary()]
+
     def run(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 200):
-                part = batch.slice(begin, 200)
-                at, rows = [], []
-                for i, r in enumerate(part.column(len(keep))):
-                    try:
-                        made = derivatives(r.as_py() or b"")
-                    except ValueError as e:
-                        at.append(i)
-                        rows.append(("error", None, None, None, None, None, 0, str(e), None))
-                        continue
-                    for f, body in made:
-                        at.append(i)
-                        rows.append(
-                            (f["WARC-Type"], f["WARC-Record-ID"], f["WARC-Refers-To"], f["WARC-Target-URI"], f["WARC-Block-Digest"], f["WARC-Source-Payload-Digest"], len(body), None)
-                            + (record_bytes(f, body) if with_bytes else None,)
-                        )
-                types = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.binary()]
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                kept_columns = [part.column(i).take(pa.array(at, pa.int64())) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept_columns, *columns], names=[*keep, *own, "content_length", "error", "record"])
+            at, rows, size = [], [], 0
+            for i in range(batch.num_rows):
+                try:
+                    made = derivatives(batch.column(len(keep))[i].as_py() or b"")
+                except ValueError as e:
+                    at.append(i)
+                    rows.append(("error", None, None, None, None, None, 0, str(e), None))
+                    made = []
+                for f, body in made:
+                    at.append(i)
+                    ids = (f["WARC-Type"], f["WARC-Record-ID"], f["WARC-Refers-To"], f["WARC-Target-URI"], f["WARC-Block-Digest"], f["WARC-Source-Payload-Digest"])
+                    rows.append((*ids, len(body), None, record_bytes(f, body) if with_bytes else None))
+                    size += len(body)
+                if rows and (i + 1 == batch.num_rows or len(rows) >= 400 or size > HELD):
+                    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    kept_columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*kept_columns, *columns], names=[*keep, *own, "content_length", "error", "record"])
+                    at, rows, size = [], [], 0
 
     out = responses.select(*keep, record).mapInArrow(run, schema)
     return out if with_bytes else out.drop("record")
