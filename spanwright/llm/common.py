@@ -22,14 +22,13 @@ _own_folder: dict[str, str] = {}
 def stage_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset.
 
-    Unset on a cluster, the warehouse stands in, as it is shared as well; a machine-local
-    temporary folder is used in local mode only.
+    Only in local mode is there a folder of our own: on a cluster nothing else is known to be shared.
     """
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
     if not (spark.sparkContext.master or "").startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="spanwright-")
@@ -58,12 +57,17 @@ def delete(spark: SparkSession, tables: list[str]) -> None:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write `df` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table is deleted when the driver ends, if not before.
+    """
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     for tables in _open_scratch:
         tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(table)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,6 +94,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def shielded(docs: DataFrame, names: set[str], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `f` keeps of `docs`, with their columns; those with `names` (in lower case) are out of its way meanwhile."""
+    away = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    return f(docs.withColumnsRenamed(away)).select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns])
+
+
 def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join `small` (unique on `keys`, no nulls in them) to `big`.
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, let, materialize
+from .common import attach, let, materialize, shielded
 
 #: Rule parameters of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -115,7 +115,7 @@ def host_rules(docs: DataFrame, host: str = "source", text: str = "text", keep_t
 
 def drop_failed(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The documents that the rules keep, with the columns of `docs`."""
-    return host_rules(docs, host, text).where("kept").select(*docs.columns)
+    return shielded(docs, {*RESULT, "host_rate", "host_kept", "kept"}, lambda own: host_rules(own, host, text).where("kept"))
 
 
 def op5_host_rules(spark, sf_dir):

@@ -141,8 +141,9 @@ def mix(
     kept = [c for c in docs.columns if c.lower() not in RESULT]
     if any(u < 1 for u in [*(weights or {}).values(), default]):
         raise ValueError("weights are whole units of at least 1")
+    order_by = [c for c in order_by or kept if c in kept]
     taken = F.col(size) if size else F.length(F.col(text))
-    named = docs.select(*kept, F.coalesce(F.col(source), F.lit("")).alias(key), F.coalesce(taken, F.lit(0)).cast("long").alias(chars), F.xxhash64(*(order_by or kept)).alias(order))
+    named = docs.select(*kept, F.coalesce(F.col(source), F.lit("")).alias(key), F.coalesce(taken, F.lit(0)).cast("long").alias(chars), F.xxhash64(*order_by).alias(order))
     found = named.groupBy(key).agg(F.count("*").alias("n"), F.sum(chars).alias("chars")).collect()
     rows = {r[key]: r["n"] for r in found}
     sizes = {r[key]: r["chars"] for r in found}
@@ -154,7 +155,7 @@ def mix(
     sums = materialize(named.groupBy(key, bucket).agg(F.sum(chars).alias("chars"), F.count("*").alias("n")), "mix_sums")
     earlier = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(key, bucket, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__before_{c}") for c in ("chars", "n")])
-    inside = Window.partitionBy(key, bucket).orderBy(order, *(order_by or [])).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, bucket).orderBy(order, *order_by).rowsBetween(Window.unboundedPreceding, -1)
     placed = named.withColumns({"__own_chars": F.coalesce(F.sum(chars).over(inside), F.lit(0)), "__own_n": F.count(F.lit(1)).over(inside)})
     placed = placed.join(before, [key, bucket])
     placed = placed.withColumn("mix_place", F.col("__before_n") + F.col("__own_n"))

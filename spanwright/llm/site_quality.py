@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialize
+from .common import attach, materialize, shielded
 
 #: Labelled documents that the classifier is fitted on at most.
 TRAINED = 20_000
@@ -198,7 +198,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with the columns of `docs`."""
-    return site_quality(docs, labels).where("kept").select(*docs.columns)
+    return shielded(docs, {*RESULT}, lambda own: site_quality(own, labels).where("kept"))
 
 
 def op3_site_quality(spark, sf_dir):
