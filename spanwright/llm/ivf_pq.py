@@ -3,17 +3,24 @@
 Coarse centroids and codebooks are fitted on a bounded sample of the vectors (TRAINED rows, by
 hash); every vector is indexed. A vector goes to the list of its nearest centroid and keeps a
 code of its residual, one byte per subspace. A query visits its nearest lists. In each it fills
-a table of distances between its residual and all codewords, ranks the list's codes by sums of
-table entries (asymmetric distances), and computes exact distances for the first ones.
+a table of distances between its residual and all codewords and sums table entries over the
+list's codes (asymmetric distances). The best codes of all its lists are reranked by exact
+distances on the original vectors.
 
-Lists are cut into shards and the queries of a list into blocks, so that a list with a third of
-all vectors is worked on by many tasks. Of equal vectors only the k + 1 with the smallest ids
-are indexed: no other can be among the k nearest of any query, as ties go to smaller ids.
+How many lists are visited follows from the data, not from their number: the fewest that hold
+COVERED of the true neighbours of CALIBRATING vectors of the sample (within it, which is sparser than
+the whole and so errs to more lists). Clustered vectors need a few lists, vectors without clusters many.
+
+Lists are dealt to groups of about GROUP codes (large lists are cut, small ones put together), and the
+queries of a group to blocks, so every task has bounded work, even if one list holds a third of all
+vectors. Only ids and codes travel to groups, and a query's vector once to each of its groups; whole
+vectors are joined to the RERANKED best candidates of each query. Of equal vectors only the k + 1 with
+the smallest ids are indexed: no other can be among the k nearest of any query, as ties go to smaller ids.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no
 part, nor do those without an id or of another length than most (ties: the shorter length);
-rows repeated with the same id and vector count once. An empty table gives an empty result.
-Other columns are ignored.
+an id with several vectors has the smallest of them, in the order of arrays. An empty table gives an
+empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import attach, materialize
 
 #: Vectors of the training sample, rounds of k-means, values of a subspace, codewords of each.
 TRAINED, ROUNDS, SUBSPACE, CODEWORDS = 20_000, 8, 4, 256
-#: Share of the lists that a query visits, codes of each list that are reranked exactly. The share
-#: is that of vectors without clusters, whose neighbours lie in many lists; clustered ones need less.
-PROBED, RERANKED = 0.6, 32
+#: Vectors of the sample whose neighbours tell how many lists to visit, and the share of those that must be met;
+#: candidates of a query that are reranked exactly.
+CALIBRATING, COVERED, RERANKED = 256, 0.97, 256
 MIN_LISTS, MAX_LISTS = 16, 4_096
-#: Vectors of a shard and queries of a block at most.
-SHARD, BLOCK = 4_096, 1_024
+#: Codes of a group and queries of a block at most.
+GROUP, BLOCK = 16_384, 256
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray, n: int = 1) -> np.ndarray:
@@ -56,9 +63,9 @@ def k_means(x: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarra
     centers = distinct[np.sort(rng.permutation(len(distinct))[:k])].copy()
     for _ in range(rounds if len(centers) == k else 0):
         at = _nearest(x, centers)[:, 0]
-        sums, n = np.zeros_like(centers, dtype=np.float64), np.bincount(at, minlength=len(centers))
-        np.add.at(sums, at, x)
+        n = np.bincount(at, minlength=len(centers))
         full = n > 0
+        sums = np.stack([np.bincount(at, weights=x[:, i], minlength=len(centers)) for i in range(x.shape[1])], axis=1)
         centers[full] = (sums[full] / n[full, None]).astype(x.dtype)
     return centers
 
@@ -87,32 +94,79 @@ class Quantizer:
             codes[:, p] = _nearest(residuals[:, p], book)[:, 0]
         return at, codes
 
-    def table(self, query: np.ndarray, which: int) -> np.ndarray:
-        """Squared distances of the query's residual in a list to all codewords, by subspace."""
-        residual = self._cut((query - self.centers[which])[None])[0]
-        out = np.full((self.parts, CODEWORDS), np.inf, np.float32)
+    def tables(self, queries: np.ndarray, which: int) -> np.ndarray:
+        """Squared distances of the queries' residuals in a list to all codewords, by subspace."""
+        residuals = self._cut(queries - self.centers[which])
+        out = np.full((len(queries), self.parts, CODEWORDS), np.inf, np.float32)
         for p, book in enumerate(self.books):
-            out[p, : len(book)] = ((book - residual[p]) ** 2).sum(1)
+            r = residuals[:, p]
+            out[:, p, : len(book)] = (r * r).sum(1)[:, None] - 2 * r @ book.T + (book * book).sum(1)
+        return out
+
+    def distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric distances (squared) of the queries to the codes (by subspace) of a list."""
+        tables = self.tables(queries, which)
+        out = tables[:, 0, codes[0]]
+        for p in range(1, len(codes)):
+            out += tables[:, p, codes[p]]
         return out
 
 
+def lists_needed(quantizer: Quantizer, sample: np.ndarray, k: int, covered: float) -> int:
+    """The fewest lists that hold `covered` of the k nearest neighbours that vectors of the sample have in it."""
+    asked = sample[:CALIBRATING]
+    if len(sample) <= 1:
+        return 1
+    d = _squares(asked, sample)
+    d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    lists = _nearest(sample, quantizer.centers)[:, 0]
+    order = _nearest(asked, quantizer.centers, len(quantizer.centers))
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(order.shape[1])[None], 1)
+    return int(np.quantile(np.take_along_axis(rank, lists[near], 1), covered, method="higher")) + 1
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
+
+
+def grouped(sizes: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(list, its first group, its groups) of lists with these sizes: large ones are cut, small ones share a group."""
+    out, group, held = [], 0, 0
+    for which, n in enumerate(sizes.tolist()):
+        if n > most:
+            group += held > 0
+            cuts = -(-n // (most // 2 or 1))  # by hash, so that cuts are uneven
+            out.append((which, group, cuts))
+            group, held = group + cuts, 0
+        elif n:
+            if held + n > most:
+                group, held = group + 1, 0
+            out.append((which, group, 1))
+            held += n
+    return out
+
+
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """id, v of the vectors that take part, all of one length."""
     v = F.col(vector)
     fits = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(v.isNotNull() & F.col(key).isNotNull()).where(F.coalesce(fits, F.lit(False)))
-    rows = rows.select(F.col(key).cast("long").alias("id"), v.cast("array<float>").alias("v"))
+    kind = "double" if vectors.schema[vector].dataType.elementType.typeName() == "double" else "float"
+    rows = rows.select(F.col(key).cast("long").alias("id"), v.cast(f"array<{kind}>").alias("v"))
     sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["size"] if sizes else 0))
+    rows = rows.where(F.size("v") == (sizes[0]["size"] if sizes else 0))
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float32) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding", probed: float = PROBED, reranked: int = RERANKED) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding", covered: float = COVERED, reranked: int = RERANKED) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found for each row whose id `every` divides."""
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
@@ -120,72 +174,92 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
     n = rows.count()
     if not n:
         return spark.createDataFrame([], result)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(TRAINED).select("v").collect()  # bounded by TRAINED
-    lists = min(MAX_LISTS, max(MIN_LISTS, math.isqrt(n)))
-    quantizer = Quantizer(np.array([r["v"] for r in sample], np.float32), lists)
-    lists = len(quantizer.centers)
-    probes = max(1, math.ceil(probed * lists))
+    sample = _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(TRAINED).select("v").toArrow().column("v"))  # bounded by TRAINED
+    quantizer = Quantizer(sample, min(MAX_LISTS, max(MIN_LISTS, math.isqrt(n))))
+    lists, probes = len(quantizer.centers), lists_needed(quantizer, sample, k, covered)
     shared = spark.sparkContext.broadcast(quantizer)
 
     def index(batches):
         for batch in batches:
             if batch.num_rows:
                 at, codes = shared.value.encode(_matrix(batch.column("v")))
-                raw = [c.tobytes() for c in codes]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(at.astype(np.int32)), pa.array(raw, pa.binary())], names=["id", "v", "list", "code"])
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(codes.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(at.astype(np.int32)), raw.cast(pa.binary())], names=["id", "list", "code"])
 
-    distinct = rows.distinct()
-    first = distinct.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "v")
-    indexed = materialize(first.mapInArrow(index, "id long, v array<float>, list int, code binary"), "index")
-    # How many vectors each list holds, and how finely it is cut; at most MAX_LISTS rows reach the driver.
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "v")
+    indexed = materialize(first.mapInArrow(index, "id long, list int, code binary"), "index")
+    # How many codes each list holds, and the groups that has them; at most MAX_LISTS rows reach the driver.
     size = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     in_list = np.array([size.get(i, 0) for i in range(lists)], np.int64)
+    groups = grouped(in_list, GROUP)
+    place = {which: range(begin, begin + cuts) for which, begin, cuts in groups}
 
     def visits(batches):
         for batch in batches:
-            if batch.num_rows:
-                near = _nearest(_matrix(batch.column("v")), shared.value.centers, lists)
-                # A query goes on until the lists it visits hold enough, be the share reached or not.
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                near = _nearest(_matrix(part.column("v")), shared.value.centers, lists)
+                # A query goes on until the lists it visits hold enough, be their number reached or not.
                 enough = (np.cumsum(in_list[near], axis=1) <= k).sum(1) + 1
-                taken = np.minimum(np.maximum(enough, probes), lists)
-                row = np.repeat(np.arange(batch.num_rows), taken)
-                which = np.concatenate([x[:m] for x, m in zip(near, taken, strict=True)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(which)], names=["id", "v", "list"])
-
-    asked = materialize(rows.where(F.col("id") % every == 0).distinct().mapInArrow(visits, "id long, v array<float>, list int"), "visits")
-    visited = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    cuts = [(i, -(-size[i] // SHARD), -(-visited[i] // BLOCK)) for i in size if i in visited]
-    cuts = F.broadcast(spark.createDataFrame(cuts, "list int, shards int, blocks int"))
-    cut = lambda of, c: F.pmod(F.xxhash64(F.col(of)), F.col(c)).cast("int")
-    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = indexed.join(cuts, "list").withColumn("shard", cut("id", "shards")).withColumn("block", each("blocks")).drop("shards", "blocks")
-    right = asked.join(cuts, "list").withColumn("block", cut("id", "blocks")).withColumn("shard", each("shards")).drop("shards", "blocks")
-
-    def search(key_, ours: pa.Table, queries: pa.Table) -> pa.Table:
-        found = {"query_id": [], "vec_id": [], "score": []}
-        if ours.num_rows and queries.num_rows:
-            ids = ours.column("id").to_numpy()
-            order = np.argsort(ids, kind="stable")  # so that ties of codes go to smaller ids
-            ids, v = ids[order], _matrix(ours.column("v"))[order].astype(np.float64)
+                at, where, which = [], [], []
+                for j, (order, m) in enumerate(zip(near, np.minimum(np.maximum(enough, probes), lists).tolist(), strict=True)):
+                    own: dict[int, list[int]] = {}
+                    for x in order[:m].tolist():
+                        for g in place.get(x, ()):
+                            own.setdefault(g, []).append(x)
+                    at += [j] * len(own)
+                    where += own.keys()
+                    which += own.values()
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("v").take(take), pa.array(where, pa.int64()), pa.array(which, pa.list_(pa.int32()))], names=["id", "v", "group", "lists"])
+
+    kind = rows.schema["v"].dataType.simpleString()
+    queries = rows.where(F.col("id") % every == 0)
+    asked = materialize(queries.mapInArrow(visits, f"id long, v {kind}, group long, lists array<int>"), "visits")
+    blocks = materialize(asked.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    at = F.broadcast(spark.createDataFrame(groups, "list int, begin long, cuts int"))  # a row for each list
+    left = indexed.join(at, "list").select("id", "list", "code", (F.col("begin") + F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("group"))
+    left = attach(left, blocks, ["group"], "inner").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = attach(asked, blocks, ["group"], "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+
+    def search(ours: pa.Table, asked: pa.Table) -> pa.Table:
+        found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        if ours.num_rows and asked.num_rows:
+            which = ours.column("list").to_numpy()
+            order = np.lexsort((ours.column("id").to_numpy(), which))  # so that ties of codes go to smaller ids
+            which, ids = which[order], ours.column("id").to_numpy()[order]
             codes = np.frombuffer(b"".join(ours.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.astype(np.int64)
-            for q, x in zip(queries.column("id").to_pylist(), _matrix(queries.column("v")), strict=True):
-                table = shared.value.table(x, key_[0].as_py())
-                d = table[0][codes[0]]
-                for p in range(1, len(codes)):
-                    d = d + table[p][codes[p]]
-                d[ids == q] = np.inf
-                best = np.argsort(d, kind="stable")[:reranked] if len(d) <= 4 * reranked else _smallest(d, reranked)
-                exact = np.sqrt(((v[best] - x.astype(np.float64)) ** 2).sum(1))
-                ranked = [j for j in np.lexsort((ids[best], exact)) if ids[best][j] != q][:k]
-                found["query_id"] += [q] * len(ranked)
-                found["vec_id"] += ids[best][ranked].tolist()
-                found["score"] += exact[ranked].tolist()
-        return pa.table({"query_id": pa.array(found["query_id"], pa.int64()), "vec_id": pa.array(found["vec_id"], pa.int64()), "score": pa.array(found["score"], pa.float64())})
-
-    keys = ["list", "shard", "block"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            x, q = _matrix(asked.column("v")), asked.column("id").to_numpy()
+            d = np.full((len(q), len(ids)), np.inf, np.float32)
+            visiting: dict[int, list[int]] = {}
+            for j, own in enumerate(asked.column("lists").to_pylist()):
+                for w in own:
+                    visiting.setdefault(w, []).append(j)
+            for w, js in visiting.items():
+                a, b = np.searchsorted(which, (w, w + 1))
+                if a < b:
+                    d[np.array(js), a:b] = shared.value.distances(x[js], w, codes[:, a:b])
+            d[q[:, None] == ids[None]] = np.inf
+            for j, row in enumerate(d):
+                best = _smallest(row, reranked) if len(row) > reranked else np.arange(len(row))
+                best = best[np.isfinite(row[best])]
+                found[0].append(np.full(len(best), q[j], np.int64)), found[1].append(ids[best]), found[2].append(row[best])
+        return pa.table(dict(zip(("query_id", "vec_id", "near"), map(np.concatenate, found), strict=True)))
+
+    keys = ["group", "block"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, near float")
+    rank = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by, "vec_id"))
+    near = near.withColumn("at", rank("near")).where(F.col("at") <= reranked).select("query_id", "vec_id")
+
+    def exact(batches):
+        for batch in batches:
+            d = _matrix(batch.column("x"), np.float64) - _matrix(batch.column("y"), np.float64) if batch.num_rows else np.empty((0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(np.sqrt((d * d).sum(1)))], names=["query_id", "vec_id", "score"])
+
+    pairs = near.join(rows.select(F.col("id").alias("vec_id"), F.col("v").alias("y")), "vec_id")
+    pairs = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("x")), "query_id")
+    scored = pairs.select("query_id", "vec_id", "x", "y").mapInArrow(exact, "query_id long, vec_id long, score double")
+    return scored.withColumn("rank", rank("score")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _smallest(d: np.ndarray, n: int) -> np.ndarray:

@@ -226,7 +226,7 @@ def test_classifier_and_shrinkage(spark, docs, empty):
 # ---- nearest neighbours
 
 def test_neighbours_are_found(spark, monkeypatch):
-    monkeypatch.setattr(ivf_pq, "SHARD", 100)
+    monkeypatch.setattr(ivf_pq, "GROUP", 100)
     monkeypatch.setattr(ivf_pq, "BLOCK", 2)
     rng = np.random.default_rng(4)
     v = rng.normal(size=(600, 10)).astype(np.float32)
