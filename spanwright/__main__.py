@@ -36,9 +36,18 @@ def _parser() -> argparse.ArgumentParser:
     b.add_argument("--coref-overlap-sents", type=int, default=3)
     b.add_argument("--context-window", type=int)
     b.add_argument("--per-subject-rts")
+    a = sub.add_parser("surprisal", help="surprisal of every word of a token file behind its context")
+    a.add_argument("--tok", required=True)
+    a.add_argument("--model-name-or-path", default="openai-community/gpt2", help="a language model, or counts:PATH of a word and count table")
+    a.add_argument("--window-size", type=int, default=128)
+    a.add_argument("--stride", type=int, default=1)
+    a.add_argument("--batch-size", type=int, default=16)
+    a.add_argument("--device", default="cpu")
+    a.add_argument("--out-file", required=True)
     a = sub.add_parser("audit", help="one page of chains from sentence records")
     a.add_argument("--in", dest="source", required=True)
     a.add_argument("--out", required=True)
+    a.add_argument("--page-per-story", action="store_true")
     a = sub.add_parser("templates", help="annotation templates from a parse")
     a.add_argument("--ud-conll", required=True)
     a.add_argument("--out", required=True)
@@ -61,8 +70,18 @@ def _factory(args: argparse.Namespace):
     return functools.partial(annotators.build, args.coref, **{k: v for k, v in options.items() if v is not None})
 
 
-def main() -> None:
-    args = _parser().parse_args()
+def _scorer(spark: SparkSession, name: str, device: str):
+    from .annotators.scorers import CountScorer, LanguageModel
+
+    if not name.startswith("counts:"):
+        return functools.partial(LanguageModel, name, device)
+    counts = spark.read.schema("word string, n double").option("sep", "\t").option("quote", "").csv(name.removeprefix("counts:"))
+    table = {r["word"]: r["n"] for r in counts.where("word IS NOT NULL").groupBy("word").agg({"n": "sum"}).toDF("word", "n").collect()}  # a vocabulary
+    return functools.partial(CountScorer, table)
+
+
+def main(argv: list[str] | None = None) -> None:
+    args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("spanwright").getOrCreate()
     if args.command == "stories":
         tok, info, parse = corpus_paths(args.repo, args.tok, args.wordinfo, args.ud_conll)
@@ -80,8 +99,15 @@ def main() -> None:
         subjects = readers.read_subject_rts(spark, args.per_subject_rts) if args.per_subject_rts else None
         stories = readers.read_jsonl(spark, args.source, S.STORY)
         sinks.write_jsonl(pipelines.annotate_stories(stories, _factory(args), args.context_window, subjects, args.coref_max_words, args.coref_overlap_sents), args.out)
+    elif args.command == "surprisal":
+        scored = pipelines.score_stories(readers.read_tokens(spark, args.tok), _scorer(spark, args.model_name_or_path, args.device), args.window_size, args.stride, args.batch_size)
+        sinks.write_surprisal(scored, args.out_file)
     elif args.command == "audit":
-        print(sinks.write_page(pipelines.audit_stories(readers.read_jsonl(spark, args.source, S.SENTENCE_RECORD)), args.out), "stories")
+        stories = pipelines.audit_stories(readers.read_jsonl(spark, args.source, S.SENTENCE_RECORD))
+        if args.page_per_story:
+            sinks.write_pages(stories, args.out)
+        else:
+            print(sinks.write_page(stories, args.out), "stories")
     else:
         annotation.write_templates(annotation.annotation_template(readers.read_conllx(spark, args.ud_conll)), args.out)
 

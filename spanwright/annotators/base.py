@@ -6,6 +6,8 @@ libraries are imported by their factories only, so that none is needed for the o
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Callable
 from typing import NamedTuple, Protocol
 
@@ -42,6 +44,17 @@ def build(name: str, **options) -> Annotator:
     return _factories[name](**options)
 
 
+_models: dict[str, object] = {}
+
+
+def built(factory: bytes):
+    """What a pickled factory builds: once in a worker process, however many tasks ask for it."""
+    key = hashlib.sha256(factory).hexdigest()
+    if key not in _models:
+        _models[key] = pickle.loads(factory)()
+    return _models[key]
+
+
 def valid_spans(text: str, offsets: list[tuple[int, int]], clusters: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
     """Character spans of clusters given as token ranges with inclusive ends; ranges outside the tokens are left out."""
     n = len(offsets)

@@ -9,16 +9,19 @@ from ..functions.text import candidates, find
 
 
 def token_offsets(tokens: DataFrame, item: str = "item", zone: str = "zone", word: str = "word") -> DataFrame:
-    """char_start and char_end of each word in the text that joins an item's words by one space."""
-    before = Window.partitionBy(item).orderBy(zone).rowsBetween(Window.unboundedPreceding, -1)
+    """char_start and char_end of each word in the text that joins an item's words by one space; repeated
+    zones stand in the order of `pos`, where there is such a column."""
+    before = Window.partitionBy(item).orderBy(zone, *["pos"] * ("pos" in tokens.columns)).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length(word) + 1).over(before), F.lit(0)).cast("int")
     return tokens.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length(word))
 
 
 def story_text(tokens: DataFrame, item: str = "item", zone: str = "zone", word: str = "word") -> DataFrame:
     """One row per item: its text, and its tokens in order as structs."""
-    rest = [c for c in tokens.columns if c not in (item, zone)]
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(zone), *rest)))
+    places = [c for c in ("char_start", "pos") if c in tokens.columns]
+    rest = [c for c in tokens.columns if c not in (item, zone, "pos")]
+    rows = F.array_sort(F.collect_list(F.struct(F.struct(zone, *places).alias("at"), F.struct(F.col(zone), *rest).alias("token"))))
+    ordered = F.transform(rows, lambda r: r["token"])
     stories = tokens.groupBy(item).agg(ordered.alias("tokens"))
     return stories.withColumn("text", F.array_join(F.transform("tokens", lambda t: t[word]), " ")).withColumn("n_tokens", F.size("tokens"))
 

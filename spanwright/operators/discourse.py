@@ -86,3 +86,35 @@ def target_mentions(mentions: DataFrame, sentences: DataFrame, doc: str = "doc")
     sentence = slice_chars(F.col("text"), F.col("cs"), F.col("ce"))
     own = own.withColumns({"char_start": start, "char_end": end}).withColumn("mention_text", slice_chars(sentence, F.col("char_start"), F.col("char_end")))
     return own.drop("text", "cs", "ce")
+
+
+def target_tokens(tokens: DataFrame, sentences: DataFrame, doc: str = "doc") -> DataFrame:
+    """Parse tokens in the coordinates of their sentence: i, head (places among its tokens; -1 without), char_start, char_end.
+
+    `tokens` have g, head_g, char_start, char_end and sentence_index; `sentences` char_start and token_gids. Sentences
+    without a place have none.
+    """
+    own = sentences.where(F.col("char_start").isNotNull()).select(doc, "sentence_index", F.col("char_start").alias("cs"), "token_gids")
+    own = tokens.join(own, [doc, "sentence_index"])
+    place = lambda g: (F.coalesce(F.array_position("token_gids", F.col(g)), F.lit(0)) - 1).cast("int")
+    local = {"i": place("g"), "head": place("head_g"), "char_start": F.col("char_start") - F.col("cs"), "char_end": F.col("char_end") - F.col("cs")}
+    return own.withColumns(local).drop("cs", "token_gids")
+
+
+def target_entities(entities: DataFrame, sentences: DataFrame, tokens: DataFrame, doc: str = "doc") -> DataFrame:
+    """Entities (char_start, char_end and others) that lie in one sentence, in its coordinates, with their text and gold role.
+
+    `sentences` have text (of the document), char_start and char_end; entities that straddle them are left out.
+    """
+    from .spans import head_role, overlap_join
+
+    names = [c for c in entities.columns if c != doc]
+    whole = sentences.select(doc, "sentence_index", "text", F.col("char_start").alias("cs"), F.col("char_end").alias("ce"))
+    ours = entities.withColumns({"es": F.col("char_start"), "ee": F.col("char_end")})
+    inside = overlap_join(ours, whole, [doc], ("es", "ee"), ("cs", "ce")).where((F.col("es") >= F.col("cs")) & (F.col("ee") <= F.col("ce")))
+    toks = tokens.select(doc, "g", "dep", "head_g", F.col("char_start").alias("ts"), F.col("char_end").alias("te"))
+    spans = entities.select(doc, F.col("char_start").alias("es"), F.col("char_end").alias("ee")).distinct()
+    roles = head_role(overlap_join(spans, toks, [doc], ("es", "ee"), ("ts", "te")), [doc, "es", "ee"]).select(doc, "es", "ee", "grammatical_role")
+    out = inside.join(roles, [doc, "es", "ee"], "left").withColumn("entity_text", slice_chars(F.col("text"), F.col("es"), F.col("ee")))
+    out = out.withColumns({"char_start": F.col("es") - F.col("cs"), "char_end": F.col("ee") - F.col("cs")})
+    return out.select(doc, "sentence_index", *names, "entity_text", "grammatical_role")

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 
 def analysis_table(rts: DataFrame, surprisal: DataFrame, freqs: DataFrame, iv: DataFrame) -> DataFrame:
-    """Reading times with surprisal and frequency of their word and the scores of their sentence; missing ones null."""
+    """Reading times with surprisal and frequency of their word and the scores of their sentence, missing ones null,
+    and word_length, where the reading times have words."""
+    rts = rts.withColumn("word_length", F.length("word")) if "word" in rts.columns else rts
     return rts.join(surprisal, ["item", "zone"], "left").join(freqs, ["item", "zone"], "left").join(iv, ["item", "sentence_id"], "left")
 
 
@@ -42,6 +44,21 @@ def log_frequency(df: DataFrame, freq: str = "freq") -> DataFrame:
     return df.withColumn("log_freq", F.log(F.col(freq) + 1))
 
 
+def log_frequency_summary(df: DataFrame, freq: str = "freq") -> DataFrame:
+    """least, greatest: of the log of freq + 1 over rows that have one; mean_z: the mean of its z-scores, 0 but for rounding."""
+    own = z_scores(log_frequency(df.dropna(subset=[freq]), freq), ["log_freq"], "_z", keep_missing=True)
+    return own.agg(F.min("log_freq").alias("least"), F.max("log_freq").alias("greatest"), F.avg("log_freq_z").alias("mean_z"))
+
+
+#: Stories that models are fitted on.
+TRAINING_ITEMS = (1, 3, 5, 7, 9)
+
+
+def training_rows(df: DataFrame, items: tuple[int, ...] = TRAINING_ITEMS, needed: tuple[str, ...] = ("freq",)) -> DataFrame:
+    """The rows of the training stories that have what is needed."""
+    return df.where(F.col("item").isin(*items)).dropna(subset=[c for c in needed if c in df.columns])
+
+
 def cell_means(df: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
     """Means per cell of the numeric columns between two columns, both included."""
     names = df.columns

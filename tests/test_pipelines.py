@@ -1,11 +1,15 @@
 """Files in, records out: readers, the story and item pipelines, the stream, the audit page."""
 
 import json
+import math
+import re
 
 from pyspark.sql import functions as F
 
 from spanwright import annotators
+from spanwright import schemas as S
 from spanwright.annotators.rules import Precomputed, RuleAnnotator
+from spanwright.annotators.scorers import CountScorer
 from spanwright.plans import pipelines
 from spanwright.sources import annotation, readers, sinks
 from spanwright.streaming.items import annotate_stream
@@ -35,7 +39,10 @@ def test_stories_and_sentences(spark, tmp_path):
     assert story["text"] == " ".join(WORDS) and story["n_tokens"] == 5 and story["doc_id"] == "naturalstories_1"
     assert [(t["form"], t["char_start"], t["char_end"], t["head_g"]) for t in story["ud_tokens"]][2:5] == [("John", 9, 13, 1), (".", 13, 14, 1), ("She", 15, 18, 5)]
     assert story["tokens"][0]["mean_rt"] == 110 and story["tokens"][1]["gmean_rt"] is None
-    out = pipelines.annotate_stories(stories, fixed(), context_window=1, subject_rts=readers.read_subject_rts(spark, subj)).orderBy("sentence_index").collect()
+    done = pipelines.annotate_stories(stories, fixed(), context_window=1, subject_rts=readers.read_subject_rts(spark, subj))
+    sinks.write_jsonl(done, str(tmp_path / "records"))
+    records = readers.read_jsonl(spark, str(tmp_path / "records"), S.SENTENCE_RECORD)
+    out = records.orderBy("sentence_index").collect()
     first, second = out
     assert (first["target"], first["context"], second["context"]) == ("Mary saw John.", "", "Mary saw John.")
     assert first["reading_time_sum_mean"] == 310 and second["reading_time_sum_mean"] is None
@@ -43,10 +50,16 @@ def test_stories_and_sentences(spark, tmp_path):
     assert (second["given_entities"], second["new_entities"], first["new_entities"]) == ([0], [], [0, 1])
     assert second["target_mentions"][0]["text"] == "She" and first["target_mentions"][0]["ner_label"] == "PER"
     assert first["reading_times_by_subject"]["w1"]["rt_sum"] == 300.5 and list(second["reading_times_by_subject"]) == ["w2"]
-    audit = pipelines.audit_stories(spark.createDataFrame(out))
+    audit = pipelines.audit_stories(records)
     assert sinks.write_page(audit, str(tmp_path / "page.html")) == 1
     page = (tmp_path / "page.html").read_text()
-    assert "1 chains · 1 singletons" in page and 'class="m sing"' in page and "--h:0.0" in page and "None" not in page
+    assert "1 entities with several mentions, 1 with one, 0 nouns and pronouns outside all mentions" in page
+    assert 'class="lone"' in page and "--hue:0.0" in page and "None" not in page
+    target = first["segments"]["target"]
+    assert [(t["form"], t["i"], t["head"], t["char_start"], t["char_end"], t["zone"]) for t in target["tokens"]][1:3] == [("saw", 1, -1, 5, 8, 2), ("John", 2, 1, 9, 13, 3)]
+    assert [tuple(e) for e in target["entities"]] == [("Mary", "PER", 0, 4, "nsubj")] and first["segments"]["context"]["text"] == ""
+    assert [(t["form"], t["head"], t["char_start"]) for t in second["segments"]["target"]["tokens"]] == [("She", 1, 0), ("waved", -1, 4), (".", 1, 9)]
+    assert first["dataset"] == "naturalstories" and first["error"] is None
     sinks.write_jsonl(stories, str(tmp_path / "stories"))
     line = json.loads(next(p for p in (tmp_path / "stories").glob("part-*") if p.stat().st_size).read_text().splitlines()[0])
     assert line["tokens"][2]["mean_rt"] is None and "mean_rt" in line["tokens"][2]
@@ -60,6 +73,39 @@ def test_windows_of_a_story_are_stitched(spark, tmp_path):
     assert [r["entity_grid"] for r in whole] == [r["entity_grid"] for r in cut]
 
 
+def test_several_windows_of_a_story(spark):
+    """Mary is in all sentences, so windows that share one join up; Zed is only in the first window, Yan in the last."""
+    texts = ["Then Mary saw Zed.", "Later Mary slept here.", "Then she met Mary now.", "So Mary saw Yan."]
+    words = [(1, i, w) for i, w in enumerate(" ".join(texts).split(), 1)]
+    tokens = spark.createDataFrame(words, "item int, zone int, word string")
+    stats = spark.createDataFrame([(1, 1, 1.0, 1.0)], "item int, zone int, mean_rt double, gmean_rt double")
+    zone, parse = 0, []
+    for s, t in enumerate(texts):
+        for k, w in enumerate(t.split()):
+            zone += 1
+            parse.append((1, s, k, k + 1, w, "NN", 0 if k == 0 else 1, "root" if k == 0 else "dep", zone))
+    parse = spark.createDataFrame(parse, "item int, sentence_index int, pos int, id int, form string, tag string, head int, dep string, zone int")
+    stories = pipelines.build_stories(tokens, stats, parse)
+
+    class Names(RuleAnnotator):
+        def clusters(self, text):
+            found = {n: [(m.start(), m.end()) for m in re.finditer(n, text)] for n in ("Mary", "Zed", "Yan")}
+            return [c for c in found.values() if c]
+
+    rows = pipelines.annotate_stories(stories, Names, max_words=9, overlap=1).orderBy("sentence_index").collect()
+    found = [[(m["text"], m["cluster_id"]) for m in r["target_mentions"]] for r in rows]
+    assert [[t for t, _ in f] for f in found] == [["Mary", "Zed"], ["Mary"], ["Mary"], ["Mary", "Yan"]]
+    ids = {t: {c for f in found for x, c in f if x == t} for t in ("Mary", "Zed", "Yan")}
+    assert all(len(x) == 1 for x in ids.values()) and len(set.union(*ids.values())) == 3
+
+    class Broken(Names):
+        def parse(self, text):
+            raise RuntimeError("no parser")
+
+    failed = pipelines.annotate_stories(stories, Broken).collect()
+    assert len(failed) == 4 and {r["error"] for r in failed} == {"no parser"} and failed[0]["segments"]["target"]["entities"] == []
+
+
 def test_items(spark):
     items = spark.createDataFrame([("A1", "Mary slept.", "She woke.", None, ["Then Mary ran.", "It rained."]), ("A2", None, "Mary left\nMary.", "Bye", [])], "id string, context string, target string, post_context string, alternatives array<string>")
     done = {r["id"]: r for r in pipelines.annotate_items(items, RuleAnnotator, turn_sep="\n").collect()}
@@ -75,7 +121,9 @@ def test_items(spark):
     failed = pipelines.annotate_items(items, Broken).first()
     assert failed["error"] == "no model" and failed["coref_clusters"] == []
     rows = {r["id"]: r for r in pipelines.annotate_alternatives(items, RuleAnnotator, "id").collect()}
-    assert [json.loads(x)["text"] for x in rows["A1"]["alternatives_annotated"]] == ["Then Mary ran.", "It rained."]
+    done = rows["A1"]["alternatives_annotated"]
+    assert [x["text"] for x in done] == ["Then Mary ran.", "It rained."] and done[0]["segments"]["target"]["text"] == "Then Mary ran."
+    assert done[0]["coref_clusters"][0]["mentions"][0]["text"] == "Mary" and done[0]["error"] is None
 
 
 def test_stream_gives_the_batch_result(spark, tmp_path):
@@ -89,8 +137,23 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
 
 def test_scores(spark):
     tokens = spark.createDataFrame([(1, i, w) for i, w in enumerate(WORDS, 1)], "item int, zone int, word string")
-    out = pipelines.score_stories(tokens, lambda: lambda texts: [float(len(t.split())) for t in texts], size=2).orderBy("zone").collect()
-    assert [r["surprisal"] for r in out] == [1.0, 2.0, 3.0, 3.0, 3.0] and [r["sentence_id"] for r in out] == [1, 1, 1, 2, 2]
+
+    class Letters:
+        """A piece for each letter; the last piece of a stimulus tells how many there are."""
+
+        def pieces(self, words):
+            return [len(w) for w in words]
+
+        def scores(self, texts):
+            return [[("Ġ" + t.split()[0], -100.0), ("Ġx", -float(len(t.split()))), ("y", -0.5)] for t in texts]
+
+    out = pipelines.score_stories(tokens, Letters, size=6).orderBy("zone").collect()
+    # Contexts: none; Mary; saw Mary; John. saw (8 letters); She John.
+    assert [r["surprisal"] for r in out] == [1.5, 2.5, 3.5, 3.5, 3.5] and [r["sentence_id"] for r in out] == [1, 1, 1, 2, 2]
+    by_words = pipelines.score_stories(tokens, lambda: CountScorer({"saw": 3.0}), size=3, stride=2).orderBy("zone").collect()
+    assert [round(r["surprisal"], 6) for r in by_words] == [round(-math.log2(x / 5), 6) for x in (1, 4, 1, 1, 1)]
+    texts = [r["stimulus"] for r in pipelines.stimuli_of(tokens.selectExpr("item", "zone - 1 AS i", "word", "1 AS pieces"), 4, 2).orderBy("i").collect()]
+    assert texts == ["Mary", "Mary saw", "saw John.", "Mary John. She", "saw She waved."]
 
 
 def test_manual_annotation(spark, tmp_path):
