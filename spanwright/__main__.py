@@ -80,13 +80,18 @@ def _scorer(spark: SparkSession, name: str, device: str):
     return functools.partial(CountScorer, table)
 
 
+def _report(out, path: str, **metrics) -> None:
+    """Write JSON lines, and print what was written."""
+    print(sinks.counted(out, lambda df: sinks.write_jsonl(df, path), **metrics))
+
+
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("spanwright").getOrCreate()
     if args.command == "stories":
         tok, info, parse = corpus_paths(args.repo, args.tok, args.wordinfo, args.ud_conll)
         out = pipelines.build_stories(readers.read_tokens(spark, tok), readers.read_rt_stats(spark, info), readers.read_conllx(spark, parse))
-        sinks.write_jsonl(out, args.out)
+        _report(out, args.out)
     elif args.command == "items":
         items = readers.read_jsonl(spark, args.source, S.ITEM)
         out = pipelines.annotate_items(items, _factory(args), args.turn_sep)
@@ -94,11 +99,12 @@ def main(argv: list[str] | None = None) -> None:
             keyed = items.withColumn("key", pipelines.F.xxhash64("context", "target", "post_context"))
             more = pipelines.annotate_alternatives(keyed.dropDuplicates(["key"]), _factory(args), "key", args.turn_sep)
             out = out.withColumn("key", pipelines.F.xxhash64("context", "target", "post_context")).join(more, "key", "left").drop("key")
-        sinks.write_jsonl(out, args.out)
+        _report(out, args.out)
     elif args.command == "sentences":
         subjects = readers.read_subject_rts(spark, args.per_subject_rts) if args.per_subject_rts else None
         stories = readers.read_jsonl(spark, args.source, S.STORY)
-        sinks.write_jsonl(pipelines.annotate_stories(stories, _factory(args), args.context_window, subjects, args.coref_max_words, args.coref_overlap_sents), args.out)
+        out = pipelines.annotate_stories(stories, _factory(args), args.context_window, subjects, args.coref_max_words, args.coref_overlap_sents)
+        _report(out, args.out, mentions=pipelines.F.sum(pipelines.F.coalesce(pipelines.F.size("target_mentions"), pipelines.F.lit(0))))
     elif args.command == "surprisal":
         scored = pipelines.score_stories(readers.read_tokens(spark, args.tok), _scorer(spark, args.model_name_or_path, args.device), args.window_size, args.stride, args.batch_size)
         sinks.write_surprisal(scored, args.out_file)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import candidates, find
+from .rt import last_of
 
 
 def token_offsets(tokens: DataFrame, item: str = "item", zone: str = "zone", word: str = "word") -> DataFrame:
@@ -50,6 +51,13 @@ def place_forms(text: Column, zone_start: Column, zone_end: Column, forms: Colum
     return F.aggregate(forms, begin, step, lambda s: s["out"])
 
 
+def numbered(parse: DataFrame, item: str, order: list[str]) -> DataFrame:
+    """`parse` with g, the place of a token in its story, and head_g, that of its head (-1: a root)."""
+    own = parse.withColumn("g", (F.row_number().over(Window.partitionBy(item).orderBy("sentence_index", *order)) - 1).cast("int"))
+    first = F.min("g").over(Window.partitionBy(item, "sentence_index"))
+    return own.withColumn("head_g", F.when(F.col("head") > 0, first + F.col("head") - 1).otherwise(F.lit(-1)).cast("int"))
+
+
 def align_parse(stories: DataFrame, parse: DataFrame) -> DataFrame:
     """Parse tokens (item, sentence_index, pos, id, form, tag, head, dep, zone) with spans and story-wide numbers.
 
@@ -57,21 +65,17 @@ def align_parse(stories: DataFrame, parse: DataFrame) -> DataFrame:
     them through the story, and head_g is the sentence's first g plus the head's number, -1 for
     a root. Tokens without a zone have no span.
     """
-    zones = stories.select("item", "text", F.explode("tokens").alias("t")).select("item", "text", "t.zone", F.col("t.char_start").alias("zs"), F.col("t.char_end").alias("ze"))
-    one = Window.partitionBy("item", "sentence_index", "zone")
-    first = F.min("pos").over(one)
-    own = parse.withColumn("zone_first", first)
-    story = Window.partitionBy("item").orderBy("sentence_index", "zone_first", "pos")
-    own = own.withColumn("g", (F.row_number().over(story) - 1).cast("int"))
-    own = own.withColumn("sent_g", F.min("g").over(Window.partitionBy("item", "sentence_index")))
-    own = own.withColumn("head_g", F.when(F.col("head") > 0, F.col("sent_g") + F.col("head") - 1).otherwise(F.lit(-1)).cast("int"))
+    zones = stories.select("item", F.explode("tokens").alias("t")).select("item", "t.zone", "t.word", F.col("t.char_start").alias("zs"))
+    zones = last_of(zones, ["item", "zone"], "zs")
+    own = numbered(parse.withColumn("zone_first", F.min("pos").over(Window.partitionBy("item", "sentence_index", "zone"))), "item", ["zone_first", "pos"])
     grouped = own.groupBy("item", "sentence_index", "zone").agg(F.array_sort(F.collect_list(F.struct("pos", "g", "form", "tag", "dep", "head_g"))).alias("ts"))
     placed = grouped.join(zones, ["item", "zone"], "left")
-    spans = place_forms(F.col("text"), F.col("zs"), F.col("ze"), F.transform("ts", lambda t: t["form"]))
+    # The text of a zone is its word, so forms are looked for in that and not in the whole story.
+    spans = place_forms(F.col("word"), F.lit(0), F.length("word"), F.transform("ts", lambda t: t["form"]))
     placed = placed.withColumn("spans", F.when(F.col("zs").isNotNull(), spans))
-    both = placed.select("item", "sentence_index", "zone", "spans", F.posexplode("ts").alias("i", "t"))
+    both = placed.select("item", "sentence_index", "zone", "zs", "spans", F.posexplode("ts").alias("i", "t"))
     span = F.get("spans", F.col("i"))
-    return both.select("item", "sentence_index", "zone", "t.g", "t.form", "t.tag", "t.dep", "t.head_g", span["char_start"].alias("char_start"), span["char_end"].alias("char_end"))
+    return both.select("item", "sentence_index", "zone", "t.g", "t.form", "t.tag", "t.dep", "t.head_g", (F.col("zs") + span["char_start"]).alias("char_start"), (F.col("zs") + span["char_end"]).alias("char_end"))
 
 
 def sentence_spans(aligned: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import align, audit, discourse, distance, rt, spans, stats, surprisal, windows
+from ..sources import readers, sinks
+from ..sources.shared import shared_folder
 from . import projection as P
 
 QUERIES: dict = {}
@@ -184,9 +188,7 @@ def align_forms(spark, sf):
     "men",
 )
 def global_gid_head(spark, sf):
-    own = P.tree(spark, sf).withColumn("g", (F.row_number().over(Window.partitionBy("doc").orderBy("sentence_index", "pos")) - 1).cast("int"))
-    head = F.when(F.col("head") > 0, F.min("g").over(Window.partitionBy("doc", "sentence_index")) + F.col("head") - 1).otherwise(-1).cast("int")
-    return own.select("doc", "sentence_index", "pos", "g", head.alias("head_g"))
+    return align.numbered(P.tree(spark, sf), "doc", ["pos"]).select("doc", "sentence_index", "pos", "g", "head_g")
 
 
 # ---- spans
@@ -762,5 +764,240 @@ def split_antecedent_explode(spark, sf):
     return P.table(spark, sf, "events").select("event_id", F.explode(antecedents(text)).alias("cluster"))
 
 
+# ---- records of stories and sentences
+
+def _parse(spark, sf):
+    """Every word as a parse token that hangs on the one before it in its sentence."""
+    own = _zones(spark, sf)
+    dep = F.concat(F.lit("d"), (F.col("zone") % 5).cast("string"))
+    tag = F.when(F.col("zone") % 3 == 0, "NN").otherwise("VB")
+    return own.select("item", "sentence_index", (F.col("sentence_position") - 1).alias("pos"), F.col("sentence_position").alias("id"), F.col("word").alias("form"), tag.alias("tag"), (F.col("sentence_position") - 1).alias("head"), dep.alias("dep"), "zone")
+
+
+@_sql(
+    "story_records",
+    """, s AS (SELECT item, zone, zone - 1 AS g, sentence_id, min(zone) OVER (PARTITION BY item, sentence_id) AS f FROM sn),
+       h AS (SELECT item, count(*)::INT AS n_parse, count(DISTINCT sentence_id)::INT AS n_sentences, sum(CASE WHEN zone = f THEN -1 ELSE g - 1 END)::BIGINT AS heads FROM s GROUP BY item),
+       x AS (SELECT item, count(*)::INT AS n_tokens, md5(string_agg(word, ' ' ORDER BY zone)) AS text_md5, max(char_end)::INT AS text_end, count(mean_rt) AS n_timed FROM off LEFT JOIN stats USING (item, zone) GROUP BY item)
+       SELECT 'naturalstories_' || item AS doc_id, n_tokens, text_md5, text_end, n_timed, n_parse, n_sentences, heads FROM x JOIN h USING (item)""",
+    "sn", "off", "stats",
+)
+def story_records(spark, sf):
+    """Words, reading times and a parse joined into one record per story."""
+    from .pipelines import build_stories
+
+    out = build_stories(P.tokens(spark, sf), P.rt_stats(spark, sf), _parse(spark, sf))
+    timed = F.size(F.filter("tokens", lambda t: t["mean_rt"].isNotNull())).cast("long")
+    heads = F.aggregate("ud_tokens", F.lit(0).cast("long"), lambda a, t: a + t["head_g"])
+    end = F.array_max(F.transform("ud_tokens", lambda t: t["char_end"]))
+    return out.select("doc_id", "n_tokens", F.md5("text").alias("text_md5"), end.alias("text_end"), timed.alias("n_timed"), F.size("ud_tokens").alias("n_parse"), F.size("ud_sentences").alias("n_sentences"), heads.alias("heads"))
+
+
+def _placed(spark, sf):
+    """Words as parse tokens (odd ones hang on the next, even ones on the one before), and sentences with their places."""
+    head = F.when(F.col("zone") % 2 == 1, F.col("zone")).otherwise(F.col("zone") - 2)
+    toks = align.token_offsets(_zones(spark, sf)).select(F.col("item").alias("doc"), "sentence_index", "zone", (F.col("zone") - 1).alias("g"), head.alias("head_g"), F.concat(F.lit("d"), (F.col("zone") % 5).cast("string")).alias("dep"), "char_start", "char_end")
+    sents = toks.groupBy("doc", "sentence_index").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.array_sort(F.collect_list("g")).alias("token_gids"))
+    return toks, sents
+
+
+@_sql(
+    "target_tokens",
+    """, s AS (SELECT item, zone, sentence_id - 1 AS sentence_index, min(zone) OVER w AS f, max(zone) OVER w AS l, min(char_start) OVER w AS cs, char_start, char_end, CASE WHEN zone % 2 = 1 THEN zone + 1 ELSE zone - 1 END AS h
+         FROM sn JOIN off USING (item, zone) WINDOW w AS (PARTITION BY item, sentence_id))
+       SELECT item AS doc, sentence_index, zone, (zone - f)::INT AS i, CASE WHEN h BETWEEN f AND l THEN h - f ELSE -1 END::INT AS head, (char_start - cs)::INT AS char_start, (char_end - cs)::INT AS char_end FROM s""",
+    "sn", "off",
+)
+def target_tokens(spark, sf):
+    toks, sents = _placed(spark, sf)
+    return discourse.target_tokens(toks, sents).select("doc", "sentence_index", "zone", "i", "head", "char_start", "char_end")
+
+
+@_sql(
+    "target_entities",
+    """, s AS (SELECT item AS doc, sentence_id - 1 AS sentence_index, min(char_start) AS a, max(char_end) AS b FROM sn JOIN off USING (item, zone) GROUP BY ALL),
+       t AS (SELECT item AS doc, string_agg(word, ' ' ORDER BY zone) AS text FROM tok GROUP BY item),
+       o AS (SELECT s.doc, s.cs, s.ce, zone - 1 AS g, CASE WHEN zone % 2 = 1 THEN zone ELSE zone - 2 END AS head_g, 'd' || (zone % 5) AS dep FROM spans s JOIN off ON item = s.doc AND char_start < s.ce AND char_end > s.cs WHERE s.span % 2 = 1),
+       r AS (SELECT doc, cs, ce, arg_min(dep, g + CASE WHEN EXISTS (SELECT 1 FROM o b WHERE b.doc = o.doc AND b.cs = o.cs AND b.ce = o.ce AND b.g = o.head_g) THEN 10000000 ELSE 0 END) AS grammatical_role FROM o GROUP BY doc, cs, ce)
+       SELECT x.doc, sentence_index, span, (x.cs - a)::INT AS char_start, (x.ce - a)::INT AS char_end, substr(text, x.cs + 1, x.ce::BIGINT - x.cs) AS entity_text, grammatical_role
+       FROM spans x JOIN s ON s.doc = x.doc AND x.cs >= a AND x.ce <= b JOIN t ON t.doc = x.doc LEFT JOIN r ON r.doc = x.doc AND r.cs = x.cs AND r.ce = x.ce WHERE span % 2 = 1 AND x.ce > x.cs""",
+    "spans", "sn",
+)
+def target_entities(spark, sf):
+    toks, sents = _placed(spark, sf)
+    texts = align.story_text(P.tokens(spark, sf)).select(F.col("item").alias("doc"), "text")
+    found = P.spans(spark, sf).where("span % 2 = 1 AND char_end > char_start").select("doc", "span", "char_start", "char_end")
+    return discourse.target_entities(found, sents.join(texts, "doc"), toks).select("doc", "sentence_index", "span", "char_start", "char_end", "entity_text", "grammatical_role")
+
+
+@_sql(
+    "uncovered_count",
+    """, u AS (SELECT item, count(*) AS n FROM off o WHERE zone % 3 = 0 AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc = o.item AND s.span % 5 = 0 AND char_start < ce AND char_end > cs) GROUP BY item)
+       SELECT item AS doc, coalesce(any_value(n), 0) AS n_uncovered FROM tok LEFT JOIN u USING (item) GROUP BY item""",
+    "spans",
+)
+def uncovered_count(spark, sf):
+    toks = P.offsets(spark, sf).select(F.col("item").alias("doc"), F.when(F.col("zone") % 3 == 0, "NN").otherwise("VB").alias("tag"), "char_start", "char_end")
+    return audit.uncovered_counts(toks, P.spans(spark, sf).where("span % 5 = 0"))
+
+
+@_sql("html_escape", """SELECT conv_id, turn, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')) AS html_md5 FROM conversations""")
+def html_escape(spark, sf):
+    return P.table(spark, sf, "conversations").select("conv_id", "turn", F.md5(T.html_escape(F.col("text"))).alias("html_md5"))
+
+
+@_sql(
+    "lm_stimuli",
+    """, x AS (SELECT item, zone - 1 AS i, word, 1 + length(word) // 6 AS n FROM tok),
+       j AS (SELECT a.item, a.i, b.i AS c, b.word, b.n, sum(b.n) OVER (PARTITION BY a.item, a.i ORDER BY b.i DESC) AS held FROM x a JOIN x b ON a.item = b.item AND b.i < a.i AND b.i > a.i - 12 AND (a.i - 1 - b.i) % 2 = 0)
+       SELECT x.item, x.i, md5(coalesce(string_agg(j.word, ' ' ORDER BY j.c) || ' ', '') || any_value(x.word)) AS stimulus_md5 FROM x LEFT JOIN j ON j.item = x.item AND j.i = x.i AND j.held - j.n < 12 GROUP BY x.item, x.i""",
+    "tok",
+)
+def lm_stimuli(spark, sf):
+    """What a language model scores for each word: every second word before it until 12 subwords are held, then the word."""
+    from .pipelines import stimuli_of
+
+    own = P.tokens(spark, sf).select("item", (F.col("zone") - 1).alias("i"), "word", (1 + F.floor(F.length("word") / 6)).cast("int").alias("pieces"))
+    return stimuli_of(own, 12, 2).select("item", "i", F.md5("stimulus").alias("stimulus_md5"))
+
+
+# ---- more statistics
+
+@_sql("fill_missing", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END AS value, CASE WHEN event_id % 4 = 0 THEN 0 ELSE user_id END AS user_id, CASE WHEN event_id % 5 <> 0 THEN 'x' END AS mark FROM events")
+def fill_missing(spark, sf):
+    gap = lambda c, k: F.when(F.col("event_id") % k != 0, F.col(c) if c != "mark" else F.lit("x")).alias(c)
+    return stats.fill_missing(P.table(spark, sf, "events").select("event_id", gap("value", 3), gap("user_id", 4), gap("mark", 5)))
+
+
+@_sql("log_freq_summary", "SELECT round(min(ln(length(word) + 1)), 6) AS least, round(max(ln(length(word) + 1)), 6) AS greatest, 0.0::DOUBLE AS mean_z FROM tok WHERE zone % 3 = 0", "tok")
+def log_freq_summary(spark, sf):
+    freq = F.when(F.col("zone") % 3 == 0, F.length("word"))
+    out = stats.log_frequency_summary(P.tokens(spark, sf).select(freq.alias("freq")))
+    return out.select(F.round("least", 6).alias("least"), F.round("greatest", 6).alias("greatest"), F.abs(F.round("mean_z", 6)).alias("mean_z"))
+
+
+@_sql("training_rows", "SELECT item, zone, word, length(word) AS word_length FROM tok WHERE item IN (1, 3, 5, 7, 9) AND zone % 4 <> 0", "tok")
+def training_rows(spark, sf):
+    """Rows that models are fitted on, with the length of their words."""
+    toks = P.tokens(spark, sf)
+    freqs = toks.where("zone % 4 <> 0").select("item", "zone", F.length("word").alias("freq"))
+    surp = surprisal.sentence_numbers(toks).select("item", "zone", "sentence_id")
+    own = stats.analysis_table(toks, surp, freqs, spark.createDataFrame([], "item long, sentence_id int, iv double"))
+    return stats.training_rows(own).select("item", "zone", "word", F.col("word_length").cast("long").alias("word_length"))
+
+
+@_sql(
+    "f_test",
+    """, m AS (SELECT count(*)::DOUBLE AS n, regr_syy(ln(l_extendedprice), l_quantity) AS syy, regr_sxx(ln(l_extendedprice), l_quantity) AS sxx, regr_sxy(ln(l_extendedprice), l_quantity) AS sxy FROM lineitem)
+       SELECT round(((sxy * sxy / sxx) / ((syy - sxy * sxy / sxx) / (n - 2))) / 1000, 3) AS f_thousands, 1 AS df1, n - 2 AS df2 FROM m""",
+)
+def f_test(spark, sf):
+    """Analysis of variance of the model with a mean only and that with a slope."""
+    own, y = P.table(spark, sf, "lineitem"), F.log("l_extendedprice")
+    test = stats.f_test(stats.linear_fit(own, y, {}), stats.linear_fit(own, y, {"quantity": F.col("l_quantity")}))
+    return spark.createDataFrame([(round(float(test["f"]) / 1000, 3), int(test["df1"]), float(test["df2"]))], "f_thousands double, df1 int, df2 double")
+
+
+ORACLE_SQL["f_test"] = "WITH " + ORACLE_SQL["f_test"].removeprefix(", ")
+
+
+@_sql("shape", "SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(skewness(value), 5) AS skewness, round(kurtosis(value) + 3, 5) AS kurtosis FROM events")
+def shape(spark, sf):
+    r = stats.describe_shape(P.table(spark, sf, "events"), "value")
+    return spark.createDataFrame([(int(r["n"]), round(r["mean"], 6), round(r["sd"], 6), round(r["skewness"], 5), round(r["kurtosis"], 5))], "n long, mean double, sd double, skewness double, kurtosis double")
+
+
+@_sql("shapiro_sample", None)
+def shapiro_sample(spark, sf):
+    """W of the first 5000 values of a table in a stated order; tests hold it against published values."""
+    x = stats.first_values(P.table(spark, sf, "events"), "value", ["event_id"])
+    test = stats.shapiro_wilk(x)
+    return spark.createDataFrame([(len(x), test["w"], test["p"])], "n int, w double, p double")
+
+
+@_sql("iv_combined_transport", None)
+def iv_combined_transport(spark, sf):
+    """All three terms; the solver of the third is beyond SQL."""
+    terms = {"feature": (iv_feature_l1(spark, sf), 0.4), "graph": (iv_graph(spark, sf), 0.3), "transport": (ot_distance(spark, sf), 0.3)}
+    return distance.combined(terms, KEYS).withColumn("distance", F.round("distance", 9))
+
+
+# ---- files, written and read back
+
+def _table_file(df, name: str, header: bool = True) -> str:
+    """The path of a tab-separated copy of `df` in the shared folder; it is deleted when the driver ends."""
+    path = _own_path(df.sparkSession, name)
+    plain = {"sep": "\t", "header": header, "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(**plain).csv(path)
+    return path
+
+
+def _own_path(spark, name: str) -> str:
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return path
+
+
+@_sql("tokens_file", "SELECT item::INT AS item, zone, word FROM tok WHERE word <> ''", "tok")
+def tokens_file(spark, sf):
+    path = _table_file(P.tokens(spark, sf).where("word <> ''").select("word", "zone", "item"), "tok")
+    return readers.read_tokens(spark, path).drop("pos")
+
+
+@_sql("rt_stats_file", "SELECT item::INT AS item, zone, round(mean_rt, 6) AS mean_rt, round(gmean_rt, 6) AS gmean_rt, n_subj::INT AS n_subj FROM stats", "stats")
+def rt_stats_file(spark, sf):
+    names = {"mean_rt": "meanItemRT", "gmean_rt": "gmeanItemRT", "n_subj": "nItem"}
+    own = P.rt_stats(spark, sf).withColumnsRenamed(names).withColumn("sdItemRT", F.lit(1.0))
+    out = readers.read_rt_stats(spark, _table_file(own, "rt"))
+    return out.select("item", "zone", F.round("mean_rt", 6).alias("mean_rt"), F.round("gmean_rt", 6).alias("gmean_rt"), "n_subj")
+
+
+@_sql("subject_rts_file", "SELECT item::INT AS item, zone, worker::VARCHAR AS worker, count(*) AS n FROM (SELECT DISTINCT item, zone, worker FROM rt WHERE event_id % 11 <> 0) GROUP BY ALL", "rt")
+def subject_rts_file(spark, sf):
+    """Reading times per reader; rows whose time is no number are left out, of repeated ones one is kept."""
+    own = P.events_rt(spark, sf).select(F.col("worker").alias("WorkerId"), "item", "zone", F.when(F.col("event_id") % 11 == 0, "bad").otherwise(F.col("rt").cast("string")).alias("RT"))
+    return readers.read_subject_rts(spark, _table_file(own, "subjects")).groupBy("item", "zone", "worker").agg(F.count("*").alias("n"))
+
+
+@_sql("freqs_file", "SELECT item::INT AS item, zone, length(word)::DOUBLE AS freq FROM tok WHERE zone % 2 = 0", "tok")
+def freqs_file(spark, sf):
+    part = F.when(F.col("zone") % 2 == 0, "word").otherwise("char")
+    index = F.concat_ws(".", F.col("item").cast("string"), F.col("zone").cast("string"), part)
+    own = P.tokens(spark, sf).select(index.alias("index"), F.lit("1").alias("order"), F.lit("w").alias("word"), F.length("word").alias("freq"), F.lit("").alias("empty"))
+    return readers.read_freqs(spark, _table_file(own, "freqs", header=False))
+
+
+@_sql("surprisal_file", "SELECT item::INT AS item, zone, sentence_id, round(length(word) / 8.0, 6) AS surprisal, md5(word) AS word_md5 FROM sn WHERE word <> ''", "sn")
+def surprisal_file(spark, sf):
+    path = _own_path(spark, "surprisal")
+    sinks.write_surprisal(surprisal.sentence_numbers(P.tokens(spark, sf)).where("word <> ''").withColumn("surprisal", F.length("word") / F.lit(8.0)), path)
+    return readers.read_surprisal(spark, path).select("item", "zone", "sentence_id", F.round("surprisal", 6).alias("surprisal"), F.md5("word").alias("word_md5"))
+
+
+@_sql("jsonl_file", "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations")
+def jsonl_file(spark, sf):
+    path, own = _own_path(spark, "jsonl"), P.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    sinks.write_jsonl(own, path)
+    out = readers.read_jsonl(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema))
+    return out.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@_sql("conllx_file", "SELECT item::INT AS item, zone, row_number() OVER (PARTITION BY item, sentence_id ORDER BY zone)::INT AS id, md5(word) AS form_md5, (row_number() OVER (PARTITION BY item, sentence_id ORDER BY zone) - 1)::INT AS head, 'd' || (zone % 5) AS dep FROM sn", "sn")
+def conllx_file(spark, sf):
+    """A parse as sentences of ten columns, behind comments and between blank lines."""
+    own, blank = _parse(spark, sf), F.lit("_")
+    misc = F.concat(F.lit("TokenId="), F.col("item").cast("string"), F.lit("."), F.col("zone").cast("string"))
+    line = F.concat_ws("\t", F.col("id").cast("string"), "form", blank, blank, "tag", blank, F.col("head").cast("string"), "dep", blank, misc)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"])
+    path = _own_path(spark, "conllx")
+    own.groupBy("item", "sentence_index").agg(F.concat(F.lit("# a comment\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("value")).select("value").write.text(path)
+    return readers.read_conllx(spark, path).select("item", "zone", "id", F.md5("form").alias("form_md5"), "head", "dep")
+
+
+for _name in ("story_records", "target_tokens", "target_entities", "uncovered_count", "lm_stimuli"):
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(" , ", ", ", 1)
+
+
 for _name in ORACLE_SQL:
     ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("  , ", ", ")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -47,6 +49,8 @@ def write_page(stories: DataFrame, path: str) -> int:
     return len(rows)
 
 
-def observed(df: DataFrame, name: str, *metrics) -> DataFrame:
-    """`df` that reports metrics (rows by default) while it is written."""
-    return df.observe(name, *(metrics or (F.count(F.lit(1)).alias("rows"),)))
+def counted(df: DataFrame, write: Callable[[DataFrame], None], **metrics: Column) -> dict[str, int]:
+    """Metrics of `df` (its rows, and others by name), taken while `write` writes it."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(name) for name, m in metrics.items()]))
+    return seen.get
