@@ -5,7 +5,10 @@ ratio. Soft counts of good documents are then summed per host and per path of a
 aggregation). Rates are shrunk level by level: a path toward its host, a host toward the
 corpus, each by a beta prior whose strength is the method-of-moments estimate of how much the
 groups of that level really differ, so that sparse sites rest on their parents. The posterior of
-a document combines its evidence with the rate of its path.
+a document combines its evidence with the rate of its path without the document itself (its own soft
+count is taken out of its path and host), so its evidence counts once. Any columns can be host and
+path; the registered query and the pipeline have the source as host and the language as path, as the
+documents have no urls.
 
 The classifier is fitted on a sample of at most TRAINED labelled documents (by hash); all
 counts cover all documents.
@@ -20,6 +23,7 @@ the names of a result are replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from operator import eq
 
 import numpy as np
@@ -42,7 +46,7 @@ FREQUENT = frozenset(
     "der die das und ist von zu mit den dem ein eine nicht für auf im sich des auch als es "
     "el los las y en un una que del por con para se no su al lo como más".split()
 )
-RESULT = ["evidence", "host_rate", "site_rate", "score", "kept"]
+RESULT = ["evidence", "host_rate", "site_rate", "prior_rate", "score", "kept"]
 
 
 def features(text: str | None) -> list[float]:
@@ -147,18 +151,29 @@ def _strength(groups: DataFrame, parent_rate: Column) -> float:
     return min(max(row["within"] / row["n"] / between - 1, MIN_STRENGTH), MAX_STRENGTH)
 
 
-def site_rates(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, float]:
-    """host, path, host_rate, site_rate (shrunk), and the rate of the corpus."""
-    good = 1 / (1 + F.exp(-F.col("evidence") - F.lit(scored_prior(scored))))
+def site_rates(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """host, path, host_rate, site_rate (shrunk) and sums, and the rate of a document's path without the
+    document, as an expression over its evidence and those columns."""
+    logit = scored_prior(scored)
+    soft = lambda evidence: 1 / (1 + F.exp(-evidence - F.lit(logit)))
+    good = soft(F.col("evidence"))
     paths = materialize(scored.select(host, path, good.alias("p")).groupBy(host, path).agg(F.sum("p").alias("good"), F.count("*").cast("double").alias("n")), "paths")
     total = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     corpus = (total["good"] / total["n"]) if total["n"] else 0.5
     hosts = paths.groupBy(host).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    k = _strength(hosts, F.lit(corpus))
-    hosts = hosts.select(host, ((F.col("good") + k * corpus) / (F.col("n") + k)).alias("host_rate"))
+    k_host = _strength(hosts, F.lit(corpus))
+    shrunk = lambda good, n, k, parent: (good + k * parent) / (n + k)
+    hosts = hosts.select(host, shrunk(F.col("good"), F.col("n"), k_host, F.lit(corpus)).alias("host_rate"), F.col("good").alias("__host_good"), F.col("n").alias("__host_n"))
     joined = paths.join(hosts, host)
-    k = _strength(joined, F.col("host_rate"))
-    return joined.select(host, path, "host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("site_rate")), corpus
+    k_path = _strength(joined, F.col("host_rate"))
+    rates = joined.select(host, path, "host_rate", shrunk(F.col("good"), F.col("n"), k_path, F.col("host_rate")).alias("site_rate"), F.col("good").alias("__good"), F.col("n").alias("__n"), "__host_good", "__host_n")
+
+    def without(evidence: Column) -> Column:
+        own = soft(evidence)
+        above = shrunk(F.greatest(F.col("__host_good") - own, F.lit(0.0)), F.col("__host_n") - 1, k_host, F.lit(corpus))
+        return shrunk(F.greatest(F.col("__good") - own, F.lit(0.0)), F.col("__n") - 1, k_path, above)
+
+    return rates, without
 
 
 def scored_prior(scored: DataFrame) -> float:
@@ -177,17 +192,18 @@ EM_STEPS = 3
 def site_quality(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", quality: str = "quality", keep_text: bool = True
 ) -> DataFrame:
-    """`docs` with evidence, host_rate, site_rate, score (posterior of good quality) and kept."""
+    """`docs` with evidence, host_rate and site_rate (of all documents), prior_rate (of the site without the
+    document), score (posterior of good quality) and kept."""
     model = fit(docs, labels, key, text, quality)
     kept = [c for c in docs.columns if c.lower() not in RESULT]
     scored = with_evidence(docs.select(*kept), model, text)
     scored = scored.withColumns({"__site": F.coalesce(F.col(host).cast("string"), F.lit("")), "__path": F.coalesce(F.col(path).cast("string"), F.lit(""))})
     scored = materialize(scored if keep_text else scored.drop(text), "evidence")
-    rates, _ = site_rates(scored, "__site", "__path")
-    out = attach(scored, materialize(rates, "rates"), ["__site", "__path"])
-    score = 1 / (1 + F.exp(-F.col("evidence") - _logit(F.col("site_rate"))))
+    rates, without = site_rates(scored, "__site", "__path")
+    out = attach(scored, materialize(rates, "rates"), ["__site", "__path"]).withColumn("prior_rate", without(F.col("evidence")))
+    score = 1 / (1 + F.exp(-F.col("evidence") - _logit(F.col("prior_rate"))))
     out = out.withColumn("score", score).withColumn("kept", F.lit(True) if model is None else F.col("score") >= THRESHOLD)
-    return out.drop("__site", "__path")
+    return out.drop("__site", "__path", "__good", "__n", "__host_good", "__host_n")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
