@@ -8,11 +8,14 @@ ever stands in a prefix.
 
 1. Exact copies (equal sets) become one node; nodes of equal size and prefix become one group.
 2. The groups of each prefix element meet in a task (elements are dealt by hash, as blocks).
-   In a first round only neighbours in size order are paired; verified links give components,
-   which settles large groups of near copies in a linear number of pairs.
-3. In a second round all pairs of groups meet, but for those already in one component. A pair
-   must share enough prefix elements for the similarity still to be possible (an exact bound);
-   pairs of groups are then expanded to their members and verified on whole sets.
+   In a first round only neighbours in size order are paired, and each with the hubs of its list;
+   verified links give components, which settles large groups of near copies in a linear number
+   of pairs. A list of more than LIST_ROWS groups is cut, and one hub stands in all its parts.
+3. In a second round all pairs of groups meet, but for those already in one component: only lists
+   with more than one component are dealt at all, and those of more than CELL_ROWS groups as cells, each
+   of two parts of the list. A pair must share enough prefix elements for the similarity still to
+   be possible (an exact bound); pairs of groups are then expanded to their members and verified
+   on whole sets.
 4. Components are found by contracting stars: inside tasks first, then by joins.
 
 No pair is dropped but by the exact bounds, so no link between different texts is lost; pairs
@@ -45,6 +48,8 @@ COUNTED = 0.5
 #: Bytes that a task buffers before it hands on blocks, pairs that it looks at together, and
 #: elements that are dealt to a task.
 BUFFERED, PAIRS, PER_TASK = 8 << 20, 100_000, 1_000_000
+#: Groups of a list that meet in one task in the first round, and groups of each part of a cell in the second.
+LIST_ROWS, CELL_ROWS = 200_000, 8_192
 #: 64-bit words of a set's parity signature, groups of a list that all others are paired with at first.
 SIGNED, HUBS = 8, 2
 
@@ -112,6 +117,44 @@ class _Blocks:
         yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
 
+_COUNT = np.dtype([("element", "<u8"), ("n", "<i8")])
+
+
+class _Counts(_Blocks):
+    """Elements with how often they were held at the time, so that a frequent one is handed on once for many."""
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        elements, n = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held, self.size = [], 0
+        for kind, part in (("block", n == 1), ("counts", n > 1)):
+            own = _Blocks(self.dtype if kind == "block" else _COUNT, self.buckets)
+            rows = elements[part] if kind == "block" else np.empty(int(part.sum()), _COUNT)
+            if kind == "counts":
+                rows["element"], rows["n"] = elements[part], n[part]
+            own.add(rows)
+            for batch in own.flush():
+                none = pa.nulls(batch.num_rows, pa.binary())
+                blocks = batch.column("block")
+                yield pa.RecordBatch.from_arrays([batch.column("bucket"), blocks if kind == "block" else none, none if kind == "block" else blocks], names=["bucket", "block", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements of what `_Counts` handed on, and their counts."""
+    single, several = [np.empty(0, np.uint64)], [np.empty(0, _COUNT)]
+    for b in batches:
+        single += [np.frombuffer(x, np.uint64) for x in b.column("block").drop_null().to_pylist()]
+        several += [np.frombuffer(x, _COUNT) for x in b.column("counts").drop_null().to_pylist()]
+    once, several = np.concatenate(single), np.concatenate(several)
+    elements = np.concatenate([once, several["element"]])
+    n = np.concatenate([np.ones(len(once), np.int64), several["n"]])
+    order = np.argsort(elements, kind="stable")
+    elements, n = elements[order], n[order]
+    at = np.flatnonzero(np.r_[True, elements[1:] != elements[:-1]]) if len(elements) else np.empty(0, np.int64)
+    return elements[at], np.add.reduceat(n, at) if len(at) else n
+
+
 def _gather(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> np.ndarray:
     parts = [np.frombuffer(x, dtype) for b in batches for x in b.column("block").to_pylist()]
     return np.concatenate(parts) if parts else np.empty(0, dtype)
@@ -121,12 +164,12 @@ def _buckets(spark, elements: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(elements / PER_TASK) + 1)
 
 
-def frequent_shingles(docs: DataFrame, text: str, k: int, buckets: int) -> np.ndarray:
-    """The shingles that at least FREQUENT sets hold, sorted; counted over all documents."""
+def frequent_shingles(docs: DataFrame, text: str, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that at least FREQUENT sets hold, sorted, and how many do; counted over all documents."""
     limit = _U(int(COUNTED * 2**64))
 
     def emit(batches):
-        out, seen = _Blocks(np.dtype(np.uint64), buckets), set()
+        out, seen = _Counts(np.dtype(np.uint64), buckets), set()
         for batch in batches:
             for t in batch.column(0):
                 s = shingle_set(t.as_py(), k)
@@ -139,11 +182,11 @@ def frequent_shingles(docs: DataFrame, text: str, k: int, buckets: int) -> np.nd
         trim_memory()
 
     def count(batches):
-        elements, n = np.unique(_gather(batches, np.dtype(np.uint64)), return_counts=True)
+        elements, n = _summed(batches)
         often = n >= FREQUENT
         yield pa.RecordBatch.from_arrays([pa.array(elements[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["element", "n"])
 
-    blocks = docs.select(text).mapInArrow(emit, "bucket int, block binary")
+    blocks = docs.select(text).mapInArrow(emit, "bucket int, block binary, counts binary")
     counted = blocks.repartition(buckets, "bucket").mapInArrow(count, "element long, n long")
     counted = materialize(counted, "frequent")
     level = F.floor(4 * F.log2("n")).cast("int")  # at most 256 levels
@@ -154,8 +197,10 @@ def frequent_shingles(docs: DataFrame, text: str, k: int, buckets: int) -> np.nd
         if total > MOST_FREQUENT:
             least = r["level"] + 1
             break
-    top = counted.where(level >= least).select("element").toArrow()  # a bound on what tasks are sent, not on pairs
-    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    top = counted.where(level >= least).select("element", "n").toArrow()  # a bound on what tasks are sent, not on pairs
+    elements = top.column(0).to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(elements)
+    return elements[order], top.column(1).to_numpy().astype(np.int64)[order]
 
 
 def signature(elements: np.ndarray) -> np.ndarray:
@@ -190,8 +235,8 @@ def prefixes(docs: DataFrame, key: str, text: str, k: int, percent: int, frequen
     return docs.select(F.col(key).cast("long").alias("doc"), text).mapInArrow(emit, schema)
 
 
-_POSTING = np.dtype([("element", "<u8"), ("group", "<i8"), ("n", "<i4"), ("rare", "<i4")])
-_LABELLED = np.dtype([("element", "<u8"), ("group", "<i8"), ("label", "<i8"), ("n", "<i4"), ("alone", "<i4"), *((f"s{i}", "<u8") for i in range(SIGNED))])
+_POSTING = np.dtype([("key", "<u8"), ("element", "<u8"), ("group", "<i8"), ("n", "<i4"), ("rare", "<i4")])
+_LABELLED = np.dtype([("element", "<u8"), ("group", "<i8"), ("label", "<i8"), ("n", "<i4"), ("alone", "<i4"), ("side", "<i4"), *((f"s{i}", "<u8") for i in range(SIGNED))])
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.RecordBatch:
@@ -213,14 +258,14 @@ def neighbours(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
 
     def fitting(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
         low, high = np.minimum(x["n"], y["n"]).astype(np.int64), np.maximum(x["n"], y["n"]).astype(np.int64)
-        fits = (x["element"] == y["element"]) & (100 * low >= percent * high)
+        fits = (x["key"] == y["key"]) & (x["group"] != y["group"]) & (100 * low >= percent * high)
         x, y = x[fits], y[fits]
         return x["group"], y["group"], x["n"], y["n"]
 
-    rows = rows[np.lexsort((rows["group"], rows["n"], rows["element"]))]
+    rows = rows[np.lexsort((rows["group"], rows["n"], rows["key"]))]
     found = [fitting(rows[:-1], rows[1:])]
-    rows = rows[np.lexsort((rows["group"], rows["rare"], rows["element"]))]
-    begin = np.flatnonzero(np.r_[True, rows["element"][1:] != rows["element"][:-1]]) if len(rows) else np.empty(0, np.int64)
+    rows = rows[np.lexsort((rows["group"], rows["rare"], rows["key"]))]
+    begin = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]]) if len(rows) else np.empty(0, np.int64)
     first = np.repeat(begin, np.diff(np.r_[begin, len(rows)]))
     for hub in range(HUBS):
         behind = np.flatnonzero(np.arange(len(rows)) > first + hub)
@@ -257,6 +302,7 @@ def crossing(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
         differ = sum((np.bitwise_count(x[f"s{i}"] ^ y[f"s{i}"]).astype(np.int64) for i in range(SIGNED)), np.zeros(len(x), np.int64))
         most = low + high - 2 * -(-percent * (low + high) // (100 + percent))  # elements that they may differ in
         fits = (100 * low >= percent * high) & ((differ <= most) | (x["alone"] == 0) | (y["alone"] == 0))
+        fits &= (x["side"] != y["side"]) | (x["side"] == BOTH)  # of a cell, the rows of one part with those of the other
         x, y = x[fits], y[fits]
         yield _pairs(x["group"], y["group"], x["n"], y["n"])
         begin = end
@@ -275,18 +321,78 @@ def signatures_allow(percent: int) -> Column:
 PAIR = "a long, b long, na int, nb int, c long"
 
 
-def first_pairs(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
+#: The side of a row that meets all rows of its list or cell.
+BOTH = 2
+
+
+class Hot:
+    """Elements of lists that are cut: how many parts each has, and the group that stands in all of them."""
+
+    def __init__(self, elements: np.ndarray, parts: np.ndarray, hubs: np.ndarray):
+        self.elements, self.parts, self.hubs = elements, parts, hubs
+
+    def find(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where `elements` has hot ones, and which they are."""
+        if not len(self.elements):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.elements, elements), len(self.elements) - 1)
+        where = np.flatnonzero(self.elements[at] == elements)
+        return where, at[where]
+
+    def rows(self, rows: np.ndarray) -> np.ndarray:
+        """`rows` of one group with the keys of their parts, and the group's other rows where it is a hub."""
+        where, which = self.find(rows["element"])
+        if not len(where):
+            return rows
+        group = rows["group"][where]
+        part = _scramble(group.view(np.uint64)) % self.parts[which].astype(np.uint64)
+        rows["key"][where] = _scramble(rows["element"][where] + _MIX * (part + _U(1)))
+        more = [rows]
+        for i in np.flatnonzero(self.hubs[which] == group):
+            others = np.arange(self.parts[which[i]], dtype=np.uint64)
+            copies = np.repeat(rows[where[i] : where[i] + 1], len(others))
+            copies["key"] = _scramble(copies["element"] + _MIX * (others + _U(1)))
+            more.append(copies[others != part[i]])
+        return np.concatenate(more)
+
+
+def hot_lists(groups: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> Hot:
+    """The lists that may have more than LIST_ROWS groups (of the frequent elements, so at most MOST_FREQUENT)."""
+    hot = counts > LIST_ROWS
+    elements, parts = frequent[hot], -(-counts[hot] // LIST_ROWS)
+    if not len(elements):
+        return Hot(elements, parts, np.empty(0, np.int64))
+    own = Hot(elements, parts, np.zeros(len(elements), np.int64))
+
+    def least(batches):  # in each task, the group with the fewest rare elements of every hot list
+        best: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            doc, rare = batch.column("doc").to_pylist(), batch.column("rare").to_pylist()
+            for i, p in enumerate(batch.column("prefix").to_pylist()):
+                for e in own.find(np.frombuffer(p, np.uint64))[1].tolist():
+                    best[e] = min(best.get(e, (rare[i], doc[i])), (rare[i], doc[i]))
+        columns = list(best), [r for r, _ in best.values()], [d for _, d in best.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["e", "rare", "doc"])
+
+    found = groups.select("doc", "rare", "prefix").mapInArrow(least, "e long, rare int, doc long")
+    for r in found.groupBy("e").agg(F.min_by("doc", F.struct("rare", "doc")).alias("doc")).collect():  # a row for each hot list
+        own.hubs[r["e"]] = r["doc"]
+    return own
+
+
+def first_pairs(groups: DataFrame, percent: int, buckets: int, hot: Hot) -> DataFrame:
     """What `neighbours` finds among the groups (doc, n, rare, prefix)."""
+    shared = groups.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches):
-        out = _Blocks(_POSTING, buckets)
+        out, cut = _Blocks(_POSTING, buckets), shared.value
         for batch in batches:
             doc, n, rare = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "n", "rare"))
             for i, p in enumerate(batch.column("prefix").to_pylist()):
                 elements = np.frombuffer(p, np.uint64)
                 rows = np.empty(len(elements), _POSTING)
-                rows["element"], rows["group"], rows["n"], rows["rare"] = elements, doc[i], n[i], rare[i]
-                if out.add(rows):
+                rows["key"], rows["element"], rows["group"], rows["n"], rows["rare"] = elements, elements, doc[i], n[i], rare[i]
+                if out.add(cut.rows(rows)):
                     yield from out.flush()
         yield from out.flush()
 
@@ -298,6 +404,17 @@ def first_pairs(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
     return blocks.repartition(buckets, "bucket").mapInArrow(meet, PAIR)
 
 
+def in_cells(postings: DataFrame) -> DataFrame:
+    """Postings (element, size of its list, group and others), those of long lists once for each cell that their part is in."""
+    parts = F.ceil(F.col("size") / CELL_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("group"), F.col("__parts")).cast("int")
+    cut = postings.withColumn("__parts", parts).withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    cell = F.xxhash64("element", F.least("__own", "__other"), F.greatest("__own", "__other"))
+    side = F.when(F.col("__own") == F.col("__other"), BOTH).otherwise((F.col("__own") > F.col("__other")).cast("int"))
+    cut = cut.withColumn("side", side).withColumn("element", F.when(F.col("__parts") > 1, cell).otherwise(F.col("element")))
+    return cut.drop("__parts", "__own", "__other", "size")
+
+
 def second_pairs(postings: DataFrame, percent: int, buckets: int) -> DataFrame:
     """What `crossing` finds among postings (the columns of _LABELLED)."""
 
@@ -409,7 +526,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     docs = docs.select(key, text)
     elements = (docs.select(F.sum(F.length(text))).first()[0] or 0) / 5.0
     buckets = _buckets(spark, COUNTED * elements)
-    frequent = frequent_shingles(docs, text, k, buckets)
+    frequent, held = frequent_shingles(docs, text, k, buckets)
     rows = materialize(prefixes(docs, key, text, k, percent, frequent), "prefixes")
     signs = [f"s{i}" for i in range(SIGNED)]
     usable = rows.where((F.col("n") > 0) & F.col("doc").isNotNull())
@@ -422,7 +539,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     buckets = _buckets(spark, elements * (100 - percent) / 100)
 
     # First round: neighbours, among the groups of an element and among the members of a group.
-    met = materialize(first_pairs(groups, percent, buckets), "met")
+    met = materialize(first_pairs(groups, percent, buckets, hot_lists(groups, frequent, held)), "met")
     near = possible_pairs(met.where("c IS NOT NULL"), percent)
     inside = members.where(F.col("group") != F.col("doc")).select(F.col("group").alias("a"), F.col("doc").alias("b"))
     links = verified(materialize(near.unionByName(inside).distinct(), "near"), docs, key, text, k, percent)
@@ -433,10 +550,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = materialize(members, "labelled")
     spread = members.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
     label = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("group"))
-    spread = spread.select("group", label.alias("label"), (F.col("size") == 1).cast("int").alias("alone"))
+    spread = materialize(spread.select("group", label.alias("label"), (F.col("size") == 1).cast("int").alias("alone")), "spread")
     about = members.where(F.col("doc") == F.col("group")).select("group", "n", *signs).join(spread, "group")
     shared = met.where("c IS NULL").select(F.col("b").alias("element"), F.col("a").alias("group"))
-    far = materialize(possible_pairs(second_pairs(shared.join(about, "group"), percent, buckets), percent), "far")
+    # Only lists with more than one label have pairs left.
+    lists = shared.join(spread.select("group", "label"), "group").groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+    lists = materialize(lists.where("low <> high").select("element", "size"), "lists")
+    left = attach(shared, lists, ["element"], "inner").join(about, "group")
+    far = materialize(possible_pairs(second_pairs(in_cells(left), percent, buckets), percent), "far")
     # Members of paired groups, and of groups that are in several components; the signatures rule
     # out most of those that are not similar before their sets are looked at.
     side = lambda df, x: df.select(F.col("group").alias(x), *(F.col(c).alias(c.replace("s", x) if c in signs else f"{c}{x}") for c in ("doc", "n", "label", *signs)))
