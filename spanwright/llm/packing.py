@@ -191,19 +191,21 @@ def combinations(total: int, depth: int) -> list[tuple[int, ...]]:
 
 
 def non_negative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int) -> np.ndarray:
-    """x >= 0 that makes |ax - b| small, by active sets over the normal equations."""
-    gram, target = a.T @ a, a.T @ b
+    """x >= 0 that makes |ax - b| small, by active sets over the normal equations (formed for active columns only)."""
+    target = a.T @ b
     x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     tolerance = 1e-7 * max(1.0, float(np.abs(target).max(initial=0)))
     for _ in range(rounds):
-        slope = np.where(active, -np.inf, target - gram @ x)
+        on = np.flatnonzero(active)
+        slope = np.where(active, -np.inf, a.T @ (b - a[:, on] @ x[on]))
         best = int(slope.argmax())
         if slope[best] <= tolerance:
             break
         active[best] = True
         while True:
             on = np.flatnonzero(active)
-            solved = np.linalg.solve(gram[np.ix_(on, on)] + 1e-9 * np.eye(len(on)), target[on])
+            own = a[:, on]
+            solved = np.linalg.solve(own.T @ own + 1e-9 * np.eye(len(on)), target[on])
             if (solved > 0).all():
                 x[:] = 0
                 x[on] = solved
