@@ -24,7 +24,6 @@ an empty table gives an empty result. Columns other than the key and the text ar
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import defaultdict
 
@@ -37,11 +36,8 @@ from .common import attach, materialize
 
 WINDOW, END_ID, RUNS = 2048, 1, 8
 GRAIN, DEPTH = 8, 3
-#: Words whose ids a worker remembers, and characters that it tokenises at a time.
-CACHED_WORDS, BATCH_CHARS = 300_000, 4_000_000
-
-#: A space between (or after) white space: there the words around it can't be tokenised apart.
-_IRREGULAR = re.compile(r"\s (?:\s|$)")
+#: Characters that a worker tokenises at a time.
+BATCH_CHARS = 4_000_000
 
 
 #: How a byte-level BPE tokenizer splits text before its merges (fixed value).
@@ -55,73 +51,51 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class WordIds:
-    """Ids of whole texts by a byte-level BPE tokenizer, remembered word by word.
+class TextIds:
+    """Ids of whole texts by a byte-level BPE tokenizer.
 
-    The tokenizer splits a text before every space that has no white space on both sides, so
-    the ids of a text are those of its space-separated words, each with its space. New words
-    of a batch are joined and encoded at once; the tokens' byte lengths tell which are whose.
-    As most new words are seen once, their merges run in tiktoken's engine, which is given the
-    tokenizer file's own vocabulary and pattern and finds the same ids (tests hold the two
-    together). Texts with longer runs of white space and words that could hold a special token
-    are encoded by the tokenizer itself.
+    Splitting and merging run in tiktoken's engine, which is given the tokenizer file's own
+    vocabulary and pattern and finds the same ids (tests hold the two together) in less time.
+    Texts that hold a special token, and those whose runs of white space are too long for the
+    engine's pattern matcher, are encoded by the tokenizer itself.
     """
 
-    def __init__(self, path: str, limit: int = CACHED_WORDS):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.words, self.heads = Tokenizer.from_file(path), limit, {}, {}
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         byte_of = {c: b for b, c in byte_alphabet().items()}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
-        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            self.n_bytes[i] = len(token)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in self.special}
         self.engine = tiktoken.Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.limit:
-            self.words.clear()
-            self.heads.clear()
-        alone, joined = [], []
-        for w in words:
-            (alone if not w or w[0].isspace() or w[-1].isspace() or "<|" in w else joined).append(w)
-        self.words.update(zip(alone, self.encode([" " + w for w in alone]), strict=True))
-        for k in range(0, len(joined), 20_000):
-            part = joined[k : k + 20_000]
-            ids = self.engine.encode_to_numpy(" " + " ".join(part), disallowed_special=()).astype("<u4")
-            ends = np.cumsum([len(w.encode()) + 1 for w in part])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            raw, at = ids.tobytes(), 0
-            for w, cut in zip(part, (4 * cuts).tolist(), strict=True):
-                self.words[w] = raw[at:cut]
-                at = cut
+    def _plain(self, text: str) -> bytes | None:
+        """Ids of one text, or None if the engine can't take it."""
+        if any(s in text for s in self.special):
+            return None
+        try:
+            return self.engine.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # its matcher ran out of room
+            return None
+
+    def encode(self, text: str) -> bytes:
+        """Ids of one text by the tokenizer itself."""
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _IRREGULAR.search(t) else t.split(" ") for t in texts]
-        whole = iter(self.encode([t for t, s in zip(texts, split, strict=True) if s is None]))
-        used = set().union(*(s[1:] for s in split if s))
-        known = self.words.keys()
-        if new := used - known:
-            self._learn(new if len(known) + len(new) <= self.limit else used)
-        if new := list({s[0] for s in split if s} - self.heads.keys()):
-            self.heads.update(zip(new, self.encode(new), strict=True))
-        get = self.words.__getitem__
-        return [next(whole) if s is None else self.heads[s[0]] + b"".join(map(get, s[1:])) for s in split]
+        found = map(self._plain, texts)
+        return [self.encode(t) if ids is None else ids for t, ids in zip(texts, found, strict=True)]
 
 
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[str, TextIds] = {}
 
 
-def encoder(path: str) -> WordIds:
+def encoder(path: str) -> TextIds:
     if path not in _encoders:
-        _encoders[path] = WordIds(path)
+        _encoders[path] = TextIds(path)
     return _encoders[path]
 
 

@@ -92,8 +92,8 @@ def test_chats_come_back(spark):
 
 # ---- packing
 
-def test_word_ids_equal_the_tokenizer():
-    encode = packing.WordIds(packing.tokenizer_path(), limit=50)
+def test_ids_equal_the_tokenizer():
+    encode = packing.TextIds(packing.tokenizer_path())
     rng = random.Random(5)
     pieces = ["don't", " ", "  ", "\n", "\t ", "é😀", "12ab", "...", "<|endoftext|>", " ", "Ünïcode", "a", "　x", "'s", "\x85"]
     texts = ["".join(rng.choice([*pieces, " ", prose(rng.randrange(99), 2)]) for _ in range(rng.randrange(0, 14))) for _ in range(600)] + ["", " ", "  a  b "]
@@ -102,6 +102,14 @@ def test_word_ids_equal_the_tokenizer():
         assert encode(texts[i : i + 40]) == expected[i : i + 40]
 
 
+def test_ids_of_all_characters_and_long_runs_equal_the_tokenizer():
+    encode = packing.TextIds(packing.tokenizer_path())
+    characters = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [sep.join(characters[i : i + 5_000]) for i in range(0, len(characters), 5_000) for sep in ("", " ", "a", " 1")]
+    texts += ["x" * 50_000, "a" + "\n" * 1_500_000 + "b", " " * 1_500_000, "\u3000 \t" * 20_000, "7" * 50_000 + "<|endoftext|>"]
+    assert all(x == encode.encode(t) for x, t in zip(encode(texts), texts, strict=True))
+
+
 def test_least_squares_and_plan():
     a = np.array([[1.0, 0, 2], [0, 1, 1], [1, 1, 0]])
     x = packing.non_negative_least_squares(a, a @ np.array([2.0, 0, 3]), 20)
@@ -124,7 +132,7 @@ def test_least_squares_and_plan():
 def test_pieces_tile_documents_and_sequences(docs, empty):
     out = packing.pack(docs.where("doc_id IS NOT NULL"), packing.tokenizer_path(), window=64)
     rows = out.collect()
-    encode = packing.WordIds(packing.tokenizer_path())
+    encode = packing.TextIds(packing.tokenizer_path())
     by_doc = {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -375,6 +383,6 @@ def test_pipeline_stages_against_plain_versions(spark):
         elif name == "pfair_mix":
             assert left.keys() == seen.keys()
         else:
-            encode = packing.WordIds(packing.tokenizer_path())
+            encode = packing.TextIds(packing.tokenizer_path())
             assert out.agg(F.sum("length")).first()[0] == sum(len(x) // 4 + 1 for x in encode([t or "" for t in seen.values()]))
         seen, docs = {i: r["text"] for i, r in left.items()}, out
