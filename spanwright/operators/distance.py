@@ -35,6 +35,8 @@ FEATURES = {
     "role_form_no_other": ("role", "form", "cluster"),
     "role_only": ("role", "cluster"),
 }
+#: Features that let a mention match in part: its entity, with its form, with its role, and whole.
+BACKOFF = (("cluster",), ("cluster", "form"), ("cluster", "role"), FEATURES["full"])
 
 
 def role_class(dep: Column) -> Column:
@@ -89,12 +91,13 @@ def entity_set(targets: DataFrame, sides: DataFrame, keys: list[str]) -> DataFra
 
 
 def feature_vectors(targets: DataFrame, keys: list[str], features: str = "full", weighted: bool = False) -> DataFrame:
-    """(keys, k, feature, value): counts of composite features, by role weight if asked for."""
+    """(keys, k, feature, value): counts of composite features, by role weight if asked for; "backoff" counts each mention in four ways."""
     rows = targets.where("role <> 'other'") if features.endswith("no_other") else targets
     entity = F.when(F.col("givenness") == "new", F.concat(F.lit("NEW-"), F.coalesce("etype", F.lit("other")))).otherwise(F.col("cluster").cast("string"))
-    parts = [entity if c == "cluster" else F.col(c) for c in FEATURES[features]]
+    joined = lambda names, *mark: F.concat_ws("|", *mark, *[entity if c == "cluster" else F.col(c) for c in names])
+    feature = F.explode(F.array(*[joined(names, F.lit(str(n))) for n, names in enumerate(BACKOFF)])) if features == "backoff" else joined(FEATURES[features])
     weight = weight_of(F.col("role"), ROLE_WEIGHTS, ROLE_WEIGHTS["other"]) if weighted else F.lit(1.0)
-    return rows.groupBy(*keys, "k", F.concat_ws("|", *parts).alias("feature")).agg(F.sum(weight).alias("value"))
+    return rows.select(*keys, "k", weight.alias("weight"), feature.alias("feature")).groupBy(*keys, "k", "feature").agg(F.sum("weight").alias("value"))
 
 
 def _normalised(vectors: DataFrame, sides: DataFrame, keys: list[str]) -> DataFrame:
@@ -165,11 +168,18 @@ def transition_surprisal(classes: DataFrame, keys: list[str], alpha: float = 1.0
     return counts.select(*keys, "n", "same", (-F.log((F.col("same") + alpha) / (F.col("n") + alpha * len(TRANSITIONS)))).alias("surprisal"))
 
 
-def graph_distance(targets: DataFrame, sides: DataFrame, context: DataFrame, keys: list[str], epsilon: float = 1e-9) -> DataFrame:
-    """Distance of the connections to earlier sentences; `context`: (keys, past, cluster, role) of the sentences before."""
-    edge = lambda df, *more: df.groupBy(*keys, *more, "cluster").agg(F.max(weight_of(F.col("role"), GRAPH_WEIGHTS, 1.0)).alias("w"))
-    past = edge(context, "past").withColumnRenamed("w", "c")
-    profile = edge(targets, "k").join(past, [*keys, "cluster"]).groupBy(*keys, "k", "past").agg(F.sum(F.col("w") * F.col("c")).alias("value"))
+def graph_distance(targets: DataFrame, sides: DataFrame, context: DataFrame, keys: list[str], epsilon: float = 1e-9, scope: list[str] | None = None, at: str | None = None) -> DataFrame:
+    """Distance of the connections to earlier sentences; `context`: (keys, past, cluster, role) of the sentences before.
+
+    With `scope` (the keys of a document) and `at` (the key that numbers its sentences), `context` is
+    (scope, past, cluster, role) of all sentences, of which those before `at` count: no sentence's
+    mentions are repeated for every later one.
+    """
+    edge = lambda df, *by: df.groupBy(*by, "cluster").agg(F.max(weight_of(F.col("role"), GRAPH_WEIGHTS, 1.0)).alias("w"))
+    own = scope or keys
+    linked = edge(targets, *keys, "k").join(edge(context, *own, "past").withColumnRenamed("w", "c"), [*own, "cluster"])
+    linked = linked.where(F.col("past") < F.col(at)) if at else linked
+    profile = linked.groupBy(*keys, "k", "past").agg(F.sum(F.col("w") * F.col("c")).alias("value"))
     both = _pairs(profile, sides, keys, ["past"], "value")
     found = both.groupBy(*keys, "k").agg((F.sum(F.abs(F.col("g") - F.col("a"))) / (F.sum("g") + F.sum("a") + epsilon)).alias("distance"))
     return _complete(found, sides, keys, "distance")

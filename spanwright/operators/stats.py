@@ -1,8 +1,7 @@
 """Tables and models for reading-time analyses, from sufficient statistics that Spark sums.
 
-Models never bring rows to the driver: linear fits need one Gram matrix, mixed fits one per
-group, summed where the rows are. Groups of a mixed fit are stories or readers, and their
-matrices are the only thing collected.
+Models never bring rows to the driver: linear fits need one Gram matrix, mixed fits two per size
+of a group, summed where the rows are. Groups may be stories or readers, of any number.
 """
 
 from __future__ import annotations
@@ -82,11 +81,11 @@ def _moments(y: Column, xs: list[Column]) -> list[Column]:
     return [F.sum((terms[i] * terms[j]).cast("double")).alias(f"m{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))]
 
 
-def _matrix(row, size: int) -> np.ndarray:
+def _matrix(row, size: int, name: str = "m") -> np.ndarray:
     out = np.zeros((size, size))
     for i in range(size):
         for j in range(i, size):
-            out[i, j] = out[j, i] = row[f"m{i}_{j}"] or 0.0
+            out[i, j] = out[j, i] = row[f"{name}{i}_{j}"] or 0.0
     return out
 
 
@@ -126,22 +125,26 @@ def mixed_fit(df: DataFrame, y: Column, xs: dict[str, Column], group: str) -> Fi
     """Maximum likelihood of a Gaussian model with a random intercept per group.
 
     Given the ratio of the variances, coefficients and likelihood follow from each group's
-    moments; the ratio is found by golden section. One row per group reaches the driver.
+    moments; the ratio is found by golden section. It weighs groups by their size alone, so what
+    they add is summed by size where they are: one row per size of a group reaches the driver.
     """
     used = df
     for c in (y, *xs.values()):
         used = used.where(c.isNotNull())
     p = len(xs) + 1
-    groups = [_matrix(r, p + 1) for r in used.groupBy(group).agg(*_moments(y, list(xs.values()))).collect()]
-    n = sum(m[0, 0] for m in groups)
-    total = sum(groups)
+    own = used.groupBy(group).agg(*_moments(y, list(xs.values())))
+    names = [c for c in own.columns if c != group]
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    by_size = own.groupBy(F.col("m0_0").alias("size")).agg(F.count("*").alias("groups"), *[F.sum(c).alias(c) for c in names], *[F.sum(F.col(f"m0_{i}") * F.col(f"m0_{j}")).alias(f"o{i}_{j}") for i, j in pairs])
+    rows = by_size.collect()
+    total = sum((_matrix(r, p + 1) for r in rows), np.zeros((p + 1, p + 1)))
+    outer = np.array([_matrix(r, p + 1, "o") for r in rows]).reshape(-1, p + 1, p + 1)
+    size, count = (np.array([r[c] for r in rows], float) for c in ("size", "groups"))
+    n = total[0, 0]
 
     def at(ratio: float) -> tuple[float, np.ndarray, float]:
-        m, log_det = total.copy(), 0.0
-        for g in groups:
-            k = ratio / (1 + ratio * g[0, 0])
-            m -= k * np.outer(g[0], g[0])
-            log_det += math.log(1 + ratio * g[0, 0])
+        m = total - np.tensordot(ratio / (1 + ratio * size), outer, 1)
+        log_det = float(count @ np.log1p(ratio * size))
         beta = np.linalg.lstsq(m[:p, :p], m[:p, p], rcond=None)[0]
         rss = max(m[p, p] - beta @ m[:p, p], 1e-300)
         return -0.5 * (n * (math.log(2 * math.pi * rss / n) + 1) + log_det), beta, rss

@@ -85,10 +85,8 @@ def before(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, i, past, cluster, role: mentions of all sentences before sentence i."""
-    own = mentions(spark, sf_dir).select("doc", F.col("sentence_index").alias("past"), "cluster", "role")
-    index = sentences(spark, sf_dir).select("doc", F.col("sentence_index").alias("i"))
-    return index.join(own, "doc").where(F.col("past") < F.col("i"))
+    """doc, past, cluster, role: mentions of all sentences, once each."""
+    return mentions(spark, sf_dir).select("doc", F.col("sentence_index").alias("past"), "cluster", "role")
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:

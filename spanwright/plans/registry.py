@@ -488,6 +488,7 @@ for _name, _feature, _where in (
     ("role_form", "cluster::VARCHAR END AS e, role || '|' || form || '|' || e AS feature", "true"),
     ("role_form_no_other", "cluster::VARCHAR END AS e, role || '|' || form || '|' || e AS feature", "role <> 'other'"),
     ("role_only", "cluster::VARCHAR END AS e, role || '|' || e AS feature", "true"),
+    ("backoff", "cluster::VARCHAR END AS e, unnest(['0|' || e, '1|' || e || '|' || form, '2|' || e || '|' || role, '3|' || e || '|' || givenness || '|' || form || '|' || role]) AS feature", "true"),
 ):
 
     def _feature_variant(spark, sf, name=_name):
@@ -554,7 +555,7 @@ for _name in ("iv_transition_class", "iv_transition_surprisal"):
 )
 def iv_graph(spark, sf):
     s, t = _sides(spark, sf)
-    return _rounded(distance.graph_distance(t, s, P.context(spark, sf), KEYS))
+    return _rounded(distance.graph_distance(t, s, P.context(spark, sf), KEYS, scope=["doc"], at="i"))
 
 
 ORACLE_SQL["iv_graph"] = ORACLE_SQL["iv_graph"].replace(" , e AS", ", e AS")

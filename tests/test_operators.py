@@ -178,6 +178,12 @@ def test_weights_make_a_changed_role_count(spark):
     assert compared(spark, [m(1), m(2, role="object")], [m(1, role="object"), m(2)], l1, weighted=True) == pytest.approx(1)
 
 
+def test_backing_off_lets_a_changed_form_count_less_than_another_entity(spark):
+    form, other = (compared(spark, [m(1)], [x], l1, features="backoff") for x in (m(1, form="pronoun"), m(2)))
+    assert form == pytest.approx(0.5) and other == 1
+    assert compared(spark, [m(1)], [m(1, form="pronoun")], l1) == 1
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(0, 4), st.integers(0, 4), st.integers(0, 10_000))
 def test_transport_equals_the_best_of_all_matchings(n, k, seed):
@@ -203,6 +209,17 @@ def test_graph_prefers_frequent_entities(spark):
     assert compared(spark, [m(1), m(3)], [m(1)], f) < compared(spark, [m(1), m(3)], [m(3)], f)
 
 
+def test_graph_counts_only_sentences_before_the_one_compared(spark):
+    rows = [(d, p, c, "subject" if (p + c) % 3 else "other") for d in range(2) for p in range(5) for c in range(p % 3 + 1)]
+    context = spark.createDataFrame(rows, "doc int, past int, cluster int, role string")
+    own = [(d, i, k, c, r) for k in (0, 1) for d, i, c, r in ((d, p - k, c, r) for d, p, c, r in rows) if i >= 0]
+    targets = spark.createDataFrame(own, "doc int, i int, k int, cluster int, role string")
+    sides = targets.select("doc", "i", "k").distinct()
+    repeated = context.join(targets.select("doc", "i").distinct(), "doc").where("past < i")
+    found = lambda *a, **o: {(r["doc"], r["i"], r["k"]): round(r["distance"], 9) for r in distance.graph_distance(targets, sides, *a, **o).collect()}
+    assert found(context, ["doc", "i"], scope=["doc"], at="i") == found(repeated, ["doc", "i"])
+
+
 def test_rare_transitions_are_surprising(spark):
     rows = [(1, 0, "a"), (1, 1, "a"), (1, 2, "a"), (2, 0, "b"), (2, 1, "a"), (2, 2, "a")]
     got = {r["key"]: r["surprisal"] for r in distance.transition_surprisal(spark.createDataFrame(rows, "key int, k int, transition string"), ["key"]).collect()}
@@ -230,6 +247,23 @@ def test_mixed_model_has_the_likelihood_of_the_dense_one(spark):
     assert stats.likelihood_ratio(plain, fit)["p"] < 0.01
 
 
+def test_mixed_model_of_groups_that_differ_in_size(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(x), float(1 - x + b + rng.normal())) for g, b in enumerate(rng.normal(0, 2.0, 15)) for x in rng.normal(0, 1, 1 + g % 4)]
+    fit = stats.mixed_fit(spark.createDataFrame(rows, "g int, x double, y double"), F.col("y"), {"x": F.col("x")}, "g")
+    g, x, y = (np.array(c) for c in zip(*rows, strict=True))
+    design = np.stack([np.ones(len(x)), x], 1)
+
+    def dense(ratio):
+        v = np.eye(len(y)) + ratio * (g[:, None] == g[None, :])
+        beta = np.linalg.solve(design.T @ np.linalg.solve(v, design), design.T @ np.linalg.solve(v, y))
+        r = y - design @ beta
+        s = r @ np.linalg.solve(v, r) / len(y)
+        return -0.5 * (len(y) * (math.log(2 * math.pi * s) + 1) + np.linalg.slogdet(v)[1])
+
+    assert fit.log_likelihood == pytest.approx(max(map(dense, np.exp(np.linspace(-6, 4, 400)))), abs=1e-3)
+
+
 def test_tails_and_shapes():
     assert stats.chi_square_tail(3.841459, 1) == pytest.approx(0.05, abs=1e-6)
     assert stats.chi_square_tail(5.991465, 2) == pytest.approx(0.05, abs=1e-6)
