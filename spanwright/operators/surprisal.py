@@ -19,6 +19,8 @@ def context_windows(tokens: DataFrame, size: int = 128, stride: int = 1, item: s
     From the word before on, every `stride`-th word is taken until `size` pieces are held or
     `size` words were passed.
     """
+    if stride == 1 and size > 1:
+        return _consecutive_windows(tokens, size, item, index, pieces)
     frame = Window.partitionBy(item).orderBy(index).rowsBetween(-(size - 1) if size > 1 else 0, -1)
     back = F.reverse(F.collect_list(F.struct(F.col(index).alias("i"), F.col(pieces).cast("long").alias("n"))).over(frame))
     taken = F.filter(back, lambda x, k: k % stride == 0) if stride > 1 else back
@@ -29,6 +31,23 @@ def context_windows(tokens: DataFrame, size: int = 128, stride: int = 1, item: s
     return own.withColumns({"context_first": F.col("__r.first"), "context_pieces": F.col("__r.n"), "context_words": F.col("__r.k")}).drop("__t", "__r")
 
 
+def _consecutive_windows(tokens: DataFrame, size: int, item: str, index: str, pieces: str) -> DataFrame:
+    """The same without gaps: the first word follows from running sums, so no context is collected.
+
+    Words back to c are taken while the pieces behind c are fewer than `size`; sums only grow, so the
+    first such c is one before the first word whose sum before it lies within `size` - 1 of that of the word itself.
+    """
+    by_place = Window.partitionBy(item).orderBy(index)
+    whole = by_place.rowsBetween(Window.unboundedPreceding, -1)
+    own = tokens.withColumn("__u", F.coalesce(F.sum(F.col(pieces).cast("long")).over(whole), F.lit(0).cast("long")))
+    own = own.withColumns({"__back": F.coalesce(F.lag("__u", 1).over(by_place), F.lit(0).cast("long")), "__far": F.coalesce(F.lag("__u", size - 1).over(by_place), F.lit(0).cast("long"))})
+    near = Window.partitionBy(item).orderBy("__u").rangeBetween(-(size - 1), 0)
+    place = F.col(index).cast("long")
+    first = F.least(place, F.greatest(F.min(place).over(near) - 1, place - (size - 1), F.lit(0)))
+    own = own.withColumns({"context_first": first, "context_pieces": F.col("__u") - F.greatest(F.min("__back").over(near), F.col("__far"))})
+    return own.withColumn("context_words", (place - F.col("context_first")).cast("int")).drop("__u", "__back", "__far")
+
+
 def word_scores(scores: DataFrame, keys: list[str], order: str = "i", token: str = "token", score: str = "score", mark: str = "Ġ") -> DataFrame:
     """Surprisal of every word from the log scores of its subwords: a token with the mark begins a word."""
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

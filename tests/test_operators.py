@@ -136,6 +136,25 @@ def test_word_scores_flush_at_marks(spark):
     assert surprisal.last_word_scores(df, ["item"]).first()["surprisal"] == 4.0
 
 
+def test_context_windows_equal_a_walk_back(spark):
+    rng = np.random.default_rng(8)
+    words = {item: rng.integers(0, 5, n).tolist() for item, n in enumerate((1, 2, 40, 90))}
+    rows = [(item, i, p) for item, ps in words.items() for i, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "item int, i int, pieces int")
+    for size, stride in ((1, 1), (2, 1), (7, 1), (30, 1), (500, 1), (7, 2)):
+        expected = {}
+        for item, ps in words.items():
+            for i in range(len(ps)):
+                held, first, n = 0, i, 0
+                for c in range(i - 1, max(i - size, -1), -stride):
+                    if held >= size:
+                        break
+                    held, first, n = held + ps[c], c, n + 1
+                expected[item, i] = (first, held, n) if size > 1 else (i, 0, 0)
+        got = surprisal.context_windows(df, size, stride).collect()
+        assert {(r["item"], r["i"]): (r["context_first"], r["context_pieces"], r["context_words"]) for r in got} == expected
+
+
 MENTION = "key int, k int, cluster int, givenness string, form string, role string, etype string, text string"
 
 
