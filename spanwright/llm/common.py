@@ -56,6 +56,12 @@ def delete(spark: SparkSession, tables: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete what lies at this path when the driver ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -66,8 +72,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     for tables in _open_scratch:
         tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(table)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, host_rules, html_main, ivf_pq, jaccard_join, licence_scan, packing, pfair_mix, site_quality, warc
+from . import chat_format, fingerprint, host_rules, html_main, ivf_pq, jaccard_join, licence_scan, packing, pfair_mix, site_quality, token_align, turn_reassembly, warc
 
 QUERIES = {
     "op1_pfair_mix": pfair_mix.op1_pfair_mix,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_site_template": html_main.op8_site_template,
     "op9_licence_scan": licence_scan.op9_licence_scan,
     "op10_prefix_join": jaccard_join.op10_prefix_join,
+    "op11_token_align": token_align.op11_token_align,
+    "op12_turn_reassembly": turn_reassembly.op12_turn_reassembly,
+    "op13_improbable_digest": fingerprint.op13_improbable_digest,
 }
 
 ORACLE_SQL = {
