@@ -19,16 +19,35 @@ def context_windows(tokens: DataFrame, size: int = 128, stride: int = 1, item: s
     From the word before on, every `stride`-th word is taken until `size` pieces are held or
     `size` words were passed.
     """
-    if stride == 1 and size > 1:
+    if size <= 1:
+        none = F.lit(0).cast("long")
+        return tokens.withColumns({"context_first": F.col(index).cast("long"), "context_pieces": none, "context_words": F.lit(0)})
+    if stride == 1:
         return _consecutive_windows(tokens, size, item, index, pieces)
-    frame = Window.partitionBy(item).orderBy(index).rowsBetween(-(size - 1) if size > 1 else 0, -1)
-    back = F.reverse(F.collect_list(F.struct(F.col(index).alias("i"), F.col(pieces).cast("long").alias("n"))).over(frame))
-    taken = F.filter(back, lambda x, k: k % stride == 0) if stride > 1 else back
-    own = tokens.withColumn("__t", taken)
-    step = lambda a, x: F.when(a["n"] >= size, a).otherwise(F.struct((a["n"] + x["n"]).alias("n"), x["i"].cast("long").alias("first"), (a["k"] + 1).alias("k")))
-    begin = F.struct(F.lit(0).cast("long").alias("n"), F.col(index).cast("long").alias("first"), F.lit(0).alias("k"))
-    own = own.withColumn("__r", F.when(F.lit(size) > 1, F.aggregate("__t", begin, step)).otherwise(begin))
-    return own.withColumns({"context_first": F.col("__r.first"), "context_pieces": F.col("__r.n"), "context_words": F.col("__r.k")}).drop("__t", "__r")
+    return _strided_windows(tokens, size, stride, item, index, pieces)
+
+
+def _strided_windows(tokens: DataFrame, size: int, stride: int, item: str, index: str, pieces: str) -> DataFrame:
+    """The same with gaps, without a collected context: words of one residue of their place have sums of their own.
+
+    For each word the window that ends with it follows from these running sums, as without gaps; the next
+    word of the item takes that of the word before it.
+    """
+    place = F.col(index).cast("long")
+    own = tokens.withColumns({"__r": F.pmod(place, F.lit(stride)), "__n": F.col(pieces).cast("long")})
+    by_place = Window.partitionBy(item, "__r").orderBy(index)
+    own = own.withColumn("__s", F.sum("__n").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("__e", F.col("__s") - F.col("__n"))
+    passed = (size - 2) // stride  # words of the residue that may be passed besides the last one
+    near = Window.partitionBy(item, "__r").orderBy("__s").rangeBetween(-(size - 1), 0)
+    first = F.greatest(F.min(place).over(near), place - passed * stride, F.col("__r"))
+    held = F.col("__s") - F.greatest(F.min("__e").over(near), F.coalesce(F.lag("__e", passed).over(by_place), F.lit(0).cast("long")))
+    own = own.withColumn("__w", F.struct(first.alias("first"), held.alias("n"), ((place - first) / stride + 1).cast("int").alias("k")))
+    before = F.lag("__w", 1).over(Window.partitionBy(item).orderBy(index))
+    own = own.withColumn("__w", before).withColumns({
+        "context_first": F.coalesce(F.col("__w.first"), place), "context_pieces": F.coalesce(F.col("__w.n"), F.lit(0).cast("long")), "context_words": F.coalesce(F.col("__w.k"), F.lit(0)),
+    })
+    return own.drop("__r", "__n", "__s", "__e", "__w")
 
 
 def _consecutive_windows(tokens: DataFrame, size: int, item: str, index: str, pieces: str) -> DataFrame:

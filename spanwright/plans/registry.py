@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, audit, discourse, distance, rt, spans, stats, surprisal, windows
+from ..operators import align, audit, discourse, distance, mixed, rt, spans, stats, surprisal, windows
 from ..sources import readers, sinks
 from ..sources.shared import shared_folder
 from . import projection as P
@@ -238,24 +238,34 @@ ORACLE_SQL["head_role"] = ORACLE_SQL["head_role"].replace(" , a AS", ", a AS")
 
 @_sql(
     "locate_segment",
-    """SELECT doc, span, CASE WHEN ce <= 60 THEN 'context' WHEN cs >= 60 AND ce <= 140 THEN 'target' WHEN cs >= 140 AND ce <= 200 THEN 'post'
-       WHEN (cs + ce) // 2 <= 60 THEN 'context' WHEN (cs + ce) // 2 <= 140 THEN 'target' WHEN (cs + ce) // 2 <= 200 THEN 'post' END AS segment FROM spans""",
+    """, ends AS (SELECT doc_id AS doc, length(text) AS n FROM documents)
+       SELECT s.doc, span, CASE WHEN ce <= n * 3 // 5 THEN 'context' WHEN cs >= n * 3 // 5 + 1 AND ce <= n * 7 // 10 THEN 'target' WHEN cs >= n * 7 // 10 + 1 AND ce <= n THEN 'post'
+       WHEN (cs + ce) // 2 <= n * 3 // 5 THEN 'context' WHEN (cs + ce) // 2 BETWEEN n * 3 // 5 + 1 AND n * 7 // 10 THEN 'target' WHEN (cs + ce) // 2 BETWEEN n * 7 // 10 + 1 AND n THEN 'post' END AS segment
+       FROM spans s JOIN ends e ON e.doc = s.doc""",
     "spans",
 )
 def locate_segment(spark, sf):
-    parts = [("context", 0, 60), ("target", 60, 140), ("post", 140, 200)]
-    segments = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("char_start"), F.lit(b).alias("char_end")) for n, a, b in parts])
-    own = P.spans(spark, sf)
+    """Where each span lies in its document's own three segments, which cover the whole text."""
+    n = F.length("text")
+    a, b = F.floor(n * 3 / 5).cast("int"), F.floor(n * 7 / 10).cast("int")
+    parts = [("context", F.lit(0), a), ("target", a + 1, b), ("post", b + 1, n)]
+    docs = P.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.array(*[F.struct(F.lit(k).alias("name"), x.alias("char_start"), y.alias("char_end")) for k, x, y in parts]).alias("segments"))
+    segments = F.col("segments")
+    own = P.spans(spark, sf).join(docs, "doc")
     return own.select("doc", "span", spans.locate(F.col("char_start"), F.col("char_end"), segments)["name"].alias("segment"))
 
 
+ORACLE_SQL["locate_segment"] = ORACLE_SQL["locate_segment"].replace(" , ends AS", ", ends AS")
+
+
 IOU = "greatest(least(a.ce, b.ce) - greatest(a.cs, b.cs), 0)"
 
 
 @_sql(
     "iou_pairs",
     f"""SELECT * FROM (SELECT a.doc, a.span AS span_a, b.span AS span_b, round({IOU} / ((a.ce - a.cs) + (b.ce - b.cs) - {IOU}), 6) AS iou
-        FROM spans a JOIN spans b ON a.doc = b.doc AND a.span < b.span AND a.w <> b.w AND a.cs < b.ce AND a.ce > b.cs) WHERE iou >= 0.5""",
+        FROM (SELECT *, unnest(range(cs // 64, greatest((ce - 1) // 64, cs // 64) + 1)) AS k FROM spans) a JOIN (SELECT *, unnest(range(cs // 64, greatest((ce - 1) // 64, cs // 64) + 1)) AS k FROM spans) b
+        ON a.doc = b.doc AND a.k = b.k AND a.span < b.span AND a.w <> b.w AND a.cs < b.ce AND a.ce > b.cs AND greatest(a.cs, b.cs) // 64 = a.k) WHERE iou >= 0.5""",
     "spans",
 )
 def iou_pairs(spark, sf):
@@ -673,6 +683,57 @@ def mixed_model(spark, sf):
     return spark.createDataFrame([row], "intercept double, slope double, sigma double, group_sigma double, chi_square double, df int, p double")
 
 
+def _priced(spark, sf):
+    return P.table(spark, sf, "lineitem").join(P.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+@_sql("mixed_reml", None)
+def mixed_reml(spark, sf):
+    """One model by both criteria; iterative, so beyond SQL; tests hold it against dense likelihoods."""
+    fit = mixed.intercept_fit(_priced(spark, sf), F.log("l_extendedprice"), {"quantity": F.col("l_quantity")}, "s_nationkey")
+    rows = [(n, float(f.coefficients[0]), float(f.coefficients[1]), f.sigma, f.group_sigma, float(f.log_likelihood)) for n, f in (("reml", fit.reml), ("ml", fit.ml))]
+    return spark.createDataFrame(rows, "criterion string, intercept double, slope double, sigma double, group_sigma double, log_likelihood double")
+
+
+@_sql("mixed_crossed", None)
+def mixed_crossed(spark, sf):
+    """Random intercepts of nations and parts, which cross; tests hold the fit against a dense likelihood."""
+    fit = mixed.crossed_fit(_priced(spark, sf), F.log("l_extendedprice"), {"quantity": F.col("l_quantity")}, ("s_nationkey", "l_partkey"))
+    row = (float(fit.coefficients[0]), float(fit.coefficients[1]), fit.sigma, *map(float, fit.group_sigma), float(fit.log_likelihood))
+    return spark.createDataFrame([row], "intercept double, slope double, sigma double, nation_sigma double, part_sigma double, log_likelihood double")
+
+
+@_sql("mixed_gamma", None)
+def mixed_gamma(spark, sf):
+    """Gamma model of prices with an intercept for each nation; tests hold it against numerical integrals."""
+    fit = mixed.gamma_intercept_fit(_priced(spark, sf), "l_extendedprice", ["l_quantity"], "s_nationkey")
+    row = (float(fit.coefficients[0]), float(fit.coefficients[1]), fit.sigma, fit.group_sigma, float(fit.log_likelihood))
+    return spark.createDataFrame([row], "intercept double, slope double, sigma double, group_sigma double, log_likelihood double")
+
+
+@_sql(
+    "mixed_held_out",
+    """, a AS (SELECT l_returnflag AS f, l_suppkey AS g, ln(l_extendedprice) AS y, l_quantity::DOUBLE AS x FROM lineitem),
+       c AS (SELECT f, g, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM a GROUP BY f, g),
+       k AS (SELECT DISTINCT f AS k FROM a UNION ALL SELECT '*'),
+       s AS (SELECT k, g, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy FROM k JOIN c ON f <> k GROUP BY k, g),
+       m AS (SELECT k, sum(n) AS n, sum(n - w * n * n) AS a11, sum(sx - w * n * sx) AS a12, sum(sxx - w * sx * sx) AS a22, sum(sy - w * n * sy) AS b1, sum(sxy - w * sx * sy) AS b2, sum(syy - w * sy * sy) AS yy,
+         sum(ln(1 + 0.5 * n)) AS ld FROM (SELECT *, 0.5 / (1 + 0.5 * n) AS w FROM s) GROUP BY k),
+       b AS (SELECT *, (b1 - a12 * slope) / a11 AS cut FROM (SELECT *, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS slope FROM m)),
+       v AS (SELECT *, (yy - cut * b1 - slope * b2) / n AS var FROM b),
+       e AS (SELECT v.k AS fold, t.n - v.n AS n, -0.5 * ((t.n - v.n) * ln(2 * pi() * v.var) + t.ld - v.ld + (t.yy - 2 * (v.cut * t.b1 + v.slope * t.b2) + v.cut * v.cut * t.a11 + 2 * v.cut * v.slope * t.a12 + v.slope * v.slope * t.a22) / v.var - v.n) AS ll
+         FROM v JOIN v t ON t.k = '*' AND v.k <> '*')
+       SELECT fold, n, round(ll, 3) AS log_likelihood FROM e""",
+)
+def mixed_held_out(spark, sf):
+    """Log-likelihood of each fold given the others, half of the residual variance between suppliers."""
+    out = mixed.held_out(P.table(spark, sf, "lineitem"), "l_returnflag", F.log("l_extendedprice"), {"quantity": F.col("l_quantity")}, "l_suppkey", ratio=0.5)
+    return spark.createDataFrame([(r["fold"], float(r["n"]), round(float(r["log_likelihood"]), 3)) for r in out], "fold string, n double, log_likelihood double")
+
+
+ORACLE_SQL["mixed_held_out"] = "WITH " + ORACLE_SQL["mixed_held_out"].removeprefix(", ")
+
+
 # ---- audit
 
 @_sql(

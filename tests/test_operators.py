@@ -116,6 +116,37 @@ def test_window_packing(spark, sizes, budget, overlap):
     assert [tuple(w) for w in got] == reference_windows(sizes, budget, overlap)
 
 
+def test_windows_of_a_very_long_document(spark):
+    rows = spark.range(1_000_000).selectExpr("1 doc", "id sentence_index", "cast(id % 9 as int) n_words")
+    got = windows.pack_windows(rows, 50, 3).agg(F.count("*").alias("n"), F.max("last_sentence").alias("last"), F.max("n_words").alias("most")).first()
+    expected = reference_windows([i % 9 for i in range(3000)], 50, 3)
+    some = windows.pack_windows(rows.where("sentence_index < 3000"), 50, 3).orderBy("window").collect()
+    assert [(r["first_sentence"], r["last_sentence"]) for r in some] == expected
+    assert got["last"] == 999_999 and got["most"] <= 50 and got["n"] > 70_000
+
+
+def test_components_across_blocks(spark, monkeypatch):
+    """Paths, a hub and lone nodes over many blocks, against a plain union-find."""
+    rng = np.random.default_rng(5)
+    edges = [(1, i, i + 3) for i in range(400)] + [(2, 0, i) for i in range(1, 300, 2)] + [(3, int(a), int(b)) for a, b in rng.integers(0, 500, (260, 2))]
+    nodes = [(d, i) for d in (1, 2, 3, 4) for i in range(0, 500)]
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d, a, b in edges:
+        a, b = sorted((root((d, a)), root((d, b))))
+        parent[b] = a
+    frames = spark.createDataFrame(edges, "doc int, a int, b int"), spark.createDataFrame(nodes, "doc int, node int")
+    for block in (8, 1 << 16):
+        monkeypatch.setattr(windows, "COMPONENT_BLOCK", block)
+        got = {(r["doc"], r["node"]): r["component"] for r in windows.document_components(*frames).collect()}
+        assert got == {n: root(n)[1] for n in nodes}
+
+
 def test_segments_are_joined_with_zero_width_gaps(spark):
     text, places = discourse.join_segments([("context", F.lit("ab")), ("target", F.lit("")), ("post", F.lit("c "))])
     assert one(spark, text) == "ab c"
@@ -141,7 +172,7 @@ def test_context_windows_equal_a_walk_back(spark):
     words = {item: rng.integers(0, 5, n).tolist() for item, n in enumerate((1, 2, 40, 90))}
     rows = [(item, i, p) for item, ps in words.items() for i, p in enumerate(ps)]
     df = spark.createDataFrame(rows, "item int, i int, pieces int")
-    for size, stride in ((1, 1), (2, 1), (7, 1), (30, 1), (500, 1), (7, 2)):
+    for size, stride in ((1, 1), (2, 1), (7, 1), (30, 1), (500, 1), (1, 2), (2, 2), (7, 2), (8, 3), (30, 4), (500, 5)):
         expected = {}
         for item, ps in words.items():
             for i in range(len(ps)):
