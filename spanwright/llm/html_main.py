@@ -104,17 +104,19 @@ def marks_of(names: str, in_article: bool) -> tuple[bool, bool]:
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "roots", "link", "hash", "number", "holds", "texts")
+    __slots__ = ("tag", "dropped", "roots", "link", "hash", "number", "holds", "texts", "doubted")
 
-    def __init__(self, tag: str, dropped: bool, roots: int, link: bool, mark: str):
-        self.tag, self.dropped, self.roots, self.link = tag, dropped, roots, link
+    def __init__(self, tag: str, dropped: bool, roots: int, link: bool, mark: str, doubted: int = -1):
+        self.tag, self.dropped, self.roots, self.link, self.doubted = tag, dropped, roots, link, doubted
         self.hash, self.number, self.holds, self.texts = xxhash.xxh3_64(f"{tag} {mark}"), -1, False, False
 
 
-def _about(tag: str, attributes: str, inside: _Element) -> tuple[bool, int, str]:
-    """Whether an element is left out, the kinds of content roots that it lies in, and its marks."""
+def _about(tag: str, attributes: str, inside: _Element) -> tuple[bool, bool, int, str]:
+    """Whether an element is left out, whether that may be wrong (forms and class names may stand for
+    a page's layout), the kinds of content roots that it lies in, and its marks."""
     in_article = inside.roots >= MAIN
-    dropped = tag in DROPPED or (tag == "header" and not in_article)
+    doubted = tag == "form"
+    dropped = (tag in DROPPED and not doubted) or (tag == "header" and not in_article)
     roots, mark = inside.roots | (ARTICLE if tag == "article" else MAIN if tag == "main" else 0), ""
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, value in _MARKED.findall(attributes):
@@ -124,7 +126,7 @@ def _about(tag: str, attributes: str, inside: _Element) -> tuple[bool, int, str]
                     mark += f" {value}"
                 if tag not in ("body", "html"):
                     out, content = marks_of(value, in_article)
-                    dropped = dropped or out
+                    doubted = doubted or out
                     roots |= NAMED * content
             elif name == "role":
                 value = value.lower()
@@ -134,7 +136,7 @@ def _about(tag: str, attributes: str, inside: _Element) -> tuple[bool, int, str]
                 dropped = True
             elif name == "style" and _HIDING.search(value.lower()):
                 dropped = True
-    return dropped, roots, mark
+    return dropped, doubted and not dropped, roots, mark
 
 
 def _signed(value: int) -> int:
@@ -143,9 +145,15 @@ def _signed(value: int) -> int:
 
 class Page:
     """Blocks in page order (text, innermost element, content roots, mostly links?), elements that hold
-    any, outer ones first (hash, parent, place), and hashes of subtrees that are left out."""
+    any, outer ones first (hash, parent, place), and hashes of subtrees that are left out.
 
-    def __init__(self, page: str):
+    Forms and elements with the class names of what is no article are left out, unless they hold the article:
+    where no content root is outside all of them, those around one stay; where there is none at all, a form that holds
+    most of the text does, or whatever holds all of it. `spared` are their numbers.
+    """
+
+    def __init__(self, page: str, spared: set[int] | _Every = frozenset()):
+        self._spared, self._elements, self.around, self.doubted_chars, self.kept_chars, self.forms = spared, 0, set(), {}, 0, set()
         self.texts, self.element, self.roots, self.links = [], [], [], []
         self.hashes, self.parents, self.places, self.left_out = [], [], [], set()
         self._stack = [_Element("", False, 0, False, "")]
@@ -162,7 +170,11 @@ class Page:
         if words:
             top.hash.update(words)
             top.texts = True
-        if not top.dropped:
+        if top.dropped:
+            if top.doubted >= 0 and top.tag not in RAW:
+                self.doubted_chars[top.doubted] = self.doubted_chars.get(top.doubted, 0) + len(words)
+        else:
+            self.kept_chars += len(words)
             self._held.append(raw)
             if top.link:
                 self._linked += len(words)
@@ -274,8 +286,15 @@ class Page:
                     self._text(" ")
                 continue
             top = stack[-1]
-            dropped, roots, mark = _about(tag, attributes, top)
-            self._push(_Element(tag, dropped or top.dropped, roots, top.link or tag == "a", mark))
+            dropped, doubted, roots, mark = _about(tag, attributes, top)
+            self._elements += 1
+            doubted = doubted and self._elements not in self._spared
+            if tag == "form":
+                self.forms.add(self._elements)
+            within = -1 if dropped else top.doubted if top.dropped else self._elements if doubted else -1
+            self._push(_Element(tag, dropped or doubted or top.dropped, roots, top.link or tag == "a", mark, within))
+            if within >= 0 and roots >= MAIN and roots & ~NAMED and not (top.roots & ~NAMED and top.dropped):
+                self.around.add(within)
             if attributes.endswith("/") and tag in ("svg", "math", "path"):
                 self._close()
             elif tag in RAW:
@@ -306,6 +325,27 @@ class Page:
         self._close_to(depth)
 
 
+class _Every:
+    def __contains__(self, number: int) -> bool:
+        return True
+
+
+def read_page(page: str) -> Page:
+    """A page whose article isn't left out with what it lies in; behind three such layers all of them stay."""
+    spared: set[int] = set()
+    for _ in range(3):
+        own = Page(page, spared)
+        rooted = any(r & (ARTICLE | MAIN) for r in own.roots)
+        most = max(own.doubted_chars, key=lambda k: (own.doubted_chars[k], -k), default=-1)
+        if not rooted and own.around:
+            spared |= own.around
+        elif not rooted and own.doubted_chars.get(most, 0) > own.kept_chars * (most in own.forms or 1 << 60):
+            spared.add(most)
+        else:
+            return own
+    return Page(page, _Every())
+
+
 def dead_elements(hashes: list[int], parents: list[int], places: list[int], templates: set[int]) -> list[bool]:
     """Whether each element is a template or lies in one."""
     dead: list[bool] = []
@@ -344,7 +384,7 @@ def parsed(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
                 part = batch.slice(i, _ROWS)
                 rows = []
                 for x in part.column(2):
-                    p = Page(x.as_py() or "")
+                    p = read_page(x.as_py() or "")
                     found = [list({h for h, at in zip(p.hashes, p.places, strict=True) if at == place}) for place in (ELSEWHERE, INSIDE)]
                     rows.append((row, p.texts, p.element, p.roots, p.links, p.hashes, p.parents, p.places, [*found, list(p.left_out)]))
                     row += 1

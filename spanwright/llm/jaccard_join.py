@@ -309,7 +309,7 @@ def crossing(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def overlap_needed(na: Column, nb: Column, percent: int) -> Column:
-    return F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
+    return F.ceil(F.lit(percent).cast("long") * (na.cast("long") + nb) / (100 + percent) - 1e-9)
 
 
 def signatures_allow(percent: int) -> Column:

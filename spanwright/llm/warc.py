@@ -15,8 +15,8 @@ undone before the text is taken. Headers of the source come as lines as they sta
 Reading a file and deriving from a page both take time linear in it, however broken it is.
 
 Defined cases: null html is an empty payload, a null url an empty target URI; a record that is
-no response, is cut off, lies in a broken gzip member or has a body in an unknown coding gives one
-row of type `error` and no derivative; a body that ends early gives the text up to there; repeated
+no response, is cut off, has a wrong length, lies in a broken gzip member or has a body in an unknown
+coding gives one row of type `error` and no derivative, and reading goes on at the next record; a body that ends early gives the text up to there; repeated
 rows give repeated records. An empty table gives an empty result. Other columns are kept by `derive`
 only if they are named in `keep`.
 """
@@ -130,20 +130,39 @@ def records(data: bytes) -> Iterator[bytes]:
         if piece is None or len(held) >= need:
             need = yield from _whole_records(held)
         if piece is None:  # what is held can't be completed
-            yield bytes(held)
+            left = list(_whole_records(held, last=True))
+            yield from left
+            if not left or _is_whole(left[-1]):  # the broken member itself
+                yield b""
             held.clear()
             need = 0
-    yield from _whole_records(held)
-    if held.strip():
-        yield bytes(held)
+    yield from _whole_records(held, last=True)
 
 
-def _whole_records(held: bytearray) -> Iterator[bytes]:
-    """Take the whole records off the front of `held`; returns how long it must be for another try."""
+#: A line break before the first line of a record.
+_NEXT = re.compile(rb"\n(?=WARC/\d\.\d\r?\n)")
+#: What may lie between a record and the next one, and the begin of that.
+_AFTER = 16
+
+
+def _is_whole(record: bytes) -> bool:
+    end = _END.search(record)
+    size = parse_fields(record[: end.start()]).get("content-length", "") if end else ""
+    return size.isdigit() and len(record) >= end.end() + int(size)
+
+
+def _whole_records(held: bytearray, last: bool = False) -> Iterator[bytes]:
+    """Take the whole records off the front of `held`; returns how long it must be for another try.
+
+    A record is whole if the next one, or the end, follows where its length says. A length that is wrong ends its
+    record at the next header; the records from there on are read. `last`: nothing more will come.
+    """
     while True:
         begin = held.find(b"WARC/")
         if begin < 0:
-            if not held.strip():
+            if last and held.strip():
+                yield bytes(held)
+            if last or not held.strip():
                 held.clear()
             return 2 * len(held)
         if held[:begin].strip():  # no record: handed on as it is
@@ -151,11 +170,21 @@ def _whole_records(held: bytearray) -> Iterator[bytes]:
         del held[:begin]
         end = _END.search(held)
         if end is None:
+            if last:
+                yield bytes(held)
+                held.clear()
             return 2 * len(held)
         size = parse_fields(bytes(held[: end.start()])).get("content-length", "")
         upto = end.end() + (int(size) if size.isdigit() else 0)
-        if len(held) < upto:
-            return upto
+        if len(held) < upto + _AFTER and not last:
+            return upto + _AFTER
+        after = bytes(held[upto : upto + _AFTER]).lstrip(b"\r\n")
+        wrong = len(held) < upto or (after and not b"WARC/".startswith(after[:5]))
+        following = _NEXT.search(held, end.end()) if wrong else None
+        if following:
+            upto = following.end()
+        elif wrong and not last:
+            return 2 * len(held)
         yield bytes(held[:upto])
         del held[:upto]
 
@@ -291,6 +320,8 @@ def derivatives(record: bytes) -> list[tuple[dict[str, str], bytes]]:
     size = source.get("content-length", "")
     if not size.isdigit() or len(record) - begin < int(size):
         raise ValueError("the record is cut off or has no length")
+    if record[begin + int(size) :].strip(b"\r\n"):
+        raise ValueError("the record is longer than its length")
     block = record[begin : begin + int(size)]
     http_head, payload_at = split_head(block)
     http = all_fields(http_head)

@@ -111,3 +111,28 @@ def test_the_largest_content_root_and_whole_names():
     assert text(f'<article><p>a</p>{kept}<div class="related-posts">n</div><div class="postComments">n</div><div class="ad-300x250">n</div></article>') == "a\np1\np2\np3"
     assert text("<main><article><p>the whole body</p></article><div>beside</div></main>") == "the whole body"
     assert text("<main><h1>t</h1><p>the whole body</p><article>short</article></main>") == "t\nthe whole body\nshort"
+
+
+def kept(page):
+    p = html_main.read_page(page)
+    return html_main.article_of(p.texts, p.roots, p.links, [True] * len(p.texts))
+
+
+def test_an_article_is_not_left_out_with_its_layout():
+    body = "<h1>Head</h1><p>One two three.</p>"
+    assert kept(f"<body><form id='aspnet'><div>menu</div><article>{body}</article></form></body>") == "Head\nOne two three."
+    assert kept(f'<div class="right-sidebar"><article>{body}</article></div>') == "Head\nOne two three."
+    assert kept(f'<main class="subscription">{body}</main>') == "Head\nOne two three."
+    assert kept(f"<form><div>{body}</div></form><p>x</p>") == "Head\nOne two three.\nx"
+    assert kept(f'<form class="sidebar"><div class="ads"><div id="menu"><div class="popup"><article>{body}</article></div></div></div></form>') == "Head\nOne two three."
+    # Where an article stands outside, nothing of it returns.
+    assert kept(f'<article>{body}</article><section class="comments"><article>No!</article></section><form>{"search " * 50}</form>') == "Head\nOne two three."
+    assert kept('<div class="cookie">a</div><p>text</p>') == "text"
+
+
+def test_nested_layouts_take_linear_time():
+    import time
+
+    begin = time.perf_counter()
+    html_main.read_page("<form><div class=ads>" * 20_000 + "x")
+    assert time.perf_counter() - begin < 5

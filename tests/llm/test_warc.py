@@ -124,3 +124,27 @@ def test_query_equals_a_plain_version(spark, tmp_path):
             raw = warc.record_bytes(f, body)
             want.append((i, f["WARC-Type"], f["WARC-Record-ID"], warc.record_id("response", f"{i} {url or ''}"), url or "", warc.digest(body), warc.digest((page or "").encode()), len(body), hashlib.sha256(raw).hexdigest()))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("length", [99_999_999, 700, 3])
+@pytest.mark.parametrize("which", [0, 2, 5])
+def test_a_wrong_length_costs_one_record(packed, length, which):
+    parts = [response(b"<p>page %d</p>" % i * 9, url=f"http://h/{i}", length=length if i == which else None) for i in range(6)]
+    data = b"".join(map(gzip.compress, parts)) if packed else b"".join(parts)
+    good, bad = [], 0
+    for r in warc.records(data):
+        try:
+            good.append(warc.derivatives(r)[0][0]["WARC-Target-URI"])
+        except ValueError:
+            bad += 1
+    if (length, which) == (3, 5):  # nothing follows: the record with trailing bytes
+        assert good == [f"http://h/{i}" for i in range(6)] and bad == 1
+    else:
+        assert good == [f"http://h/{i}" for i in range(6) if i != which] and bad == 1
+
+
+def test_a_record_that_holds_records_stays_whole():
+    inner = response(b"<p>inner</p>") * 2
+    records = list(warc.records(response(inner) + response(b"<p>next</p>")))
+    assert len(records) == 2 and inner.strip() in records[0]
