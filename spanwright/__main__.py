@@ -94,11 +94,8 @@ def main(argv: list[str] | None = None) -> None:
         _report(out, args.out)
     elif args.command == "items":
         items = readers.read_jsonl(spark, args.source, S.ITEM)
-        out = pipelines.annotate_items(items, _factory(args), args.turn_sep)
-        if args.annotate_alternatives:
-            keyed = items.withColumn("key", pipelines.F.xxhash64("context", "target", "post_context"))
-            more = pipelines.annotate_alternatives(keyed.dropDuplicates(["key"]), _factory(args), "key", args.turn_sep)
-            out = out.withColumn("key", pipelines.F.xxhash64("context", "target", "post_context")).join(more, "key", "left").drop("key")
+        annotate = pipelines.annotate_with_alternatives if args.annotate_alternatives else pipelines.annotate_items
+        out = annotate(items, _factory(args), args.turn_sep)
         _report(out, args.out)
     elif args.command == "sentences":
         subjects = readers.read_subject_rts(spark, args.per_subject_rts) if args.per_subject_rts else None

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sentence_numbers(tokens: DataFrame, item: str = "item", order: str = "zone", word: str = "word") -> DataFrame:
+def sentence_numbers(tokens: DataFrame, item: str = "item", order: str | list[str] = "zone", word: str = "word") -> DataFrame:
     """`tokens` with sentence_id (from 1; a word that ends in a period ends its sentence) and sentence_position (from 1)."""
-    before = Window.partitionBy(item).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    order = [order] if isinstance(order, str) else order
+    before = Window.partitionBy(item).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = tokens.withColumn("sentence_id", (1 + F.coalesce(F.sum(F.when(F.endswith(word, F.lit(".")), 1).otherwise(0)).over(before), F.lit(0))).cast("int"))
-    return own.withColumn("sentence_position", F.row_number().over(Window.partitionBy(item, "sentence_id").orderBy(order)))
+    return own.withColumn("sentence_position", F.row_number().over(Window.partitionBy(item, "sentence_id").orderBy(*order)))
 
 
 def context_windows(tokens: DataFrame, size: int = 128, stride: int = 1, item: str = "item", index: str = "i", pieces: str = "pieces") -> DataFrame:
