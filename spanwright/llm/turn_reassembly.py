@@ -201,6 +201,9 @@ def reassemble(conversations: DataFrame, conv: str = "conv_id", turn: str = "tur
     ours = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no room set aside for each
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a start runs one batch
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in ours}
