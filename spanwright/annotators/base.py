@@ -23,7 +23,11 @@ class Annotator(Protocol):
     def parse(self, text: str) -> Parse: ...
 
     def clusters(self, text: str) -> list[list[tuple[int, int]]]:
-        """Coreference clusters as half-open character spans."""
+        """Coreference clusters as half-open character spans.
+
+        An annotator may also have `clusters_many(texts)`, which gives those of several texts in their order,
+        and `batch_size`, the number of texts that it is given at most (16).
+        """
         ...
 
 

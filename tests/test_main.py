@@ -129,3 +129,87 @@ def test_mentions_of_very_long_sentences_keep_their_order(spark):
     rows = [(1, 1, 0, "late head"), (1, 0, 250_000, "first head")]
     frame = spark.createDataFrame(rows, "c int, sentence_index int, pos int, text string").withColumn("at", F.struct("sentence_index", "pos"))
     assert audit.representative_heads(frame.withColumn("text", F.when(F.col("pos") == 0, "the dog").otherwise("the cat")), ["c"], order="at").first()["head"] == "cat"
+
+
+def batched():
+    """A class that workers get by value."""
+
+    class Batched:
+        """Clusters of several texts at once; a batch with the word "bad" fails, and so does that text."""
+
+        batch_size = 3
+
+        def __init__(self, log):
+            self.log = log
+
+        def parse(self, text):
+            return [], []
+
+        def clusters(self, text):
+            if "bad" in text:
+                raise ValueError("no")
+            return [[(0, len(text.split()[0]))]]
+
+        def clusters_many(self, texts):
+            with open(self.log, "a") as f:
+                f.write(json.dumps(texts) + "\n")
+            return [self.clusters(t) for t in texts]
+
+    return Batched
+
+
+def test_models_see_batches_of_like_length(spark, tmp_path):
+    import functools
+
+    from spanwright.plans import pipelines
+
+    words = [f"{'w' * (1 + i * 7 % 11)} x" for i in range(11)] + ["bad text of its own", "", "w x"]
+    items = spark.createDataFrame([(i, None, w) for i, w in enumerate(words)], "id int, context string, target string").coalesce(1)
+    out = pipelines.annotate_items(items, functools.partial(batched(), str(tmp_path / "log"))).collect()
+    assert [r["id"] for r in out] == list(range(len(words)))
+    for r, w in zip(out, words, strict=True):
+        spans = [(m["char_start"], m["char_end"]) for c in r["coref_clusters"] for m in c["mentions"]]
+        assert spans == ([] if not w or "bad" in w else [(0, len(w.split()[0]))]) and (r["error"] == "no") == ("bad" in w)
+    seen = [json.loads(x) for x in (tmp_path / "log").read_text().splitlines()]
+    assert [len(b) for b in seen] == [3, 3, 3, 3] and [len(t) for b in seen for t in b] == sorted(len(t) for b in seen for t in b)
+
+
+def test_fastcoref_takes_texts_together(monkeypatch):
+    from spanwright.annotators import models  # noqa: F401  registers it
+
+    _spacy(monkeypatch)
+    library, calls = types.ModuleType("fastcoref"), []
+
+    class FCoref:
+        def __init__(self, device):
+            pass
+
+        def predict(self, texts):
+            calls.append(list(texts))
+            return [types.SimpleNamespace(get_clusters=lambda as_strings, t=t: [[(0, len(t))]]) for t in texts]
+
+    library.FCoref = FCoref
+    monkeypatch.setitem(sys.modules, "fastcoref", library)
+    own = annotators.build("fastcoref")
+    assert own.clusters_many(["ab", "c"]) == [[[(0, 2)]], [[(0, 1)]]] and own.clusters("abc") == [[(0, 3)]] and calls == [["ab", "c"], ["abc"]]
+
+
+def test_coreferee_gives_spans_of_chains(monkeypatch):
+    from spanwright.annotators import models  # noqa: F401  registers it
+
+    _spacy(monkeypatch)
+    load = sys.modules["spacy"].load
+
+    def with_chains(name, **options):
+        nlp = load(name)
+
+        def run(text):
+            doc = nlp(text)
+            doc._ = types.SimpleNamespace(coref_chains=[[types.SimpleNamespace(token_indexes=[1, 0]), types.SimpleNamespace(token_indexes=[2])]])
+            return doc
+
+        run.add_pipe = lambda pipe: None
+        return run
+
+    monkeypatch.setattr(sys.modules["spacy"], "load", with_chains)
+    assert annotators.build("coreferee").clusters("Ann Lee left") == [[(0, 7), (8, 12)]]
