@@ -315,7 +315,7 @@ def overlap_needed(na: Column, nb: Column, percent: int) -> Column:
 def signatures_allow(percent: int) -> Column:
     """Whether the members a and b (sizes na and nb, signatures a0..., b0...) can be similar enough."""
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SIGNED)), F.lit(0))
-    return differ <= F.col("na") + F.col("nb") - 2 * overlap_needed(F.col("na"), F.col("nb"), percent)
+    return differ <= F.col("na").cast("long") + F.col("nb") - 2 * overlap_needed(F.col("na"), F.col("nb"), percent)
 
 
 PAIR = "a long, b long, na int, nb int, c long"
@@ -442,7 +442,7 @@ def possible_pairs(found: DataFrame, percent: int) -> DataFrame:
     pairs = found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
     # Overlap needed, less what can lie behind the prefixes.
     need = overlap_needed(F.col("na"), F.col("nb"), percent)
-    rest = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100 - 1e-9) - 1  # noqa: E731  elements behind the prefix
+    rest = lambda n: F.ceil(F.lit(percent).cast("long") * F.col(n) / 100 - 1e-9) - 1  # noqa: E731  elements behind the prefix
     return pairs.where(F.col("c") >= need - F.greatest(rest("na"), rest("nb"))).select("a", "b")
 
 

@@ -69,3 +69,13 @@ def test_counts_are_summed_over_what_is_handed_on(monkeypatch):
         got |= dict(zip(*(x.tolist() for x in jaccard_join._summed(own)), strict=True))
     assert got == dict(zip(elements.tolist(), n.tolist(), strict=True))
     assert [len(x) for x in jaccard_join._summed([])] == [0, 0]
+
+
+def test_overlap_of_very_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    from spanwright.llm import jaccard_join
+
+    frame = spark.createDataFrame([(13_000_000, 13_000_000), (2_000_000_000, 2_100_000_000), (4, 5)], "a int, b int")
+    got = [r[0] for r in frame.select(jaccard_join.overlap_needed(F.col("a"), F.col("b"), 85)).collect()]
+    assert got == [-(-85 * (a + b) // 185) for a, b in [(13_000_000, 13_000_000), (2_000_000_000, 2_100_000_000), (4, 5)]]
