@@ -2,6 +2,8 @@ import os
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # many small solves beside Spark's own threads
+
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
