@@ -1,121 +1,125 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source is a periodic task whose blocks are its subtasks: with weight w (its share of the
-slots), block i may run from slot floor(i / w) on and must run before slot ceil((i + 1) / w).
-Earliest deadline first over one block per slot meets all deadlines if the weights sum to one,
-so in every prefix of the mix a source deviates from its target by less than one block.
-
-Weights are whole units of a cycle, so the schedule repeats: one cycle is scheduled on the
-driver (at most `units` slots), and block i of a source has its slot by arithmetic. When a
-source runs out, a new phase begins in which the others share the slots by their units; the
-phases follow from the sources' sizes alone. No document is dropped or repeated.
+Every source is a task whose blocks are its subtasks. Its rate is its weight's share of the weights
+of all sources that still have blocks, so over a slot each it is due a fraction of a block; block i
+may run from the slot in which it begins to be due and must run by the slot in which it is due in
+full. Earliest deadline first over one block per slot meets all deadlines, as the rates sum to one, so in
+every prefix of the mix a source deviates from its target by less than one block. When a source runs
+out, the others share the slots by their weights. No document is dropped or repeated.
+
+Weights are whole units. A cycle takes a source's units in blocks from it, or what it has left, so at
+the borders of cycles nothing is owed and every cycle can be scheduled by itself: source, block and cycle
+give the slot by arithmetic. Cycles differ only where sources run out, so there are at most two kinds for
+each number of cycles after which one does. Tasks schedule one cycle of each kind, together at most as
+many slots as there are blocks; a kind's cycle has at most the units of all sources. The driver holds
+a row for each kind of cycle, none for each source.
 
 Inside a source, documents are taken in the order of a hash. Block borders are set by characters:
 a document belongs to the block in which it begins. Places in a source come from sums per
-(source, hash bucket), so a source with a third of all rows is spread over many tasks.
+(source, hash bucket) and per FAN buckets, so a source with a third of all rows is spread over many tasks.
 
 Defined cases: a null source is the source ""; a null or empty text has no characters; repeated
 rows are all mixed in; sources without a given weight get `default` units. An empty table gives
 an empty result. Columns with the names of a result are replaced.
-
-More than MAX_SOURCES sources are dealt to pools of about POOL_SOURCES by hash. A pool has the
-units of its sources, and its blocks are dealt to them by a Pfair schedule of its own, so every
-source keeps its weight and deviates by less than one block more for each level of pools. Slots
-of a source that runs out go to the others of its pool first. The driver holds a row per source.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
-import zlib
-from fractions import Fraction
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, materialize
 
-#: Characters of a block, units of all weights together, sources of one schedule, sources of a pool.
-BLOCK_CHARS, UNITS, MAX_SOURCES, POOL_SOURCES = 65_536, 1_000, 512, 128
-#: Units of a source on average where there are pools, rows of a schedule that are broadcast.
-POOLED_UNITS, PLAN_ROWS = 4, 200_000
-#: Rows that a (source, bucket) group holds, and buckets of a source at most (beyond, groups grow).
-GROUP_ROWS, MAX_BUCKETS = 80, 16_384
+#: Characters of a block, units of all weights together where none are given (but at least SOURCE_UNITS a source on average).
+BLOCK_CHARS, UNITS, SOURCE_UNITS = 65_536, 1_000, 4
+#: Rows that a (source, bucket) group holds, buckets whose sums are summed together.
+GROUP_ROWS, FAN = 80, 4096
 RESULT = {"mix_source", "mix_block", "mix_slot", "mix_place"}
 
 
-def one_cycle(units: dict[str, int]) -> list[str]:
-    """The source of each slot of a cycle, earliest deadline first within the Pfair windows."""
-    total = sum(units.values())
-    waiting = [(0, math.ceil(Fraction(total, u)), s, 0) for s, u in units.items()]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots = []
-    for now in range(total):
-        while waiting and waiting[0][0] <= now:
-            _, deadline, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, s, i))
-        deadline, s, i = heapq.heappop(ready)
-        if deadline <= now:
+def one_cycle(units: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Source (its position), block and slot of all blocks of a cycle, earliest deadline first within the Pfair windows.
+
+    A source is due `units` blocks in a cycle and has 1 to `units` of them (`counts`).
+    """
+    u, n = np.asarray(units, np.int64), np.asarray(counts, np.int64)
+    by_end = np.argsort(n / u, kind="stable")
+    ends = (n / u)[by_end]
+    gone = np.concatenate([[0], np.cumsum(n[by_end])])  # blocks of sources that ran out
+    rate = u.sum() - np.concatenate([[0], np.cumsum(u[by_end])])  # units of the others
+    who = np.repeat(np.arange(len(u)), n)
+    block = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+    own = u[who]
+
+    def due(i: np.ndarray) -> np.ndarray:
+        """`own` times the slot at which i blocks are due."""
+        k = np.searchsorted(ends, i / own)
+        return gone[k] * own + i * rate[k]
+
+    release, deadline = due(block) // own, -(-due(block + 1) // own)
+    order = np.argsort(release, kind="stable")
+    waiting = release[order].tolist()
+    keyed = (deadline * len(who) + np.arange(len(who)))[order].tolist()
+    ready: list[int] = []
+    slots, following = np.empty(len(who), np.int64), 0
+    for now in range(len(who)):
+        while following < len(waiting) and waiting[following] <= now:
+            heapq.heappush(ready, keyed[following])
+            following += 1
+        last, x = divmod(heapq.heappop(ready), len(who))
+        if last <= now:
             raise AssertionError("a deadline was missed")
-        slots.append(s)
-        if i + 1 < units[s]:
-            heapq.heappush(waiting, ((i + 1) * total // units[s], -(-(i + 2) * total // units[s]), s, i + 1))
-    return slots
-
-
-def phases(units: dict[str, int], blocks: dict[str, int]) -> list[dict]:
-    """Phases of the whole mix: per source its first block and the number of them, first slot, cycle."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    used, start, out = dict.fromkeys(left, 0), 0, []
-    while left:
-        active = {s: units[s] for s in left}
-        cycle = one_cycle(active)
-        at: dict[str, list[int]] = {s: [] for s in active}
-        for slot, s in enumerate(cycle):
-            at[s].append(slot)
-        slot_of = lambda s, i: i // active[s] * len(cycle) + at[s][i % active[s]]
-        end = min(slot_of(s, n) for s, n in left.items())  # the first slot that a source can't fill
-        whole, part = divmod(end, len(cycle))
-        done = {s: whole * active[s] + sum(x < part for x in at[s]) for s in left}
-        out.append({"start": start, "cycle": len(cycle), "sources": {s: (used[s], done[s], at[s]) for s in left}})
-        start += end
-        for s, n in done.items():
-            used[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-    return out
-
-
-def levels(units: dict[str, int], blocks: dict[str, int]) -> list[list[tuple]]:
-    """The schedules from that of single sources inside their pools to that of all pools.
-
-    Rows are (source or pool, its pool, first block, the one behind the last, first slot, cycle,
-    blocks in a cycle, their slots in it). The slots of a pool's own schedule are its blocks.
+        slots[x] = now
+    return who, block, slots
+
+
+def root_units(sizes: DataFrame, alpha: float) -> Column:
+    """Units proportional to chars ** alpha, at least one each: large sources are damped, none is lost."""
+    share = F.greatest(F.col("chars"), F.lit(1)).cast("double") ** F.lit(float(alpha))
+    of_all = sizes.agg(F.count("*").alias("n"), F.sum(share).alias("share")).first()
+    units = max(UNITS, SOURCE_UNITS * of_all["n"])
+    return F.greatest(F.lit(1), F.round(F.lit(float(units)) * share / F.lit(of_all["share"] or 1.0))).cast("long")
+
+
+def scheduled(sources: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Slots in all kinds of cycles from (mix_source, units, blocks), and a function from the number of a cycle
+    to its kind and first slot. The slots are rows (mix_source, kind, turn, slot): the turn is the block's number in its cycle.
     """
-    out = []
-    while units:
-        pools = -(-len(units) // POOL_SOURCES) if len(units) > MAX_SOURCES else 1
-        members: dict[str, list[str]] = {}
-        for s in sorted(units):
-            members.setdefault(f"pool {zlib.crc32(s.encode('utf-8', 'surrogatepass')) % pools}", []).append(s)
-        rows = []
-        for pool, own in members.items():
-            for p in phases({s: units[s] for s in own}, {s: blocks[s] for s in own}):
-                rows += [(s, pool, first, first + n, p["start"], p["cycle"], len(at), at) for s, (first, n, at) in p["sources"].items() if n]
-        out.append(rows)
-        if pools == 1:
-            break
-        units, blocks = ({pool: sum(of[s] for s in own) for pool, own in members.items()} for of in (units, blocks))
-    return out
-
-
-def root_weights(sizes: dict[str, int], alpha: float = 0.5, units: int = UNITS) -> dict[str, int]:
-    """Units proportional to size ** alpha, at least one each: large sources are damped, none is lost."""
-    shares = {s: float(max(n, 1)) ** alpha for s, n in sizes.items()}
-    total = sum(shares.values()) or 1.0
-    return {s: max(1, round(units * x / total)) for s, x in shares.items()}
+    whole, rest = F.floor(F.col("blocks") / F.col("units")).cast("long"), F.col("blocks") % F.col("units")
+    own = sources.select("mix_source", "units", whole.alias("whole"), rest.alias("rest"))
+    changes = own.select(F.explode(F.when(F.col("rest") > 0, F.array("whole", F.col("whole") + 1)).otherwise(F.array("whole"))).alias("c"))
+    begins = np.array(sorted({0, *(r["c"] for r in changes.distinct().collect())}), np.int64)
+
+    @F.pandas_udf("long")
+    def kind_of(cycle: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(begins, cycle, side="right") - 1)
+
+    # All units in the cycles before the last one, which takes what is left (if anything is).
+    in_kinds = own.withColumn("last", kind_of("whole")).withColumn("kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - (F.col("rest") == 0).cast("long"))))
+    in_kinds = in_kinds.select("mix_source", "kind", "units", F.when(F.col("kind") == F.col("last"), F.col("rest")).otherwise(F.col("units")).alias("n"))
+
+    def schedule(cycle: pd.DataFrame) -> pd.DataFrame:
+        cycle = cycle.sort_values("mix_source")
+        who, turn, slot = one_cycle(cycle["units"].to_numpy(), cycle["n"].to_numpy())
+        return pd.DataFrame({"mix_source": cycle["mix_source"].to_numpy()[who], "kind": cycle["kind"].iloc[0], "turn": turn, "slot": slot})
+
+    slots = materialize(in_kinds.groupBy("kind").applyInPandas(schedule, "mix_source string, kind long, turn long, slot long"), "mix_cycles")
+    sizes = np.zeros(len(begins), np.int64)
+    for r in slots.groupBy("kind").count().collect():
+        sizes[r["kind"]] = r["count"]
+    first = np.concatenate([[0], np.cumsum(np.diff(begins) * sizes[:-1])])
+
+    @F.pandas_udf("kind long, first long")
+    def place_of(cycle: pd.Series) -> pd.DataFrame:
+        k = np.searchsorted(begins, cycle, side="right") - 1
+        return pd.DataFrame({"kind": k, "first": first[k] + (cycle.to_numpy() - begins[k]) * sizes[k]})
+
+    return slots, place_of
 
 
 def mix(
@@ -144,35 +148,43 @@ def mix(
     order_by = [c for c in order_by or kept if c in kept]
     taken = F.col(size) if size else F.length(F.col(text))
     named = docs.select(*kept, F.coalesce(F.col(source), F.lit("")).alias(key), F.coalesce(taken, F.lit(0)).cast("long").alias(chars), F.xxhash64(*order_by).alias(order))
-    found = named.groupBy(key).agg(F.count("*").alias("n"), F.sum(chars).alias("chars")).collect()
-    rows = {r[key]: r["n"] for r in found}
-    sizes = {r[key]: r["chars"] for r in found}
-    counts = [(s, min(MAX_BUCKETS, n // GROUP_ROWS + 1)) for s, n in rows.items()]
-    named = attach(named, spark.createDataFrame(counts, f"{key} string, __buckets long"), [key], "inner")
+    sources = materialize(named.groupBy(key).agg(F.count("*").alias("n"), F.sum(chars).alias("chars")), "mix_sources")
+    if weights:
+        given = spark.createDataFrame(list(weights.items()), f"{key} string, units long")
+        sources = attach(sources, given, [key]).withColumn("units", F.coalesce("units", F.lit(default)))
+    else:
+        sources = sources.withColumn("units", root_units(sources, alpha))
+    # The last block also holds what begins at the very end.
+    sources = sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("chars") / block_chars).cast("long")))
+    named = attach(named, sources.select(key, F.floor(F.col("n") / GROUP_ROWS + 1).cast("long").alias("__buckets")), [key], "inner")
     named = named.withColumn(bucket, F.pmod(F.xxhash64(order), F.col("__buckets"))).drop("__buckets")
 
     # Where each group begins in its source, then where each document does in its group.
-    sums = materialize(named.groupBy(key, bucket).agg(F.sum(chars).alias("chars"), F.count("*").alias("n")), "mix_sums")
-    earlier = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(key, bucket, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__before_{c}") for c in ("chars", "n")])
+    sums = materialize(named.groupBy(key, bucket).agg(F.sum(chars).alias("chars"), F.count("*").alias("n")), "mix_sums").withColumn("above", F.floor(F.col(bucket) / FAN))
+    earlier = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    begin = lambda c, window: F.coalesce(F.sum(c).over(window), F.lit(0))
+    above = sums.groupBy(key, "above").agg(F.sum("chars").alias("chars"), F.sum("n").alias("n"))
+    above = above.select(key, "above", *[begin(c, earlier([key], "above")).alias(f"above_{c}") for c in ("chars", "n")])
+    groups = sums.select("*", *[begin(c, earlier([key, "above"], bucket)).alias(f"own_{c}") for c in ("chars", "n")]).join(above, [key, "above"])
+    groups = groups.select(key, bucket, "chars", (F.col("above_chars") + F.col("own_chars")).alias("__before_chars"), (F.col("above_n") + F.col("own_n")).alias("__before_n"))
+    groups = attach(groups, sources.select(key, "units", (F.col("blocks") - 1).alias("__last")), [key], "inner")
+    block = lambda at: F.least(F.floor(at / block_chars).cast("long"), F.col("__last"))
+    groups = materialize(groups.withColumn("__first", block(F.col("__before_chars"))), "mix_groups")
+
+    # The slots of the blocks of each group.
+    slots, place_of = scheduled(sources)
+    blocks = groups.select(key, "units", F.col(bucket).alias("bucket"), F.explode(F.sequence(F.col("__first"), block(F.col("__before_chars") + F.col("chars")))).alias("block"))
+    blocks = blocks.withColumn("cycle", F.floor(F.col("block") / F.col("units")).cast("long")).withColumn("place", place_of("cycle"))
+    blocks = blocks.select(key, "bucket", "block", F.col("place.first").alias("first"), F.col("place.kind").alias("kind"), (F.col("block") - F.col("cycle") * F.col("units")).alias("turn"))
+    blocks = attach(blocks, slots, [key, "kind", "turn"], "inner")
+    taken = blocks.groupBy(key, F.col("bucket").alias(bucket)).agg(F.sort_array(F.collect_list(F.struct("block", (F.col("first") + F.col("slot")).alias("slot")))).alias("__slots"))
+    groups = groups.drop("chars", "units").join(taken, [key, bucket])
+
     inside = Window.partitionBy(key, bucket).orderBy(order, *order_by).rowsBetween(Window.unboundedPreceding, -1)
-    placed = named.withColumns({"__own_chars": F.coalesce(F.sum(chars).over(inside), F.lit(0)), "__own_n": F.count(F.lit(1)).over(inside)})
-    placed = placed.join(before, [key, bucket])
-    placed = placed.withColumn("mix_place", F.col("__before_n") + F.col("__own_n"))
-    placed = placed.withColumn("mix_block", F.floor((F.col("__before_chars") + F.col("__own_chars")) / block_chars).cast("long"))
-
-    blocks = {s: n // block_chars + 1 for s, n in sizes.items()}  # the last one holds what begins at the very end
-    pooled = POOLED_UNITS * len(sizes) if len(sizes) > MAX_SOURCES else 0
-    units = {s: weights.get(s, default) for s in blocks} if weights else root_weights(sizes, alpha, max(UNITS, pooled))
-    out = placed.withColumns({"__who": F.col(key), "__i": F.col("mix_block")})
-    for rows in levels(units, blocks) or [[]]:
-        plan = spark.createDataFrame(rows, "__who string, __pool string, __lo long, __hi long, __start long, __cycle long, __per long, __at array<long>")
-        plan = F.broadcast(plan) if len(rows) <= PLAN_ROWS else plan
-        out = out.join(plan, "__who").where((F.col("__i") >= F.col("__lo")) & (F.col("__i") < F.col("__hi")))
-        i = F.col("__i") - F.col("__lo")
-        slot = F.col("__start") + F.floor(i / F.col("__per")) * F.col("__cycle") + F.get("__at", F.pmod(i, F.col("__per")).cast("int"))
-        out = out.withColumns({"__who": F.col("__pool"), "__i": slot.cast("long")}).drop("__pool", "__lo", "__hi", "__start", "__cycle", "__per", "__at")
-    return out.select(*kept, key, "mix_block", F.col("__i").alias("mix_slot"), "mix_place")
+    placed = named.withColumns({"__own_chars": begin(chars, inside), "__own_n": F.count(F.lit(1)).over(inside)}).join(groups, [key, bucket])
+    own = block(F.col("__before_chars") + F.col("__own_chars"))
+    slot = F.get("__slots", (own - F.col("__first")).cast("int"))["slot"]
+    return placed.select(*kept, key, own.alias("mix_block"), slot.alias("mix_slot"), (F.col("__before_n") + F.col("__own_n")).alias("mix_place"))
 
 
 def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:

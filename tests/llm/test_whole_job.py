@@ -5,6 +5,7 @@ import random
 from fractions import Fraction
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from spanwright.llm import html_main, licence_scan, pfair_mix, warc
@@ -40,30 +41,82 @@ def test_a_subtree_on_many_pages_is_a_template_below_the_share(spark, monkeypatc
 
 # ---- mixing
 
-def test_each_of_many_sources_keeps_its_weight(spark):
-    units = {f"s{i}": 1 + i % 3 for i in range(600)}
-    rows = [(f"{s}-{k}", s, 100) for s, u in units.items() for k in range(3 * u)]
-    out = pfair_mix.mix(spark.createDataFrame(rows, "doc_id string, source string, n long"), units, size="n", block_chars=100).collect()
-    assert len(out) == len(rows) and all(r["mix_source"] == r["source"] for r in out)
-    order = [r["source"] for r in sorted(out, key=lambda r: (r["mix_slot"], r["mix_place"]))]
-    assert sorted(r["mix_slot"] for r in out) == list(range(len(rows)))
-    total, done = sum(units.values()), dict.fromkeys(units, 0)
-    for t, s in enumerate(order, 1):  # all run out together
+def targets(units, blocks):
+    """Blocks due to each source after each slot, in fractions: who still has some shares by units."""
+    due = {s: Fraction(0) for s in blocks}
+    for _ in range(sum(blocks.values())):
+        left = Fraction(1)
+        while left:
+            active = [s for s in blocks if due[s] < blocks[s]]
+            total = sum(units[s] for s in active)
+            step = min(left, *((blocks[s] - due[s]) * total / units[s] for s in active))
+            for s in active:
+                due[s] += step * units[s] / total
+            left -= step
+        yield due
+
+
+def within_a_block(order, units, blocks):
+    done = dict.fromkeys(blocks, 0)
+    for s, due in zip(order, targets(units, blocks), strict=True):
         done[s] += 1
-        if t % 50 == 0:
-            assert all(abs(Fraction(u * t, total) - done[x]) < 2 for x, u in units.items())
-
-
-def test_pools_of_pools_use_every_slot_once(monkeypatch):
-    monkeypatch.setattr(pfair_mix, "MAX_SOURCES", 4)
-    monkeypatch.setattr(pfair_mix, "POOL_SOURCES", 3)
-    units, blocks = {f"s{i}": 1 + i % 5 for i in range(60)}, {f"s{i}": i % 7 for i in range(60)}
-    schedules = pfair_mix.levels(units, blocks)
-    assert len(schedules) >= 3
-    at = [(s, i) for s, n in blocks.items() for i in range(n)]
-    for rows in schedules:
-        at = [next((p, start + (i - lo) // per * cycle + slots[(i - lo) % per]) for x, p, lo, hi, start, cycle, per, slots in rows if x == s and lo <= i < hi) for s, i in at]
-    assert sorted(i for _, i in at) == list(range(sum(blocks.values())))
+        if not all(abs(due[x] - done[x]) < 1 for x in blocks):
+            return False
+    return done == blocks
+
+
+def test_cycles_keep_all_within_a_block():
+    rng = random.Random(3)
+    for n in (1, 2, 3, 7, 20):
+        for _ in range(20):
+            units = [rng.randint(1, 30) for _ in range(n)]
+            counts = [rng.randint(1, u) for u in units]
+            who, block, slot = pfair_mix.one_cycle(units, counts)
+            order = [w for _, w in sorted(zip(slot.tolist(), who.tolist(), strict=True))]
+            assert within_a_block(order, dict(enumerate(units)), dict(enumerate(counts)))
+            assert all((slot[who == w][1:] > slot[who == w][:-1]).all() for w in range(n))
+
+
+def test_many_sources_stay_within_a_block_to_the_end(spark):
+    rng = random.Random(4)
+    for units, blocks in (
+        ({"a": 3, "b": 1, "c": 2}, {"a": 40, "b": 5, "c": 31}),  # they run out one after another
+        ({f"s{i}": 1 + i % 5 for i in range(60)} | {"s0": 90}, {f"s{i}": rng.randint(1, 12) for i in range(60)} | {"s0": 400}),
+    ):
+        rows = [(f"{s}-{k}", s, 100) for s, n in blocks.items() for k in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id string, source string, n long")
+        out = pfair_mix.mix(docs, units, size="n", block_chars=100).collect()
+        assert len(out) == len(rows) and sorted(r["mix_slot"] for r in out) == list(range(len(rows)))
+        order = [r["source"] for r in sorted(out, key=lambda r: r["mix_slot"])]
+        assert all(r["mix_source"] == r["source"] for r in out) and within_a_block(order, units, blocks)
+
+
+def test_a_cycle_of_600_and_of_100_000_sources():
+    units = np.array([900, *(1 + i % 5 for i in range(1, 600))])
+    who, _, slot = pfair_mix.one_cycle(units, units)
+    done, total = np.zeros(600, np.int64), int(units.sum())
+    for t, w in enumerate(who[np.argsort(slot)].tolist(), 1):
+        done[w] += 1
+        assert (np.abs(units * t - done * total) < total).all()
+    units = 1 + np.arange(100_000) % 5
+    who, block, slot = pfair_mix.one_cycle(units, np.maximum(units - np.arange(100_000) % 2, 1))
+    assert (np.sort(slot) == np.arange(len(who))).all()
+
+
+def test_groups_of_a_source_are_summed_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(pfair_mix, "GROUP_ROWS", 2)
+    monkeypatch.setattr(pfair_mix, "FAN", 3)
+    rows = [(i, "a" if i % 3 else "b", 7 * (i % 11)) for i in range(300)]
+    out = pfair_mix.mix(spark.createDataFrame(rows, "doc_id long, source string, n long"), size="n", block_chars=50).collect()
+    for s in "ab":
+        own = sorted((r for r in out if r["source"] == s), key=lambda r: r["mix_place"])
+        assert [r["mix_place"] for r in own] == list(range(len(own)))
+        at = 0
+        for r in own:
+            assert r["mix_block"] == min(at, sum(x["n"] for x in own) - 1) // 50
+            at += r["n"]
+        slots = [r["mix_slot"] for r in own]
+        assert slots == sorted(slots) and len(set(slots)) == len({r["mix_block"] for r in own})
 
 
 def test_packed_sequences_follow_the_mix(spark, monkeypatch):
