@@ -12,10 +12,11 @@ number among the pieces of its length without a shuffle: a running number inside
 the counts of the tasks before, and that number gives sequence and place by arithmetic. So a
 hot length meets no single task.
 
-Documents may have an order (that of a mix). They are sorted by it, so tasks hold consecutive
-parts of it; at most RUNS runs of tasks are packed each for itself, with the pieces of a length
-taken in order and the residual laid in order, and sequences are numbered by the earliest place
-of what they hold.
+Documents may have an order (that of a mix): `pack_in_order`. Then runs of RUN_SEQUENCES sequences of it
+are packed each for itself, by the task that reads them: pieces of a length are taken in order,
+the residual is laid in order, and sequences are numbered by the earliest place of what they hold.
+A run lies in one slice of a file or in one sorted partition, and is all that a task holds. Only the
+numbers of sequences of the runs are summed across tasks.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are separate documents;
 an empty table gives an empty result. Columns other than the key and the text are ignored.
@@ -24,8 +25,10 @@ an empty table gives an empty result. Columns other than the key and the text ar
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import attach, materialize
 
-WINDOW, END_ID, RUNS = 2048, 1, 8
+WINDOW, END_ID, RUN_SEQUENCES = 2048, 1, 1024
 GRAIN, DEPTH = 8, 3
 #: Characters that a worker tokenises at a time.
 BATCH_CHARS = 4_000_000
@@ -114,13 +117,13 @@ def batches_of(texts: list[str], most: int = BATCH_CHARS):
 def pieces_of(docs: DataFrame, key: str, text: str, tokenizer: str, window: int, end_id: int, all_ids: bool) -> DataFrame:
     """Full windows and the remainder of every document, numbered by length inside each task."""
     kind = docs.select(key).schema[0].dataType.simpleString()
-    schema = f"`{key}` {kind}, start long, length int, ids_crc32 long, doc_tokens long, ids binary, part long, ordinal long, at long"
+    schema = f"`{key}` {kind}, start long, length int, ids_crc32 long, doc_tokens long, ids binary, part long, ordinal long"
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
         from pyspark import TaskContext
 
-        part, seen, encode, number = TaskContext.get().partitionId(), defaultdict(int), encoder(tokenizer), 0
+        part, seen, encode = TaskContext.get().partitionId(), defaultdict(int), encoder(tokenizer)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             texts = texts.fill_null("").to_pylist()
@@ -135,19 +138,18 @@ def pieces_of(docs: DataFrame, key: str, text: str, tokenizer: str, window: int,
                         row.append(i), start.append(s), length.append(m), crc.append(zlib.crc32(x)), total.append(n)
                         kept.append(x if all_ids or m < window else None), ordinal.append(seen[m])
                         seen[m] += 1
-                first, number = number, number + len(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()),
                         pa.array(total, pa.int64()), pa.array(kept, pa.binary()), pa.array([part] * len(row), pa.int64()), pa.array(ordinal, pa.int64()),
-                        pa.array(range((part << 40) + first, (part << 40) + number), pa.int64()),
                     ],
-                    names=[key, "start", "length", "ids_crc32", "doc_tokens", "ids", "part", "ordinal", "at"],
+                    names=[key, "start", "length", "ids_crc32", "doc_tokens", "ids", "part", "ordinal"],
                 )
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(cut, schema)
 
 
+@lru_cache
 def combinations(total: int, depth: int) -> list[tuple[int, ...]]:
     """Non-increasing tuples of at most `depth` bins with the given sum."""
 
@@ -235,69 +237,131 @@ def solve(histogram: dict[int, int], window: int, grain: int = GRAIN, depth: int
     return slots, lengths, sequences
 
 
-def _in_order(pieces: DataFrame) -> DataFrame:
-    """`pieces` with sequences numbered by the smallest `at` that they hold."""
-    spark = pieces.sparkSession
+def placed(pieces: list[tuple[int, bytes]], window: int) -> list[tuple[int, int, int, int, int]]:
+    """Places of a run's pieces, which come as (length, ids) in order: (piece, ids skipped in it, length, sequence, offset)."""
+    histogram: dict[int, int] = defaultdict(int)
+    for n, _ in pieces:
+        histogram[n] += 1
+    slots, lengths, combined = solve(histogram, window)
+    of_length = {x[0]: x[1:4] for x in lengths}
+    of_bin: dict[int, list[tuple]] = defaultdict(list)
+    for x in slots:
+        of_bin[x[0]].append(x[1:])
+    bin_slots = {b: [(first + i, slot) for lo, hi, first, slot in sorted(x) for i in range(hi - lo)] for b, x in of_bin.items()}
+    found, seen, laid = [], defaultdict(int), 0
+    for i, (n, _) in enumerate(pieces):
+        b, before, used = of_length[n]
+        k = seen[n]
+        seen[n] += 1
+        if k < used:
+            sequence, slot = bin_slots[b][before + k]
+            found.append((sequence, slot, i, 0, n))
+            continue
+        skip = 0
+        while skip < n:  # cut at the window's border
+            take = min(n - skip, window - laid % window)
+            found.append((combined + laid // window, laid % window, i, skip, take))
+            skip, laid = skip + take, laid + take
+    earliest: dict[int, int] = {}
+    for sequence, _, i, _, _ in found:  # residual and combined pieces alike come in order
+        earliest.setdefault(sequence, i)
+    rank = {q: r for r, q in enumerate(sorted(earliest, key=lambda q: (earliest[q], q)))}
+    out, used_up = [], defaultdict(int)
+    for sequence, _, i, skip, n in sorted(found):
+        out.append((i, skip, n, rank[sequence], used_up[sequence]))
+        used_up[sequence] += n
+    return out
+
+
+def pack_in_order(
+    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True, order: list[str] | None = None
+) -> DataFrame:
+    """The rows of `pack`, in sequences that follow the documents' order.
+
+    That is the order of the columns `order`; without them `docs` must be rows of files, whose order is that
+    of the files' names and of the rows in them, as a sorted table was written. Nothing is sorted then.
+    """
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long, ids binary, __file string, __slice long, __run long"
+    end = int(end_id).to_bytes(4, "little")
+    if order:
+        docs = docs.orderBy(*order)
+    place = [F.lit(None).cast("string"), F.lit(0).cast("long")] if order else [docs.metadataColumn("_metadata")[c] for c in ("file_path", "file_block_start")]
+
+    def packed(batches):
+        from pyspark import TaskContext
+
+        encode, here, run, size = encoder(tokenizer), None, 0, 0
+        rows: list[tuple] = []  # key, start, ids, ids of the document
+
+        def close():
+            names = ["key", "start", "length", "crc", "total", "sequence", "offset", "ids"]
+            own: dict[str, list] = {c: [] for c in names}
+            for i, skip, n, sequence, offset in placed([(len(r[2]) // 4, r[2]) for r in rows], window):
+                k, start, ids, total = rows[i]
+                ids = ids[4 * skip : 4 * (skip + n)]
+                for c, x in zip(names, (k, start + skip, n, zlib.crc32(ids), total, sequence, offset, ids if with_ids else None), strict=True):
+                    own[c].append(x)
+            many = len(own["key"])
+            arrays = [pa.array(own["key"], kind_of_key), *[pa.array(own[c], pa.int64()) for c in names[1:-1]], pa.array(own["ids"], pa.binary())]
+            arrays += [pa.array([here[0]] * many, pa.string()), pa.array([here[1]] * many, pa.int64()), pa.array([run] * many, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset", "ids", "__file", "__slice", "__run"])
+
+        for batch in batches:
+            keys, texts, files, slices = batch.column(0), batch.column(1).fill_null("").to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            kind_of_key, keys = keys.type, keys.to_pylist()
+            for a, b in batches_of(texts):
+                for i, ids in enumerate(encode(texts[a:b]), a):
+                    # Numbers in names (part-00001) are ordered as numbers; a sorted partition counts as a file.
+                    now = (f"{TaskContext.get().partitionId():012d}" if order else files[i], slices[i])
+                    if now != here or size >= RUN_SEQUENCES * window:
+                        if rows:
+                            yield close()
+                        run = run + 1 if now == here else 0
+                        here, rows, size = now, [], 0
+                    ids += end
+                    n = len(ids) // 4
+                    rows += [(keys[i], s, ids[4 * s : 4 * (s + window)], n) for s in range(0, n, window)]
+                    size += n
+        if rows:
+            yield close()
+
+    pieces = docs.select(F.col(key), F.col(text), *[c.alias(f"__{i}") for i, c in enumerate(place)]).mapInArrow(packed, schema)
+    if not with_ids:
+        pieces = pieces.drop("ids")
     pieces = materialize(pieces, "placed")
-    first = pieces.groupBy("sequence_id").agg(F.min("at").alias("at")).orderBy("at", "sequence_id")
-    ranked = materialize(first.select("sequence_id", F.monotonically_increasing_id().alias("r")), "sequence_order")
-    ranked = ranked.select("sequence_id", F.shiftright("r", 33).alias("task"), F.col("r").bitwiseAND((1 << 33) - 1).alias("r"))
-    begins, n = [], 0
-    for row in sorted(ranked.groupBy("task").count().collect()):
-        begins.append((row["task"], n))
-        n += row["count"]
-    begins = spark.createDataFrame(begins, "task long, begin long")
-    ranked = ranked.join(F.broadcast(begins), "task").select("sequence_id", (F.col("begin") + F.col("r")).alias("rank"))
-    return pieces.join(ranked, "sequence_id").withColumn("sequence_id", F.col("rank")).select(*pieces.columns)
-
-
-def _laid_in_order(rest: DataFrame) -> DataFrame:
-    """`rest` with places in one long line of ids of each run that follow `at`, not the lengths."""
-    begins, ends = [], defaultdict(int)
-    for r in sorted(rest.groupBy("part", "run").agg(F.sum("length").alias("n")).collect()):  # a row for each task
-        begins.append((r["part"], ends[r["run"]]))
-        ends[r["run"]] += r["n"]
-    begins = rest.sparkSession.createDataFrame(begins, "part long, __begin long")
-    inside = F.sum("length").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    laid = rest.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(begins), "part")
-    return laid.withColumn("place", F.col("__begin") + F.col("__inside")).drop("__begin", "__inside")
+    # Sequences before each run: those of earlier runs in its file, and of earlier files (a row for each).
+    runs = ["__file", "__slice", "__run"]
+    sizes = materialize(pieces.groupBy(*runs).agg((F.max("sequence") + 1).alias("n")), "runs")
+    number = F.regexp_extract("__file", r"(?:^|/)(?:part-)?(\d+)[^/]*$", 1)
+    earlier = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = sizes.groupBy("__file").agg(F.sum("n").alias("n")).select("__file", earlier(Window.orderBy(F.lpad(number, 12, "0"), "__file")).alias("in_files"))
+    sizes = sizes.select(*runs, earlier(Window.partitionBy("__file").orderBy("__slice", "__run")).alias("in_file"))
+    begins = sizes.join(F.broadcast(files), "__file").select(*runs, (F.col("in_files") + F.col("in_file")).alias("__begin"))
+    out = attach(pieces, begins, runs, "inner").withColumn("sequence_id", F.col("__begin") + F.col("sequence"))
+    return out.select(key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True, order: list[str] | None = None
+    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True
 ) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
-
-    `order` are the columns that order the documents, if sequences are to follow them.
-    """
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
     spark = docs.sparkSession
-    docs = docs.orderBy(*order) if order else docs
     cut = materialize(pieces_of(docs, key, text, tokenizer, window, end_id, with_ids), "pieces")
     by_task = materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "task_lengths")
-    tasks = (by_task.agg(F.max("part")).first()[0] or 0) + 1 if order else 1
-    run = F.floor(F.col("part") * min(RUNS, tasks) / tasks).cast("int") if order else F.lit(0)
-    by_task = by_task.withColumn("run", run)
-    before = F.sum("n").over(Window.partitionBy("run", "length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    by_task = materialize(by_task.select("part", "length", "run", F.coalesce(before, F.lit(0)).alias("earlier"), "n"), "lengths")
-    histograms = defaultdict(dict)
-    for r in by_task.groupBy("run", "length").agg(F.sum("n").alias("n")).collect():  # at most `window` rows for each run
-        histograms[r["run"]][r["length"]] = r["n"]
-    slots, lengths, sequences = [], [], 0
-    for r, histogram in sorted(histograms.items()):
-        own_slots, own_lengths, n = solve(histogram, window)
-        slots += [(r, b, lo, hi, sequences + first, slot) for b, lo, hi, first, slot in own_slots]
-        sequences += n
-        lengths += [(r, *x, sequences) for x in own_lengths]
-        sequences += -(-sum((histogram[x[0]] - x[3]) * x[0] for x in own_lengths) // window)
-    slots = spark.createDataFrame(slots, "run int, bin int, lo long, hi long, first long, slot int")
-    lengths = spark.createDataFrame(lengths, "run int, length int, bin int, bin_before long, used long, place long, residual long")
-    known = attach(cut, by_task.drop("n"), ["part", "length"], "inner").join(F.broadcast(lengths), ["run", "length"])
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    by_task = materialize(by_task.select("part", "length", F.coalesce(before, F.lit(0)).alias("earlier"), "n"), "lengths")
+    histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
+    slots, lengths, combined = solve(histogram, window)
+    slots = spark.createDataFrame(slots, "bin int, lo long, hi long, first long, slot int")
+    lengths = spark.createDataFrame(lengths, "length int, bin int, bin_before long, used long, place long")
+    known = attach(cut, by_task.drop("n"), ["part", "length"], "inner").join(F.broadcast(lengths), "length")
     known = known.withColumn("k", F.col("earlier") + F.col("ordinal"))
-    columns = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot", "offset"] + ["ids"] * with_ids + ["at"]
+    columns = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot", "offset"] + ["ids"] * with_ids
 
     # Taken by a combination: the number in the bin gives sequence and slot.
     number = F.col("bin_before") + F.col("k")
-    taken = known.where(F.col("k") < F.col("used")).withColumn("number", number).join(F.broadcast(slots), ["run", "bin"])
+    taken = known.where(F.col("k") < F.col("used")).withColumn("number", number).join(F.broadcast(slots), "bin")
     taken = taken.where((F.col("number") >= F.col("lo")) & (F.col("number") < F.col("hi")))
     taken = taken.withColumn("sequence_id", F.col("first") + F.col("number") - F.col("lo"))
     in_sequence = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -308,7 +372,6 @@ def pack(
     # Residual: its place in one long line of ids, cut at window borders.
     place = F.col("place") + (F.col("k") - F.col("used")) * F.col("length")
     rest = known.where(F.col("k") >= F.col("used")).withColumn("place", place)
-    rest = _laid_in_order(rest) if order else rest
     room = F.lit(window) - F.pmod("place", F.lit(window))
     part = lambda skip, n: F.struct(skip.cast("long").alias("skip"), n.cast("int").alias("n"))
     parts = F.when(F.col("length") <= room, F.array(part(F.lit(0), F.col("length")))).otherwise(F.array(part(F.lit(0), room), part(room, F.col("length") - room)))
@@ -320,15 +383,13 @@ def pack(
         F.col("cut.n").alias("length"),
         F.when(F.col("cut.n") == F.col("length"), F.col("ids_crc32")).otherwise(F.crc32(ids)).alias("ids_crc32"),
         "doc_tokens",
-        (F.col("residual") + F.floor((F.col("place") + F.col("cut.skip")) / window)).cast("long").alias("sequence_id"),
+        (F.lit(combined) + F.floor((F.col("place") + F.col("cut.skip")) / window)).cast("long").alias("sequence_id"),
         F.lit(0).alias("slot"),
         F.pmod(F.col("place") + F.col("cut.skip"), F.lit(window)).cast("long").alias("offset"),
         *[ids.alias("ids")] * with_ids,
-        "at",
     )
     out = full.select(*columns).unionByName(shared.select(*columns)).unionByName(rest.select(*columns))
-    out = _in_order(out) if order else out
-    return out.drop("slot", "at").withColumn("length", F.col("length").cast("long"))
+    return out.drop("slot").withColumn("length", F.col("length").cast("long"))
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from spanwright.llm import html_main, licence_scan, pfair_mix, warc
+from spanwright.llm import common, html_main, licence_scan, packing, pfair_mix, warc
 
 PAGES = "page_id long, url string, html string"
 
@@ -124,19 +124,57 @@ def test_packed_sequences_follow_the_mix(spark, monkeypatch):
     words = lambda chars: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(chars // 6))
     rows = [(f"{s}{i}", words(size), s) for s, n, size in (("a", 60, 20_000), ("b", 1500, 800)) for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(5)
-    out = corpus_pipeline.pack_sequences(spark, docs, "test").withColumn("source", F.substring("doc_id", 1, 1))
-    pieces = sorted((r["sequence_id"], r["offset"], r["length"], r["source"]) for r in out.collect())
-    total, own, shares = sum(p[2] for p in pieces), [0, 0], []
-    for _, _, length, source in pieces:
-        own[source == "a"] += length
-        if sum(own) >= total * (len(shares) + 1) / 8 and len(shares) < 8:
-            shares.append(own[1] / sum(own))
-    assert len(shares) == 8 and all(abs(x - shares[-1]) < 0.15 for x in shares)
-    used = {}
-    for q, offset, length, _ in pieces:  # no gaps, and no sequence beyond its window
-        assert offset == used.get(q, 0)
-        used[q] = offset + length
-    assert sorted(used) == list(range(len(used))) and max(used.values()) <= 2048 and sum(x < 2048 - 3 * 7 for x in used.values()) <= 8
+    monkeypatch.setattr(packing, "RUN_SEQUENCES", 40)
+    mixed = common.materialize(corpus_pipeline.mix_sources(spark, docs, "test"), "mixed")
+    for given in (docs, mixed):  # rows without an order, and those that the stage before wrote
+        out = corpus_pipeline.pack_sequences(spark, given, "test").withColumn("source", F.substring("doc_id", 1, 1))
+        pieces = sorted((r["sequence_id"], r["offset"], r["length"], r["source"]) for r in out.collect())
+        assert sum(p[2] for p in pieces) == sum(len(packing.encoder(packing.tokenizer_path()).encode(t)) // 4 + 1 for _, t, _ in rows)
+        total, own, shares = sum(p[2] for p in pieces), [0, 0], []
+        for _, _, length, source in pieces:
+            own[source == "a"] += length
+            if sum(own) >= total * (len(shares) + 1) / 8 and len(shares) < 8:
+                shares.append(own[1] / sum(own))
+        assert len(shares) == 8 and all(abs(x - shares[-1]) < 0.15 for x in shares)
+        used = {}
+        for q, offset, length, _ in pieces:  # no gaps, and no sequence beyond its window
+            assert offset == used.get(q, 0)
+            used[q] = offset + length
+        assert sorted(used) == list(range(len(used))) and max(used.values()) <= 2048
+        short = sum(x < 2048 - 3 * 7 for x in used.values())
+        assert short <= len(used) // 40 + 5  # one for each run
+
+
+def test_sequences_follow_the_rows_of_files(spark, tmp_path, monkeypatch):
+    """Documents of a run of one sequence each come back in the order in which they were written."""
+    monkeypatch.setattr(packing, "RUN_SEQUENCES", 1)
+    rows = [(i, "word " * 3000) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.col("doc_id").desc()).write.option("maxRecordsPerFile", 7).parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    first = packing.pack_in_order(read, packing.tokenizer_path()).where("start = 0").orderBy("sequence_id", "offset")
+    assert [r["doc_id"] for r in first.collect()] == list(range(59, -1, -1))
+    by_column = packing.pack_in_order(read.withColumn("text", F.lit("x")), packing.tokenizer_path(), order=["doc_id"]).orderBy("sequence_id", "offset")
+    assert [r["doc_id"] for r in by_column.collect()] == list(range(60))
+
+
+def test_pieces_of_a_run_are_placed_once():
+    rng = random.Random(8)
+    for _ in range(30):
+        window = rng.choice([16, 64, 256])
+        pieces = [(n, bytes(4 * n)) for n in (rng.randint(1, window) for _ in range(rng.randint(1, 200)))]
+        found = packing.placed(pieces, window)
+        for i, (n, _) in enumerate(pieces):
+            own = sorted((skip, take) for x, skip, take, _, _ in found if x == i)
+            assert [skip for skip, _ in own] == [sum(t for _, t in own[:k]) for k in range(len(own))] and sum(t for _, t in own) == n
+        used = {}
+        for _, _, n, q, offset in sorted(found, key=lambda x: x[3:]):
+            assert offset == used.get(q, 0)
+            used[q] = offset + n
+        assert sorted(used) == list(range(len(used))) and max(used.values()) <= window
+        begins = {}
+        for i, _, _, q, _ in found:
+            begins[q] = min(i, begins.get(q, i))
+        assert [begins[q] for q in range(len(used))] == sorted(begins.values())
 
 
 # ---- licences
