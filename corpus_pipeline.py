@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from spanwright.llm.common import delete, materialize, scratch
 from spanwright.llm.host_rules import drop_failed
 from spanwright.llm.jaccard_join import unique_documents
-from spanwright.llm.packing import pack, tokenizer_path
-from spanwright.llm.pfair_mix import mix, mixed_documents
+from spanwright.llm.packing import pack_in_order, tokenizer_path
+from spanwright.llm.pfair_mix import mixed_documents
 from spanwright.llm.site_quality import drop_rejected
 
 
@@ -47,12 +47,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 2048 ids, which follow the mix of the sources.
+    """The pieces of the documents and their places in sequences of 2048 ids, which follow the rows' order in their files.
 
-    Rows that were read back have no order, so the places in the mix are taken anew from the same rows.
+    That is the mix, as the stage before wrote it. Rows that are not from files have no order, so they are mixed first.
     """
-    mixed = mix(docs, order_by=[c for c in docs.columns if c != "text"])
-    return pack(mixed, tokenizer_path(), with_ids=False, order=["mix_slot", "mix_place"])
+    docs = docs if docs.inputFiles() else materialize(mixed_documents(docs), "mixed")
+    return pack_in_order(docs, tokenizer_path(), with_ids=False)
 
 
 STAGES = [
