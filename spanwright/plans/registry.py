@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import align, audit, discourse, distance, mixed, rt, spans, stats, surprisal, windows
 from ..sources import readers, sinks
+from ..sources.conllx import load_conllx
 from ..sources.shared import shared_folder
 from . import projection as P
 
@@ -848,7 +849,10 @@ def story_records(spark, sf):
     """Words, reading times and a parse joined into one record per story."""
     from .pipelines import build_stories
 
-    out = build_stories(P.tokens(spark, sf), P.rt_stats(spark, sf), _parse(spark, sf))
+    return _record_facts(build_stories(P.tokens(spark, sf), P.rt_stats(spark, sf), _parse(spark, sf)))
+
+
+def _record_facts(out):
     timed = F.size(F.filter("tokens", lambda t: t["mean_rt"].isNotNull())).cast("long")
     heads = F.aggregate("ud_tokens", F.lit(0).cast("long"), lambda a, t: a + t["head_g"])
     end = F.array_max(F.transform("ud_tokens", lambda t: t["char_end"]))
@@ -1047,6 +1051,16 @@ def jsonl_file(spark, sf):
 
 @_sql("conllx_file", "SELECT item::INT AS item, zone, row_number() OVER (PARTITION BY item, sentence_id ORDER BY zone)::INT AS id, md5(word) AS form_md5, (row_number() OVER (PARTITION BY item, sentence_id ORDER BY zone) - 1)::INT AS head, 'd' || (zone % 5) AS dep FROM sn", "sn")
 def conllx_file(spark, sf):
+    return readers.read_conllx(spark, _conllx_file(spark, sf)).select("item", "zone", "id", F.md5("form").alias("form_md5"), "head", "dep")
+
+
+@_sql("conllx_source", ORACLE_SQL["conllx_file"])
+def conllx_source(spark, sf):
+    """The same files by the data source, in ranges of 4 MB."""
+    return load_conllx(spark, _conllx_file(spark, sf), 4 << 20).select("item", "zone", "id", F.md5("form").alias("form_md5"), "head", "dep")
+
+
+def _conllx_file(spark, sf):
     """A parse as sentences of ten columns, behind comments and between blank lines."""
     own, blank = _parse(spark, sf), F.lit("_")
     misc = F.concat(F.lit("TokenId="), F.col("item").cast("string"), F.lit("."), F.col("zone").cast("string"))
@@ -1054,10 +1068,26 @@ def conllx_file(spark, sf):
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"])
     path = _own_path(spark, "conllx")
     own.groupBy("item", "sentence_index").agg(F.concat(F.lit("# a comment\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("value")).select("value").write.text(path)
-    return readers.read_conllx(spark, path).select("item", "zone", "id", F.md5("form").alias("form_md5"), "head", "dep")
+    return path
+
+
+@_sql("story_stream", ORACLE_SQL["story_records"])
+def story_stream(spark, sf):
+    """The records of `story_records` from a stream of their sentences, dealt to files at random, every third one twice."""
+    from .. import schemas
+    from ..streaming.stories import story_parts, stream_stories
+
+    folder = _own_path(spark, "stories")
+    parts = story_parts(P.tokens(spark, sf), P.rt_stats(spark, sf), _parse(spark, sf))
+    twice = F.explode(F.sequence(F.lit(1), F.when(F.pmod("part", F.lit(3)) == 0, 2).otherwise(1)))
+    files = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts.withColumn("__copy", twice).repartition(files, F.hash("item", "part", "__copy")).drop("__copy").write.json(f"{folder}/in")
+    query = stream_stories(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", files_per_batch=-(-files // 3))
+    query.awaitTermination()
+    return _record_facts(readers.read_jsonl(spark, f"{folder}/out/stories", schemas.STORY))
 
 
-for _name in ("story_records", "target_tokens", "target_entities", "uncovered_count", "lm_stimuli"):
+for _name in ("story_records", "story_stream", "target_tokens", "target_entities", "uncovered_count", "lm_stimuli"):
     ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(" , ", ", ", 1)
 
 
