@@ -9,13 +9,22 @@ distances on the original vectors.
 
 How many lists are visited follows from the data, not from their number: the fewest that hold
 COVERED of the true neighbours of CALIBRATING vectors of the sample (within it, which is sparser than
-the whole and so errs to more lists). Clustered vectors need a few lists, vectors without clusters many.
+the whole and so errs to more lists), and of as many queries, should these lie elsewhere. Clustered
+vectors need a few lists, vectors without clusters many.
+
+How many candidates are reranked follows from them, too. With each code goes its error, the length of
+what it leaves of the vector. With d the distance to the code and e its error, the square of the true
+distance lies within 2de of dd + ee; near vectors use a part of that room, which is measured on the
+sample (`slack_needed`; all of it is exact). The RERANKED best of a list's codes give a bound of the k-th
+distance, then all codes whose room reaches below it are reranked as well: many where codes cannot tell
+vectors apart (dense groups, several scales), few elsewhere.
 
 Lists are dealt to groups of about GROUP codes (large lists are cut, small ones put together), and the
 queries of a group to blocks, so every task has bounded work, even if one list holds a third of all
-vectors. Only ids and codes travel to groups, and a query's vector once to each of its groups; whole
-vectors are joined to the RERANKED best candidates of each query. Of equal vectors only the k + 1 with
-the smallest ids are indexed: no other can be among the k nearest of any query, as ties go to smaller ids.
+vectors. Codes and vectors travel to groups, a query's vector once to each of its groups, and the k best
+of each back. Of equal vectors only the k + 1 with the smallest ids are indexed: no other can be among
+the k nearest of any query, as ties go to smaller ids. Centroids and codes are found around the sample's
+mean in double precision, so that a common offset costs no digits.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no
 part, nor do those without an id or of another length than most (ties: the shorter length);
@@ -37,11 +46,11 @@ from .common import attach, materialize
 #: Vectors of the training sample, rounds of k-means, values of a subspace, codewords of each.
 TRAINED, ROUNDS, SUBSPACE, CODEWORDS = 20_000, 8, 4, 256
 #: Vectors of the sample whose neighbours tell how many lists to visit, and the share of those that must be met;
-#: candidates of a query that are reranked exactly.
-CALIBRATING, COVERED, RERANKED = 256, 0.97, 256
+#: the share of true neighbours within the room for the error of their codes; candidates of a query and group that are reranked at least.
+CALIBRATING, COVERED, WITHIN, RERANKED = 256, 0.97, 0.99, 64
 MIN_LISTS, MAX_LISTS = 16, 4_096
-#: Codes of a group and queries of a block at most.
-GROUP, BLOCK = 16_384, 256
+#: Codes of a group and queries of a block at most; queries that are held against a group at once.
+GROUP, BLOCK, AT_ONCE = 16_384, 4_096, 64
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray, n: int = 1) -> np.ndarray:
@@ -71,33 +80,44 @@ def k_means(x: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarra
 
 
 class Quantizer:
-    """Coarse centroids and a codebook for each subspace of the residuals."""
+    """Coarse centroids and a codebook for each subspace of the residuals, around the mean of the sample."""
 
     def __init__(self, sample: np.ndarray, lists: int, seed: int = 7):
         self.dims = sample.shape[1]
         self.parts = -(-self.dims // SUBSPACE)
+        self.mean = sample.mean(0)
+        sample = sample - self.mean
         self.centers = k_means(sample, lists, seed)
         residuals = self._cut(sample - self.centers[_nearest(sample, self.centers)[:, 0]])
         self.books = [k_means(np.ascontiguousarray(residuals[:, p]), CODEWORDS, seed + 1 + p) for p in range(self.parts)]
 
     def _cut(self, x: np.ndarray) -> np.ndarray:
-        padded = np.zeros((len(x), self.parts * SUBSPACE), np.float32)
+        padded = np.zeros((len(x), self.parts * SUBSPACE), x.dtype)
         padded[:, : self.dims] = x
         return padded.reshape(len(x), self.parts, SUBSPACE)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and code of each row."""
-        at = _nearest(x, self.centers)[:, 0]
-        residuals = self._cut(x - self.centers[at])
+    def lists(self, x: np.ndarray, n: int = 1) -> np.ndarray:
+        """The n nearest lists of each row."""
+        return _nearest(x - self.mean, self.centers, n)
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List and code of each row, and the length of what these leave."""
+        at = self.lists(x)[:, 0]
+        left = self._cut(x - self.mean - self.centers[at])
         codes = np.empty((len(x), self.parts), np.uint8)
         for p, book in enumerate(self.books):
-            codes[:, p] = _nearest(residuals[:, p], book)[:, 0]
-        return at, codes
+            codes[:, p] = _nearest(left[:, p], book)[:, 0]
+            left[:, p] -= book[codes[:, p]]
+        return at, codes, np.sqrt((left * left).sum((1, 2)))
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that codes stand for."""
+        return np.concatenate([book[codes[:, p]] for p, book in enumerate(self.books)], axis=1)[:, : self.dims]
 
     def tables(self, queries: np.ndarray, which: int) -> np.ndarray:
         """Squared distances of the queries' residuals in a list to all codewords, by subspace."""
-        residuals = self._cut(queries - self.centers[which])
-        out = np.full((len(queries), self.parts, CODEWORDS), np.inf, np.float32)
+        residuals = self._cut(queries - self.mean - self.centers[which])
+        out = np.full((len(queries), self.parts, CODEWORDS), np.inf)
         for p, book in enumerate(self.books):
             r = residuals[:, p]
             out[:, p, : len(book)] = (r * r).sum(1)[:, None] - 2 * r @ book.T + (book * book).sum(1)
@@ -112,23 +132,39 @@ class Quantizer:
         return out
 
 
-def lists_needed(quantizer: Quantizer, sample: np.ndarray, k: int, covered: float) -> int:
-    """The fewest lists that hold `covered` of the k nearest neighbours that vectors of the sample have in it."""
-    asked = sample[:CALIBRATING]
-    if len(sample) <= 1:
+def _neighbours(asked: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k nearest rows of the sample to each asked row, equal ones left out."""
+    out = np.empty((len(asked), min(k, max(len(sample) - 1, 0))), np.int64)
+    for i, x in enumerate(asked):
+        d = ((sample - x) ** 2).sum(1)
+        d[d == 0] = np.inf
+        out[i] = np.argsort(d, kind="stable")[: out.shape[1]]
+    return out
+
+
+def lists_needed(quantizer: Quantizer, asked: np.ndarray, sample: np.ndarray, near: np.ndarray, covered: float) -> int:
+    """The fewest lists that hold `covered` of the rows `near` of the sample that are the asked rows' nearest."""
+    if not near.size:
         return 1
-    d = _squares(asked, sample)
-    d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
-    near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-    lists = _nearest(sample, quantizer.centers)[:, 0]
-    order = _nearest(asked, quantizer.centers, len(quantizer.centers))
+    lists = quantizer.lists(sample)[:, 0]
+    order = quantizer.lists(asked, len(quantizer.centers))
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(order.shape[1])[None], 1)
     return int(np.quantile(np.take_along_axis(rank, lists[near], 1), covered, method="higher")) + 1
 
 
-def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
+def slack_needed(quantizer: Quantizer, asked: np.ndarray, sample: np.ndarray, near: np.ndarray, within: float) -> float:
+    """The part of the room for errors, 0 to 1, in which `within` of the nearest rows of the asked ones lie."""
+    if not near.size:
+        return 1.0
+    flat = near.ravel()
+    ours, theirs = np.repeat(asked, near.shape[1], axis=0), sample[flat]
+    at, codes, error = quantizer.encode(theirs)
+    coded = quantizer.mean + quantizer.centers[at] + quantizer.decode(codes)
+    d, true = np.sqrt(((ours - coded) ** 2).sum(1)), ((ours - theirs) ** 2).sum(1)
+    room = 2 * d * error
+    used = np.where(room > 0, (d * d + error * error - true) / np.where(room > 0, room, 1), 0)
+    return float(np.clip(np.quantile(used, within, method="higher"), 0, 1))
 
 
 def grouped(sizes: np.ndarray, most: int) -> list[tuple[int, int, int]]:
@@ -160,7 +196,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float32) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float64) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
@@ -176,18 +212,24 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
         return spark.createDataFrame([], result)
     sample = _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(TRAINED).select("v").toArrow().column("v"))  # bounded by TRAINED
     quantizer = Quantizer(sample, min(MAX_LISTS, max(MIN_LISTS, math.isqrt(n))))
-    lists, probes = len(quantizer.centers), lists_needed(quantizer, sample, k, covered)
+    lists, probes, slack = len(quantizer.centers), 1, 0.0
+    queries = rows.where(F.col("id") % every == 0)
+    asking = queries.orderBy(F.xxhash64("id"), "id").limit(CALIBRATING).select("v").toArrow().column("v")
+    for some in (sample[:CALIBRATING], _matrix(asking).reshape(len(asking), sample.shape[1])):
+        near = _neighbours(some, sample, k)
+        probes, slack = max(probes, lists_needed(quantizer, some, sample, near, covered)), max(slack, slack_needed(quantizer, some, sample, near, WITHIN))
     shared = spark.sparkContext.broadcast(quantizer)
+    kind = rows.schema["v"].dataType.simpleString()
 
     def index(batches):
         for batch in batches:
             if batch.num_rows:
-                at, codes = shared.value.encode(_matrix(batch.column("v")))
+                at, codes, error = shared.value.encode(_matrix(batch.column("v")))
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(codes.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(at.astype(np.int32)), raw.cast(pa.binary())], names=["id", "list", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(at.astype(np.int32)), raw.cast(pa.binary()), pa.array(error)], names=["id", "v", "list", "code", "error"])
 
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "v")
-    indexed = materialize(first.mapInArrow(index, "id long, list int, code binary"), "index")
+    indexed = materialize(first.mapInArrow(index, f"id long, v {kind}, list int, code binary, error double"), "index")
     # How many codes each list holds, and the groups that has them; at most MAX_LISTS rows reach the driver.
     size = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     in_list = np.array([size.get(i, 0) for i in range(lists)], np.int64)
@@ -198,7 +240,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                near = _nearest(_matrix(part.column("v")), shared.value.centers, lists)
+                near = shared.value.lists(_matrix(part.column("v")), lists)
                 # A query goes on until the lists it visits hold enough, be their number reached or not.
                 enough = (np.cumsum(in_list[near], axis=1) <= k).sum(1) + 1
                 at, where, which = [], [], []
@@ -213,53 +255,64 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("v").take(take), pa.array(where, pa.int64()), pa.array(which, pa.list_(pa.int32()))], names=["id", "v", "group", "lists"])
 
-    kind = rows.schema["v"].dataType.simpleString()
-    queries = rows.where(F.col("id") % every == 0)
     asked = materialize(queries.mapInArrow(visits, f"id long, v {kind}, group long, lists array<int>"), "visits")
     blocks = materialize(asked.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     at = F.broadcast(spark.createDataFrame(groups, "list int, begin long, cuts int"))  # a row for each list
-    left = indexed.join(at, "list").select("id", "list", "code", (F.col("begin") + F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("group"))
+    left = indexed.join(at, "list").select("id", "v", "list", "code", "error", (F.col("begin") + F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("group"))
     left = attach(left, blocks, ["group"], "inner").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     right = attach(asked, blocks, ["group"], "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
 
     def search(ours: pa.Table, asked: pa.Table) -> pa.Table:
-        found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if ours.num_rows and asked.num_rows:
             which = ours.column("list").to_numpy()
-            order = np.lexsort((ours.column("id").to_numpy(), which))  # so that ties of codes go to smaller ids
+            order = np.lexsort((ours.column("id").to_numpy(), which))  # so that ties go to smaller ids
             which, ids = which[order], ours.column("id").to_numpy()[order]
             codes = np.frombuffer(b"".join(ours.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.astype(np.int64)
-            x, q = _matrix(asked.column("v")), asked.column("id").to_numpy()
-            d = np.full((len(q), len(ids)), np.inf, np.float32)
-            visiting: dict[int, list[int]] = {}
-            for j, own in enumerate(asked.column("lists").to_pylist()):
-                for w in own:
-                    visiting.setdefault(w, []).append(j)
-            for w, js in visiting.items():
-                a, b = np.searchsorted(which, (w, w + 1))
-                if a < b:
-                    d[np.array(js), a:b] = shared.value.distances(x[js], w, codes[:, a:b])
-            d[q[:, None] == ids[None]] = np.inf
-            for j, row in enumerate(d):
-                best = _smallest(row, reranked) if len(row) > reranked else np.arange(len(row))
-                best = best[np.isfinite(row[best])]
-                found[0].append(np.full(len(best), q[j], np.int64)), found[1].append(ids[best]), found[2].append(row[best])
-        return pa.table(dict(zip(("query_id", "vec_id", "near"), map(np.concatenate, found), strict=True)))
+            y, error = _matrix(ours.column("v"))[order], ours.column("error").to_numpy()[order]
+            for a in range(0, asked.num_rows, AT_ONCE):
+                some = asked.slice(a, AT_ONCE)
+                x, q = _matrix(some.column("v")), some.column("id").to_numpy()
+                d = np.full((len(q), len(ids)), np.inf)
+                visiting: dict[int, list[int]] = {}
+                for j, own in enumerate(some.column("lists").to_pylist()):
+                    for w in own:
+                        visiting.setdefault(w, []).append(j)
+                for w, js in visiting.items():
+                    lo, hi = np.searchsorted(which, (w, w + 1))
+                    if lo < hi:
+                        d[np.array(js), lo:hi] = np.maximum(shared.value.distances(x[js], w, codes[:, lo:hi]), 0)
+                d[q[:, None] == ids[None]] = np.inf
+                for j, row in enumerate(d):
+                    best, score = rerank(row, error, x[j], y, k, reranked, slack)
+                    found[0].append(np.full(len(best), q[j], np.int64)), found[1].append(ids[best]), found[2].append(score)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, found), strict=True)))
 
     keys = ["group", "block"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, near float")
-    rank = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by, "vec_id"))
-    near = near.withColumn("at", rank("near")).where(F.col("at") <= reranked).select("query_id", "vec_id")
-
-    def exact(batches):
-        for batch in batches:
-            d = _matrix(batch.column("x"), np.float64) - _matrix(batch.column("y"), np.float64) if batch.num_rows else np.empty((0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(np.sqrt((d * d).sum(1)))], names=["query_id", "vec_id", "score"])
-
-    pairs = near.join(rows.select(F.col("id").alias("vec_id"), F.col("v").alias("y")), "vec_id")
-    pairs = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("x")), "query_id")
-    scored = pairs.select("query_id", "vec_id", "x", "y").mapInArrow(exact, "query_id long, vec_id long, score double")
-    return scored.withColumn("rank", rank("score")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def rerank(squares: np.ndarray, error: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, least: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and exact distances of the k rows of y nearest to x, by squared distances to their codes (infinite: not asked for)."""
+    asked = np.flatnonzero(np.isfinite(squares))
+    squares, error = squares[asked], error[asked]
+    room = squares + error * error
+    exact = lambda at: np.sqrt(((y[asked[at]] - x) ** 2).sum(1))
+    best = np.arange(len(asked)) if len(asked) <= least else np.sort(_smallest(room, least))
+    score = exact(best)
+    if len(best) < len(asked):
+        bound = np.partition(score, k - 1)[k - 1] ** 2 if len(score) >= k else np.inf
+        low = room - 2 * slack * np.sqrt(squares) * error
+        low[best] = np.inf
+        more = np.flatnonzero(low <= bound * (1 + 1e-9))
+        best, score = np.concatenate([best, more]), np.concatenate([score, exact(more)])
+    order = np.lexsort((best, score))[:k]
+    # Of one list or several, a smaller index is no smaller id: ties with the k-th all stay.
+    if len(order) == k:
+        order = np.flatnonzero(score <= score[order[-1]])
+    return asked[best[order]], score[order]
 
 
 def _smallest(d: np.ndarray, n: int) -> np.ndarray:

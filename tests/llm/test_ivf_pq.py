@@ -49,3 +49,48 @@ def test_groups_hold_bounded_lists():
         for g in range(begin, begin + cuts):
             held[g] = held.get(g, 0) + sizes[w] / cuts
     assert max(held.values()) <= 100 and sorted(held) == list(range(len(held)))
+
+
+def dense_group(rng):
+    """A third of the rows lie within a thousandth of one place, finer than codewords of the others tell apart."""
+    x = rng.normal(size=(3000, 16))
+    x[::3] = 2 + 1e-3 * x[::3]
+    return x
+
+
+def several_scales(rng):
+    return rng.normal(size=(3000, 16)) * 10.0 ** rng.integers(-4, 3, (3000, 1))
+
+
+def common_offset(rng):
+    return rng.normal(size=(3000, 16)) + 1e7
+
+
+def huge_values(rng):
+    return rng.normal(size=(3000, 16)) * 1e25
+
+
+def queries_elsewhere(rng):
+    """Queries lie far out, around clusters of all other rows."""
+    x = rng.normal(size=(200, 16))[rng.integers(0, 200, 4000)] + 0.05 * rng.normal(size=(4000, 16))
+    x[::100] = 6 * rng.normal(size=(40, 16))
+    return x
+
+
+@pytest.mark.parametrize("rows", [dense_group, several_scales, common_offset, huge_values, queries_elsewhere])
+def test_recall_on_odd_rows(spark, rows):
+    x = rows(np.random.default_rng(5))
+    got = ivf_pq.nearest(table(spark, x, "double")).collect()
+    hits = sum(len({r["vec_id"] for r in got if r["query_id"] == q} & set(exact(x, q)[1].tolist())) for q in range(0, len(x), 100))
+    assert hits >= 0.93 * 10 * len(range(0, len(x), 100))
+
+
+def test_reranking_reaches_all_within_the_room_for_errors():
+    rng = np.random.default_rng(6)
+    y, x = rng.normal(size=(500, 4)), rng.normal(size=4)
+    coded = y + 0.3 * rng.normal(size=y.shape)
+    error = np.sqrt(((coded - y) ** 2).sum(1)) + 1e-12
+    # The codes lie apart from their vectors in any direction, so the square of the error is no part of the distance.
+    true = np.sqrt(((y - x) ** 2).sum(1))
+    best, score = ivf_pq.rerank(((coded - x) ** 2).sum(1), error, x, y, 10, 10, 1.0)
+    assert sorted(best.tolist()) == sorted(np.argsort(true)[:10].tolist()) and score == pytest.approx(true[best])
