@@ -78,14 +78,22 @@ def join_segments(parts: list[tuple[str, Column]], sep: str = " ") -> tuple[Colu
 
 
 def target_mentions(mentions: DataFrame, sentences: DataFrame, doc: str = "doc") -> DataFrame:
-    """Mentions in the coordinates of their sentence, cut to it, with the text of the cut span."""
+    """Mentions in the coordinates of their sentence, cut to it, with the text of the cut span.
+
+    `sentences` have the text of the document, or, with text_start, that from this place of it on: with their
+    own text only, no whole text is repeated for each sentence.
+    """
     from .spans import clamp
 
-    own = mentions.join(sentences.select(doc, "sentence_index", "text", F.col("char_start").alias("cs"), F.col("char_end").alias("ce")), [doc, "sentence_index"])
+    own = mentions.join(sentences.select(doc, "sentence_index", "text", F.col("char_start").alias("cs"), F.col("char_end").alias("ce"), _text_start(sentences)), [doc, "sentence_index"])
     start, end = clamp(F.col("char_start"), F.col("char_end"), F.col("cs"), F.col("ce"))
-    sentence = slice_chars(F.col("text"), F.col("cs"), F.col("ce"))
+    sentence = slice_chars(F.col("text"), F.col("cs") - F.col("ts"), F.col("ce") - F.col("ts"))
     own = own.withColumns({"char_start": start, "char_end": end}).withColumn("mention_text", slice_chars(sentence, F.col("char_start"), F.col("char_end")))
-    return own.drop("text", "cs", "ce")
+    return own.drop("text", "cs", "ce", "ts")
+
+
+def _text_start(sentences: DataFrame) -> Column:
+    return (F.col("text_start") if "text_start" in sentences.columns else F.lit(0)).alias("ts")
 
 
 def target_tokens(tokens: DataFrame, sentences: DataFrame, doc: str = "doc") -> DataFrame:
@@ -104,17 +112,20 @@ def target_tokens(tokens: DataFrame, sentences: DataFrame, doc: str = "doc") ->
 def target_entities(entities: DataFrame, sentences: DataFrame, tokens: DataFrame, doc: str = "doc") -> DataFrame:
     """Entities (char_start, char_end and others) that lie in one sentence, in its coordinates, with their text and gold role.
 
-    `sentences` have text (of the document), char_start and char_end; entities that straddle them are left out.
+    `sentences` have text (of the document, or from text_start on), char_start and char_end; entities that straddle them are left out.
     """
     from .spans import head_role, overlap_join
 
     names = [c for c in entities.columns if c != doc]
-    whole = sentences.select(doc, "sentence_index", "text", F.col("char_start").alias("cs"), F.col("char_end").alias("ce"))
+    whole = sentences.select(doc, "sentence_index", F.col("char_start").alias("cs"), F.col("char_end").alias("ce"))
+    texts = sentences.select(doc, "sentence_index", "text", _text_start(sentences))
     ours = entities.withColumns({"es": F.col("char_start"), "ee": F.col("char_end")})
     inside = overlap_join(ours, whole, [doc], ("es", "ee"), ("cs", "ce")).where((F.col("es") >= F.col("cs")) & (F.col("ee") <= F.col("ce")))
     toks = tokens.select(doc, "g", "dep", "head_g", F.col("char_start").alias("ts"), F.col("char_end").alias("te"))
     spans = entities.select(doc, F.col("char_start").alias("es"), F.col("char_end").alias("ee")).distinct()
     roles = head_role(overlap_join(spans, toks, [doc], ("es", "ee"), ("ts", "te")), [doc, "es", "ee"]).select(doc, "es", "ee", "grammatical_role")
-    out = inside.join(roles, [doc, "es", "ee"], "left").withColumn("entity_text", slice_chars(F.col("text"), F.col("es"), F.col("ee")))
+    # Texts come last, as the overlap join copies sentences into every bucket that they touch.
+    out = inside.join(roles, [doc, "es", "ee"], "left").join(texts, [doc, "sentence_index"])
+    out = out.withColumn("entity_text", slice_chars(F.col("text"), F.col("es") - F.col("ts"), F.col("ee") - F.col("ts")))
     out = out.withColumns({"char_start": F.col("es") - F.col("cs"), "char_end": F.col("ee") - F.col("cs")})
     return out.select(doc, "sentence_index", *names, "entity_text", "grammatical_role")
