@@ -6,6 +6,8 @@ looks back over one line and goes on to the end of its last sentence. So nothing
 order behind the reader: rows carry the place of their sentence in bytes, its number inside the range, and the smallest
 item of its tokens.
 
+A compressed file (its name ends in .gz, .bz2, .lz4 or .zst) can't be cut and is one range.
+
 Options: `splitBytes` (64 MB); `rows`, which is `tokens`, or `splits` for the number of sentences in each range; for streams,
 `filesPerBatch`. Paths are those of `pyarrow.fs` (local ones, and URIs of the stores that it knows): a file, or a folder, whose
 files are read in the order of their names, without hidden ones. A stream takes files by name, too: a
@@ -32,6 +34,7 @@ _SPACE = b" \t\n\x0b\x0c\r"
 _TOKEN_ID = re.compile(r"TokenId=([0-9]+)\.([0-9]+)")
 BACK, BATCH = 1 << 16, 8_192
 LARGEST = 2**31 - 1
+_PACKED = (".gz", ".bz2", ".lz4", ".zst")
 
 
 class Range(InputPartition):
@@ -62,7 +65,8 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 
 def _ranges(files: list[tuple[str, int]], size: int) -> list[Range]:
-    return [Range(f, low, min(low + size, n)) for f, n in files for low in range(0, n, size)]
+    whole = lambda f: f.endswith(_PACKED)
+    return [Range(f, low, 1 << 62 if whole(f) else min(low + size, n)) for f, n in files for low in range(0, n, n if whole(f) else size)]
 
 
 def _line_before(stream, at: int) -> int:
@@ -80,7 +84,8 @@ def _line_before(stream, at: int) -> int:
 
 def _lines(stream, at: int) -> Iterator[tuple[int, bytes]]:
     """Lines from byte `at` on and where they begin, read in blocks."""
-    stream.seek(at)
+    if stream.seekable():
+        stream.seek(at)
     left: list[bytes] = []
     while block := stream.read(BACK * 16):
         *whole, rest = block.split(b"\n")
@@ -137,7 +142,7 @@ def _read(part: Range, splits: bool):
     import pyarrow as pa
 
     own, inside = _open(part.file)
-    with own.open_input_file(inside) as stream:
+    with own.open_input_stream(inside) if inside.endswith(_PACKED) else own.open_input_file(inside) as stream:
         if splits:
             n = sum(1 for _ in sentences(stream, part.low, part.high))
             yield pa.RecordBatch.from_pylist([{"file": part.file, "split": part.low, "own": n}], pa.schema([("file", pa.string()), ("split", pa.int64()), ("own", pa.int32())]))
@@ -231,12 +236,12 @@ def register(spark: SparkSession) -> None:
 def load_conllx(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
     """What `readers.read_conllx` gives, by the data source: item, sentence_index, pos, id, form, tag, head, dep, zone.
 
-    Sentences of a file are numbered by one row for each range. No line is shuffled to be put in order.
+    Sentences of a file are numbered by one row for each range, which every task gets. No line is shuffled.
     """
     register(spark)
     source = spark.read.format("conllx").option("splitBytes", split_bytes)
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = source.option("rows", "splits").load(path).select("file", "split", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
-    rows = source.option("rows", "tokens").load(path).join(splits, ["file", "split"])
+    rows = source.option("rows", "tokens").load(path).join(F.broadcast(splits), ["file", "split"])
     index = (F.col("before") + F.col("own")).cast("int").alias("sentence_index")
     return rows.select("item", index, "pos", to_int(F.col("id")).alias("id"), "form", "tag", to_int(F.col("head")).alias("head"), "dep", "zone")

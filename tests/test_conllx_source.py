@@ -61,3 +61,35 @@ def test_files_that_arrive(spark, tmp_path):
     assert arrive("c.conllx", 2) == [1, 2]  # started anew: only the new file
     with pytest.raises(Exception, match="came or went"):
         arrive("a.conllx", 3)
+
+
+def test_compressed_files_give_what_plain_ones_give(spark, tmp_path):
+    import gzip
+
+    for name in ("plain", "packed"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "plain" / "a.conllx").write_bytes(text(1).encode())
+    (tmp_path / "packed" / "a.conllx.gz").write_bytes(gzip.compress(text(1).encode()))
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    want = rows(load_conllx(spark, str(tmp_path / "plain"), 37))
+    assert len(want) == 5 and rows(load_conllx(spark, str(tmp_path / "packed"), 37)) == want == rows(readers.read_conllx(spark, str(tmp_path / "packed")))
+
+
+def test_readers_shuffle_no_line(spark, tmp_path):
+    (tmp_path / "a.conllx").write_bytes(text(1).encode())
+    for df in (readers.read_conllx(spark, str(tmp_path)), load_conllx(spark, str(tmp_path), 37)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and " at#" not in plan
+
+
+def test_sentences_across_splits(spark, tmp_path):
+    (tmp_path / "a.conllx").write_bytes(("\n".join(ROW.format(i=i, form="w", head=0, misc=f"TokenId={9 - i}.{i}") for i in range(1, 7)) + "\n\n" + text(3)).encode())
+    want = sorted(map(repr, readers.read_conllx(spark, str(tmp_path)).collect()))
+    size, cost = (spark.conf.get(f"spark.sql.files.{k}") for k in ("maxPartitionBytes", "openCostInBytes"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "61")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert sorted(map(repr, readers.read_conllx(spark, str(tmp_path)).collect())) == want and len(want) == 11
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
