@@ -9,13 +9,16 @@ still counts: `sides` lists every (keys, k).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of roles, in features and in the graph (fixed values).
 ROLE_WEIGHTS = {"subject": 3.0, "object": 2.0, "oblique": 1.0, "possessive": 1.0, "other": 0.5}
 GRAPH_WEIGHTS = {"subject": 3.0, "object": 2.0}
+#: Mentions of the shorter side up to which sets of them are listed; numbers held at once where many matrices are solved.
+SMALL, CELLS = 8, 1 << 20
 #: Transition classes, in the order in which they are tried (fixed values).
 TRANSITIONS = (
     "old_object_becomes_subject",
@@ -275,6 +278,32 @@ def transport(costs: np.ndarray, gap: float = 1.0) -> float:
     return (assignment(saved) + gap * abs(n - m)) / max(n, m)
 
 
+def assignments(costs: np.ndarray) -> np.ndarray:
+    """`assignment` of many matrices of one shape (no more rows than columns): the best cost of every set of rows, column by
+    column, for up to SMALL rows; matrices with more are solved one by one."""
+    size, n, m = costs.shape
+    if n > SMALL:
+        return np.array([assignment(c) for c in costs])
+    sets = np.arange(1 << n)
+    best = np.full((1 << n, size), np.inf)
+    best[0] = 0
+    for j in range(m):
+        last = best.copy()
+        for i in range(n):
+            having = sets[sets >> i & 1 == 1]
+            best[having] = np.minimum(best[having], last[having ^ (1 << i)] + costs[:, i, j])
+    return best[-1]
+
+
+def transports(costs: np.ndarray, gap: float = 1.0) -> np.ndarray:
+    """`transport` of many matrices of one shape."""
+    size, n, m = costs.shape
+    if not n or not m:
+        return np.full(size, float(max(n, m) > 0) * gap)
+    saved = np.minimum(costs if n <= m else costs.transpose(0, 2, 1), 2 * gap)
+    return (assignments(saved) + gap * abs(n - m)) / max(n, m)
+
+
 def transport_distance(targets: DataFrame, sides: DataFrame, keys: list[str], weights: dict[str, float] | None = None, gap: float = 1.0) -> DataFrame:
     """Transport distance of mentions. Both sides of a comparison meet in one row, which is solved in Arrow batches."""
     weights = weights or dict.fromkeys(("cluster", "givenness", "form", "role", "text"), 0.2)
@@ -282,13 +311,23 @@ def transport_distance(targets: DataFrame, sides: DataFrame, keys: list[str], we
     facts = targets.groupBy(*keys, "k").agg(F.collect_list(mention).alias("m"))
     w = [float(x) for x in weights.values()]
 
-    @F.pandas_udf("double")
-    def solved(ours: pd.Series, theirs: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(ours, theirs, strict=True):
-            a, b = ([] if x is None else [tuple(m) for m in x] for x in (a, b))
-            costs = np.array([[sum(x for x, p, q in zip(w, m, n, strict=True) if p != q) for n in b] for m in a], float).reshape(len(a), len(b))
-            out.append(transport(costs, gap))
-        return pd.Series(out, dtype=float)
+    @F.arrow_udf("double")
+    def solved(ours: pa.Array, theirs: pa.Array) -> pa.Array:
+        sides = [x.cast(pa.list_(pa.list_(pa.string()))) for x in (ours, theirs)]
+        sizes = np.array([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in sides], int)
+        words = pa.concat_arrays([x.flatten().flatten() for x in sides]).dictionary_encode().indices.to_numpy()
+        mentions = words.reshape(-1, len(w))
+        first = np.cumsum(sizes, axis=1) - sizes
+        first[1] += sizes[0].sum()
+        out = np.empty(len(ours))
+        shapes, shape = np.unique(sizes.T, axis=0, return_inverse=True)
+        for s, (n, m) in enumerate(shapes):
+            like = np.flatnonzero(shape.ravel() == s)
+            step = max(1, CELLS // max(1, n * m, m << min(n, m, SMALL)))
+            for at in (like[i : i + step] for i in range(0, len(like), step)):
+                a, b = (mentions[first[k][at][:, None] + np.arange(size)] for k, size in ((0, n), (1, m)))
+                costs = sum(x * (a[:, :, None, f] != b[:, None, :, f]) for f, x in enumerate(w))
+                out[at] = transports(costs.astype(float), gap)
+        return pa.array(out)
 
     return _compared(facts, sides, keys, lambda own, other: solved(own["m"], other["m"]))

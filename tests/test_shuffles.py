@@ -55,3 +55,18 @@ def test_mentions_are_cut_from_their_sentence_alone(spark):
 def test_pages_are_rendered_in_small_batches(spark):
     plan = registry.QUERIES["nested_html"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "MapInPandas" not in plan and "MapInArrow" not in plan
+
+
+@pytest.mark.parametrize("n, m", [(0, 0), (0, 2), (1, 1), (3, 5), (5, 3), (7, 7), (9, 10), (12, 9)])
+def test_many_comparisons_are_solved_as_one_by_one(n, m):
+    costs = np.random.default_rng(n * 20 + m).random((6, n, m)).round(1)
+    for gap in (1.0, 0.2):
+        assert distance.transports(costs, gap) == pytest.approx([distance.transport(c, gap) for c in costs])
+
+
+def test_sides_of_all_sizes_are_compared(spark):
+    rows = [(d, k, c, "new", "f", "subject", None) for d, sizes in enumerate([(3, 0, 9), (0, 0, 4), (12, 10, 1)]) for k, n in enumerate(sizes) for c in range(n)]
+    targets = spark.createDataFrame(rows, "doc int, k int, cluster int, givenness string, form string, role string, text string")
+    sides = spark.createDataFrame([(d, k) for d in range(3) for k in range(3)], "doc int, k int")
+    got = {(r["doc"], r["k"]): round(r["distance"], 6) for r in distance.transport_distance(targets, sides, ["doc"]).collect()}
+    assert got == {(0, 1): 1.0, (0, 2): round(6 / 9, 6), (1, 1): 0.0, (1, 2): 1.0, (2, 1): round(2 / 12, 6), (2, 2): round(11 / 12, 6)}
