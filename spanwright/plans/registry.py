@@ -1043,7 +1043,7 @@ def freqs_file(spark, sf):
 @_sql("surprisal_file", "SELECT item::INT AS item, zone, sentence_id, round(length(word) / 8.0, 6) AS surprisal, md5(word) AS word_md5 FROM sn WHERE word <> ''", "sn")
 def surprisal_file(spark, sf):
     path = _own_path(spark, "surprisal")
-    sinks.write_surprisal(surprisal.sentence_numbers(P.tokens(spark, sf)).where("word <> ''").withColumn("surprisal", F.length("word") / F.lit(8.0)), path)
+    sinks.write_surprisal(surprisal.sentence_numbers(P.tokens(spark, sf)).where("word <> ''").withColumn("surprisal", F.length("word") / F.lit(8.0)), path, compression="gzip")
     return readers.read_surprisal(spark, path).select("item", "zone", "sentence_id", F.round("surprisal", 6).alias("surprisal"), F.md5("word").alias("word_md5"))
 
 

@@ -13,10 +13,10 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_surprisal(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_surprisal(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> None:
     """Tab-separated, with header, quotes only where needed."""
     columns = ["word", "item", "zone", "sentence_id", "sentence_position", "surprisal"]
-    df.select(*columns).write.mode(mode).option("sep", "\t").option("header", True).option("escape", '"').csv(path)
+    df.select(*columns).write.mode(mode).option("sep", "\t").option("header", True).option("escape", '"').option("compression", compression).csv(path)
 
 
 #: Stories of one page at most; a reader can look at no more, and the driver holds them.
