@@ -21,7 +21,7 @@ def story_text(tokens: DataFrame, item: str = "item", zone: str = "zone", word:
     """One row per item: its text, and its tokens in order as structs."""
     places = [c for c in ("char_start", "pos") if c in tokens.columns]
     rest = [c for c in tokens.columns if c not in (item, zone, "pos")]
-    rows = F.array_sort(F.collect_list(F.struct(F.struct(zone, *places).alias("at"), F.struct(F.col(zone), *rest).alias("token"))))
+    rows = F.sort_array(F.collect_list(F.struct(F.struct(zone, *places).alias("at"), F.struct(F.col(zone), *rest).alias("token"))))
     ordered = F.transform(rows, lambda r: r["token"])
     stories = tokens.groupBy(item).agg(ordered.alias("tokens"))
     return stories.withColumn("text", F.array_join(F.transform("tokens", lambda t: t[word]), " ")).withColumn("n_tokens", F.size("tokens"))
@@ -39,13 +39,13 @@ def place_forms(text: Column, zone_start: Column, zone_end: Column, forms: Colum
         at, end = state["at"], zone_end
 
         def spot(c: Column) -> Column:
-            start = find(text, c, at, end)
-            return F.struct(start.cast("int").alias("char_start"), (start + F.length(c)).cast("int").alias("char_end"))
+            return F.transform(F.array(find(text, c, at, end)), lambda start: F.struct(start.cast("int").alias("char_start"), (start + F.length(c)).cast("int").alias("char_end")))[0]
 
         found = F.filter(F.transform(candidates(form), spot), lambda s: s["char_start"] >= 0)
         fallback = F.struct(at.cast("int").alias("char_start"), (at + F.least(F.length(form), F.greatest(end - at, F.lit(0)))).cast("int").alias("char_end"))
-        own = F.coalesce(F.get(found, F.lit(0)), fallback)
-        return F.struct(own["char_end"].alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
+        # By a list of one, so that the place is found once, and not for each use of it.
+        own = F.array(F.coalesce(F.get(found, F.lit(0)), fallback))
+        return F.transform(own, lambda s: F.struct(s["char_end"].alias("at"), F.concat(state["out"], F.array(s)).alias("out")))[0]
 
     begin = F.struct(zone_start.cast("int").alias("at"), F.array().cast(f"array<{span}>").alias("out"))
     return F.aggregate(forms, begin, step, lambda s: s["out"])
@@ -68,7 +68,7 @@ def align_parse(stories: DataFrame, parse: DataFrame) -> DataFrame:
     zones = stories.select("item", F.explode("tokens").alias("t")).select("item", "t.zone", "t.word", F.col("t.char_start").alias("zs"))
     zones = last_of(zones, ["item", "zone"], "zs")
     own = numbered(parse.withColumn("zone_first", F.min("pos").over(Window.partitionBy("item", "sentence_index", "zone"))), "item", ["zone_first", "pos"])
-    grouped = own.groupBy("item", "sentence_index", "zone").agg(F.array_sort(F.collect_list(F.struct("pos", "g", "form", "tag", "dep", "head_g"))).alias("ts"))
+    grouped = own.groupBy("item", "sentence_index", "zone").agg(F.sort_array(F.collect_list(F.struct("pos", "g", "form", "tag", "dep", "head_g"))).alias("ts"))
     placed = grouped.join(zones, ["item", "zone"], "left")
     # The text of a zone is its word, so forms are looked for in that and not in the whole story.
     spans = place_forms(F.col("word"), F.lit(0), F.length("word"), F.transform("ts", lambda t: t["form"]))
@@ -80,7 +80,7 @@ def align_parse(stories: DataFrame, parse: DataFrame) -> DataFrame:
 
 def sentence_spans(aligned: DataFrame) -> DataFrame:
     """Per sentence: span from the first to the last placed token (null without any), zones in order of first use, gs."""
-    zones = F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("g", "zone"))), lambda x: x["zone"]))
+    zones = F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("g", "zone"))), lambda x: x["zone"]))
     return aligned.groupBy("item", "sentence_index").agg(
-        F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.array_distinct(zones).alias("zones"), F.array_sort(F.collect_list("g")).alias("token_gids")
+        F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.array_distinct(zones).alias("zones"), F.sort_array(F.collect_list("g")).alias("token_gids")
     )
