@@ -10,6 +10,8 @@ from ..operators.distance import role_class
 ALTERNATIVES = 3
 #: Sentences whose comparisons one deal of rows holds.
 BLOCK = 32
+#: Bytes of the documents table, as it is stored, whose tokens one task holds.
+DEAL = 4 << 20
 BLANK = "[ \\t\\n\\r]+"
 
 
@@ -23,7 +25,7 @@ def tokens(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     If `dealt`, documents are dealt by item while they are whole texts, so that what follows item by item moves no tokens.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
-    docs = docs.repartition(_tasks(spark), "item") if dealt else docs
+    docs = docs.repartition(_deals(docs), "item") if dealt else docs
     return docs.select("item", F.posexplode(F.split("text", BLANK)).alias("zone", "word")).withColumn("zone", F.col("zone") + 1)
 
 
@@ -31,6 +33,12 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _deals(docs: DataFrame) -> int:
+    """Tasks that documents are dealt to: more with the table, so that none sorts more tokens than fit into its memory."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(_tasks(docs.sparkSession), -(-size // DEAL))
+
+
 def events_rt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, worker, item, zone, rt."""
     e = table(spark, sf_dir, "events")

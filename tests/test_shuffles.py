@@ -70,3 +70,8 @@ def test_sides_of_all_sizes_are_compared(spark):
     sides = spark.createDataFrame([(d, k) for d in range(3) for k in range(3)], "doc int, k int")
     got = {(r["doc"], r["k"]): round(r["distance"], 6) for r in distance.transport_distance(targets, sides, ["doc"]).collect()}
     assert got == {(0, 1): 1.0, (0, 2): round(6 / 9, 6), (1, 1): 0.0, (1, 2): 1.0, (2, 1): round(2 / 12, 6), (2, 2): round(11 / 12, 6)}
+
+
+def test_documents_are_dealt_to_more_tasks_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(P, "DEAL", 1_000)
+    assert P.tokens(spark, SMALL).rdd.getNumPartitions() > 4
