@@ -110,7 +110,8 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
 
     The small side is broadcast only after its rows were counted and found to be at most
     `max_rows`. Beyond that both sides are shuffled, each row of `big` with one of SALTS
-    salts and each row of `small` with all of them, so that a hot key meets many tasks.
+    salts and each row of `small` with all of them, so that a hot key meets many tasks. The
+    hint is needed: Spark takes the copies for as small as the files of `small`.
     """
     if len(small.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows:
         return big.join(F.broadcast(small), keys, how)
@@ -118,7 +119,16 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     rest = [c for c in big.columns if c not in keys and not c.startswith("__")]
     salted = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in rest[:4]]), F.lit(SALTS)).cast("int"))
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, salt], how).drop(salt)
+    return salted.join(copies.hint("merge"), [*keys, salt], how).drop(salt)
+
+
+def bounded(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`small`, a table of `materialize`, as the right side of a join: broadcast if it has at most `max_rows`, else never.
+
+    Its files say little about its rows: numbers that compress well are far larger in the driver's memory.
+    """
+    few = small.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(small) if few else small.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

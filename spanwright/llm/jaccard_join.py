@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, delete, discard, materialize, scratch, trim_memory
+from .common import BROADCAST_ROWS, attach, bounded, delete, discard, materialize, scratch, trim_memory
 
 WORDS, PERCENT = 4, 85
 #: From this number of sets on a shingle is ordered last; at most so many shingles are, the
@@ -50,6 +50,8 @@ COUNTED = 0.5
 BUFFERED, PAIRS, PER_TASK = 8 << 20, 100_000, 1_000_000
 #: Groups of a list that meet in one task in the first round, and groups of each part of a cell in the second.
 LIST_ROWS, CELL_ROWS = 200_000, 8_192
+#: Bytes of whole sets that are broadcast.
+BROADCAST_BYTES = 10 << 20
 #: 64-bit words of a set's parity signature, groups of a list that all others are paired with at first.
 SIGNED, HUBS = 8, 2
 
@@ -468,11 +470,12 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, per
     if pairs.limit(1).count() == 0:
         return spark.createDataFrame([], "a long, b long")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    own = docs.select(F.col(key).cast("long").alias("doc"), text).join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
+    own = docs.select(F.col(key).cast("long").alias("doc"), text).join(bounded(wanted), "doc", "left_semi")
     own = materialize(own.mapInArrow(sets, schema), "sets")
-    joined = pairs.select("a", "b").join(own.select(F.col("doc").alias("a"), F.col("elements").alias("x")), "a")
-    joined = joined.join(own.select(F.col("doc").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
+    small = (own.agg(F.sum(F.length("elements") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    side = lambda df: F.broadcast(df) if small else df.hint("merge")
+    joined = pairs.select("a", "b").join(side(own.select(F.col("doc").alias("a"), F.col("elements").alias("x"))), "a")
+    joined = joined.join(side(own.select(F.col("doc").alias("b"), F.col("elements").alias("y"))), "b").select("a", "b", "x", "y")
     links = materialize(joined.mapInArrow(similar, "a long, b long").distinct(), "links")
     discard(own), discard(wanted)
     return links
@@ -505,15 +508,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_forest, "u long, v long").distinct(), "stars")
     while True:  # edges have u > v
+        n = edges.count()
+        side = lambda df, few=n <= BROADCAST_ROWS: F.broadcast(df) if few else df.hint("merge")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(side(least), "u")
         small = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        same = small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
+        same = small.count() == n and small.join(side(edges), ["u", "v"], "left_anti").limit(1).count() == 0
         discard(edges), discard(large)
         edges = small
         if same:
@@ -534,7 +539,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     by_prefix = ["n", "g1", "g2"]
     groups = usable.groupBy(*by_prefix).agg(F.min("doc").alias("doc"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
     groups = materialize(groups, "groups")
-    members = nodes.join(groups.select(*by_prefix, F.col("doc").alias("group")), by_prefix)
+    members = nodes.join(bounded(groups.select(*by_prefix, F.col("doc").alias("group"))), by_prefix)
     members = materialize(members.select("group", "doc", "n", *signs), "members")
     buckets = _buckets(spark, elements * (100 - percent) / 100)
 
@@ -546,26 +551,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = components(links)
 
     # Second round: what the first has left in different components.
-    members = members.join(first, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+    members = members.join(bounded(first), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
     members = materialize(members, "labelled")
     spread = members.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
     label = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("group"))
     spread = materialize(spread.select("group", label.alias("label"), (F.col("size") == 1).cast("int").alias("alone")), "spread")
-    about = members.where(F.col("doc") == F.col("group")).select("group", "n", *signs).join(spread, "group")
+    about = materialize(members.where(F.col("doc") == F.col("group")).select("group", "n", *signs).join(bounded(spread), "group"), "about")
     shared = met.where("c IS NULL").select(F.col("b").alias("element"), F.col("a").alias("group"))
     # Only lists with more than one label have pairs left.
-    lists = shared.join(spread.select("group", "label"), "group").groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+    lists = shared.join(bounded(spread.select("group", "label")), "group").groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
     lists = materialize(lists.where("low <> high").select("element", "size"), "lists")
-    left = attach(shared, lists, ["element"], "inner").join(about, "group")
+    left = attach(shared, lists, ["element"], "inner").join(bounded(about), "group")
     far = materialize(possible_pairs(second_pairs(in_cells(left), percent, buckets), percent), "far")
     # Members of paired groups, and of groups that are in several components; the signatures rule
     # out most of those that are not similar before their sets are looked at.
     side = lambda df, x: df.select(F.col("group").alias(x), *(F.col(c).alias(c.replace("s", x) if c in signs else f"{c}{x}") for c in ("doc", "n", "label", *signs)))
     possible = (F.col("labela") != F.col("labelb")) & signatures_allow(percent)
-    mixed = members.join(spread.where(F.col("label") < 0).select("group"), "group", "left_semi")
-    one = far.join(side(members, "a"), "a").select(F.col("b").alias("meets"), *[c for c in side(members, "a").columns if c != "a"])
-    across = one.join(side(members, "b"), (F.col("meets") == F.col("b")) & possible).select("doca", "docb")
-    within = side(mixed, "a").join(side(mixed, "b"), (F.col("a") == F.col("b")) & (F.col("doca") < F.col("docb")) & possible).select("doca", "docb")
+    mixed = materialize(members.join(bounded(spread.where(F.col("label") < 0).select("group")), "group", "left_semi"), "mixed")
+    one = far.join(bounded(side(members, "a")), "a").select(F.col("b").alias("meets"), *[c for c in side(members, "a").columns if c != "a"])
+    across = one.join(bounded(side(members, "b")), (F.col("meets") == F.col("b")) & possible).select("doca", "docb")
+    within = side(mixed, "a").join(bounded(side(mixed, "b")), (F.col("a") == F.col("b")) & (F.col("doca") < F.col("docb")) & possible).select("doca", "docb")
     pairs = materialize(across.unionByName(within).select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b")).distinct(), "pairs")
     more = verified(pairs, docs, key, text, k, percent)
     if more.limit(1).count():
@@ -586,8 +591,7 @@ def unique_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     found = materialize(found, "components")
     delete(docs.sparkSession, tables)
     gone = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, key, "left_anti")
+    kept = docs.join(bounded(gone), key, "left_anti")
     repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
     if repeated:
         kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))

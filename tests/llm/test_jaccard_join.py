@@ -79,3 +79,30 @@ def test_overlap_of_very_long_texts(spark):
     frame = spark.createDataFrame([(13_000_000, 13_000_000), (2_000_000_000, 2_100_000_000), (4, 5)], "a int, b int")
     got = [r[0] for r in frame.select(jaccard_join.overlap_needed(F.col("a"), F.col("b"), 85)).collect()]
     assert got == [-(-85 * (a + b) // 185) for a, b in [(13_000_000, 13_000_000), (2_000_000_000, 2_100_000_000), (4, 5)]]
+
+
+def test_nothing_that_was_not_counted_is_broadcast(spark):
+    """Spark takes the salted copies of a table, and numbers that compress well, for small enough to broadcast."""
+    from spanwright.llm import common
+
+    big = spark.range(40).selectExpr("id % 20 AS k", "id AS v")
+    small = common.materialize(spark.range(20).selectExpr("id AS k", "id * 2 AS w"), "small")
+    for joined in (common.attach(big, small, ["k"], max_rows=10), big.join(common.bounded(small, 10), "k")):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["v"], r["w"]) for r in joined.collect()) == [(v, v % 20 * 2) for v in range(40)]
+    assert "BroadcastHashJoin" in big.join(common.bounded(small, 20), "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_rows_take_joins_without_broadcasts(spark, monkeypatch):
+    from spanwright.llm import common
+
+    for module in (common, jaccard_join):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(common.bounded, "__defaults__", (3,))
+    monkeypatch.setattr(common.attach, "__defaults__", ("left", 3))
+    texts = families(7)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    out = jaccard_join.jaccard_components(df)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == brute(texts, 4, 85)
