@@ -75,3 +75,60 @@ def test_sides_of_all_sizes_are_compared(spark):
 def test_documents_are_dealt_to_more_tasks_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(P, "DEAL", 1_000)
     assert P.tokens(spark, SMALL).rdd.getNumPartitions() > 4
+
+
+@pytest.mark.parametrize("name", ["first_entity_label", "overlap_join", "target_mentions", "target_entities", "overlap_anti_nominals"])
+def test_documents_are_joined_where_they_were_dealt(spark, name):
+    df = registry.QUERIES[name](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == {"item"}
+    assert all("," not in re.sub(r", \d+$", "", dealt) for dealt in exchanges(df))
+
+
+def test_tables_are_counted_whole_for_the_number_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "DEAL", 1_000)
+    whole = P.table(spark, SMALL, "documents")
+    size = int(whole._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert P.tokens(spark, SMALL).rdd.getNumPartitions() == -(-size // 1_000)
+
+
+def test_stitched_spans_are_not_broadcast(spark):
+    assert "BroadcastHashJoin" not in registry.QUERIES["stitch_components"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_token_files_are_not_shuffled(spark, tmp_path):
+    import gzip
+
+    from spanwright.plans.registry import _table_file
+    from spanwright.sources import readers
+
+    path = _table_file(spark.createDataFrame([("a", 1, 7), ("b", 2, 7)], "word string, zone int, item int").coalesce(1), "tok")
+    df = readers.read_tokens(spark, path)
+    assert not [d for d in exchanges(df) if "value" in d] and "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in readers.read_tokens(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    (file,) = {f for f in df.inputFiles()}
+    assert gzip.open(file.removeprefix("file://"), "rt").read() == "word\tzone\titem\na\t1\t7\nb\t2\t7\n"
+    assert sorted((r["item"], r["zone"], r["word"]) for r in df.collect()) == [(7, 1, "a"), (7, 2, "b")]
+
+
+def test_compressed_parses_are_read_once(spark):
+    plan = registry.QUERIES["conllx_file"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_tags_of_mentions(spark):
+    from spanwright.operators import audit
+
+    kind = "char_start int, char_end int, cluster int, n_mentions int, singleton boolean, hue double, role string, ner_label string, status string, source string"
+    rows = [(0, 1, 0, 0, None, None, None, "", "", None), (0, 1, 3, 2, False, 137.5, 'n"s', "P&", "given", "np_layer"), (0, 1, 4, 1, True, float("nan"), "x", None, None, "y")]
+    df = spark.createDataFrame([(1, 0, "ab", rows, [])], f"doc int, sentence_index int, text string, mentions array<struct<{kind.replace(' ', ': ').replace(',:', ',')}>>, uncovered array<struct<char_start: int, char_end: int>>")
+    (row,) = audit.render_sentences(df).collect()
+    assert row["html"] == (
+        '<small class="number">[0]</small> <span class="lone" data-entity="0" title="mentions: 1, status: new">'
+        '<span class="chained_" data-entity="3" style="--hue:137.5" title="entity: 3, mentions: 2, role: n&quot;s, label: P&amp;, status: given">'.replace("chained_", "chain phrase")
+        + '<span class="lone" data-entity="4" title="entity: 4, mentions: 1, role: x, status: new">a</span></span></span>b'
+    )
