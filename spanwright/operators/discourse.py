@@ -85,7 +85,7 @@ def target_mentions(mentions: DataFrame, sentences: DataFrame, doc: str = "doc")
     """
     from .spans import clamp
 
-    own = mentions.join(sentences.select(doc, "sentence_index", "text", F.col("char_start").alias("cs"), F.col("char_end").alias("ce"), _text_start(sentences)), [doc, "sentence_index"])
+    own = mentions.join(sentences.select(doc, "sentence_index", "text", F.col("char_start").alias("cs"), F.col("char_end").alias("ce"), _text_start(sentences)).hint("merge"), [doc, "sentence_index"])
     start, end = clamp(F.col("char_start"), F.col("char_end"), F.col("cs"), F.col("ce"))
     sentence = slice_chars(F.col("text"), F.col("cs") - F.col("ts"), F.col("ce") - F.col("ts"))
     own = own.withColumns({"char_start": start, "char_end": end}).withColumn("mention_text", slice_chars(sentence, F.col("char_start"), F.col("char_end")))
@@ -103,7 +103,7 @@ def target_tokens(tokens: DataFrame, sentences: DataFrame, doc: str = "doc") ->
     without a place have none.
     """
     own = sentences.where(F.col("char_start").isNotNull()).select(doc, "sentence_index", F.col("char_start").alias("cs"), "token_gids")
-    own = tokens.join(own, [doc, "sentence_index"])
+    own = tokens.join(own.hint("merge"), [doc, "sentence_index"])
     place = lambda g: (F.coalesce(F.array_position("token_gids", F.col(g)), F.lit(0)) - 1).cast("int")
     local = {"i": place("g"), "head": place("head_g"), "char_start": F.col("char_start") - F.col("cs"), "char_end": F.col("char_end") - F.col("cs")}
     return own.withColumns(local).drop("cs", "token_gids")
@@ -125,7 +125,7 @@ def target_entities(entities: DataFrame, sentences: DataFrame, tokens: DataFrame
     spans = entities.select(doc, F.col("char_start").alias("es"), F.col("char_end").alias("ee")).distinct()
     roles = head_role(overlap_join(spans, toks, [doc], ("es", "ee"), ("ts", "te")), [doc, "es", "ee"]).select(doc, "es", "ee", "grammatical_role")
     # Texts come last, as the overlap join copies sentences into every bucket that they touch.
-    out = inside.join(roles, [doc, "es", "ee"], "left").join(texts, [doc, "sentence_index"])
+    out = inside.join(roles.hint("merge"), [doc, "es", "ee"], "left").join(texts.hint("merge"), [doc, "sentence_index"])
     out = out.withColumn("entity_text", slice_chars(F.col("text"), F.col("es") - F.col("ts"), F.col("ee") - F.col("ts")))
     out = out.withColumns({"char_start": F.col("es") - F.col("cs"), "char_end": F.col("ee") - F.col("cs")})
     return out.select(doc, "sentence_index", *names, "entity_text", "grammatical_role")

@@ -388,7 +388,7 @@ def turn_sep_concat(spark, sf):
 def target_mentions(spark, sf):
     toks = align.token_offsets(_zones(spark, sf)).withColumnRenamed("item", "doc")
     place = toks.select("doc", F.col("zone").cast("long").alias("span"), "sentence_index")
-    found = P.spans(spark, sf).join(place, ["doc", "span"])
+    found = P.spans(spark, sf).join(place.hint("merge"), ["doc", "span"])
     return discourse.target_mentions(found, _sentence_texts(toks)).select("doc", "sentence_index", "span", "char_start", "char_end", "mention_text")
 
 
