@@ -789,16 +789,18 @@ def corpus_totals(spark, sf):
 def nested_html(spark, sf):
     """Sentences as nested spans; a stack is beyond SQL; tests hold it against worked examples."""
     own = P.spans(spark, sf)
-    m = own.select("doc", F.struct(*_mention_fields()).alias("m")).groupBy("doc").agg(F.sort_array(F.collect_list("m")).alias("mentions"))
+    # What tells mentions apart is collected, the rest follows from it.
+    m = own.select("doc", F.struct("char_start", "char_end", "cluster").alias("m")).groupBy("doc").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    m = m.select("doc", F.transform("m", lambda x: F.struct(*_mention_fields(x))).alias("mentions"))
     texts = align.story_text(P.tokens(spark, sf)).select(F.col("item").alias("doc"), "text")
     none = F.array().cast("array<struct<char_start: int, char_end: int>>")
-    return audit.render_sentences(texts.join(m, "doc").withColumns({"sentence_index": F.lit(0), "uncovered": none}))
+    return audit.render_sentences(texts.join(m.hint("merge"), "doc").withColumns({"sentence_index": F.lit(0), "uncovered": none}))
 
 
-def _mention_fields():
-    cluster, none = F.col("cluster"), F.lit(None).cast("string")
+def _mention_fields(m):
+    cluster, none = m["cluster"], F.lit(None).cast("string")
     return [
-        F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), cluster.alias("cluster"), F.lit(2).alias("n_mentions"), F.lit(False).alias("singleton"),
+        m["char_start"].cast("int").alias("char_start"), m["char_end"].cast("int").alias("char_end"), cluster.alias("cluster"), F.lit(2).alias("n_mentions"), F.lit(False).alias("singleton"),
         F.round(F.pmod(cluster * F.lit(audit.HUE_STEP), F.lit(360.0)), 1).alias("hue"), F.lit("nsubj").alias("role"), none.alias("ner_label"), F.lit("given").alias("status"), none.alias("source"),
     ]
 
