@@ -1002,7 +1002,7 @@ def _table_file(df, name: str, header: bool = True) -> str:
     """The path of a tab-separated copy of `df` in the shared folder; it is deleted when the driver ends."""
     path = _own_path(df.sparkSession, name)
     plain = {"sep": "\t", "header": header, "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.options(**plain).csv(path)
+    df.write.options(**plain).option("compression", "gzip").csv(path)
     return path
 
 
