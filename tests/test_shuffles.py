@@ -132,3 +132,23 @@ def test_tags_of_mentions(spark):
         '<span class="chained_" data-entity="3" style="--hue:137.5" title="entity: 3, mentions: 2, role: n&quot;s, label: P&amp;, status: given">'.replace("chained_", "chain phrase")
         + '<span class="lone" data-entity="4" title="entity: 4, mentions: 1, role: x, status: new">a</span></span></span>b'
     )
+
+
+def test_parse_tokens_are_placed_once(spark):
+    plan = registry.QUERIES["story_records"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode(ts") == 1 and len(re.findall(r"Exchange hashpartitioning\(item#\d+L, \d+\), REPARTITION", plan)) == 3
+
+
+@pytest.mark.parametrize("word, forms", [("dog", ["dog"]), ("``", ["``"]), ("-LRB-", ["-LRB-"]), ("", [""]), ("dogs", ["dog", "s"]), ("dog", ["cat"])])
+def test_a_form_that_is_the_word_is_placed_as_others_are(spark, word, forms):
+    from pyspark.sql import functions as F
+
+    from spanwright.operators import align
+
+    words = spark.createDataFrame([(1, 1, "ab", 0), (1, 2, word, 3)], "item int, zone int, word string, char_start int")
+    parse = spark.createDataFrame([(1, 0, i, i + 1, f, "t", i, "d", 2) for i, f in enumerate(forms)], "item int, sentence_index int, pos int, id int, form string, tag string, head int, dep string, zone int")
+    stories = words.groupBy("item").agg(F.collect_list(F.struct("zone", "word", "char_start")).alias("tokens"))
+    want = spark.range(1).select(F.inline(align.place_forms(F.lit(word), F.lit(0), F.lit(len(word)), F.array(*map(F.lit, forms))))).collect()
+    for own in (align.align_parse(stories, parse), align.align_parse(stories, parse, words)):
+        got = own.orderBy("g").select("char_start", "char_end").collect()
+        assert [(a - 3, b - 3) for a, b in got] == [tuple(r) for r in want]
