@@ -152,3 +152,14 @@ def test_a_form_that_is_the_word_is_placed_as_others_are(spark, word, forms):
     for own in (align.align_parse(stories, parse), align.align_parse(stories, parse, words)):
         got = own.orderBy("g").select("char_start", "char_end").collect()
         assert [(a - 3, b - 3) for a, b in got] == [tuple(r) for r in want]
+
+
+@pytest.mark.parametrize("name", ["iv_feature_l1", "ot_distance"])
+def test_facts_of_sentences_meet_their_sides_where_they_were_dealt(spark, name):
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.requireAllClusterKeysForCoPartition", "true")):
+        spark.conf.set(key, value)
+    try:
+        df = registry.QUERIES[name](spark, SMALL)
+        assert not [d for d in exchanges(df) if re.search(r"\bi#", d)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
