@@ -163,3 +163,9 @@ def test_facts_of_sentences_meet_their_sides_where_they_were_dealt(spark, name):
         assert not [d for d in exchanges(df) if re.search(r"\bi#", d)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_what_tells_mentions_apart_is_collected(spark):
+    plan = registry.QUERIES["nested_html"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    collected = [x for x in plan.splitlines() if re.search(r"struct\(char_start.* AS m#", x) and "transform" not in x]
+    assert collected and not [x for x in collected if "n_mentions" in x]
